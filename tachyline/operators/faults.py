@@ -1,0 +1,123 @@
+"""Dropouts, replays and anomalies as transforms of a readings table."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, functions as F
+
+from tachyline.functions.time import at
+from tachyline.plans.blocked import BLOCK_ROWS, kth_value
+from tachyline.plans.sizing import broadcast_if_small
+
+BUFFER_CAPACITY = 500_000
+OVERLAP_SIZE = 2_000
+
+
+def last_delivered(
+    events: DataFrame, cut: int, n: int, arrival: str = "arrival", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The ``n`` most recent readings that arrived before ``cut``."""
+    before = events.filter(F.col(arrival) < cut)
+    if n <= 0:
+        return before.limit(0)
+    edge = kth_value(before, arrival, n, largest=True, block_rows=block_rows)
+    return before if edge is None else before.filter(F.col(arrival) >= edge)
+
+
+def concatenate(*parts: DataFrame) -> DataFrame:
+    """Frames one after the other, duplicates kept."""
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return joined
+
+
+def dropout_replay(
+    events: DataFrame,
+    start: str | dt.datetime,
+    end: str | dt.datetime,
+    overlap: int = OVERLAP_SIZE,
+    capacity: int = BUFFER_CAPACITY,
+    arrival: str = "arrival",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Readings as they arrive when the uplink drops out during [start, end).
+
+    Readings in the dropout are held back; the first ``capacity`` of them are kept
+    and the rest lost. When it ends, the last ``overlap`` readings delivered before
+    it come once more, then the held ones in order, then live traffic. ``arrival``
+    (a unique integer) is renumbered to that order; ``replayed`` marks the rows sent
+    by the replay. Two order statistics are looked up first; the rest is filters and
+    a union, with no sort and no shuffle of the readings.
+    """
+    order = F.col(arrival)
+    begins, ends = at(events, "event_time", start), at(events, "event_time", end)
+    held_back = events.filter((F.col("event_time") >= begins) & (F.col("event_time") < ends))
+    first_held = held_back.agg(F.min(arrival)).first()[0]
+    if first_held is None:
+        return events.withColumn("replayed", F.lit(False))
+    last_kept = kth_value(held_back, arrival, capacity, block_rows=block_rows)
+    last_held = held_back.agg(F.max(arrival)).first()[0]
+
+    delivered = events.filter(order < first_held)
+    newest = delivered.agg(F.max(arrival)).first()[0]
+    again = last_delivered(events, first_held, overlap, arrival, block_rows)
+    oldest = None
+    if overlap > 0 and newest is not None:
+        oldest = again.agg(F.min(arrival)).first()[0]
+    # Moving everything after the cut up by this much makes room for the copies.
+    shift = 0 if oldest is None else newest - oldest + 1
+
+    kept = held_back if last_kept is None else held_back.filter(order <= last_kept)
+    if capacity <= 0:
+        kept = held_back.limit(0)
+    live = events.filter(order > last_held)
+    moved = (order + F.lit(shift)).alias(arrival)
+
+    def sent(rows: DataFrame, shifted: bool, replayed: bool) -> DataFrame:
+        columns = [
+            moved if shifted and name == arrival else F.col(name) for name in events.columns
+        ]
+        return rows.select(*columns, F.lit(replayed).alias("replayed"))
+
+    parts = [sent(delivered, False, False), sent(kept, True, True), sent(live, True, False)]
+    if shift:
+        parts.insert(1, sent(again, True, True))
+    return concatenate(*parts)
+
+
+def dropped_by_buffer(
+    events: DataFrame,
+    start: str | dt.datetime,
+    end: str | dt.datetime,
+    capacity: int = BUFFER_CAPACITY,
+    arrival: str = "arrival",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The readings of a dropout that a full buffer loses."""
+    held_back = events.filter(
+        (F.col("event_time") >= at(events, "event_time", start))
+        & (F.col("event_time") < at(events, "event_time", end))
+    )
+    if capacity <= 0:
+        return held_back
+    last_kept = kth_value(held_back, arrival, capacity, block_rows=block_rows)
+    return held_back.limit(0) if last_kept is None else held_back.filter(F.col(arrival) > last_kept)
+
+
+def inject_anomaly(events: DataFrame, catalogue: DataFrame, car_id: str, sensor_id: str) -> DataFrame:
+    """One series pinned a quarter of its range above the range's top."""
+    limits = broadcast_if_small(catalogue.select("sensor_id", "minimum_value", "maximum_value"))
+    span = F.col("maximum_value") - F.col("minimum_value")
+    flagged = (
+        (F.col("car_id") == car_id) & (F.col("sensor_id") == sensor_id) & F.col("maximum_value").isNotNull()
+    )
+    return (
+        events.join(limits, "sensor_id", "left")
+        .withColumn(
+            "value",
+            F.when(flagged, F.col("maximum_value") + F.lit(0.25) * span).otherwise(F.col("value")),
+        )
+        .select(*events.columns)
+    )
