@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tachyline.functions.time import at
 from tachyline.plans.blocked import BLOCK_ROWS, kth_value
@@ -33,58 +33,80 @@ def concatenate(*parts: DataFrame) -> DataFrame:
     return joined
 
 
+def _dropout_span(
+    events: DataFrame, start: str | dt.datetime, end: str | dt.datetime, arrival: str
+) -> tuple[int, int] | None:
+    """First and last arrival number of a dropout: everything arriving in between is held."""
+    inside = events.filter(
+        (F.col("event_time") >= at(events, "event_time", start))
+        & (F.col("event_time") < at(events, "event_time", end))
+    )
+    first, last = inside.agg(F.min(arrival), F.max(arrival)).first()
+    return None if first is None else (first, last)
+
+
 def dropout_replay(
     events: DataFrame,
     start: str | dt.datetime,
     end: str | dt.datetime,
     overlap: int = OVERLAP_SIZE,
     capacity: int = BUFFER_CAPACITY,
+    replay_at: str | dt.datetime | None = None,
     arrival: str = "arrival",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Readings as they arrive when the uplink drops out during [start, end).
 
     Readings in the dropout are held back; the first ``capacity`` of them are kept
-    and the rest lost. When it ends, the last ``overlap`` readings delivered before
-    it come once more, then the held ones in order, then live traffic. ``arrival``
-    (a unique integer) is renumbered to that order; ``replayed`` marks the rows sent
-    by the replay. Two order statistics are looked up first; the rest is filters and
-    a union, with no sort and no shuffle of the readings.
+    and the rest lost. Live traffic resumes at ``end``. At ``replay_at`` (by default
+    ``end``) the last ``overlap`` readings delivered until then come once more, then
+    the held ones in order. ``arrival``, a unique integer, is renumbered to that order
+    and ``replayed`` marks the rows sent by the replay.
+
+    A few order statistics are looked up first; the rest is one scan, with no sort and
+    no shuffle of the readings.
     """
-    order = F.col(arrival)
-    begins, ends = at(events, "event_time", start), at(events, "event_time", end)
-    held_back = events.filter((F.col("event_time") >= begins) & (F.col("event_time") < ends))
-    first_held = held_back.agg(F.min(arrival)).first()[0]
-    if first_held is None:
+    span = _dropout_span(events, start, end, arrival)
+    if span is None:
         return events.withColumn("replayed", F.lit(False))
-    last_kept = kth_value(held_back, arrival, capacity, block_rows=block_rows)
-    last_held = held_back.agg(F.max(arrival)).first()[0]
-
-    delivered = events.filter(order < first_held)
-    newest = delivered.agg(F.max(arrival)).first()[0]
-    again = last_delivered(events, first_held, overlap, arrival, block_rows)
-    oldest = None
+    first_held, last_held = span
+    order = F.col(arrival)
+    held = order.between(first_held, last_held)
+    resumes = at(events, "event_time", end if replay_at is None else replay_at)
+    first_rest = (
+        events.filter((order > last_held) & (F.col("event_time") >= resumes)).agg(F.min(arrival)).first()[0]
+    )
+    rest = F.lit(False) if first_rest is None else order >= first_rest
+    direct = ~held & ~rest
+    # Highest number delivered before the replay; the replay is numbered from there.
+    newest = events.filter(direct).agg(F.max(arrival)).first()[0]
+    cut = first_held - 1 if newest is None else newest
+    oldest_copy, copies_up = None, 0
     if overlap > 0 and newest is not None:
-        oldest = again.agg(F.min(arrival)).first()[0]
-    # Moving everything after the cut up by this much makes room for the copies.
-    shift = 0 if oldest is None else newest - oldest + 1
-
-    kept = held_back if last_kept is None else held_back.filter(order <= last_kept)
+        again = last_delivered(events.filter(direct), cut + 1, overlap, arrival, block_rows)
+        oldest_copy = again.agg(F.min(arrival)).first()[0]
+        copies_up = cut - oldest_copy + 1
+    held_up = cut + copies_up - first_held + 1
+    rest_up = last_held + held_up - max(cut, last_held)
+    last_kept = kth_value(events.filter(held), arrival, capacity, block_rows=block_rows)
     if capacity <= 0:
-        kept = held_back.limit(0)
-    live = events.filter(order > last_held)
-    moved = (order + F.lit(shift)).alias(arrival)
-
-    def sent(rows: DataFrame, shifted: bool, replayed: bool) -> DataFrame:
-        columns = [
-            moved if shifted and name == arrival else F.col(name) for name in events.columns
-        ]
-        return rows.select(*columns, F.lit(replayed).alias("replayed"))
-
-    parts = [sent(delivered, False, False), sent(kept, True, True), sent(live, True, False)]
-    if shift:
-        parts.insert(1, sent(again, True, True))
-    return concatenate(*parts)
+        last_kept = first_held - 1
+    lost = F.lit(False) if last_kept is None else held & (order > last_kept)
+    copied = F.lit(False) if oldest_copy is None else direct & (order >= oldest_copy)
+
+    def sent(up: int, replayed: bool) -> Column:
+        number = (order + F.lit(up)).cast("bigint")
+        return F.struct(number.alias(arrival), F.lit(replayed).alias("replayed"))
+
+    # Each reading expands into its deliveries in place: one scan, no union.
+    deliveries = (
+        F.when(copied, F.array(sent(0, False), sent(copies_up, True)))
+        .when(direct, F.array(sent(0, False)))
+        .when(held, F.array(sent(held_up, True)))
+        .otherwise(F.array(sent(rest_up, False)))
+    )
+    others = [name for name in events.columns if name != arrival]
+    return events.filter(~lost).select(*others, F.inline(deliveries)).select(*events.columns, "replayed")
 
 
 def dropped_by_buffer(
@@ -96,14 +118,14 @@ def dropped_by_buffer(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The readings of a dropout that a full buffer loses."""
-    held_back = events.filter(
-        (F.col("event_time") >= at(events, "event_time", start))
-        & (F.col("event_time") < at(events, "event_time", end))
-    )
+    span = _dropout_span(events, start, end, arrival)
+    if span is None:
+        return events.limit(0)
+    held = events.filter(F.col(arrival).between(*span))
     if capacity <= 0:
-        return held_back
-    last_kept = kth_value(held_back, arrival, capacity, block_rows=block_rows)
-    return held_back.limit(0) if last_kept is None else held_back.filter(F.col(arrival) > last_kept)
+        return held
+    last_kept = kth_value(held, arrival, capacity, block_rows=block_rows)
+    return held.limit(0) if last_kept is None else held.filter(F.col(arrival) > last_kept)
 
 
 def inject_anomaly(events: DataFrame, catalogue: DataFrame, car_id: str, sensor_id: str) -> DataFrame:
