@@ -62,8 +62,8 @@ class Files:
         if not fs.rename(old, new):
             raise OSError(f"could not rename {source} to {target}")
 
-    def hours(self, table: str, date: str = "event_date", hour: str = "event_hour") -> list[dt.datetime]:
-        """The hours for which an hour-partitioned table has a directory."""
+    def chunks(self, table: str, date: str = "event_date", hour: str = "event_hour") -> list[dt.datetime]:
+        """Start of each time chunk for which a table has a directory."""
         found = []
         for day in self.children(table):
             if not day.startswith(date + "="):
@@ -75,7 +75,7 @@ class Files:
         return sorted(found)
 
 
-def hour_dir(
-    table: str, hour: dt.datetime, date: str = "event_date", hour_name: str = "event_hour"
+def chunk_dir(
+    table: str, start: dt.datetime, date: str = "event_date", hour: str = "event_hour"
 ) -> str:
-    return f"{table}/{date}={hour:%Y-%m-%d}/{hour_name}={hour.hour}"
+    return f"{table}/{date}={start:%Y-%m-%d}/{hour}={start.hour}"

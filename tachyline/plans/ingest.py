@@ -8,30 +8,30 @@ import time
 from pyspark.sql import DataFrame, functions as F
 
 from tachyline.operators.dedupe import dedupe_existing, first_arrival, integrity_check, reject_stored
-from tachyline.plans.store import READING_COLUMNS, Store, salt, with_event_hour
+from tachyline.plans.store import READING_COLUMNS, Store, salt
 from tachyline.schemas import INGEST_METRIC, KEY, small_table
 
-WRITERS_PER_HOUR = 8
-HOURS_BY_NAME = 2_000
+WRITERS_PER_CHUNK = 8
+CHUNKS_BY_NAME = 2_000
 
 
-def _stored_keys(store: Store, hours: list[dt.datetime], batch_id: int) -> DataFrame:
-    """Keys of the touched hours written by other batches.
+def _stored_keys(store: Store, chunks: list[dt.datetime], batch_id: int) -> DataFrame:
+    """Keys of the touched chunks written by other batches.
 
-    A batch usually touches a few hours, named one by one so that the rest of the
-    table is not even listed. A backfill over very many hours bounds the range instead.
+    A batch usually touches a few chunks, named one by one so that the rest of the
+    table is not even listed. A backfill over very many bounds the range instead.
     """
-    if len(hours) <= HOURS_BY_NAME:
-        stored = store.read_hours("raw", hours)
+    if len(chunks) <= CHUNKS_BY_NAME:
+        stored = store.read_chunks("raw", chunks)
     else:
-        low, high = min(hours).date(), max(hours).date()
+        low, high = min(chunks).date(), max(chunks).date()
         stored = store.read("raw").filter(F.col("event_date").between(F.lit(low), F.lit(high)))
     # Not its own half-written output, should this be the retry of a failed batch.
     return stored.filter(F.col("batch_id") != batch_id).select(*KEY)
 
 
 def ingest_batch(
-    events: DataFrame, batch_id: int, store: Store, writers_per_hour: int = WRITERS_PER_HOUR
+    events: DataFrame, batch_id: int, store: Store, writers_per_chunk: int = WRITERS_PER_CHUNK
 ) -> tuple[int, int]:
     """Store the readings of one batch that are not stored yet.
 
@@ -41,23 +41,23 @@ def ingest_batch(
     (consumed, written) and appends a metrics row.
     """
     started = time.monotonic()
-    dated = with_event_hour(events.select(*READING_COLUMNS))
+    dated = store.with_event_chunk(events.select(*READING_COLUMNS))
     touched = dated.groupBy("event_date", "event_hour").agg(F.count(F.lit(1)).alias("n")).collect()
     consumed = sum(row["n"] for row in touched)
     if consumed == 0:
         return 0, 0
-    hours = [
+    chunks = [
         dt.datetime.combine(row["event_date"], dt.time(row["event_hour"])) for row in touched
     ]
     first = first_arrival(events.select(*READING_COLUMNS))
-    fresh = with_event_hour(reject_stored(first, _stored_keys(store, hours, batch_id)))
+    fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, chunks, batch_id)))
     store.write(
         fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
         "raw",
-        salt(writers_per_hour, *KEY),
+        salt(writers_per_chunk, *KEY),
     )
     # Counted from what was committed: task retries cannot inflate it.
-    mine = store.read_hours("raw", hours) if len(hours) <= HOURS_BY_NAME else store.read("raw")
+    mine = store.read_chunks("raw", chunks) if len(chunks) <= CHUNKS_BY_NAME else store.read("raw")
     written = mine.filter(F.col("batch_id") == batch_id).count()
     elapsed = (time.monotonic() - started) * 1000
     spark = events.sparkSession
@@ -79,8 +79,8 @@ def migrate_to_key(unkeyed: DataFrame, store: Store, row_id: str = "id") -> Data
     keyed = dedupe_existing(unkeyed, row_id)
     if "arrival" not in keyed.columns:
         keyed = keyed.withColumn("arrival", F.col("sequence_no"))
-    rows = with_event_hour(keyed.select(*READING_COLUMNS)).withColumn("batch_id", F.lit(-1).cast("bigint"))
-    store.write(rows, "raw", salt(WRITERS_PER_HOUR, *KEY))
+    rows = store.with_event_chunk(keyed.select(*READING_COLUMNS)).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    store.write(rows, "raw", salt(WRITERS_PER_CHUNK, *KEY))
     check = integrity_check(store.read("raw"))
     if check.first()["duplicates"]:
         raise ValueError("the migrated table still holds duplicate readings")

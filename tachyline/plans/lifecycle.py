@@ -7,13 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from tachyline.functions.time import at, ceil_to, floor_to, instant
+from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
 from tachyline.operators.rollups import rollup_1h, rollup_1m
-from tachyline.plans.files import Files, hour_dir
-from tachyline.plans.store import Store, salt, with_bucket_hour
+from tachyline.plans.files import Files, chunk_dir
+from tachyline.plans.sizing import broadcast_if_small
+from tachyline.plans.store import Store, salt
 
 HOUR = dt.timedelta(hours=1)
-COMPACTED = -1
 REFRESH_SPAN = dt.timedelta(days=7)
 RETENTION = dt.timedelta(days=7)
 COMPACT_AFTER = dt.timedelta(hours=1)
@@ -27,18 +27,29 @@ def _outside(rows: DataFrame, column: str, low: dt.datetime, high: dt.datetime)
     return rows.filter((F.col(column) < at(rows, column, low)) | (F.col(column) >= at(rows, column, high)))
 
 
-def dirty_hours(store: Store, since_batch: int) -> list[dt.datetime]:
-    """Hours of the raw table that a batch after ``since_batch`` has written to.
+def _batches(store: Store, start: dt.datetime) -> list[int]:
+    """Ids of the batch directories of a chunk."""
+    names = Files(store.spark).children(store.chunk_path("raw", start))
+    return [int(name.split("=")[1]) for name in names if name.startswith("batch_id=")]
+
+
+def _newest_batch(batches: list[int]) -> int:
+    """The newest batch among ``batches``, seen through compaction.
+
+    Compaction of batches up to n leaves a directory named -(n + 1): no retried batch
+    can overwrite it, and it still says how recent its rows are.
+    """
+    return max((-batch - 1 if batch < 0 else batch for batch in batches), default=-1)
+
+
+def dirty_chunks(store: Store, since_batch: int) -> list[dt.datetime]:
+    """Chunks of the raw table that a batch after ``since_batch`` has written to.
 
     Directory names alone: this is the invalidation log of the aggregates.
     """
-    files = Files(store.spark)
-    dirty = []
-    for hour in store.hours("raw"):
-        batches = files.children(hour_dir(store.path("raw"), hour))
-        if any(int(name.split("=")[1]) > since_batch for name in batches if name.startswith("batch_id=")):
-            dirty.append(hour)
-    return dirty
+    return [
+        start for start in store.chunks("raw") if _newest_batch(_batches(store, start)) > since_batch
+    ]
 
 
 def refresh_rollup_1m(
@@ -46,49 +57,56 @@ def refresh_rollup_1m(
 ) -> list[dt.datetime]:
     """Recompute the one-minute buckets in [now - 7 d, now - 1 min) from raw readings.
 
-    Only whole buckets are recomputed, and only in hours that still have raw data, so
+    Only whole buckets are recomputed, and only in chunks that still have raw data, so
     aggregates outlive the readings they came from. ``since_batch`` narrows the work to
-    hours written to after that batch. Existing buckets of a boundary hour that lie
-    outside the range are carried over. Returns the hours that were rewritten.
+    chunks written to after that batch. Existing buckets of a boundary chunk that lie
+    outside the range are carried over. Returns the chunks that were rewritten.
     """
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 minute"), floor_to(now - dt.timedelta(minutes=1), "1 minute")
-    hours = store.hours("raw") if since_batch is None else dirty_hours(store, since_batch)
-    hours = [hour for hour in hours if hour + HOUR > low and hour < high]
-    if not hours:
+    chunks = store.chunks("raw") if since_batch is None else dirty_chunks(store, since_batch)
+    chunks = [start for start in chunks if start + store.chunk > low and start < high]
+    if not chunks:
         return []
-    fresh = rollup_1m(_bounded(store.read_hours("raw", hours), "event_time", low, high))
-    edges = [hour for hour in hours if hour < low or hour + HOUR > high]
-    kept = _outside(store.read_hours("rollup_1m", edges), "bucket", low, high).select(*fresh.columns)
+    fresh = rollup_1m(_bounded(store.read_chunks("raw", chunks), "event_time", low, high))
+    edges = [start for start in chunks if start < low or start + store.chunk > high]
+    kept = _outside(store.read_chunks("rollup_1m", edges), "bucket", low, high).select(*fresh.columns)
     _write_minutes(store, fresh.unionByName(kept))
-    return hours
+    return chunks
 
 
 def _write_minutes(store: Store, minutes: DataFrame) -> None:
-    store.write(with_bucket_hour(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"))
+    store.write(store.with_bucket_chunk(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"))
 
 
 def refresh_rollup_1h(
-    store: Store, now: str | dt.datetime, hours: list[dt.datetime] | None = None
+    store: Store, now: str | dt.datetime, chunks: list[dt.datetime] | None = None
 ) -> list[dt.datetime]:
     """Recompute the one-hour buckets in [now - 7 d, now - 1 h) from one-minute rows.
 
-    ``hours`` (what the one-minute refresh returned) narrows the work. The other hours
+    ``chunks`` (what the one-minute refresh returned) narrows the work. The other hours
     of an affected date are carried over.
     """
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 hour"), floor_to(now - HOUR, "1 hour")
-    available = set(store.hours("rollup_1m"))
+    available = set(store.chunks("rollup_1m"))
     chosen = sorted(
-        hour for hour in (available if hours is None else available & set(hours)) if low <= hour < high
+        start
+        for start in (available if chunks is None else available & set(chunks))
+        if start + store.chunk > low and start < high
     )
     if not chosen:
         return []
-    fresh = rollup_1h(store.read_hours("rollup_1m", chosen))
-    dates = sorted({hour.date() for hour in chosen})
+    fresh = rollup_1h(_bounded(store.read_chunks("rollup_1m", chosen), "bucket", low, high))
+    dates = sorted({start.date() for start in chosen})
     existing = store.read("rollup_1h").filter(F.col("bucket_date").isin(dates))
-    replaced = [at(existing, "bucket", hour) for hour in chosen]
-    kept = existing.filter(~F.col("bucket").isin(replaced)).select(*fresh.columns)
+    starts = [at(existing, "bucket", start) for start in chosen]
+    recomputed = (
+        time_bucket(f"{store.chunk_hours} hours", "bucket").isin(starts)
+        & (F.col("bucket") >= at(existing, "bucket", low))
+        & (F.col("bucket") < at(existing, "bucket", high))
+    )
+    kept = existing.filter(~recomputed).select(*fresh.columns)
     rows = fresh.unionByName(kept).withColumn("bucket_date", F.to_date("bucket"))
     store.write(rows, "rollup_1h", salt(4, "car_id", "sensor_id"))
     return chosen
@@ -111,41 +129,48 @@ def _recover(files: Files, live: str, backup: str) -> None:
 
 
 def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_AFTER) -> list[dt.datetime]:
-    """Merge the batch directories of hours that closed ``after`` ago.
+    """Merge the batch directories of chunks that closed ``after`` ago.
 
-    Rows are range-partitioned on the full sort key (hour, car, sensor, newest first),
+    Rows are range-partitioned on the full sort key (chunk, car, sensor, newest first),
     so that a series with very many rows is cut by time rather than handed to one task,
-    and the sorted files give tight row-group statistics. Each hour is swapped in by
+    and the sorted files give tight row-group statistics. Each chunk is swapped in by
     rename; a crash in between is repaired by the next run.
     """
     files, raw = Files(store.spark), store.path("raw")
     # Outside the table, so that no reader ever lists half-finished work.
     parking = f"{store.root}/compaction"
-    for hour in files.hours(f"{parking}/old"):
-        _recover(files, hour_dir(raw, hour), hour_dir(f"{parking}/old", hour))
+    for start in files.chunks(f"{parking}/old"):
+        _recover(files, chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
     cut = instant(now) - after
-    closed = []
-    for hour in store.hours("raw"):
-        batches = [name for name in files.children(hour_dir(raw, hour)) if name.startswith("batch_id=")]
-        if hour + HOUR <= cut and batches != [f"batch_id={COMPACTED}"]:
-            closed.append(hour)
-    if not closed:
+    merged = {}
+    for start in store.chunks("raw"):
+        batches = _batches(store, start) if start + store.chunk <= cut else []
+        if any(batch >= 0 for batch in batches):
+            merged[start] = -(_newest_batch(batches) + 1)
+    if not merged:
         return []
+    closed = list(merged)
+    # One row per chunk being merged, made from directory names.
+    names = store.spark.createDataFrame(
+        [(start.date(), start.hour, batch) for start, batch in merged.items()],
+        "event_date date, event_hour int, batch_id bigint",
+    )
     staged = f"{parking}/staged-{uuid.uuid4().hex[:12]}"
     order = ["event_date", "event_hour", "car_id", "sensor_id", F.desc("event_time")]
     (
-        store.read_hours("raw", closed)
-        .withColumn("batch_id", F.lit(COMPACTED).cast("bigint"))
+        store.read_chunks("raw", closed)
+        .drop("batch_id")
+        .join(broadcast_if_small(names), ["event_date", "event_hour"])
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.option("compression", "zstd")
         .partitionBy("event_date", "event_hour", "batch_id")
         .parquet(staged)
     )
-    for hour in closed:
-        live, old = hour_dir(raw, hour), hour_dir(f"{parking}/old", hour)
+    for start in closed:
+        live, old = chunk_dir(raw, start), chunk_dir(f"{parking}/old", start)
         files.rename(live, old)
-        files.rename(hour_dir(staged, hour), live)
+        files.rename(chunk_dir(staged, start), live)
         files.delete(old)
     files.delete(staged)
     return closed
@@ -153,35 +178,35 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
 
 def _expired(store: Store, now: str | dt.datetime, keep: dt.timedelta) -> list[dt.datetime]:
     cut = instant(now) - keep
-    return [hour for hour in store.hours("raw") if hour + HOUR <= cut]
+    return [start for start in store.chunks("raw") if start + store.chunk <= cut]
 
 
 def apply_retention(
     store: Store, now: str | dt.datetime, keep: dt.timedelta = RETENTION
 ) -> list[dt.datetime]:
-    """Drop raw hours that ended ``keep`` ago, by directory. Aggregates stay."""
+    """Drop raw chunks that ended ``keep`` ago, by directory. Aggregates stay."""
     dropped = _expired(store, now, keep)
     files = Files(store.spark)
-    for hour in dropped:
-        files.delete(hour_dir(store.path("raw"), hour))
+    for start in dropped:
+        files.delete(store.chunk_path("raw", start))
     return dropped
 
 
 def archive_cold(
     store: Store, now: str | dt.datetime, keep: dt.timedelta = RETENTION
 ) -> list[dt.datetime]:
-    """Copy expiring raw hours to the archive, compare counts, then drop them."""
+    """Copy expiring raw chunks to the archive, compare counts, then drop them."""
     cold = _expired(store, now, keep)
     if not cold:
         return []
-    source = store.read_hours("raw", cold)
+    source = store.read_chunks("raw", cold)
     store.write(source, "archive", salt(8, "car_id", "sensor_id", "event_time"))
-    by_hour = ["event_date", "event_hour"]
-    copied = store.read_hours("archive", cold).groupBy(*by_hour).agg(F.count(F.lit(1)).alias("copied"))
-    counts = source.groupBy(*by_hour).agg(F.count(F.lit(1)).alias("held"))
-    short = counts.join(copied, by_hour, "left").filter(F.coalesce("copied", F.lit(0)) != F.col("held"))
+    by_chunk = ["event_date", "event_hour"]
+    copied = store.read_chunks("archive", cold).groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("copied"))
+    counts = source.groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("held"))
+    short = counts.join(copied, by_chunk, "left").filter(F.coalesce("copied", F.lit(0)) != F.col("held"))
     if not short.isEmpty():
-        raise ValueError("archived hours do not match the raw table; nothing was dropped")
+        raise ValueError("archived chunks do not match the raw table; nothing was dropped")
     return apply_retention(store, now, keep)
 
 

@@ -1,9 +1,11 @@
 """The telemetry tables: where they are, how they are laid out, how they are read.
 
-Raw readings are partitioned by event date, event hour and the batch that wrote them;
-one-minute rows by date and hour; one-hour rows by date. Finer directories would give
-small files at no gain: inside an hour the rows are sorted, so row-group statistics
-narrow a scan further. There is one writer per table.
+Raw readings are partitioned by time chunk (event date and the chunk's first hour) and
+by the batch that wrote them; one-minute rows by time chunk; one-hour rows by date. A
+chunk is one hour unless the store says otherwise: a sparse table wants longer ones.
+Finer directories would give small files at no gain, since compacted rows are sorted
+inside a chunk and row-group statistics narrow a scan further. There is one writer per
+table.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tachyline.plans.files import Files, hour_dir
-from tachyline.schemas import INGEST_METRIC
+from tachyline.plans.files import Files, chunk_dir
+from tachyline.schemas import INGEST_METRIC, SERIES
 
 RESOLUTIONS = {"ONE_MINUTE": "rollup_1m", "ONE_HOUR": "rollup_1h"}
 
@@ -37,12 +39,33 @@ class Store:
     """Paths and schemas of one set of tables below ``root``.
 
     ``zoned`` says whether times are instants (``timestamp``) or, as in the
-    benchmark tables, zone-less (``timestamp_ntz``).
+    benchmark tables, zone-less (``timestamp_ntz``). ``chunk_hours`` divides 24.
     """
 
     spark: SparkSession
     root: str
     zoned: bool = True
+    chunk_hours: int = 1
+
+    @property
+    def chunk(self) -> dt.timedelta:
+        return dt.timedelta(hours=self.chunk_hours)
+
+    def _chunk_hour(self, column: str) -> Column:
+        hour = F.hour(column)
+        return hour if self.chunk_hours == 1 else hour - hour % self.chunk_hours
+
+    def with_event_chunk(self, readings: DataFrame) -> DataFrame:
+        """Readings with the partition columns of their time chunk."""
+        return readings.withColumn("event_date", F.to_date("event_time")).withColumn(
+            "event_hour", self._chunk_hour("event_time")
+        )
+
+    def with_bucket_chunk(self, minutes: DataFrame) -> DataFrame:
+        """One-minute rows with the partition columns of their time chunk."""
+        return minutes.withColumn("bucket_date", F.to_date("bucket")).withColumn(
+            "bucket_hour", self._chunk_hour("bucket")
+        )
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -69,17 +92,17 @@ class Store:
     def metrics(self) -> DataFrame:
         return self.spark.read.schema(INGEST_METRIC).parquet(self.path("metrics")).drop("batch")
 
-    def hours(self, table: str = "raw") -> list[dt.datetime]:
-        """Hours that have a directory: metadata only, one entry per hour kept."""
-        if table == "rollup_1m":
-            return Files(self.spark).hours(self.path(table), "bucket_date", "bucket_hour")
-        return Files(self.spark).hours(self.path(table))
+    def chunks(self, table: str = "raw") -> list[dt.datetime]:
+        """Start of every chunk that has a directory: metadata only."""
+        return Files(self.spark).chunks(self.path(table), *_chunk_names(table))
+
+    def chunk_path(self, table: str, start: dt.datetime) -> str:
+        return chunk_dir(self.path(table), start, *_chunk_names(table))
 
-    def read_hours(self, table: str, hours: Sequence[dt.datetime]) -> DataFrame:
-        """Only the given hours, without listing the rest of the table."""
-        names = ("bucket_date", "bucket_hour") if table == "rollup_1m" else ("event_date", "event_hour")
+    def read_chunks(self, table: str, chunks: Sequence[dt.datetime]) -> DataFrame:
+        """Only the given chunks, without listing the rest of the table."""
         files = Files(self.spark)
-        paths = [hour_dir(self.path(table), hour, *names) for hour in hours]
+        paths = [self.chunk_path(table, start) for start in chunks]
         paths = [path for path in paths if files.exists(path)]
         if not paths:
             return self.spark.createDataFrame([], self.schema(table))
@@ -89,7 +112,7 @@ class Store:
     def write(self, rows: DataFrame, table: str, spread: Column | None = None) -> None:
         """Replace the partitions that ``rows`` holds; all others stay.
 
-        ``spread`` splits each partition over that many values, so that a hot hour
+        ``spread`` splits each partition over that many values, so that a hot chunk
         is not written by one task. With adaptive execution the rebalance hint
         also splits oversized and joins undersized output.
         """
@@ -97,9 +120,13 @@ class Store:
         by = list(partitions)
         if spread is not None:
             rows, by = rows.withColumn("_salt", spread), [*by, "_salt"]
+        # Sorted files give selective row-group statistics, and the writer needs the
+        # leading partition columns in order anyway.
+        time = "bucket" if table.startswith("rollup") else "event_time"
         (
             rows.hint("rebalance", *by)
             .drop("_salt")
+            .sortWithinPartitions(*partitions, *SERIES, time)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd")
@@ -108,12 +135,8 @@ class Store:
         )
 
 
-def with_event_hour(rows: DataFrame, column: str = "event_time") -> DataFrame:
-    return rows.withColumn("event_date", F.to_date(column)).withColumn("event_hour", F.hour(column))
-
-
-def with_bucket_hour(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket_date", F.to_date("bucket")).withColumn("bucket_hour", F.hour("bucket"))
+def _chunk_names(table: str) -> tuple[str, str]:
+    return ("bucket_date", "bucket_hour") if table == "rollup_1m" else ("event_date", "event_hour")
 
 
 def salt(width: int, *columns: str) -> Column:

@@ -45,7 +45,7 @@ def channel_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     channel = F.element_at(channels, (F.col("event_id") % len(BASE_CHANNELS) + 1).cast("int"))
-    fraction = F.least(F.lit(1.2), F.col("value") / F.lit(200.0))
+    fraction = F.least(F.lit(1.2), F.col("value") / F.lit(207.0))
     return events.select(
         car_label(F.col("user_id") % 5 + 1).alias("car_id"),
         channel["name"].alias("sensor_id"),

@@ -38,7 +38,7 @@ CHANNELS = (
     + """, laps AS (
   SELECT 'CAR-' || lpad(CAST(user_id % 5 + 1 AS VARCHAR), 2, '0') AS car_id, c.sensor_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 30) AS event_time,
-         c.minimum_value + (c.maximum_value - c.minimum_value) * least(1.2::DOUBLE, e.value / 200.0::DOUBLE) AS value,
+         c.minimum_value + (c.maximum_value - c.minimum_value) * least(1.2::DOUBLE, e.value / 207.0::DOUBLE) AS value,
          event_id AS sequence_no, event_id AS arrival
   FROM events e JOIN catalogue c ON c.number = event_id % 40)"""
 )
@@ -100,7 +100,7 @@ ALERTS = """alerts AS (
   FROM {rollups} r JOIN rules u ON r.sensor_id = u.sensor_id AND r.maximum > u.maximum)"""
 RAISED = f"{LIVE}, {_rules(RULES)}, {ALERTS.format(rollups='lives')}"
 BREACHES = """breaches AS (
-  SELECT car_id, sensor_id, observed_maximum, threshold, observed_maximum - threshold AS excess, window_end AS at
+  SELECT car_id, sensor_id, observed_maximum, threshold, observed_maximum - threshold AS excess, window_end AS "at"
   FROM alerts QUALIFY row_number() OVER (
     PARTITION BY car_id ORDER BY window_end DESC, window_start DESC, sensor_id DESC, threshold DESC) = 1)"""
 ROLLUP = "car_id, sensor_id, bucket, samples, round(average, 6) AS average, minimum, maximum"
@@ -131,14 +131,14 @@ audited AS (
          epoch_us(stream_time) - epoch_us(event_time) AS lateness_us
   FROM timed)"""
 COUNTERS = """per_second AS (
-  SELECT car_id, time_bucket(INTERVAL '1 second', event_time) AS at, count(*) AS n FROM laps GROUP BY 1, 2),
+  SELECT car_id, time_bucket(INTERVAL '1 second', event_time) AS "at", count(*) AS n FROM laps GROUP BY 1, 2),
 counters AS (
-  SELECT car_id, at, CAST(sum(n) OVER (PARTITION BY car_id ORDER BY at) AS BIGINT) AS counter FROM per_second),
+  SELECT car_id, "at", CAST(sum(n) OVER (PARTITION BY car_id ORDER BY "at") AS BIGINT) AS counter FROM per_second),
 steps AS (
-  SELECT *, counter - lag(counter) OVER (PARTITION BY car_id ORDER BY at) AS step FROM counters),
+  SELECT *, counter - lag(counter) OVER (PARTITION BY car_id ORDER BY "at") AS step FROM counters),
 rates AS (
-  SELECT car_id, at, counter, CAST(sum(coalesce(step, 0)) OVER (
-    PARTITION BY car_id ORDER BY at
+  SELECT car_id, "at", counter, CAST(sum(coalesce(step, 0)) OVER (
+    PARTITION BY car_id ORDER BY "at"
     RANGE BETWEEN INTERVAL '29999999 microseconds' PRECEDING AND CURRENT ROW) AS DOUBLE) / 30 AS rate
   FROM steps)"""
 OFFSETS = """latest AS (SELECT user_id % 12 AS "partition", max(event_id) AS "offset" FROM events GROUP BY 1),
@@ -210,10 +210,10 @@ ORACLES: dict[str, str] = {
     "breach_list": f"""WITH {RAISED} SELECT {ALERT} FROM (SELECT * FROM alerts
         ORDER BY window_end DESC, car_id, sensor_id, window_start, threshold LIMIT 100)""",
     "latest_breach": f"""WITH {RAISED}, {BREACHES} SELECT car_id, sensor_id,
-        round(observed_maximum, 6) AS observed_maximum, threshold, round(excess, 6) AS excess, at FROM breaches""",
+        round(observed_maximum, 6) AS observed_maximum, threshold, round(excess, 6) AS excess, "at" FROM breaches""",
     "active_breach": f"""WITH {RAISED}, {BREACHES} SELECT car_id, sensor_id,
-        round(observed_maximum, 6) AS observed_maximum, threshold, round(excess, 6) AS excess, at FROM breaches
-        WHERE at + INTERVAL '30 seconds'
+        round(observed_maximum, 6) AS observed_maximum, threshold, round(excess, 6) AS excess, "at" FROM breaches
+        WHERE "at" + INTERVAL '30 seconds'
           >= (SELECT max(window_end) FROM lives WHERE window_length = 'PT1S')""",
     "anomaly_alerts": f"""WITH {CHANNELS}, flagged AS (
         SELECT l.* REPLACE ({ANOMALY.format(car='CAR-02', sensor='engine-rpm')} AS value)
@@ -240,7 +240,7 @@ ORACLES: dict[str, str] = {
             / sum("count") FILTER (WHERE sensor_id = 'speed') AS average_speed,
           {_peak('speed')} AS top_speed, {_peak('brake-temperature-front-left')} AS brake_fl_peak
         FROM lives WHERE window_length = 'PT1S' GROUP BY 1),
-      held_breaches AS (SELECT b.* FROM breaches b, now_at WHERE at + INTERVAL '30 seconds' >= now_at)
+      held_breaches AS (SELECT b.* FROM breaches b, now_at WHERE "at" + INTERVAL '30 seconds' >= now_at)
       SELECT c.car_id, round(speed, 6) AS speed, round(engine_rpm, 6) AS engine_rpm, gear,
         round(throttle, 6) AS throttle, round(brake, 6) AS brake, round(average_speed, 6) AS average_speed,
         round(top_speed, 6) AS top_speed, round(brake_fl_peak, 6) AS brake_fl_peak,
@@ -325,9 +325,9 @@ ORACLES: dict[str, str] = {
     "nan_audit": f"""WITH {READINGS} SELECT sensor_id, count(*) AS readings,
         count(*) FILTER (WHERE isnan(value)) AS nan_values FROM readings GROUP BY 1""",
     "counter_rate": f"""WITH {CHANNELS}, {COUNTERS}
-        SELECT car_id, at, counter, round(rate, 6) AS rate FROM rates""",
+        SELECT car_id, "at", counter, round(rate, 6) AS rate FROM rates""",
     "rate_by_label": f"""WITH {CHANNELS}, {COUNTERS}
-        SELECT at, round(sum(rate), 6) AS rate FROM rates GROUP BY 1""",
+        SELECT "at", round(sum(rate), 6) AS rate FROM rates GROUP BY 1""",
     "consumer_lag": f"WITH {OFFSETS} SELECT * FROM lags",
     "max_lag": f"WITH {OFFSETS} SELECT max(lag) AS max_lag FROM lags",
     "skew_report": f"""WITH {READINGS}, counts AS (
@@ -387,7 +387,7 @@ ORACLES: dict[str, str] = {
     "backfilled_rollup_1h": f"{EVENT_MINUTES}, {HOURS} SELECT {ROLLUP} FROM hours",
     "compacted_readings": f"WITH {REPLAYED}, {FIRST} SELECT {READING}, arrival, 1 AS batches FROM firsts",
     "retained_readings": f"""WITH {READINGS}, ends AS (SELECT max(event_time) - INTERVAL '7 days' AS cut FROM readings)
-      SELECT CASE WHEN time_bucket(INTERVAL '1 hour', event_time) + INTERVAL '1 hour' <= cut
+      SELECT CASE WHEN time_bucket(INTERVAL '1 day', event_time) + INTERVAL '1 day' <= cut
                   THEN 'archive' ELSE 'raw' END AS tier,
         sensor_id, count(*) AS readings, min(event_time) AS oldest, max(event_time) AS latest
       FROM readings, ends GROUP BY 1, 2""",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tachyline.operators import alerts, audits, board, dedupe, faults, ranges, rollups
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.blocked import by_position, by_time, position, running_sum
-from tachyline.plans.files import Files, hour_dir, scratch_path
+from tachyline.plans.files import Files, scratch_path
 from tachyline.plans.store import READING_COLUMNS
 from tachyline.schemas import SERIES, alert_rules
 from tachyline.sources import catalogue, topics, wire
@@ -557,7 +557,7 @@ def refreshed_rollup_1m(spark, sf_dir):
 @query
 def refreshed_rollup_1h(spark, sf_dir):
     source = history(spark, sf_dir)
-    store = new_store(spark, "hourly")
+    store = new_store(spark, "hourly", chunk_hours=24)
     until = newest(source.read("raw"), "event_time")
     store.write(source.rollups(), "rollup_1m")
     lifecycle.refresh_rollup_1h(store, until)
@@ -582,13 +582,13 @@ def compacted_readings(spark, sf_dir):
 
 def _batch_dirs(store) -> int:
     files = Files(store.spark)
-    return max(len(files.children(hour_dir(store.path("raw"), hour))) for hour in store.hours())
+    return max(len(files.children(store.chunk_path("raw", start))) for start in store.chunks())
 
 
 @query
 def retained_readings(spark, sf_dir):
     """Raw readings a week of retention leaves, archived first."""
-    store = one_batch(event_readings(spark, sf_dir), "retention")
+    store = one_batch(event_readings(spark, sf_dir), "retention", chunk_hours=24)
     until = newest(store.read("raw"), "event_time")
     lifecycle.archive_cold(store, until)
     kept = store.read("raw").withColumn("tier", F.lit("raw"))

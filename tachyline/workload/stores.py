@@ -54,8 +54,8 @@ def slices(events: DataFrame, count: int = SLICES) -> list[DataFrame]:
     ]
 
 
-def new_store(spark: SparkSession, label: str, zoned: bool = False) -> Store:
-    return Store(spark, scratch_path(spark, label), zoned).create()
+def new_store(spark: SparkSession, label: str, chunk_hours: int = 1) -> Store:
+    return Store(spark, scratch_path(spark, label), zoned=False, chunk_hours=chunk_hours).create()
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> Store:
@@ -72,8 +72,8 @@ def ingested(spark: SparkSession, sf_dir: str) -> Store:
     return _once(spark, sf_dir, "ingested", build)
 
 
-def one_batch(events: DataFrame, label: str) -> Store:
-    store = new_store(events.sparkSession, label)
+def one_batch(events: DataFrame, label: str, chunk_hours: int = 1) -> Store:
+    store = new_store(events.sparkSession, label, chunk_hours)
     ingest.ingest_batch(events, 0, store)
     return store
 
@@ -82,7 +82,7 @@ def history(spark: SparkSession, sf_dir: str) -> Store:
     """A month of sparse readings with both aggregates filled."""
 
     def build() -> Store:
-        store = one_batch(event_readings(spark, sf_dir), "history")
+        store = one_batch(event_readings(spark, sf_dir), "history", chunk_hours=24)
         lifecycle.backfill(store)
         return store
 
