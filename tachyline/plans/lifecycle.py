@@ -42,6 +42,13 @@ def _newest_batch(batches: list[int]) -> int:
     return max((-batch - 1 if batch < 0 else batch for batch in batches), default=-1)
 
 
+def newest_stored_batch(store: Store) -> int:
+    """The newest batch id any stored reading or metrics row carries; -1 when none does."""
+    recorded = [int(name.split("=")[1]) for name in Files(store.spark).children(store.path("metrics")) if "=" in name]
+    stored = [_newest_batch(_batches(store, start)) for start in store.chunks("raw")]
+    return max([*recorded, *stored], default=-1)
+
+
 def dirty_chunks(store: Store, since_batch: int) -> list[dt.datetime]:
     """Chunks of the raw table that a batch after ``since_batch`` has written to.
 

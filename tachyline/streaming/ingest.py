@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from tachyline.plans.files import Files
 from tachyline.plans.ingest import ingest_batch
+from tachyline.plans.lifecycle import newest_stored_batch
 from tachyline.plans.store import Store
 from tachyline.sources.wire import dead_letters, good_readings
 
+RANGE_BITS = 32
+
+
+def first_batch_id(store: Store, checkpoint: str) -> int:
+    """The table's batch id for batch 0 of a checkpoint.
+
+    A batch replaces its own earlier output, so two checkpoints must never use the same
+    ids. Each fresh checkpoint gets its own range of 2^32 ids above all others; a
+    resumed one keeps its range. The choice is a directory name beside the tables.
+    """
+    files = Files(store.spark)
+    root = f"{store.root}/ingest"
+    mine = hashlib.md5(checkpoint.encode()).hexdigest()
+    taken = {
+        name: [int(first.split("=")[1]) for first in files.children(f"{root}/{name}")]
+        for name in files.children(root)
+    }
+    if taken.get(mine) and files.exists(f"{checkpoint}/metadata"):
+        return max(taken[mine])
+    newest = max([newest_stored_batch(store), *(first for firsts in taken.values() for first in firsts)])
+    first = ((newest >> RANGE_BITS) + 1) << RANGE_BITS
+    files.make(f"{root}/{mine}/first={first}")
+    return first
+
 
 def start_ingest(
     decoded: DataFrame, store: Store, checkpoint: str, dead_letter_path: str | None = None, **trigger
@@ -22,12 +49,14 @@ def start_ingest(
     its own output. Records that could not be decoded go to ``dead_letter_path``.
     """
 
+    first = first_batch_id(store, checkpoint)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            ingest_batch(good_readings(batch), batch_id, replace(store, spark=batch.sparkSession))
+            ingest_batch(good_readings(batch), first + batch_id, replace(store, spark=batch.sparkSession))
             if dead_letter_path is not None:
-                dead_letters(batch).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+                dead_letters(batch).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={first + batch_id}")
         finally:
             batch.unpersist()
 
