@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,19 +34,31 @@ def concatenate(*parts: DataFrame) -> DataFrame:
     return joined
 
 
-def _dropout_span(
-    events: DataFrame, start: str | dt.datetime, end: str | dt.datetime, arrival: str
-) -> tuple[int, int] | None:
-    """First and last arrival number of a dropout: everything arriving in between is held."""
-    inside = events.filter(
-        (F.col("event_time") >= at(events, "event_time", start))
-        & (F.col("event_time") < at(events, "event_time", end))
-    )
-    first, last = inside.agg(F.min(arrival), F.max(arrival)).first()
-    return None if first is None else (first, last)
+@dataclass(frozen=True)
+class Dropout:
+    """Arrival numbers that fix what a dropout does to a readings table."""
 
+    first_held: int
+    last_held: int
+    last_kept: int
+    first_rest: int | None
+    cut: int
+    oldest_copy: int | None
 
-def dropout_replay(
+    @property
+    def copies_up(self) -> int:
+        return 0 if self.oldest_copy is None else self.cut - self.oldest_copy + 1
+
+    @property
+    def held_up(self) -> int:
+        return self.cut + self.copies_up - self.first_held + 1
+
+    @property
+    def rest_up(self) -> int:
+        return self.last_held + self.held_up - max(self.cut, self.last_held)
+
+
+def plan_dropout(
     events: DataFrame,
     start: str | dt.datetime,
     end: str | dt.datetime,
@@ -54,59 +67,92 @@ def dropout_replay(
     replay_at: str | dt.datetime | None = None,
     arrival: str = "arrival",
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Readings as they arrive when the uplink drops out during [start, end).
-
-    Readings in the dropout are held back; the first ``capacity`` of them are kept
-    and the rest lost. Live traffic resumes at ``end``. At ``replay_at`` (by default
-    ``end``) the last ``overlap`` readings delivered until then come once more, then
-    the held ones in order. ``arrival``, a unique integer, is renumbered to that order
-    and ``replayed`` marks the rows sent by the replay.
+) -> Dropout | None:
+    """Look up the order statistics of a dropout during [start, end); None if it holds nothing.
 
-    A few order statistics are looked up first; the rest is one scan, with no sort and
-    no shuffle of the readings.
+    Everything that arrives between the first and last reading of that time is held.
+    Each lookup is one aggregation over the arrival number and event time alone.
     """
-    span = _dropout_span(events, start, end, arrival)
-    if span is None:
-        return events.withColumn("replayed", F.lit(False))
-    first_held, last_held = span
     order = F.col(arrival)
-    held = order.between(first_held, last_held)
-    resumes = at(events, "event_time", end if replay_at is None else replay_at)
-    first_rest = (
-        events.filter((order > last_held) & (F.col("event_time") >= resumes)).agg(F.min(arrival)).first()[0]
+    rows = events.select(arrival, "event_time")
+    inside = (F.col("event_time") >= at(events, "event_time", start)) & (
+        F.col("event_time") < at(events, "event_time", end)
     )
-    rest = F.lit(False) if first_rest is None else order >= first_rest
-    direct = ~held & ~rest
-    # Highest number delivered before the replay; the replay is numbered from there.
-    newest = events.filter(direct).agg(F.max(arrival)).first()[0]
-    cut = first_held - 1 if newest is None else newest
-    oldest_copy, copies_up = None, 0
+    first_held, last_held = rows.filter(inside).agg(F.min(arrival), F.max(arrival)).first()
+    if first_held is None:
+        return None
+    resumes = at(events, "event_time", end if replay_at is None else replay_at)
+    held = order.between(first_held, last_held)
+    held_count, first_rest = rows.filter(order >= first_held).agg(
+        F.count_if(held), F.min(F.when((order > last_held) & (F.col("event_time") >= resumes), order))
+    ).first()
+    direct = ~held if first_rest is None else ~held & (order < first_rest)
+    newest, oldest = rows.filter(direct).agg(F.max(arrival), F.min(arrival)).first()
+    oldest_copy = None
     if overlap > 0 and newest is not None:
-        again = last_delivered(events.filter(direct), cut + 1, overlap, arrival, block_rows)
-        oldest_copy = again.agg(F.min(arrival)).first()[0]
-        copies_up = cut - oldest_copy + 1
-    held_up = cut + copies_up - first_held + 1
-    rest_up = last_held + held_up - max(cut, last_held)
-    last_kept = kth_value(events.filter(held), arrival, capacity, block_rows=block_rows)
+        oldest_copy = kth_value(rows.filter(direct), arrival, overlap, True, block_rows)
+        oldest_copy = oldest if oldest_copy is None else oldest_copy
+    last_kept = last_held
     if capacity <= 0:
         last_kept = first_held - 1
-    lost = F.lit(False) if last_kept is None else held & (order > last_kept)
-    copied = F.lit(False) if oldest_copy is None else direct & (order >= oldest_copy)
+    elif capacity < held_count:
+        last_kept = kth_value(rows.filter(held), arrival, capacity, block_rows=block_rows)
+    return Dropout(
+        first_held, last_held, last_kept, first_rest, first_held - 1 if newest is None else newest, oldest_copy
+    )
+
+
+def apply_dropout(events: DataFrame, plan: Dropout | None, arrival: str = "arrival") -> DataFrame:
+    """The deliveries of a planned dropout: one scan, no sort, no shuffle.
+
+    ``arrival`` is renumbered to the order of delivery and ``replayed`` marks the rows
+    that the replay sent. ``events`` may carry more columns than the plan was made from.
+    """
+    if plan is None:
+        return events.withColumn("replayed", F.lit(False))
+    order = F.col(arrival)
+    held = order.between(plan.first_held, plan.last_held)
+    rest = F.lit(False) if plan.first_rest is None else order >= plan.first_rest
+    copied = F.lit(False) if plan.oldest_copy is None else ~held & ~rest & (order >= plan.oldest_copy)
 
     def sent(up: int, replayed: bool) -> Column:
         number = (order + F.lit(up)).cast("bigint")
         return F.struct(number.alias(arrival), F.lit(replayed).alias("replayed"))
 
-    # Each reading expands into its deliveries in place: one scan, no union.
+    # Each reading expands into its deliveries in place.
     deliveries = (
-        F.when(copied, F.array(sent(0, False), sent(copies_up, True)))
-        .when(direct, F.array(sent(0, False)))
-        .when(held, F.array(sent(held_up, True)))
-        .otherwise(F.array(sent(rest_up, False)))
+        F.when(copied, F.array(sent(0, False), sent(plan.copies_up, True)))
+        .when(held, F.array(sent(plan.held_up, True)))
+        .when(rest, F.array(sent(plan.rest_up, False)))
+        .otherwise(F.array(sent(0, False)))
     )
     others = [name for name in events.columns if name != arrival]
-    return events.filter(~lost).select(*others, F.inline(deliveries)).select(*events.columns, "replayed")
+    return (
+        events.filter(~(held & (order > plan.last_kept)))
+        .select(*others, F.inline(deliveries))
+        .select(*events.columns, "replayed")
+    )
+
+
+def dropout_replay(
+    events: DataFrame,
+    start: str | dt.datetime,
+    end: str | dt.datetime,
+    overlap: int = OVERLAP_SIZE,
+    capacity: int = BUFFER_CAPACITY,
+    replay_at: str | dt.datetime | None = None,
+    arrival: str = "arrival",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Readings as they arrive when the uplink drops out during [start, end).
+
+    Readings in the dropout are held back; the first ``capacity`` of them are kept
+    and the rest lost. Live traffic resumes at ``end``. At ``replay_at`` (by default
+    ``end``) the last ``overlap`` readings delivered until then come once more, then
+    the held ones in order. ``arrival`` is a unique integer.
+    """
+    plan = plan_dropout(events, start, end, overlap, capacity, replay_at, arrival, block_rows)
+    return apply_dropout(events, plan, arrival)
 
 
 def dropped_by_buffer(
@@ -118,14 +164,11 @@ def dropped_by_buffer(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The readings of a dropout that a full buffer loses."""
-    span = _dropout_span(events, start, end, arrival)
-    if span is None:
+    plan = plan_dropout(events, start, end, 0, capacity, None, arrival, block_rows)
+    if plan is None:
         return events.limit(0)
-    held = events.filter(F.col(arrival).between(*span))
-    if capacity <= 0:
-        return held
-    last_kept = kth_value(held, arrival, capacity, block_rows=block_rows)
-    return held.limit(0) if last_kept is None else held.filter(F.col(arrival) > last_kept)
+    order = F.col(arrival)
+    return events.filter((order > plan.last_kept) & (order <= plan.last_held))
 
 
 def inject_anomaly(events: DataFrame, catalogue: DataFrame, car_id: str, sensor_id: str) -> DataFrame:

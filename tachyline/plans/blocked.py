@@ -22,8 +22,8 @@ _BLOCK = "_block"
 
 
 def by_position(order: str, rows: int = BLOCK_ROWS) -> Column:
-    """Block number from a unique integer position: at most ``rows`` rows per block."""
-    return F.floor(F.col(order) / F.lit(rows))
+    """Block (its first number) of a unique integer: at most ``rows`` rows per block."""
+    return F.col(order) - F.pmod(F.col(order), F.lit(rows))
 
 
 def by_time(order: str, width: str = "1 hour") -> Column:

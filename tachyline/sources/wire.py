@@ -23,6 +23,12 @@ JSON_ALERT = (
 )
 
 
+def _column_codec(function, returns: str):
+    """An Arrow column function, marked non-deterministic so that a filter on its result
+    is not pushed below it, which would run it twice."""
+    return F.arrow_udf(function, returns).asNondeterministic()
+
+
 def nanos_of_milli(events: DataFrame) -> Column:
     """Nanoseconds within the millisecond: kept from the wire, or from microseconds."""
     if "ts_ns_remainder" in events.columns:
@@ -31,7 +37,7 @@ def nanos_of_milli(events: DataFrame) -> Column:
 
 
 def millis_of(column: str = "event_time") -> Column:
-    return F.floor(micros(column) / F.lit(1000)).cast("bigint")
+    return F.unix_millis(F.col(column).cast("timestamp"))
 
 
 def time_from_wire(millis: Column, nanos: Column) -> Column:
@@ -41,7 +47,7 @@ def time_from_wire(millis: Column, nanos: Column) -> Column:
 
 def encode_protobuf(events: DataFrame) -> DataFrame:
     """Readings to (key, value): keyed by car, binary payload."""
-    payload = F.arrow_udf(codec.encode, "binary")(
+    payload = _column_codec(codec.encode, "binary")(
         "car_id", "sensor_id", millis_of(), nanos_of_milli(events), "value", "sequence_no"
     )
     return events.withColumn("_payload", payload)
@@ -89,7 +95,7 @@ def _check(wire_format: str) -> None:
 
 
 def decode_protobuf(raw: DataFrame) -> DataFrame:
-    parsed = raw.withColumn("_m", F.arrow_udf(codec.decode, codec.DECODED)("value"))
+    parsed = raw.withColumn("_m", _column_codec(codec.decode, codec.DECODED)("value"))
     moment = time_from_wire(F.col("_m.ms"), F.col("_m.ns"))
     return _event_columns(
         parsed,
@@ -100,9 +106,18 @@ def decode_protobuf(raw: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(payload: str, ddl: str, options: dict[str, str]) -> Column:
+    """The JSON record as one struct column.
+
+    Made by a generator rather than a projection: filters on its fields then stay above
+    the parser instead of being pushed below it, where they would parse once more.
+    """
+    return F.explode(F.array(F.from_json(F.col(payload).cast("string"), ddl, options))).alias("_m")
+
+
 def decode_json(raw: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = raw.withColumn("_m", F.from_json(F.col("value").cast("string"), JSON_EVENT, options))
+    parsed = raw.select("*", _parsed("value", JSON_EVENT, options))
     digits = F.rpad(F.regexp_extract("_m.timestamp", r"\.(\d{1,9})", 1), 9, "0")
     return _event_columns(
         parsed,
@@ -230,7 +245,7 @@ def _to_topic(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def _from_topic(raw: DataFrame, ddl: str, names: list[str]) -> DataFrame:
     options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
-    parsed = raw.select(F.from_json(F.col("value").cast("string"), ddl, options).alias("_m"), "timestamp")
+    parsed = raw.select("timestamp", _parsed("value", ddl, options))
     fields = [part.strip().split(" ")[0] for part in ddl.split(",")]
     return parsed.select(
         *[F.col(f"_m.{field}").alias(name) for field, name in zip(fields, names)],

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tachyline.functions.time import floor_to, time_bucket
 from tachyline.operators import alerts, audits, board, dedupe, faults, ranges, rollups
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.blocked import by_position, by_time, position, running_sum
 from tachyline.plans.files import Files, scratch_path
-from tachyline.plans.store import READING_COLUMNS
+from tachyline.plans.store import READING_COLUMNS, Store
 from tachyline.schemas import SERIES, alert_rules
 from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
@@ -52,10 +54,15 @@ def raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alerts_for(live_rows(spark, sf_dir), alert_rules(spark, RULES))
 
 
-def newest(rows: DataFrame, column: str = "window_end"):
+def newest(rows: DataFrame, column: str = "event_time"):
     return rows.agg(F.max(column)).first()[0]
 
 
+def last_second(spark: SparkSession, sf_dir: str):
+    """End of the second that holds the newest dense reading."""
+    return floor_to(newest(channel_readings(spark, sf_dir)), "1 second") + dt.timedelta(seconds=1)
+
+
 # --- rollups -----------------------------------------------------------------
 
 
@@ -116,7 +123,7 @@ def latest_breach(spark, sf_dir):
 
 @query
 def active_breach(spark, sf_dir):
-    now = newest(second_rows(spark, sf_dir))
+    now = last_second(spark, sf_dir)
     return rounded(alerts.active_breach(raised(spark, sf_dir), now), "observed_maximum", "excess")
 
 
@@ -145,14 +152,13 @@ def latest_reading(spark, sf_dir):
 
 @query
 def live_signal(spark, sf_dir):
-    rows = second_rows(spark, sf_dir)
-    return board.live_signal(rows, newest(rows))
+    return board.live_signal(second_rows(spark, sf_dir), last_second(spark, sf_dir))
 
 
 @query
 def live_board(spark, sf_dir):
     rows = live_rows(spark, sf_dir)
-    now = newest(second_rows(spark, sf_dir))
+    now = last_second(spark, sf_dir)
     cards = board.live_board(rows, alerts.alerts_for(rows, alert_rules(spark, RULES)), now)
     return rounded(
         cards, "speed", "engine_rpm", "throttle", "brake", "average_speed", "top_speed",
@@ -174,8 +180,8 @@ def channel_context(spark, sf_dir):
 
 @query
 def lane_scale(spark, sf_dir):
-    rows = board.lane_scale(rollups.rollup_1m(event_readings(spark, sf_dir)))
-    return rounded(rows, "average", "low", "high", "lane")
+    minutes = history(spark, sf_dir).rollups().select(*ranges.ROLLUP_COLUMNS)
+    return rounded(board.lane_scale(minutes), "average", "low", "high", "lane")
 
 
 # --- range queries over the stored aggregates -------------------------------------
@@ -318,7 +324,8 @@ def sequence_gaps(spark, sf_dir):
     runs = channel_readings(spark, sf_dir).withColumn("run", after)
     numbered = position(runs, [*SERIES, "run"], "arrival", "number", by_position("arrival"))
     sent = numbered.withColumn("sequence_no", F.col("number").cast("bigint")).drop("number", "run")
-    received = dedupe.first_arrival(faults.dropout_replay(sent, **DROPOUT))
+    plan = faults.plan_dropout(channel_readings(spark, sf_dir), **DROPOUT)
+    received = dedupe.first_arrival(faults.apply_dropout(sent, plan))
     return audits.sequence_gaps(received)
 
 
@@ -348,8 +355,6 @@ def nan_audit(spark, sf_dir):
 
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tachyline.functions.time import time_bucket
-
     per_second = (
         channel_readings(spark, sf_dir)
         .groupBy("car_id", time_bucket("1 second", "event_time").alias("at"))
@@ -547,7 +552,7 @@ def refreshed_rollup_1m(spark, sf_dir):
     """Two refreshes: the first sees one batch, the second only what changed since."""
     store = one_batch(channel_readings(spark, sf_dir), "refresh")
     lifecycle.refresh_rollup_1m(store, "2024-01-01 00:02:30")
-    until = newest(store.read("raw"), "event_time")
+    until = newest(store.read("raw"))
     lifecycle.refresh_rollup_1m(store, until, since_batch=-1)
     return rounded(
         store.rollups().select(*ranges.ROLLUP_COLUMNS), "average", "minimum", "maximum"
@@ -558,7 +563,7 @@ def refreshed_rollup_1m(spark, sf_dir):
 def refreshed_rollup_1h(spark, sf_dir):
     source = history(spark, sf_dir)
     store = new_store(spark, "hourly", chunk_hours=24)
-    until = newest(source.read("raw"), "event_time")
+    until = newest(source.read("raw"))
     store.write(source.rollups(), "rollup_1m")
     lifecycle.refresh_rollup_1h(store, until)
     return rounded(store.rollups("ONE_HOUR").select(*ranges.ROLLUP_COLUMNS), "average")
@@ -589,7 +594,7 @@ def _batch_dirs(store) -> int:
 def retained_readings(spark, sf_dir):
     """Raw readings a week of retention leaves, archived first."""
     store = one_batch(event_readings(spark, sf_dir), "retention", chunk_hours=24)
-    until = newest(store.read("raw"), "event_time")
+    until = newest(store.read("raw"))
     lifecycle.archive_cold(store, until)
     kept = store.read("raw").withColumn("tier", F.lit("raw"))
     return kept.unionByName(store.read("archive").withColumn("tier", F.lit("archive"))).groupBy(
@@ -641,8 +646,6 @@ def stream_session_stats(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    from tachyline.plans.store import Store
-
     stored = Store(spark, f"{live_run(spark, sf_dir).root}/store").read("raw")
     return _readings_of(zoneless(stored)).drop("arrival")
 
