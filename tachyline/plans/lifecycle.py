@@ -12,6 +12,7 @@ from tachyline.operators.rollups import rollup_1h, rollup_1m
 from tachyline.plans.files import Files, chunk_dir
 from tachyline.plans.sizing import broadcast_if_small
 from tachyline.plans.store import Store, salt
+from tachyline.schemas import small_table
 
 HOUR = dt.timedelta(hours=1)
 REFRESH_SPAN = dt.timedelta(days=7)
@@ -158,7 +159,8 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
         return []
     closed = list(merged)
     # One row per chunk being merged, made from directory names.
-    names = store.spark.createDataFrame(
+    names = small_table(
+        store.spark,
         [(start.date(), start.hour, batch) for start, batch in merged.items()],
         "event_date date, event_hour int, batch_id bigint",
     )

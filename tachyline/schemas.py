@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 KEY = ["car_id", "sensor_id", "event_time"]
 SERIES = ["car_id", "sensor_id"]
@@ -97,20 +98,16 @@ SEED_CHANNELS = [
 
 
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A few literal rows as a relation whose size Catalyst knows exactly.
+    """A few rows held by the driver, as a local relation of known size.
 
-    ``createDataFrame`` on a Python list reports an unknown (huge) size, so the
-    optimizer would not broadcast it unhinted; inlined literals do not have that
-    problem and need no Python at run time.
+    A Python list would become an RDD of unknown size and would need Python workers to
+    be read; Arrow data this small becomes a local relation that Catalyst can measure.
     """
-    columns = [field.strip().split(" ") for field in ddl.split(",")]
-    if not rows:
-        return spark.createDataFrame([], ddl)
-    structs = [
-        F.struct(*[F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, columns)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32()}
+    fields = [field.strip().split(" ") for field in ddl.split(",")]
+    schema = pa.schema([(name, types[kind]) for name, kind in fields])
+    columns = [pa.array([row[at] for row in rows], field.type) for at, field in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
 
 
 def alert_rules(spark: SparkSession, rules: list[tuple[str, float]] | None = None) -> DataFrame:

@@ -17,6 +17,16 @@ def car_label(number: Column) -> Column:
     return F.concat(F.lit("CAR-"), F.lpad(number.cast("string"), 2, "0"))
 
 
+def _ranges(names: list[str]) -> Column:
+    """An array literal of (sensor_id, low, high) for the named channels."""
+    known = {name: (low, high) for name, _, low, high, _, _ in BASE_CHANNELS}
+    entries = [
+        f"named_struct('sensor_id', '{name}', 'low', {known[name][0]}D, 'high', {known[name][1]}D)"
+        for name in names
+    ]
+    return F.expr(f"array({', '.join(entries)})")
+
+
 def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as readings: five cars, the event type as the sensor."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -38,17 +48,12 @@ def channel_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     that the shipped alert rules have something to find.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    channels = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-            for name, _, low, high, _, _ in BASE_CHANNELS
-        ]
-    )
+    channels = _ranges([name for name, *_ in BASE_CHANNELS])
     channel = F.element_at(channels, (F.col("event_id") % len(BASE_CHANNELS) + 1).cast("int"))
     fraction = F.least(F.lit(1.2), F.col("value") / F.lit(207.0))
     return events.select(
         car_label(F.col("user_id") % 5 + 1).alias("car_id"),
-        channel["name"].alias("sensor_id"),
+        channel["sensor_id"].alias("sensor_id"),
         tick_time(F.col("event_id")).alias("event_time"),
         (channel["low"] + (channel["high"] - channel["low"]) * fraction).alias("value"),
         F.col("event_id").alias("sequence_no"),
@@ -68,19 +73,8 @@ def dense_values(ticks: DataFrame, start: str | dt.datetime = SEED_EPOCH) -> Dat
     ``ticks`` holds ``car bigint, tick bigint``. Each row is expanded in place, so
     there is no join and no shuffle.
     """
-    ranges = {name: (low, high) for name, _, low, high, _, _ in BASE_CHANNELS}
-    sensors = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("sensor_id"),
-                F.lit(ranges[name][0]).alias("low"),
-                F.lit(ranges[name][1]).alias("high"),
-            )
-            for name in SEED_CHANNELS
-        ]
-    )
     wave = F.lit(0.5) + F.lit(0.45) * F.sin(F.col("tick") / F.lit(3000.0) + F.col("car"))
-    return ticks.select("car", "tick", wave.alias("wave"), F.inline(sensors)).select(
+    return ticks.select("car", "tick", wave.alias("wave"), F.inline(_ranges(SEED_CHANNELS))).select(
         car_label(F.col("car")).alias("car_id"),
         "sensor_id",
         tick_time(F.col("tick"), start).alias("event_time"),

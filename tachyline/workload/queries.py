@@ -18,7 +18,7 @@ from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
 from tachyline.streaming import live
 from tachyline.workload.stores import (
-    DROPOUT, RULES, LiveRun, history, ingested, live_run, new_store, one_batch, replayed,
+    DROPOUT, RULES, LiveRun, dropout_plan, history, ingested, live_run, new_store, one_batch, replayed,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,8 +324,7 @@ def sequence_gaps(spark, sf_dir):
     runs = channel_readings(spark, sf_dir).withColumn("run", after)
     numbered = position(runs, [*SERIES, "run"], "arrival", "number", by_position("arrival"))
     sent = numbered.withColumn("sequence_no", F.col("number").cast("bigint")).drop("number", "run")
-    plan = faults.plan_dropout(channel_readings(spark, sf_dir), **DROPOUT)
-    received = dedupe.first_arrival(faults.apply_dropout(sent, plan))
+    received = dedupe.first_arrival(faults.apply_dropout(sent, dropout_plan(spark, sf_dir)))
     return audits.sequence_gaps(received)
 
 
@@ -453,7 +452,7 @@ def wire_size_audit(spark, sf_dir):
 @query
 def dead_letter_counts(spark, sf_dir):
     """Payloads of one sensor lose their last byte on the way."""
-    records = _records(event_readings(spark, sf_dir).filter(F.col("sensor_id").isin("error", "click")), "protobuf")
+    records = _records(event_readings(spark, sf_dir), "protobuf")
     binary = F.col("value")
     cut = F.when(
         F.instr(F.hex("value"), F.hex(F.lit("error"))) > 0, F.substring(binary, 1, F.octet_length(binary) - 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachyline.operators.faults import dropout_replay
+from tachyline.operators.faults import Dropout, apply_dropout, plan_dropout
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.files import Files, scratch_path
 from tachyline.plans.store import READING_COLUMNS, Store
@@ -16,6 +16,7 @@ from tachyline.sources.readings import channel_readings, event_readings
 from tachyline.streaming import ingest as stream_ingest, live
 
 SLICES = 3
+SLICE_ROWS = 1_000_000_000
 DROPOUT = {
     "start": "2024-01-01 00:00:10",
     "end": "2024-01-01 00:00:20",
@@ -39,14 +40,24 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], objec
     return _built[key]
 
 
+def dropout_plan(spark: SparkSession, sf_dir: str) -> Dropout | None:
+    return _once(
+        spark, sf_dir, "dropout", lambda: plan_dropout(channel_readings(spark, sf_dir), **DROPOUT)
+    )
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense readings as a dropout and its replay deliver them."""
-    return dropout_replay(channel_readings(spark, sf_dir), **DROPOUT)
+    return apply_dropout(channel_readings(spark, sf_dir), dropout_plan(spark, sf_dir))
+
 
+def slices(events: DataFrame) -> list[DataFrame]:
+    """The readings cut along arrival into parts; together they are all of them.
 
-def slices(events: DataFrame, count: int = SLICES) -> list[DataFrame]:
-    """The readings cut into ``count`` parts along arrival; together they are all of them."""
+    At least three, and more when a part would exceed ``SLICE_ROWS`` arrival numbers.
+    """
     low, high = events.agg(F.min("arrival"), F.max("arrival")).first()
+    count = max(SLICES, -(-(high - low + 1) // SLICE_ROWS))
     edges = [low + (high - low + 1) * part // count for part in range(count + 1)]
     return [
         events.filter((F.col("arrival") >= start) & (F.col("arrival") < end))
