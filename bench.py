@@ -66,17 +66,19 @@ def series(spark, times: dict[str, float], setup: dict[str, float], facts: dict[
 
     raw, minutes, hours = store.read("raw"), store.rollups(), store.rollups("ONE_HOUR")
     start = dt.datetime(2024, 1, 1, 0, 10)
-    slice_raw = store.read_chunks("raw", [start.replace(minute=0)]).filter(
+    ten_minutes = store.read_chunks("raw", [start.replace(minute=0)]).filter(
         (F.col("car_id") == "CAR-03")
         & (F.col("sensor_id") == "speed")
         & (F.col("event_time") >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
         & (F.col("event_time") < F.lit(start.replace(minute=20).isoformat(sep=" ")).cast("timestamp_ntz"))
     )
+    slice_1m = rollups.rollup_1m(ten_minutes)
     jobs = {
+        "floor_empty_job": lambda: spark.range(1).collect(),
         "series_raw_rollup_1m": lambda: drain(rollups.rollup_1m(raw)),
-        "series_read_rollup_1m": lambda: minutes.collect(),
-        "series_read_rollup_1h": lambda: hours.collect(),
-        "series_slice_10min_raw": lambda: slice_raw.collect(),
+        "series_read_rollup_1m": lambda: minutes.toArrow(),
+        "series_read_rollup_1h": lambda: hours.toArrow(),
+        "series_slice_10min_raw": lambda: slice_1m.collect(),
         "series_find_rollups": lambda: ranges.find_rollups(
             minutes, "CAR-03", "speed", start, start.replace(minute=20)
         ).collect(),

@@ -11,7 +11,7 @@ from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
 from tachyline.operators.rollups import rollup_1h, rollup_1m
 from tachyline.plans.files import Files, chunk_dir
 from tachyline.plans.sizing import broadcast_if_small
-from tachyline.plans.store import Store, salt
+from tachyline.plans.store import FILE_OPTIONS, Store, salt
 from tachyline.schemas import small_table
 
 HOUR = dt.timedelta(hours=1)
@@ -172,7 +172,7 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
         .join(broadcast_if_small(names), ["event_date", "event_hour"])
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.option("compression", "zstd")
+        .write.options(**FILE_OPTIONS)
         .partitionBy("event_date", "event_hour", "batch_id")
         .parquet(staged)
     )
