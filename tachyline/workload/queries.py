@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachyline.functions.time import floor_to, time_bucket
+from tachyline.functions.time import time_bucket
 from tachyline.operators import alerts, audits, board, dedupe, faults, ranges, rollups
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.blocked import by_position, by_time, position, running_sum
@@ -18,7 +17,8 @@ from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
 from tachyline.streaming import live
 from tachyline.workload.stores import (
-    DROPOUT, RULES, LiveRun, dropout_plan, history, ingested, live_run, new_store, one_batch, replayed,
+    DROPOUT, RULES, LiveRun, dropout_plan, history, ingested, live_run, new_store, one_batch, published,
+    replayed,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,16 +42,12 @@ def zoneless(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in zoned})
 
 
-def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup_lengths(channel_readings(spark, sf_dir))
-
-
 def second_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup(channel_readings(spark, sf_dir), "1 second")
+    return rollups.of_length(published(spark, sf_dir))
 
 
 def raised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.alerts_for(live_rows(spark, sf_dir), alert_rules(spark, RULES))
+    return alerts.alerts_for(published(spark, sf_dir), alert_rules(spark, RULES))
 
 
 def newest(rows: DataFrame, column: str = "event_time"):
@@ -59,8 +55,8 @@ def newest(rows: DataFrame, column: str = "event_time"):
 
 
 def last_second(spark: SparkSession, sf_dir: str):
-    """End of the second that holds the newest dense reading."""
-    return floor_to(newest(channel_readings(spark, sf_dir)), "1 second") + dt.timedelta(seconds=1)
+    """End of the newest one-second window."""
+    return newest(second_rows(spark, sf_dir), "window_end")
 
 
 # --- rollups -----------------------------------------------------------------
@@ -78,12 +74,13 @@ def rollup_1h(spark, sf_dir):
 
 @query
 def live_rollups(spark, sf_dir):
-    return rounded(live_rows(spark, sf_dir), "average", "minimum", "maximum")
+    rows = rollups.rollup_lengths(channel_readings(spark, sf_dir))
+    return rounded(rows, "average", "minimum", "maximum")
 
 
 @query
 def rollups_emitted(spark, sf_dir):
-    return rollups.rollups_emitted(live_rows(spark, sf_dir))
+    return rollups.rollups_emitted(published(spark, sf_dir))
 
 
 @query
@@ -157,7 +154,7 @@ def live_signal(spark, sf_dir):
 
 @query
 def live_board(spark, sf_dir):
-    rows = live_rows(spark, sf_dir)
+    rows = published(spark, sf_dir)
     now = last_second(spark, sf_dir)
     cards = board.live_board(rows, alerts.alerts_for(rows, alert_rules(spark, RULES)), now)
     return rounded(
@@ -168,7 +165,7 @@ def live_board(spark, sf_dir):
 
 @query
 def other_cars(spark, sf_dir):
-    return rounded(board.other_cars(live_rows(spark, sf_dir), ["CAR-01", "CAR-02"]), "speed")
+    return rounded(board.other_cars(published(spark, sf_dir), ["CAR-01", "CAR-02"]), "speed")
 
 
 @query

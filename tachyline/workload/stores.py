@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachyline.operators.faults import Dropout, apply_dropout, plan_dropout
+from tachyline.operators.rollups import rollup_lengths
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.files import Files, scratch_path
 from tachyline.plans.store import READING_COLUMNS, Store
-from tachyline.schemas import alert_rules
+from tachyline.schemas import LIVE_ROLLUP, alert_rules
 from tachyline.sources import topics, wire
 from tachyline.sources.readings import channel_readings, event_readings
 from tachyline.streaming import ingest as stream_ingest, live
@@ -69,6 +70,22 @@ def new_store(spark: SparkSession, label: str, chunk_hours: int = 1) -> Store:
     return Store(spark, scratch_path(spark, label), zoned=False, chunk_hours=chunk_hours).create()
 
 
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rollups of the dense readings, both lengths, written once.
+
+    Alerts and the live board read this, never the readings.
+    """
+
+    def build() -> str:
+        path = scratch_path(spark, "published")
+        rows = rollup_lengths(channel_readings(spark, sf_dir))
+        rows.hint("rebalance", "window_length").write.partitionBy("window_length").parquet(path)
+        return path
+
+    schema = LIVE_ROLLUP.replace("timestamp", "timestamp_ntz")
+    return spark.read.schema(schema).parquet(_once(spark, sf_dir, "published", build))
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> Store:
     """The replayed readings after idempotent ingest in batches, the last one retried."""
 
