@@ -67,8 +67,12 @@ def rollup_lengths(events: DataFrame, windows: Sequence[str] = ("1 second", "1 m
     multiple is aggregated from the readings.
     """
     shortest = min(windows, key=seconds_of)
+    # The coarser bucket below implies that _start is not null. Saying so here as well
+    # keeps the plans of both branches equal down to the scan, or Spark would not see
+    # that they share an exchange.
     base = (
         events.withColumn("_start", time_bucket(shortest, "event_time"))
+        .filter(F.col("_start").isNotNull())
         .groupBy(*SERIES, "_start")
         .agg(
             F.count(F.lit(1)).alias("count"),
