@@ -393,6 +393,13 @@ def skew_report(spark, sf_dir):
     return rounded(audits.skew_report(event_readings(spark, sf_dir), SERIES), "share", "to_mean")
 
 
+@query
+def partition_skew(spark, sf_dir):
+    """How evenly the cars spread over the topic's partitions."""
+    keyed = event_readings(spark, sf_dir).withColumn("partition", topics.partition_of("car_id"))
+    return rounded(audits.skew_report(keyed, ["partition"]), "share", "to_mean")
+
+
 @query
 def target_rate(spark, sf_dir):
     events = channel_readings(spark, sf_dir)
