@@ -119,10 +119,16 @@ def _parsed(payload: str, ddl: str, options: dict[str, str]) -> Column:
 def decode_json(raw: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = raw.select("*", _parsed("value", JSON_EVENT, options))
+    moment = F.try_to_timestamp("_m.timestamp")
+    # The tables hold no nulls; only a missing time has a fallback.
+    incomplete = F.coalesce(
+        *[F.when(F.col(f"_m.{name}").isNull(), F.lit(True)) for name in ("carId", "sensorId", "value", "sequenceNo")],
+        F.lit(False),
+    )
     digits = F.rpad(F.regexp_extract("_m.timestamp", r"\.(\d{1,9})", 1), 9, "0")
     return _event_columns(
         parsed,
-        F.try_to_timestamp("_m.timestamp"),
+        moment,
         F.when(F.col("_m.timestamp").isNotNull(), (digits.cast("bigint") % 1_000_000).cast("int")),
         {
             "car_id": F.col("_m.carId"),
@@ -130,10 +136,10 @@ def decode_json(raw: DataFrame) -> DataFrame:
             "value": F.col("_m.value"),
             "sequence_no": F.col("_m.sequenceNo"),
         },
-        F.when(
-            F.col("value").isNotNull() & (F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()),
-            F.lit("invalid record"),
-        ),
+        F.when(F.col("value").isNull(), F.lit(None))
+        .when(F.col("_m").isNull() | F.col("_m._corrupt").isNotNull(), F.lit("invalid record"))
+        .when(incomplete, F.lit("missing field"))
+        .when(F.col("_m.timestamp").isNotNull() & moment.isNull(), F.lit("invalid time")),
     )
 
 

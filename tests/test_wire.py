@@ -90,6 +90,17 @@ def test_bad_payloads_become_dead_letters(spark):
     assert wire.dead_letters(wire.decode(bad_json, "json")).count() == len(payloads)
 
 
+def test_json_without_a_required_field_is_a_dead_letter(spark):
+    whole = '{"carId":"CAR-01","sensorId":"speed","timestamp":"2026-08-23T12:00:00Z","value":1.0,"sequenceNo":4}'
+    texts = [whole, whole.replace('"CAR-01"', "null"), whole.replace('"value":1.0,', ""), whole.replace("12:00:00Z", "noon")]
+    raw = spark.createDataFrame([("k", text.encode(), 0, n, W) for n, text in enumerate(texts)], "key string, value binary, partition int, offset bigint, timestamp timestamp")
+    decoded = wire.decode(raw, "json")
+    assert values(wire.dead_letters(decoded), "offset", "error") == [
+        (1, "missing field"), (2, "missing field"), (3, "invalid time"),
+    ]
+    assert values(wire.good_readings(decoded), "topic_offset", "car_id") == [(0, "CAR-01")]
+
+
 def test_a_record_without_time_takes_its_append_time(spark):
     raw = spark.createDataFrame([("k", b'{"carId":"CAR-01","sensorId":"speed","value":1.0,"sequenceNo":4}', 0, 0, W)], "key string, value binary, partition int, offset bigint, timestamp timestamp")
     assert wire.good_readings(wire.decode(raw, "json")).first()["event_time"] == W
