@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with a bounded memory of word pieces.
+"""Token ids by the tokenizers library, with a bounded memory of word pieces for each Python worker.
 
 A byte-level tokenizer of this family never joins two words across a single space, and the
 space goes with the word behind it. A text cut before its single spaces therefore encodes
@@ -11,7 +11,16 @@ from __future__ import annotations
 import os
 from array import array
 
-MOST_PIECES = 400_000
+MOST_PIECES = 800_000
+
+
+class Pieces:
+    """Pieces and their ids, in two generations: a full young one pushes the old one out."""
+
+    def __init__(self, before: str, most: int):
+        self.before, self.most = before, most
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
 
 class Encoder:
@@ -23,20 +32,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
-        self.most_pieces = most_pieces
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first = Pieces("", most_pieces // 8)
+        self.later = Pieces(" ", most_pieces * 3 // 8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [text.split(" ") for text in texts]
-        if len(self.first) + len(self.later) > self.most_pieces:
-            self.first, self.later = {}, {}
-        self._learn(self.first, {row[0] for row in rows}, "")
+        first = self._learned(self.first, {row[0] for row in rows})
         pieces: set[str] = set()
         for row in rows:
             pieces.update(row[1:])
-        self._learn(self.later, pieces, " ")
-        first, later = self.first, self.later.__getitem__
+        later = self._learned(self.later, pieces).__getitem__
         out = []
         for text, row in zip(texts, rows):
             try:
@@ -45,17 +50,39 @@ class Encoder:
                 out.append(self._ids([text])[0] + self.end)
         return out
 
-    def _learn(self, known: dict[str, bytes | None], pieces: set[str], before: str) -> None:
-        new = [piece for piece in pieces if piece not in known]
-        for piece, ids in zip(new, self._ids([before + piece for piece in new])):
+    def _learned(self, known: Pieces, pieces: set[str]) -> dict[str, bytes | None]:
+        """The young generation, with all these pieces."""
+        if len(known.young) > known.most:
+            known.old, known.young = known.young, {}
+        young, old = known.young, known.old
+        missing = [piece for piece in pieces if piece not in young]
+        new = []
+        for piece in missing:
+            if piece in old:
+                young[piece] = old[piece]
+            else:
+                new.append(piece)
+        for piece, ids in zip(new, self._ids([known.before + piece for piece in new])):
             apart = piece and not piece[0].isspace() and not piece[-1].isspace()
-            known[piece] = ids if apart or (piece == "" and before == "") else None
+            young[piece] = ids if apart or (piece == "" and known.before == "") else None
+        return young
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array("I", each.ids).tobytes() for each in found]
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def shared_encoder(path: str | None, end_id: int) -> Encoder:
+    """One encoder a Python worker: tasks that follow each other know the same pieces."""
+    key = (path or default_tokenizer(), end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

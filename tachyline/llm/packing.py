@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tachyline.llm.common import stored
-from tachyline.llm.encoding import Encoder, default_tokenizer
+from tachyline.llm.encoding import shared_encoder
 
 CAPACITY = 1024
 PIECES_A_BLOCK = 20_000
@@ -142,7 +142,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str | None, end_id: int
     """Every document's pieces of at most ``capacity`` ids, the shorter one first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or default_tokenizer(), end_id)
+        encoder = shared_encoder(tokenizer, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 some, rows = batch.slice(at, DOCS_AT_ONCE), []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tachyline.llm.common import Store, stored
-from tachyline.llm.encoding import Encoder, default_tokenizer
+from tachyline.llm.encoding import shared_encoder
 from tachyline.plans.files import scratch_path
 
 MANIFEST = "part int, n_docs long, n_null long, n_ids long, width int"
@@ -49,7 +49,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer or default_tokenizer(), end_id)
+        encoder = shared_encoder(tokenizer, end_id)
         narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         store, part = Store(folder), TaskContext.get().partitionId()
         name, files, lengths, nulls, n_docs, n_ids = f"part-{part:05d}", {}, [], 0, 0, 0
