@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tachyline.plans.files import scratch_path
 
+#: Rows that Python works on at once, below what an Arrow batch may hold.
+ROWS_AT_ONCE = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,11 +30,6 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Strings of an Arrow column, null as empty."""
-    return [text or "" for text in column.to_pylist()]
-
-
 class Store:
     """Files of a shared folder as seen from a task: a mounted path, or a store that Arrow can open."""
 
@@ -67,3 +68,25 @@ class Store:
             return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
         with self.files.open_input_file(path) as source:
             return np.frombuffer(source.read_buffer(), dtype=dtype)
+
+
+def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], results: str, worker) -> DataFrame:
+    """Python over Arrow batches: the kept columns as a struct ``row``, untouched, beside the results.
+
+    ``worker()`` is called once per task and returns a function from the input arrays of a batch
+    to the result arrays. No column of the documents can clash with the names used inside.
+    """
+    kept = docs.select(*keep).schema
+    results = T.StructType.fromDDL(results)
+    schema = T.StructType([T.StructField("row", kept), *results.fields])
+    frame = docs.select(F.struct(*keep).alias("row"), *(c.alias(f"in{i}") for i, c in enumerate(inputs)))
+    names = [field.name for field in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = worker()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([some.column(0), *work(*some.columns[1:])], names=names)
+
+    return frame.mapInArrow(run, schema)
