@@ -2,25 +2,53 @@
 
 A byte-level tokenizer of this family never joins two words across a single space, and the
 space goes with the word behind it. A text cut before its single spaces therefore encodes
-piece by piece to the same ids, and most pieces come again and again. Pieces that touch other
-white space are not cut: a text that holds one is encoded whole.
+piece by piece to the same ids, and most pieces come again and again. A new piece is split by
+the family's published pattern, and the library's model turns each part into ids; pieces
+with characters beyond the Latin ones go through the library's own splitting. Pieces that touch
+other white space are not cut: a text that holds one is encoded whole.
+
+The strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
-MOST_PIECES = 800_000
+import regex
+
+MOST_PIECES = 360_000
+
+#: The published splitting pattern of the tokenizer's family (a fixed value).
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+_LATIN = re.compile(r"[\x21-\x7E\n¡-ɏ]*\Z").match
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it shows, else one above 255."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(256 + i) for i, byte in enumerate(hidden)}
+
+
+_CHARACTERS = _byte_characters()
+
 
+class Pieces(dict):
+    """Pieces and their ids, learned when first asked for; a full young generation replaces the old one."""
 
-class Pieces:
-    """Pieces and their ids, in two generations: a full young one pushes the old one out."""
+    def __init__(self, learn, most: int):
+        super().__init__()
+        self.learn, self.most, self.old = learn, most, {}
 
-    def __init__(self, before: str, most: int):
-        self.before, self.most = before, most
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.old.get(piece) or self.learn(piece)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -31,45 +59,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.end = array("I", [end_id]).tobytes()
-        self.first = Pieces("", most_pieces // 8)
-        self.later = Pieces(" ", most_pieces * 3 // 8)
+        self.parts = Pieces(self._part, most_pieces // 20)
+        self.first = Pieces(self._first, most_pieces // 20)
+        self.later = Pieces(self._later, most_pieces * 2 // 5)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [text.split(" ") for text in texts]
-        first = self._learned(self.first, {row[0] for row in rows})
-        pieces: set[str] = set()
-        for row in rows:
-            pieces.update(row[1:])
-        later = self._learned(self.later, pieces).__getitem__
+        first, later = self.first, self.later.__getitem__
         out = []
-        for text, row in zip(texts, rows):
+        for text in texts:
+            row = text.split(" ")
             try:
                 out.append(b"".join([first[row[0]], *map(later, row[1:]), self.end]))
             except TypeError:  # a piece that must not be cut off
-                out.append(self._ids([text])[0] + self.end)
+                out.append(self._whole(text) + self.end)
         return out
 
-    def _learned(self, known: Pieces, pieces: set[str]) -> dict[str, bytes | None]:
-        """The young generation, with all these pieces."""
-        if len(known.young) > known.most:
-            known.old, known.young = known.young, {}
-        young, old = known.young, known.old
-        missing = [piece for piece in pieces if piece not in young]
-        new = []
-        for piece in missing:
-            if piece in old:
-                young[piece] = old[piece]
-            else:
-                new.append(piece)
-        for piece, ids in zip(new, self._ids([known.before + piece for piece in new])):
-            apart = piece and not piece[0].isspace() and not piece[-1].isspace()
-            young[piece] = ids if apart or (piece == "" and known.before == "") else None
-        return young
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [array("I", each.ids).tobytes() for each in found]
+    def _first(self, piece: str) -> bytes | None:
+        return self._ids(piece) if not piece[-1:].isspace() else None
+
+    def _later(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if piece.isascii() and piece.isalpha():
+            return array("I", [token.id for token in self.tokenize("\u0120" + piece)]).tobytes()
+        return self._ids(" " + piece)
+
+    def _ids(self, text: str) -> bytes:
+        if not _LATIN(text.removeprefix(" ")):
+            return self._whole(text)
+        parts, later = self.parts, self.later
+        return b"".join(
+            later[part[1:]] if part[0] == " " and part[1:].isalpha() and part.isascii() else parts[part]
+            for part in _PARTS(text)
+        )
+
+    def _part(self, part: str) -> bytes:
+        shown = part.encode().decode("latin-1").translate(_CHARACTERS)
+        return array("I", [token.id for token in self.tokenize(shown)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

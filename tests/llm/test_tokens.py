@@ -21,7 +21,9 @@ from tachyline.plans.files import scratch_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(default_tokenizer())
+    found = Tokenizer.from_file(default_tokenizer())
+    found.encode_special_tokens = True
+    return found
 
 
 def ids_of(tokenizer, text):
@@ -36,6 +38,7 @@ def crc(ids):
 @given(st.lists(st.text(alphabet="ab's,.9 \n\t é字　", max_size=30), max_size=4))
 def test_pieces_encode_as_whole_texts(texts):
     whole = Tokenizer.from_file(default_tokenizer()) if not hasattr(ids_of, "t") else ids_of.t
+    whole.encode_special_tokens = True
     ids_of.t = whole
     encoder = Encoder(default_tokenizer(), 2, most_pieces=8)
     for _ in range(2):
