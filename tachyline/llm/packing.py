@@ -27,7 +27,7 @@ from tachyline.llm.common import stored
 from tachyline.llm.encoding import shared_encoder
 
 CAPACITY = 1024
-PIECES_A_BLOCK = 20_000
+PIECES_A_BLOCK = 4_000
 DOCS_AT_ONCE = 256
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -23,7 +23,7 @@ from tachyline.llm.common import stored
 SHARDS = 40
 RESOLUTION = 250
 ROW_BYTES = 16
-ROWS_A_BLOCK = 20_000
+ROWS_A_BLOCK = 4_000
 
 
 def longest_first(sizes: dict, shards: int) -> dict:
