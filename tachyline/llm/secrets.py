@@ -6,7 +6,8 @@ clear of the base spans, is scored under a first-order Markov model of random st
 ordinary identifiers. It is a secret if the ratio reaches MIN_BITS_A_CHARACTER per character.
 
 Both models are trained here, on labelled samples: runs inside base spans of about SAMPLE_DOCS
-documents drawn by hash are random strings, their other runs ordinary ones. Counts start
+documents drawn by hash are random strings, their other runs ordinary ones, but for those that are
+themselves to be judged, which teach neither model. Counts start
 from PRIOR for every pair of characters, so a model without samples is uniform; without any
 random samples the method adds nothing.
 
@@ -71,6 +72,10 @@ def outside(spans: list[Span], start: int, end: int) -> bool:
     return all(end <= a or start >= b for _, a, b in spans)
 
 
+def is_candidate(run: str) -> bool:
+    return len(run) >= MIN_RUN and bool(_DIGIT.search(run) and _LETTER.search(run))
+
+
 def codes(run: str) -> list[int]:
     return [_CODE[character] for character in run]
 
@@ -98,7 +103,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ratio | None:
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 for run in _SAMPLE_RUN.finditer(text):
-                    if outside(spans, *run.span()):
+                    if outside(spans, *run.span()) and not is_candidate(run.group()):
                         path = codes(run.group())
                         np.add.at(pairs[1], ([0, *path[:-1]], path), 1)
                 for value in secret_values(text, spans):
@@ -136,7 +141,7 @@ def all_spans(text: str, ratio: Ratio | None) -> list[Span]:
     added = [
         ("random", *run.span())
         for run in _RUN.finditer(text)
-        if _DIGIT.search(run.group()) and _LETTER.search(run.group()) and outside(spans, *run.span())
+        if is_candidate(run.group()) and outside(spans, *run.span())
         and ratio.a_character(run.group()) >= MIN_BITS_A_CHARACTER
     ]
     return in_order(spans + added) if added else spans
