@@ -152,7 +152,7 @@ def test_quality_equals_a_plain_computation(spark):
         classes, words = zip(*map(plain_histograms, texts))
         counts = Counter(w for each in words for w in each)
         total = sum(counts.values())
-        common = sorted((w for w in counts if len(w) <= quality.LONGEST_COMMON), key=lambda w: (-counts[w], w))[: quality.COMMON_WORDS]
+        common = sorted((w for w in counts if len(w.encode()) <= quality.LONGEST_COMMON), key=lambda w: (-counts[w], w))[: quality.COMMON_WORDS]
         sums = np.sum(classes, axis=0)
         shares = [counts[w] / total for w in common]
         references[lang] = (sums / sums.sum(), common, [*shares, 1 - sum(shares)])
@@ -178,8 +178,10 @@ def test_quality_equals_a_plain_computation(spark):
 
 def test_quality_of_an_empty_table_and_its_plan(spark):
     assert quality.verdicts(documents(spark, [])).isEmpty()
-    plan = quality.verdicts(documents(spark, [(1, "a b c", "en")]))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange hashpartitioning" not in plan
+    docs = documents(spark, [(1, "a b c", "en")])
+    for frame in (quality.measured(docs, ["doc_id"]), quality.verdicts(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange hashpartitioning" not in plan
 
 
 # --- secret scan ---------------------------------------------------------------------------
