@@ -62,6 +62,26 @@ class Files:
         if not fs.rename(old, new):
             raise OSError(f"could not rename {source} to {target}")
 
+    def leaves(self, path: str, depth: int) -> list[str]:
+        """Partition directories ``depth`` levels down, relative to ``path``."""
+        found = [""]
+        for _ in range(depth):
+            found = [
+                f"{above}/{name}" if above else name
+                for above in found
+                for name in self.children(f"{path}/{above}" if above else path)
+                if "=" in name
+            ]
+        return found
+
+    def finish_swap(self, live: str, parked: str) -> None:
+        """Finish or undo a directory swap that a crash interrupted."""
+        if self.exists(parked):
+            if self.exists(live):
+                self.delete(parked)
+            else:
+                self.rename(parked, live)
+
     def chunks(self, table: str, date: str = "event_date", hour: str = "event_hour") -> list[dt.datetime]:
         """Start of each time chunk for which a table has a directory."""
         found = []

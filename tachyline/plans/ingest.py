@@ -4,65 +4,106 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
+from tachyline.functions.time import at, micros
 from tachyline.operators.dedupe import dedupe_existing, first_arrival, integrity_check, reject_stored
 from tachyline.plans.store import READING_COLUMNS, Store, salt
 from tachyline.schemas import INGEST_METRIC, KEY, small_table
 
 WRITERS_PER_CHUNK = 8
-CHUNKS_BY_NAME = 2_000
+MOST_SPANS = 16
+EPOCH = dt.datetime(1970, 1, 1)
 
+Span = tuple[dt.datetime, dt.datetime]
 
-def _stored_keys(store: Store, chunks: list[dt.datetime], batch_id: int) -> DataFrame:
-    """Keys of the touched chunks written by other batches.
 
-    A batch usually touches a few chunks, named one by one so that the rest of the
-    table is not even listed. A backfill over very many bounds the range instead.
+def time_spans(touched: dict[dt.datetime, Span], step: dt.timedelta) -> list[Span]:
+    """Event times of a batch as a few closed intervals.
+
+    Neighbouring chunks' intervals are joined; if there are still more than ``MOST_SPANS``, so
+    are those with the smallest gaps. Wider intervals read more and find the same.
+    """
+    spans: list[list[dt.datetime]] = []
+    for low, high in sorted(touched.values()):
+        if spans and low - spans[-1][1] <= step:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+    while len(spans) > MOST_SPANS:
+        at = min(range(len(spans) - 1), key=lambda i: spans[i + 1][0] - spans[i][1])
+        spans[at : at + 2] = [[spans[at][0], spans[at + 1][1]]]
+    return [(low, high) for low, high in spans]
+
+
+def _stored_keys(store: Store, touched: dict[dt.datetime, Span], batch_id: int) -> DataFrame:
+    """Keys of the touched chunks written by other batches, raw or archived.
+
+    Only the chunks' own directories are listed, and the batch's event times reach the
+    reader: files of a running hour are narrow in time, so a batch skips nearly all of them.
     """
-    if len(chunks) <= CHUNKS_BY_NAME:
-        stored = store.read_chunks("raw", chunks)
-    else:
-        low, high = min(chunks).date(), max(chunks).date()
-        stored = store.read("raw").filter(F.col("event_date").between(F.lit(low), F.lit(high)))
-    # Not its own half-written output, should this be the retry of a failed batch.
-    return stored.filter(F.col("batch_id") != batch_id).select(*KEY)
+    spans = time_spans(touched, store.chunk)
+    frames = []
+    for table in ("raw", "archive"):
+        stored = store.read_chunks(table, list(touched))
+        inside = [
+            (F.col("event_time") >= at(stored, "event_time", low)) & (F.col("event_time") <= at(stored, "event_time", high))
+            for low, high in spans
+        ]
+        # Not its own half-written output, should this be the retry of a failed batch.
+        kept = stored.filter(reduce(or_, inside)).filter(F.col("batch_id") != batch_id)
+        frames.append(kept.select(*KEY))
+    return frames[0].unionByName(frames[1])
 
 
 def ingest_batch(
-    events: DataFrame, batch_id: int, store: Store, writers_per_chunk: int = WRITERS_PER_CHUNK
+    events: DataFrame,
+    batch_id: int,
+    store: Store,
+    writers_per_chunk: int = WRITERS_PER_CHUNK,
+    null_records: int = 0,
+    dead_letters: int = 0,
 ) -> tuple[int, int]:
     """Store the readings of one batch that are not stored yet.
 
     Within the batch the first arrival of a reading wins; against the table the
-    stored one does. Running the same batch again replaces exactly its own output,
-    so a retry after a lost executor or driver changes nothing. Returns
-    (consumed, written) and appends a metrics row.
+    stored one does, also where it has been archived. Running the same batch again replaces
+    exactly its own output, so a retry after a lost executor or driver changes nothing.
+    Returns (consumed, written) and appends a metrics row, in which ``received`` also counts the
+    records that held no reading.
     """
     started = time.monotonic()
     dated = store.with_event_chunk(events.select(*READING_COLUMNS))
-    touched = dated.groupBy("event_date", "event_hour").agg(F.count(F.lit(1)).alias("n")).collect()
-    consumed = sum(row["n"] for row in touched)
-    if consumed == 0:
-        return 0, 0
-    chunks = [
-        dt.datetime.combine(row["event_date"], dt.time(row["event_hour"])) for row in touched
-    ]
-    first = first_arrival(events.select(*READING_COLUMNS))
-    fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, chunks, batch_id)))
-    store.write(
-        fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-        "raw",
-        salt(writers_per_chunk, *KEY),
-    )
-    # Counted from what was committed: task retries cannot inflate it.
-    mine = store.read_chunks("raw", chunks) if len(chunks) <= CHUNKS_BY_NAME else store.read("raw")
-    written = mine.filter(F.col("batch_id") == batch_id).count()
-    elapsed = (time.monotonic() - started) * 1000
-    spark = events.sparkSession
-    row = small_table(spark, [(batch_id, consumed, written, consumed - written, elapsed)], INGEST_METRIC)
-    row.write.mode("overwrite").parquet(f"{store.path('metrics')}/batch={batch_id}")
+    instants = micros("event_time")
+    rows = dated.groupBy("event_date", "event_hour").agg(
+        F.count(F.lit(1)).alias("n"), F.min(instants).alias("low"), F.max(instants).alias("high")
+    ).collect()
+    consumed, written = sum(row["n"] for row in rows), 0
+    if consumed:
+        touched = {
+            dt.datetime.combine(row["event_date"], dt.time(row["event_hour"])): (
+                EPOCH + dt.timedelta(microseconds=row["low"]), EPOCH + dt.timedelta(microseconds=row["high"])
+            )
+            for row in rows
+        }
+        first = first_arrival(events.select(*READING_COLUMNS))
+        fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, touched, batch_id)))
+        store.write(
+            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
+            "raw",
+            salt(writers_per_chunk, *KEY),
+        )
+        # Counted from what was committed: task retries cannot inflate it.
+        written = store.read_chunks("raw", list(touched)).filter(F.col("batch_id") == batch_id).count()
+    received = consumed + null_records + dead_letters
+    if received:
+        elapsed = (time.monotonic() - started) * 1000
+        row = (batch_id, received, null_records, dead_letters, consumed, written, consumed - written, elapsed)
+        metrics = small_table(events.sparkSession, [row], INGEST_METRIC)
+        metrics.write.mode("overwrite").parquet(f"{store.path('metrics')}/batch={batch_id}")
     return consumed, written
 
 

@@ -61,48 +61,74 @@ def dirty_chunks(store: Store, since_batch: int) -> list[dt.datetime]:
 
 
 def refresh_rollup_1m(
-    store: Store, now: str | dt.datetime, since_batch: int | None = None
+    store: Store, now: str | dt.datetime, since_batch: int | None = None, full: bool = False
 ) -> list[dt.datetime]:
-    """Recompute the one-minute buckets in [now - 7 d, now - 1 min) from raw readings.
+    """Bring the one-minute buckets in [now - 7 d, now - 1 min) up to date with the raw readings.
 
+    Beside the aggregate stands a mark per chunk: the newest batch it has seen and the time
+    up to which it was refreshed. A chunk is due if a newer batch has written to it, or if
+    its mark ends before the part of the chunk that is now in range; others aren't read.
+    ``since_batch`` takes the place of the marks' batches, ``full`` takes every chunk.
     Only whole buckets are recomputed, and only in chunks that still have raw data, so
-    aggregates outlive the readings they came from. ``since_batch`` narrows the work to
-    chunks written to after that batch. Existing buckets of a boundary chunk that lie
-    outside the range are carried over. Returns the chunks that were rewritten.
+    aggregates outlive the readings they came from. Existing buckets of a boundary chunk that
+    lie outside the range are carried over. Returns the chunks that were rewritten.
     """
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 minute"), floor_to(now - dt.timedelta(minutes=1), "1 minute")
-    chunks = store.chunks("raw") if since_batch is None else dirty_chunks(store, since_batch)
-    chunks = [start for start in chunks if start + store.chunk > low and start < high]
+    store.recover("rollup_1m")
+    marks, newest = store.marks("rollup_1m"), {}
+    for start in store.chunks("raw"):
+        if start + store.chunk <= low or start >= high:
+            continue
+        batch = _newest_batch(_batches(store, start))
+        seen, bound = marks.get(start, (-1, dt.datetime.min))
+        if full or batch > (seen if since_batch is None else since_batch) or bound < min(start + store.chunk, high):
+            newest[start] = batch
+    chunks = sorted(newest)
     if not chunks:
         return []
     fresh = rollup_1m(_bounded(store.read_chunks("raw", chunks), "event_time", low, high))
     edges = [start for start in chunks if start < low or start + store.chunk > high]
     kept = _outside(store.read_chunks("rollup_1m", edges), "bucket", low, high).select(*fresh.columns)
     _write_minutes(store, fresh.unionByName(kept))
+    done = {start: (newest[start], min(start + store.chunk, high)) for start in chunks}
+    _mark(store, "rollup_1m", marks | done, low)
     return chunks
 
 
+def _mark(
+    store: Store, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]], low: dt.datetime
+) -> None:
+    """Keep the marks of chunks that a later refresh can still reach."""
+    store.set_marks(table, {start: mark for start, mark in marks.items() if start + store.chunk > low})
+
+
 def _write_minutes(store: Store, minutes: DataFrame) -> None:
-    store.write(store.with_bucket_chunk(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"))
+    store.replace(store.with_bucket_chunk(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"))
 
 
 def refresh_rollup_1h(
     store: Store, now: str | dt.datetime, chunks: list[dt.datetime] | None = None
 ) -> list[dt.datetime]:
-    """Recompute the one-hour buckets in [now - 7 d, now - 1 h) from one-minute rows.
+    """Bring the one-hour buckets in [now - 7 d, now - 1 h) up to date with the one-minute rows.
 
-    ``chunks`` (what the one-minute refresh returned) narrows the work. The other hours
-    of an affected date are carried over.
+    A chunk is due if its one-minute rows have been refreshed since its hours were built, if
+    more of it has come into range, or if ``chunks`` names it (what the one-minute refresh
+    returned). The other hours of an affected date are carried over.
     """
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 hour"), floor_to(now - HOUR, "1 hour")
-    available = set(store.chunks("rollup_1m"))
-    chosen = sorted(
-        start
-        for start in (available if chunks is None else available & set(chunks))
-        if start + store.chunk > low and start < high
-    )
+    store.recover("rollup_1h")
+    built, minutes, named = store.marks("rollup_1h"), store.marks("rollup_1m"), set(chunks or ())
+    progress = store.marks("rollup_1h_source")
+    chosen = []
+    for start in store.chunks("rollup_1m"):
+        if start + store.chunk <= low or start >= high:
+            continue
+        source, bound = minutes.get(start), built.get(start, (-1, dt.datetime.min))[1]
+        behind = source is None or progress.get(start) != source
+        if start in named or bound < min(start + store.chunk, high) or (behind and (source or start not in built)):
+            chosen.append(start)
     if not chosen:
         return []
     fresh = rollup_1h(_bounded(store.read_chunks("rollup_1m", chosen), "bucket", low, high))
@@ -116,24 +142,25 @@ def refresh_rollup_1h(
     )
     kept = existing.filter(~recomputed).select(*fresh.columns)
     rows = fresh.unionByName(kept).withColumn("bucket_date", F.to_date("bucket"))
-    store.write(rows, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    store.replace(rows, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    sources = {start: minutes[start] for start in chosen if start in minutes}
+    _mark(store, "rollup_1h_source", progress | sources, low)
+    done = {start: (minutes.get(start, (-1, low))[0], min(start + store.chunk, high)) for start in chosen}
+    _mark(store, "rollup_1h", built | done, low)
     return chosen
 
 
 def backfill(store: Store) -> None:
-    """Fill both aggregates from everything the raw table holds."""
+    """Fill both aggregates from everything the raw table holds.
+
+    What comes later arrives in newer batches, so the chunks are marked as done to their ends.
+    """
+    marks = {start: (_newest_batch(_batches(store, start)), start + store.chunk) for start in store.chunks("raw")}
     _write_minutes(store, rollup_1m(store.read("raw")))
     hourly = rollup_1h(store.read("rollup_1m")).withColumn("bucket_date", F.to_date("bucket"))
-    store.write(hourly, "rollup_1h", salt(4, "car_id", "sensor_id"))
-
-
-def _recover(files: Files, live: str, backup: str) -> None:
-    """Finish or undo a directory swap that a crash interrupted."""
-    if files.exists(backup):
-        if files.exists(live):
-            files.delete(backup)
-        else:
-            files.rename(backup, live)
+    store.replace(hourly, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    for table in ("rollup_1m", "rollup_1h_source", "rollup_1h"):
+        store.set_marks(table, marks)
 
 
 def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_AFTER) -> list[dt.datetime]:
@@ -148,7 +175,7 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     # Outside the table, so that no reader ever lists half-finished work.
     parking = f"{store.root}/compaction"
     for start in files.chunks(f"{parking}/old"):
-        _recover(files, chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
+        files.finish_swap(chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
     cut = instant(now) - after
     merged = {}
     for start in store.chunks("raw"):
@@ -204,13 +231,17 @@ def apply_retention(
 def archive_cold(
     store: Store, now: str | dt.datetime, keep: dt.timedelta = RETENTION
 ) -> list[dt.datetime]:
-    """Copy expiring raw chunks to the archive, compare counts, then drop them."""
+    """Copy expiring raw chunks to the archive, compare counts, then drop them.
+
+    Chunk and batch are compared: late readings of a chunk archived before come in a batch of
+    their own, beside what the archive has already.
+    """
     cold = _expired(store, now, keep)
     if not cold:
         return []
     source = store.read_chunks("raw", cold)
     store.write(source, "archive", salt(8, "car_id", "sensor_id", "event_time"))
-    by_chunk = ["event_date", "event_hour"]
+    by_chunk = ["event_date", "event_hour", "batch_id"]
     copied = store.read_chunks("archive", cold).groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("copied"))
     counts = source.groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("held"))
     short = counts.join(copied, by_chunk, "left").filter(F.coalesce("copied", F.lit(0)) != F.col("held"))

@@ -11,13 +11,15 @@ table.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tachyline.functions.time import instant
 from tachyline.plans.files import Files, chunk_dir
-from tachyline.schemas import INGEST_METRIC, SERIES
+from tachyline.schemas import INGEST_METRIC, SERIES, small_table
 
 RESOLUTIONS = {"ONE_MINUTE": "rollup_1m", "ONE_HOUR": "rollup_1h"}
 
@@ -31,6 +33,7 @@ _PARTITIONS = {
     "rollup_1m": "bucket_date date, bucket_hour int",
     "rollup_1h": "bucket_date date",
 }
+_MARK = "chunk string, batch bigint, bound string"
 # Delta-packed integers and timestamps: sorted times and counters shrink to almost
 # nothing, and both Spark's vectorised reader and writer handle them.
 FILE_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
@@ -112,7 +115,79 @@ class Store:
         reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
         return reader.parquet(*paths)
 
-    def write(self, rows: DataFrame, table: str, spread: Column | None = None) -> None:
+    def rollups_between(
+        self, resolution: str, start: str | dt.datetime, end: str | dt.datetime
+    ) -> DataFrame:
+        """The directories of an aggregate that can hold buckets in [start, end), and no others.
+
+        One listing names the dates. Whole dates are read as one directory each; of the
+        first and the last date only the chunks inside the range.
+        """
+        table, since, until = RESOLUTIONS[resolution], instant(start), instant(end)
+        files, root = Files(self.spark), self.path(RESOLUTIONS[resolution])
+        paths = []
+        for name in files.children(root):
+            if not name.startswith("bucket_date=") or since >= until:
+                continue
+            day = dt.datetime.fromisoformat(name.split("=", 1)[1])
+            if day + dt.timedelta(days=1) <= since or day >= until:
+                continue
+            if table == "rollup_1h" or (day >= since and day + dt.timedelta(days=1) <= until):
+                paths.append(f"{root}/{name}")
+                continue
+            for part in files.children(f"{root}/{name}"):
+                hour = day + dt.timedelta(hours=int(part.split("=")[1])) if part.startswith("bucket_hour=") else None
+                if hour is not None and hour + self.chunk > since and hour < until:
+                    paths.append(f"{root}/{name}/{part}")
+        if not paths:
+            return self.spark.createDataFrame([], self.schema(table))
+        return self.spark.read.schema(self.schema(table)).option("basePath", root).parquet(*paths)
+
+    def marks(self, table: str) -> dict[dt.datetime, tuple[int, dt.datetime]]:
+        """How far an aggregate has been refreshed: chunk -> (newest batch seen, upper bound)."""
+        files, root = Files(self.spark), f"{self.root}/refreshed/{table}"
+        for version in sorted(files.children(root), reverse=True):
+            if files.exists(f"{root}/{version}/_SUCCESS"):
+                rows = self.spark.read.schema(_MARK).parquet(f"{root}/{version}").collect()
+                parse = dt.datetime.fromisoformat
+                return {parse(row["chunk"]): (row["batch"], parse(row["bound"])) for row in rows}
+        return {}
+
+    def set_marks(self, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]]) -> None:
+        """Replace the marks. Versions: a crash leaves the last complete one in force."""
+        files, root = Files(self.spark), f"{self.root}/refreshed/{table}"
+        old = sorted(files.children(root))
+        number = int(old[-1].split("=")[1]) + 1 if old else 0
+        rows = [(start.isoformat(), batch, bound.isoformat()) for start, (batch, bound) in sorted(marks.items())]
+        small_table(self.spark, rows, _MARK).coalesce(1).write.parquet(f"{root}/version={number:012d}")
+        for version in old:
+            files.delete(f"{root}/{version}")
+
+    def replace(self, rows: DataFrame, table: str, spread: Column | None = None) -> None:
+        """``write``, but staged and swapped in directory by directory.
+
+        A dynamic overwrite deletes before it renames. Here the old directory is parked until
+        the new one stands, and ``recover`` finishes a swap that a crash cut short. For
+        aggregates: what they were made from may be gone.
+        """
+        files, depth = Files(self.spark), len(_PARTITIONS[table].split(","))
+        staged = f"{self.root}/swap/staged/{uuid.uuid4().hex[:12]}"
+        self.write(rows, table, spread, staged)
+        for leaf in files.leaves(staged, depth):
+            live, old = f"{self.path(table)}/{leaf}", f"{self.root}/swap/{table}/{leaf}"
+            if files.exists(live):
+                files.rename(live, old)
+            files.rename(f"{staged}/{leaf}", live)
+            files.delete(old)
+        files.delete(staged)
+
+    def recover(self, table: str) -> None:
+        """Finish or undo the swaps of ``replace`` that a crash interrupted."""
+        files, parked = Files(self.spark), f"{self.root}/swap/{table}"
+        for leaf in files.leaves(parked, len(_PARTITIONS[table].split(","))):
+            files.finish_swap(f"{self.path(table)}/{leaf}", f"{parked}/{leaf}")
+
+    def write(self, rows: DataFrame, table: str, spread: Column | None = None, path: str | None = None) -> None:
         """Replace the partitions that ``rows`` holds; all others stay.
 
         ``spread`` splits each partition over that many values, so that a hot chunk
@@ -134,7 +209,7 @@ class Store:
             .option("partitionOverwriteMode", "dynamic")
             .options(**FILE_OPTIONS)
             .partitionBy(*partitions)
-            .parquet(self.path(table))
+            .parquet(path or self.path(table))
         )
 
 

@@ -8,25 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = ["car_id", "sensor_id", "event_time"]
 SERIES = ["car_id", "sensor_id"]
 
-EVENT = "car_id string, sensor_id string, event_time timestamp, value double, sequence_no bigint"
 RAW_RECORD = "key string, value binary, partition int, offset bigint, timestamp timestamp"
 LIVE_ROLLUP = (
     "car_id string, sensor_id string, window_length string, window_start timestamp, "
     "window_end timestamp, count bigint, average double, minimum double, maximum double"
 )
-ALERT = (
-    "car_id string, sensor_id string, window_start timestamp, window_end timestamp, "
-    "observed_maximum double, threshold double"
-)
 ALERT_RULE = "sensor_id string, maximum double"
-STORED_ROLLUP = (
-    "car_id string, sensor_id string, bucket timestamp, samples bigint, average double, "
-    "minimum double, maximum double"
-)
 SENSOR_DEFINITION = (
     "sensor_id string, unit string, minimum_value double, maximum_value double, rate_hz int, shape string"
 )
-INGEST_METRIC = "batch_id bigint, consumed bigint, written bigint, duplicates bigint, write_ms double"
+INGEST_METRIC = (
+    "batch_id bigint, received bigint, null_records bigint, dead_letters bigint, "
+    "consumed bigint, written bigint, duplicates bigint, write_ms double"
+)
 
 # The alert rules shipped by default (sensor, maximum).
 DEFAULT_RULES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tachyline.plans.files import Files
@@ -46,17 +46,26 @@ def start_ingest(
 
     Delivery is at least once: offsets are committed after the write, so a crash in
     between repeats the batch under the same id, and ``ingest_batch`` then replaces
-    its own output. Records that could not be decoded go to ``dead_letter_path``.
+    its own output. Records that could not be decoded go to ``dead_letter_path``, the store's
+    own ``dead_letters`` unless given; the metrics count them and the null records.
     """
 
     first = first_batch_id(store, checkpoint)
+    dead_path = dead_letter_path or store.path("dead_letters")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            ingest_batch(good_readings(batch), first + batch_id, replace(store, spark=batch.sparkSession))
-            if dead_letter_path is not None:
-                dead_letters(batch).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={first + batch_id}")
+            lost = batch.agg(
+                F.count_if(F.col("error").isNotNull()).alias("dead"),
+                F.count_if(F.col("error").isNull() & F.col("payload").isNull()).alias("nulls"),
+            ).first()
+            if lost["dead"]:
+                dead_letters(batch).write.mode("overwrite").parquet(f"{dead_path}/batch={first + batch_id}")
+            ingest_batch(
+                good_readings(batch), first + batch_id, replace(store, spark=batch.sparkSession),
+                null_records=lost["nulls"], dead_letters=lost["dead"],
+            )
         finally:
             batch.unpersist()
 

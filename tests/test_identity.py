@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import W, readings, speed, values
+from helpers import W, formatted_plan, readings, speed, values
 from tachyline.operators import audits, dedupe
 from tachyline.plans import ingest
 from tachyline.plans.store import Store
@@ -62,16 +62,45 @@ def test_retries_change_nothing(spark, store):
     assert values(store.read("raw"), "event_time", "value", "batch_id") == before
 
 
-def test_a_backfill_over_many_chunks_bounds_the_range_instead(spark, store, monkeypatch):
-    monkeypatch.setattr(ingest, "CHUNKS_BY_NAME", 1)
-    events = readings(spark, [speed(3600 * n, n) for n in range(5)])
-    assert ingest.ingest_batch(events, 0, store) == (5, 5)
-    assert ingest.ingest_batch(events, 1, store) == (5, 0)
+def test_a_batch_over_many_chunks_finds_all_that_is_stored(spark, store):
+    events = readings(spark, [speed(7200 * n + 60 * n, n) for n in range(24)])
+    assert ingest.ingest_batch(events, 0, store) == (24, 24)
+    assert ingest.ingest_batch(events, 1, store) == (24, 0)
+
+
+def test_spans_cover_every_chunk_and_are_few():
+    hour = dt.timedelta(hours=1)
+    touched = {W + n * 5 * hour: (W + n * 5 * hour, W + n * 5 * hour + hour / 2) for n in range(40)}
+    spans = ingest.time_spans(touched, hour)
+    assert len(spans) == ingest.MOST_SPANS
+    assert all(any(a <= low and high <= b for a, b in spans) for low, high in touched.values())
+    near = {W: (W, W + hour / 2), W + hour: (W + hour, W + hour * 1.5)}
+    assert ingest.time_spans(near, hour) == [(W, W + hour * 1.5)]
+
+
+def test_a_batch_reads_only_its_own_times(spark, store):
+    """Both bounds reach the reader, so twenty batches into one hour each read about one batch."""
+    for batch in range(3):
+        ingest.ingest_batch(readings(spark, [speed(60 * batch + n, n) for n in range(20)]), batch, store)
+    low = W + dt.timedelta(minutes=2)
+    keys = ingest._stored_keys(store, {W: (low, low + dt.timedelta(seconds=19))}, 9)
+    plan = formatted_plan(keys)
+    assert "GreaterThanOrEqual(event_time" in plan and "LessThanOrEqual(event_time" in plan
+    assert values(keys, "event_time") == [low + dt.timedelta(seconds=n) for n in range(20)]
+
+
+def test_metrics_account_for_every_record(spark, store):
+    ingest.ingest_batch(thousand(spark).limit(0), 3, store, null_records=2, dead_letters=5)
+    ingest.ingest_batch(thousand(spark), 4, store, null_records=1)
+    got = values(store.metrics(), "batch_id", "received", "null_records", "dead_letters", "consumed")
+    assert got == [(3, 7, 2, 5, 0), (4, 1001, 1, 0, 1000)]
+    summary = audits.ingest_summary(store.metrics()).first()
+    assert (summary["received"], summary["dead_letters"], summary["batch_p50"]) == (1008, 5, 500.0)
 
 
 def test_only_the_touched_chunks_are_read(spark, store):
     ingest.ingest_batch(readings(spark, [speed(3600 * n, n) for n in range(3)]), 0, store)
-    keys = ingest._stored_keys(store, [W], 1)
+    keys = ingest._stored_keys(store, {W: (W, W + dt.timedelta(minutes=59))}, 1)
     files = {row[0] for row in keys.select(F.input_file_name()).collect()}
     assert all(f"event_hour={W.hour}" in name for name in files) and files
 

@@ -65,6 +65,60 @@ def test_a_narrow_refresh_sees_only_what_changed(spark, store):
     assert buckets(store)[1] == (W + HOUR, 2, 5.0)
 
 
+def test_a_running_hour_stays_complete(spark, store):
+    """What a refresh had to leave out is due again, though no newer batch has touched the chunk."""
+    half = dt.timedelta(seconds=30)
+    ingest.ingest_batch(readings(spark, [speed(28 * 60, 1), speed(30 * 60 + 30, 2)]), 0, store)
+    assert lifecycle.refresh_rollup_1m(store, W + 30 * MINUTE + half + MINUTE / 6) == [W]
+    assert [row[0] for row in buckets(store)] == [W + 28 * MINUTE]
+    ingest.ingest_batch(readings(spark, [speed(160 * 60, 3)]), 1, store)
+    assert lifecycle.refresh_rollup_1m(store, W + 161 * MINUTE) == [W, W + 2 * HOUR]
+    assert [row[0] for row in buckets(store)] == [W + 28 * MINUTE, W + 30 * MINUTE]
+    assert lifecycle.refresh_rollup_1m(store, W + 161 * MINUTE) == []
+    assert lifecycle.refresh_rollup_1m(store, W + 400 * MINUTE) == [W + 2 * HOUR]
+    lifecycle.refresh_rollup_1h(store, W + 400 * MINUTE)
+    assert buckets(store, "ONE_HOUR") == [(W, 2, 1.5), (W + 2 * HOUR, 1, 3.0)]
+    assert lifecycle.refresh_rollup_1h(store, W + 400 * MINUTE) == []
+    assert lifecycle.refresh_rollup_1m(store, W + 400 * MINUTE, full=True) == [W, W + 2 * HOUR]
+
+
+@pytest.mark.parametrize("staged_in", [False, True])
+def test_a_crash_during_a_refresh_is_repaired(spark, store, staged_in):
+    ingest.ingest_batch(readings(spark, [speed(1, 1)]), 0, store)
+    lifecycle.backfill(store)
+    before, files = buckets(store), Files(spark)
+    live = store.chunk_path("rollup_1m", W)
+    parked = live.replace(store.path("rollup_1m"), f"{store.root}/swap/rollup_1m")
+    if staged_in:
+        copy = store.rollups().drop("bucket_date", "bucket_hour").collect()
+        schema = store.rollups().drop("bucket_date", "bucket_hour").schema
+        files.rename(live, parked)
+        spark.createDataFrame(copy, schema).write.parquet(live)
+    else:
+        files.rename(live, parked)
+        assert store.rollups().isEmpty()
+    lifecycle.refresh_rollup_1m(store, W + HOUR)
+    assert buckets(store) == before and not files.exists(parked)
+
+
+def test_marks_survive_an_incomplete_version(spark, store):
+    store.set_marks("rollup_1m", {W: (3, W + MINUTE)})
+    Files(spark).make(f"{store.root}/refreshed/rollup_1m/version=000000000009")
+    assert store.marks("rollup_1m") == {W: (3, W + MINUTE)}
+    store.set_marks("rollup_1m", {W: (4, W + HOUR)})
+    assert store.marks("rollup_1m") == {W: (4, W + HOUR)}
+
+
+def test_late_readings_of_an_archived_chunk_are_archived_too(spark, store):
+    ingest.ingest_batch(readings(spark, [speed(1, 1), speed(2, 2)]), 0, store)
+    now = W + lifecycle.RETENTION + HOUR
+    assert lifecycle.archive_cold(store, now) == [W]
+    assert ingest.ingest_batch(readings(spark, [speed(1, 9), speed(3, 3)]), 1, store) == (2, 1)
+    assert lifecycle.archive_cold(store, now) == [W]
+    assert values(store.read("archive"), "value") == [1.0, 2.0, 3.0]
+    assert store.read("raw").isEmpty()
+
+
 def test_compaction_does_not_hide_a_change_from_the_refresh(spark, store):
     ingest.ingest_batch(readings(spark, [speed(1, 1)]), 0, store)
     ingest.ingest_batch(readings(spark, [speed(3601, 2)]), 1, store)
