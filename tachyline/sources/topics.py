@@ -7,6 +7,7 @@ downstream is the same for either.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -20,11 +21,16 @@ PARTITIONS = {EVENTS: 12, ROLLUPS: 12, ALERTS: 3}
 
 @dataclass(frozen=True)
 class Topic:
-    """A named topic on ``servers``, or below the directory ``root``."""
+    """A named topic on ``servers``, or below the directory ``root``.
+
+    Several streams may publish to one topic. A broker needs to know nothing about them; a
+    directory topic keeps each stream's commits apart, so it names its ``writers``.
+    """
 
     name: str
     root: str | None = None
     servers: str | None = None
+    writers: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if (self.root is None) == (self.servers is None):
@@ -34,6 +40,11 @@ class Topic:
     def path(self) -> str:
         return f"{self.root}/{self.name}"
 
+    @property
+    def paths(self) -> list[str]:
+        """Where a directory topic's records are."""
+        return [f"{self.path}/writer={writer}" for writer in self.writers] or [self.path]
+
     def stream(
         self, spark: SparkSession, starting: str = "earliest", per_trigger: int | None = None
     ) -> DataFrame:
@@ -47,7 +58,7 @@ class Topic:
             reader = spark.readStream.schema(RAW_RECORD)
             if per_trigger is not None:
                 reader = reader.option("maxFilesPerTrigger", per_trigger)
-            return reader.parquet(self.path)
+            return reduce(DataFrame.unionByName, [reader.parquet(path) for path in self.paths])
         reader = (
             spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
@@ -63,7 +74,8 @@ class Topic:
     def table(self, spark: SparkSession) -> DataFrame:
         """Everything the topic holds now, as a batch frame."""
         if self.servers is None:
-            return spark.read.schema(RAW_RECORD).parquet(self.path)
+            reader = spark.read.schema(RAW_RECORD)
+            return reduce(DataFrame.unionByName, [reader.parquet(path) for path in self.paths])
         loaded = (
             spark.read.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
@@ -75,7 +87,7 @@ class Topic:
     def append(self, records: DataFrame) -> None:
         """Publish a batch of (key, value[, partition, offset, timestamp])."""
         if self.servers is None:
-            records.write.mode("append").parquet(self.path)
+            records.write.mode("append").parquet(self.paths[0])
             return
         (
             records.select("key", "value").write.format("kafka")
@@ -84,12 +96,18 @@ class Topic:
             .save()
         )
 
-    def sink(self, records: DataFrame, checkpoint: str) -> DataStreamWriter:
+    def sink(self, records: DataFrame, checkpoint: str, writer: str | None = None) -> DataStreamWriter:
         """A writer that publishes a stream of (key, value)."""
-        writer = records.withColumn("timestamp", F.current_timestamp()).writeStream.outputMode("append")
-        writer = writer.option("checkpointLocation", checkpoint)
+        if self.servers is not None:
+            records = records.select("key", "value")
+        if "timestamp" not in records.columns:
+            records = records.withColumn("timestamp", F.current_timestamp())
+        path = self.path if not self.writers else f"{self.path}/writer={writer}"
+        if self.writers and writer not in self.writers:
+            raise ValueError(f"{writer!r} is not a writer of this topic")
+        writer = records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         if self.servers is None:
-            return writer.format("parquet").option("path", self.path)
+            return writer.format("parquet").option("path", path)
         return (
             writer.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
@@ -121,6 +139,13 @@ def write_events(events: DataFrame, topic: Topic, wire_format: str = "protobuf")
     topic.append(records)
 
 
+def event_records(readings: DataFrame, wire_format: str = "protobuf") -> DataFrame:
+    """Decoded readings as topic rows again, with the partition, offset and time they came with."""
+    kept = ("topic_partition", "topic_offset", "arrived_at")
+    names = dict(zip(kept, ("partition", "offset", "timestamp")))
+    return wire.encode(readings, wire_format, keep=kept).withColumnsRenamed(names)
+
+
 def read_events(
     spark: SparkSession, topic: Topic, wire_format: str = "protobuf",
     starting: str = "earliest", per_trigger: int | None = None,

@@ -15,12 +15,14 @@ WIRE_FORMATS = ("protobuf", "json")
 JSON_EVENT = "carId string, sensorId string, timestamp string, value double, sequenceNo bigint, _corrupt string"
 JSON_ROLLUP = (
     "carId string, sensorId string, windowLength string, windowStart timestamp, windowEnd timestamp, "
-    "count bigint, average double, minimum double, maximum double"
+    "count bigint, average double, minimum double, maximum double, _corrupt string"
 )
 JSON_ALERT = (
     "carId string, sensorId string, windowStart timestamp, windowEnd timestamp, "
-    "observedMaximum double, threshold double"
+    "observedMaximum double, threshold double, _corrupt string"
 )
+# The first and the last microsecond that a timestamp's text form can name.
+TIME_RANGE = (-62_135_596_800_000_000, 253_402_300_799_999_999)
 
 
 def _column_codec(function, returns: str):
@@ -41,8 +43,12 @@ def millis_of(column: str = "event_time") -> Column:
 
 
 def time_from_wire(millis: Column, nanos: Column) -> Column:
-    """Microsecond timestamp from the wire pair, truncating in integer arithmetic."""
-    return F.timestamp_micros(millis * 1000 + F.floor(nanos / F.lit(1000)).cast("bigint"))
+    """Microsecond timestamp from the wire pair, truncating in integer arithmetic.
+
+    Null where the pair names no time: a wire field may hold any number, and none may stop a job.
+    """
+    instant = F.try_add(F.try_multiply(millis, F.lit(1000)), F.floor(nanos / F.lit(1000)).cast("bigint"))
+    return F.when(instant.between(*TIME_RANGE), F.timestamp_micros(instant))
 
 
 def encode_protobuf(events: DataFrame) -> DataFrame:
@@ -103,7 +109,7 @@ def decode_protobuf(raw: DataFrame) -> DataFrame:
         moment,
         F.pmod(F.col("_m.ns"), F.lit(1_000_000)).cast("int"),
         {name: F.col(f"_m.{name}") for name in ("car_id", "sensor_id", "value", "sequence_no")},
-        F.col("_m.error"),
+        F.coalesce(F.col("_m.error"), F.when(F.col("_m.ms").isNotNull() & moment.isNull(), F.lit("invalid time"))),
     )
 
 
@@ -251,16 +257,29 @@ def _to_topic(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def _from_topic(raw: DataFrame, ddl: str, names: list[str]) -> DataFrame:
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
-    parsed = raw.select("timestamp", _parsed("value", ddl, options))
-    fields = [part.strip().split(" ")[0] for part in ddl.split(",")]
+    """The records' fields with ``payload`` and ``error``; a null record has neither."""
+    options = {
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC",
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
+    }
+    parsed = raw.select("value", "timestamp", _parsed("value", ddl, options))
+    fields = [part.strip().split(" ")[0] for part in ddl.split(",")][: len(names)]
+    missing = F.coalesce(*[F.when(F.col(f"_m.{field}").isNull(), F.lit(True)) for field in fields], F.lit(False))
+    error = (
+        F.when(F.col("value").isNull(), F.lit(None))
+        .when(F.col("_m").isNull() | F.col("_m._corrupt").isNotNull(), F.lit("invalid record"))
+        .when(missing, F.lit("missing field"))
+    )
     return parsed.select(
         *[F.col(f"_m.{field}").alias(name) for field, name in zip(fields, names)],
         F.col("timestamp").alias("arrived_at"),
+        F.col("value").alias("payload"),
+        error.alias("error"),
     )
 
 
-def json_to_rollups(raw: DataFrame) -> DataFrame:
+def decode_rollups(raw: DataFrame) -> DataFrame:
+    """Rollup records, bad ones marked by ``error``."""
     return _from_topic(
         raw,
         JSON_ROLLUP,
@@ -269,9 +288,30 @@ def json_to_rollups(raw: DataFrame) -> DataFrame:
     )
 
 
-def json_to_alerts(raw: DataFrame) -> DataFrame:
+def decode_alerts(raw: DataFrame) -> DataFrame:
+    """Alert records, bad ones marked by ``error``."""
     return _from_topic(
         raw,
         JSON_ALERT,
         ["car_id", "sensor_id", "window_start", "window_end", "observed_maximum", "threshold"],
     )
+
+
+def _good(decoded: DataFrame) -> DataFrame:
+    return decoded.filter(F.col("error").isNull() & F.col("payload").isNotNull()).drop("payload", "error")
+
+
+def json_to_rollups(raw: DataFrame) -> DataFrame:
+    """The rollups of a topic; what can't be read is left to ``bad_records``."""
+    return _good(decode_rollups(raw))
+
+
+def json_to_alerts(raw: DataFrame) -> DataFrame:
+    return _good(decode_alerts(raw))
+
+
+def bad_records(decoded: DataFrame) -> DataFrame:
+    """Rollup or alert records that could not be read, with the reason."""
+    return decoded.filter(F.col("error").isNotNull()).select(
+        F.col("payload").alias("value"), F.col("arrived_at").alias("timestamp"), "error"
+    )

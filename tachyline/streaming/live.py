@@ -14,14 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tachyline.functions.time import iso_duration
 from tachyline.operators.alerts import alerts_for
 from tachyline.operators.board import session_stats
 from tachyline.operators.rollups import rollup
+from tachyline.plans.files import Files
 from tachyline.schemas import KEY, SERIES
-from tachyline.sources.topics import Topic
+from tachyline.sources.topics import Topic, event_records
 from tachyline.sources.wire import alerts_to_json, rollups_to_json
 
 ONE_STATEFUL = "spark.sql.streaming.statefulOperator.allowMultiple"
@@ -56,45 +58,69 @@ def _require_stateless(readings: DataFrame) -> None:
         raise ValueError(f"a rollup query must be its only stateful operator; input has {found}")
 
 
-def windowed(readings: DataFrame, window: str, grace: str, dedup: bool = False) -> DataFrame:
+def windowed(readings: DataFrame, window: str, grace: str) -> DataFrame:
     """Final-only rollups of a stream of readings.
 
     ``grace`` is required: the longest dropout the source can have is its lower
-    bound. ``dedup`` drops replayed readings first, which otherwise count twice while
-    their window is open; it adds a second stateful operator.
+    bound. Replayed readings count twice while their window is open; where that matters, put
+    ``start_distinct`` before.
     """
     _require_stateless(readings)
-    marked = readings.withWatermark("event_time", grace)
-    if dedup:
-        marked = marked.dropDuplicatesWithinWatermark(KEY)
-    return rollup(marked, window)
+    return rollup(readings.withWatermark("event_time", grace), window)
+
+
+def start_distinct(
+    readings: DataFrame, grace: str, topic: Topic, checkpoint: str, wire_format: str = "protobuf", **trigger
+) -> StreamingQuery:
+    """Publish each reading once, as it arrives: replays within ``grace`` are dropped.
+
+    A query of its own, so that the rollups behind it stay their query's only stateful
+    operator and keep the exact late rule. Readings later than ``grace`` are dropped here.
+    """
+    _require_stateless(readings)
+    once = readings.withWatermark("event_time", grace).dropDuplicatesWithinWatermark(KEY)
+    records = event_records(once, wire_format)
+    return _start(topic.sink(records, checkpoint), readings.sparkSession, True, **trigger)
 
 
 def start_rollups(
-    readings: DataFrame, window: str, grace: str, topic: Topic, checkpoint: str, dedup: bool = False, **trigger
+    readings: DataFrame, window: str, grace: str, topic: Topic, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Publish the rollups of one window length. Start one query per length.
+    """Publish the rollups of one window length. Start one query per length, on one topic.
 
     Two lengths share nothing but the source: each has its own state, and late rules
     apply to the readings, so a longer window is never built from a shorter one here.
     """
-    records = rollups_to_json(windowed(readings, window, grace, dedup))
-    return _start(topic.sink(records, checkpoint), readings.sparkSession, not dedup, **trigger)
+    records = rollups_to_json(windowed(readings, window, grace))
+    sink = topic.sink(records, checkpoint, iso_duration(window) if topic.writers else None)
+    return _start(sink, readings.sparkSession, True, **trigger)
 
 
 def start_alerts(
     rollups: DataFrame, rules: DataFrame, topic: Topic, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Publish alerts from the published rollups: stateless, so no second window state."""
+    """Publish alerts from the published rollups of every length: stateless, so no second window state."""
     records = alerts_to_json(alerts_for(rollups, rules))
     return _start(topic.sink(records, checkpoint), rollups.sparkSession, True, **trigger)
 
 
 def start_session_stats(rollups: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep running per-series statistics; each batch writes the series that changed."""
+    """Keep running per-series statistics: one table of all series, however long the stream runs.
+
+    Each batch writes the next version, the series that changed over the ones before, and
+    drops what the version before it was made from. A repeated batch makes the same version.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        files, earlier = Files(spark), [n for n in _versions(spark, path) if n < batch_id]
+        rows = batch
+        if earlier:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/version={earlier[-1]}")
+            rows = batch.unionByName(before.join(batch.select(*SERIES), SERIES, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for number in earlier[:-1]:
+            files.delete(f"{path}/version={number}")
 
     writer = (
         session_stats(rollups)
@@ -107,9 +133,14 @@ def start_session_stats(rollups: DataFrame, path: str, checkpoint: str, **trigge
 
 def current_session(spark: SparkSession, path: str) -> DataFrame:
     """The newest statistics of each series written by ``start_session_stats``."""
-    written = spark.read.parquet(path)
-    names = ["peak", "mean", "samples"]
-    return written.groupBy(*SERIES).agg(*[F.max_by(name, "batch").alias(name) for name in names])
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, ascending."""
+    files = Files(spark)
+    found = [int(name.split("=")[1]) for name in files.children(path) if name.startswith("version=")]
+    return sorted(number for number in found if files.exists(f"{path}/version={number}/_SUCCESS"))
 
 
 def dropped_rows(query: StreamingQuery) -> int:

@@ -20,7 +20,8 @@ class Feed:
         self.events = topics.Topic(topics.EVENTS, root=root)
         self.rollups = topics.Topic(topics.ROLLUPS, root=root)
         self.alerts = topics.Topic(topics.ALERTS, root=root)
-        for topic in (self.events, self.rollups, self.alerts):
+        self.once = topics.Topic(topics.EVENTS, root=f"{root}/once")
+        for topic in (self.events, self.rollups, self.alerts, self.once):
             Files(spark).make(topic.path)
 
     def send(self, rows, together=False):
@@ -34,9 +35,17 @@ class Feed:
             topics.read_events(self.spark, self.events, self.wire_format, per_trigger=1)
         )
 
-    def roll(self, grace="10 seconds", window="1 second", **options):
+    def roll(self, grace="10 seconds", window="1 second", distinct=False):
+        readings = self.readings()
+        if distinct:
+            live.start_distinct(
+                readings, grace, self.once, f"{self.root}/check-once", self.wire_format, **ONCE
+            ).awaitTermination()
+            readings = wire.good_readings(
+                topics.read_events(self.spark, self.once, self.wire_format, per_trigger=1)
+            )
         query = live.start_rollups(
-            self.readings(), window, grace, self.rollups, f"{self.root}/check-{window}", **options, **ONCE
+            readings, window, grace, self.rollups, f"{self.root}/check-{window}", **ONCE
         )
         query.awaitTermination()
         return query
@@ -108,14 +117,53 @@ def test_alerts_and_session_follow_the_rollups(spark, place):
     ]
 
 
-@pytest.mark.parametrize("dedup, count", [(False, 2), (True, 1)])
-def test_replays_inside_grace_count_twice_unless_deduplicated(spark, place, dedup, count):
+@pytest.mark.parametrize("distinct, count", [(False, 2), (True, 1)])
+def test_replays_inside_grace_count_twice_unless_deduplicated(spark, place, distinct, count):
     feed = Feed(spark, place)
     feed.send([speed(0.1, 200), speed(0.1, 200), tick(12), tick(40)])
-    feed.roll(dedup=dedup)
+    feed.roll(distinct=distinct)
     assert [row[0] for row in feed.published()] == [count]
 
 
+def test_deduplication_keeps_the_late_rule(spark, place):
+    feed = Feed(spark, place)
+    rows, grace, expected = CASES["late after"]
+    feed.send(rows)
+    feed.roll(grace, distinct=True)
+    assert feed.published() == expected
+
+
+def test_session_statistics_keep_one_table(spark, place):
+    feed = Feed(spark, place)
+    for second in range(4):
+        feed.send([speed(20 * second + 0.1, 100 + second), tick(20 * second + 15)])
+        feed.roll()
+        live.start_session_stats(
+            topics.read_rollups(spark, feed.rollups), f"{place}/session", f"{place}/check-session", **ONCE
+        ).awaitTermination()
+    assert len(Files(spark).children(f"{place}/session")) <= 2
+    session = live.current_session(spark, f"{place}/session").filter("car_id = 'CAR-01'")
+    assert values(session, "peak", "samples") == [(103.0, 4)]
+
+
+def test_two_lengths_share_a_topic(spark, place):
+    feed = Feed(spark, place)
+    feed.rollups = topics.Topic(topics.ROLLUPS, root=place, writers=("PT1S", "PT1M"))
+    for path in feed.rollups.paths:
+        Files(spark).make(path)
+    feed.send([speed(0.1, 200), speed(1.5, 400), tick(200)], together=True)
+    feed.roll()
+    feed.roll(window="1 minute")
+    assert [row[0] for row in feed.published()] == [1, 1, 2]
+    with pytest.raises(ValueError):
+        feed.roll(window="1 hour")
+    live.start_alerts(
+        topics.read_rollups(spark, feed.rollups), alert_rules(spark, [("speed", 350.0)]), feed.alerts,
+        f"{place}/check-alerts", **ONCE,
+    ).awaitTermination()
+    assert wire.json_to_alerts(feed.alerts.table(spark)).count() == 2
+
+
 def test_a_rollup_query_refuses_stateful_input(spark, place):
     feed = Feed(spark, place)
     once = feed.readings().withWatermark("event_time", "1 second").dropDuplicatesWithinWatermark(["car_id"])
@@ -140,6 +188,8 @@ def test_streaming_ingest_is_idempotent(spark, place):
 
     run(f"{place}/check-ingest")
     assert values(store.read("raw"), "value") == [1.0, 2.0, 3.0]
+    counted = store.metrics().selectExpr("sum(received)", "sum(dead_letters)", "sum(consumed)").first()
+    assert tuple(counted) == (6, 1, 5)
     dead = spark.read.parquet(f"{place}/dead")
     assert values(dead, "offset", "error") == [(99, "unsupported wire type")]
     # A lost checkpoint replays the whole topic, cut into other batches: nothing changes.

@@ -180,6 +180,26 @@ def test_sliced_columns_are_encoded_by_their_own_rows():
     assert codec.decode(codec.encode(*columns).slice(1)).to_pylist()[0]["car_id"] == "car"
 
 
+@pytest.mark.parametrize("millis", [2**62, -(2**63), 253_402_300_800_000, -62_135_596_800_001])
+def test_a_time_no_calendar_has_is_a_dead_letter(spark, millis):
+    payload = bytes(codec.encode(*arrays([("CAR-01", "speed", millis, 0, 1.5, 7)]))[0].as_py())
+    raw = spark.createDataFrame([("k", payload, 0, 4, W)], "key string, value binary, partition int, offset bigint, timestamp timestamp")
+    decoded = wire.decode(raw)
+    assert values(wire.dead_letters(decoded), "offset", "error") == [(4, "invalid time")]
+    assert wire.good_readings(decoded).isEmpty()
+
+
+def test_broken_rollups_and_alerts_are_kept_apart(spark):
+    whole = '{"carId":"C","sensorId":"s","windowLength":"PT1S","windowStart":"2026-08-23T12:00:00.000000Z","windowEnd":"2026-08-23T12:00:01.000000Z","count":1,"average":1.0,"minimum":1.0,"maximum":1.0}'
+    texts = [whole, "{oops", whole.replace('"C"', "null"), whole.replace('"count":1,', ""), "[]"]
+    raw = spark.createDataFrame([(text.encode(), W) for text in texts] + [(None, W)], "value binary, timestamp timestamp")
+    assert wire.json_to_rollups(raw).count() == 1
+    bad = wire.bad_records(wire.decode_rollups(raw))
+    assert values(bad, "error") == ["invalid record", "invalid record", "missing field", "missing field"]
+    assert wire.json_to_alerts(raw).isEmpty()
+    assert wire.bad_records(wire.decode_alerts(raw)).count() == 5
+
+
 def test_events_are_keyed_by_car_into_partitions(spark, place):
     topic = topics.Topic(topics.EVENTS, root=place)
     events = readings(spark, [(f"CAR-{n % 20 + 1:02d}", "speed", n, n) for n in range(200)])
