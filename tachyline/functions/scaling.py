@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 
 def fraction_of_range(value: Column, low: Column, high: Column) -> Column:
-    """Position of ``value`` within [low, high], clamped to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+    """Position of ``value`` within [low, high], clamped to 0..1; null where the range is empty."""
+    place = F.try_divide(value - low, high - low)
+    return F.when(place.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)))
 
 
 def lane_position(value: Column, low: Column, high: Column) -> Column:

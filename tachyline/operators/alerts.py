@@ -33,7 +33,7 @@ def alerts_for(rollups: DataFrame, rules: DataFrame, carry: tuple[str, ...] = ()
     )
 
 
-def recent_alerts(alerts: DataFrame, n: int = 200, arrival: str = "window_end") -> DataFrame:
+def recent_alerts(alerts: DataFrame, n: int, arrival: str = "window_end") -> DataFrame:
     """The ``n`` newest alerts, newest first by arrival; other columns break ties."""
     return alerts.orderBy(
         F.col(arrival).desc(), "car_id", "sensor_id", "window_start", "threshold"

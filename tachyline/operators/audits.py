@@ -153,9 +153,15 @@ def nan_audit(events: DataFrame) -> DataFrame:
 def ingest_summary(metrics: DataFrame) -> DataFrame:
     """Totals and distributions over the per-batch ingest metrics table."""
     return metrics.agg(
+        F.sum("received").alias("received"),
+        F.sum("null_records").alias("null_records"),
+        F.sum("dead_letters").alias("dead_letters"),
         F.sum("consumed").alias("consumed"),
         F.sum("written").alias("written"),
         F.sum("duplicates").alias("duplicates"),
         F.max("consumed").alias("largest_batch"),
+        F.percentile("consumed", 0.5).alias("batch_p50"),
+        F.percentile("consumed", 0.95).alias("batch_p95"),
+        (F.sum("consumed") / (F.sum("write_ms") / F.lit(1000.0))).alias("consumed_per_second"),
         F.percentile_approx("write_ms", [0.5, 0.95, 0.99]).alias("write_ms_p50_p95_p99"),
     )

@@ -27,11 +27,11 @@ def session_stats(rollups: DataFrame) -> DataFrame:
 
 
 def latest_reading(rollups: DataFrame, arrival: str = "window_end") -> DataFrame:
-    """The last rollup of each series by arrival."""
+    """The last one-second rollup of each series by arrival."""
     # One max_by per fixed-width column keeps this a HashAggregate; a struct would
     # force a sort-based aggregation.
     kept = [name for name in ("window_start", "count", "average", "minimum", "maximum") if name != arrival]
-    return rollups.groupBy(*SERIES).agg(
+    return of_length(rollups).groupBy(*SERIES).agg(
         *[F.max_by(name, arrival).alias(name) for name in kept], F.max(arrival).alias(arrival)
     )
 

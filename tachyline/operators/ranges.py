@@ -8,10 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tachyline.functions.time import at, instant
+from tachyline.schemas import SERIES
 
 ROLLUP_COLUMNS = ["car_id", "sensor_id", "bucket", "samples", "average", "minimum", "maximum"]
-MAX_ROWS = 5000
-MAX_CHANNELS = 6
 
 
 class NothingFound(LookupError):
@@ -30,8 +29,8 @@ def default_range(
 def in_range(rollups: DataFrame, start: str | dt.datetime, end: str | dt.datetime) -> DataFrame:
     """Buckets in [start, end).
 
-    On a stored table the date partition column is bounded as well, so that Spark
-    lists and reads only those directories; it cannot derive that from the bucket.
+    On a stored table the date partition column is bounded as well: Spark can't derive it from
+    the bucket. It prunes reading, not listing; ``Store.rollups_between`` prunes both.
     """
     since, until = instant(start), instant(end)
     kept = rollups.filter(
@@ -48,17 +47,32 @@ def find_rollups(
     sensor_id: str,
     start: str | dt.datetime,
     end: str | dt.datetime,
-    limit: int = MAX_ROWS,
+    limit: int | None = None,
     on_empty: str = "empty",
 ) -> DataFrame:
-    """One series in [start, end), oldest first; a cut range keeps the oldest rows."""
+    """One series in [start, end), oldest first, whole unless ``limit`` is given.
+
+    A cut range keeps the oldest rows, and ``truncated`` on each row says that it is cut.
+    """
     found = (
         in_range(rollups, start, end)
         .filter((F.col("car_id") == car_id) & (F.col("sensor_id") == sensor_id))
         .select(*ROLLUP_COLUMNS)
         .orderBy("bucket")
-        .limit(limit)
     )
+    if limit is None:
+        found = found.withColumn("truncated", F.lit(False))
+    else:
+        # One row more than asked for tells whether there are more.
+        order = Window.partitionBy(*SERIES).orderBy("bucket")
+        whole = Window.partitionBy(*SERIES)
+        found = (
+            found.limit(limit + 1)
+            .withColumns({"_rank": F.row_number().over(order), "truncated": F.count(F.lit(1)).over(whole) > limit})
+            .filter(F.col("_rank") <= limit)
+            .drop("_rank")
+            .orderBy("bucket")
+        )
     if on_empty == "raise" and found.isEmpty():
         raise NothingFound(f"no rollups for {car_id}/{sensor_id}")
     return found
@@ -70,10 +84,10 @@ def is_truncated(
     sensor_id: str,
     start: str | dt.datetime,
     end: str | dt.datetime,
-    limit: int = MAX_ROWS,
+    limit: int,
 ) -> bool:
     """Whether ``find_rollups`` with this limit leaves rows out."""
-    return find_rollups(rollups, car_id, sensor_id, start, end, limit + 1).count() > limit
+    return not find_rollups(rollups, car_id, sensor_id, start, end, limit).filter("truncated").isEmpty()
 
 
 def find_channels(
@@ -82,20 +96,23 @@ def find_channels(
     sensor_ids: Sequence[str],
     start: str | dt.datetime,
     end: str | dt.datetime,
-    limit: int = MAX_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Up to six channels of one car in a single scan, ``limit`` oldest rows of each."""
-    if not 1 <= len(sensor_ids) <= MAX_CHANNELS:
-        raise ValueError(f"between 1 and {MAX_CHANNELS} channels")
-    oldest = F.row_number().over(Window.partitionBy("car_id", "sensor_id").orderBy("bucket"))
-    return (
+    """Channels of one car in a single scan; with a ``limit``, each one's oldest rows.
+
+    ``truncated`` says for each row whether its channel is cut.
+    """
+    found = (
         in_range(rollups, start, end)
         .filter((F.col("car_id") == car_id) & F.col("sensor_id").isin(list(sensor_ids)))
         .select(*ROLLUP_COLUMNS)
-        .withColumn("_rank", oldest)
-        .filter(F.col("_rank") <= limit)
-        .drop("_rank")
     )
+    if limit is None:
+        return found.withColumn("truncated", F.lit(False))
+    oldest = F.row_number().over(Window.partitionBy(*SERIES).orderBy("bucket"))
+    kept = found.withColumn("_rank", oldest).filter(F.col("_rank") <= limit + 1)
+    more = F.max("_rank").over(Window.partitionBy(*SERIES)) > limit
+    return kept.withColumn("truncated", more).filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def cars(rollups: DataFrame) -> DataFrame:

@@ -30,15 +30,15 @@ def _rules(rules: list[tuple[str, float]]) -> str:
 
 
 READINGS = """readings AS (
-  SELECT 'CAR-' || lpad(CAST(user_id % 5 + 1 AS VARCHAR), 2, '0') AS car_id, event_type AS sensor_id,
+  SELECT format('CAR-{:02d}', user_id % 5 + 1) AS car_id, event_type AS sensor_id,
          ts AS event_time, value, event_id AS sequence_no, event_id AS arrival
   FROM events)"""
 CHANNELS = (
     _catalogue(len(BASE_CHANNELS))
     + """, laps AS (
-  SELECT 'CAR-' || lpad(CAST(user_id % 5 + 1 AS VARCHAR), 2, '0') AS car_id, c.sensor_id,
+  SELECT format('CAR-{:02d}', user_id % 5 + 1) AS car_id, c.sensor_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 30) AS event_time,
-         c.minimum_value + (c.maximum_value - c.minimum_value) * least(1.2::DOUBLE, e.value / 207.0::DOUBLE) AS value,
+         c.minimum_value + (c.maximum_value - c.minimum_value) * (e.value / 207.0::DOUBLE) AS value,
          event_id AS sequence_no, event_id AS arrival
   FROM events e JOIN catalogue c ON c.number = event_id % 40)"""
 )
@@ -93,6 +93,9 @@ def _window(source: str, code: str) -> str:
 FROM {source} GROUP BY ALL"""
 
 
+SPREAD = f"""{READINGS}, spread AS (
+  SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(sequence_no * 7000) AS event_time)
+  FROM readings)"""
 LIVE = f"{CHANNELS}, lives AS ({_window('laps', 'PT1S')} UNION ALL {_window('laps', 'PT1M')})"
 SECONDS = f"{CHANNELS}, seconds AS ({_window('laps', 'PT1S')})"
 ALERTS = """alerts AS (
@@ -176,7 +179,7 @@ def _dense() -> str:
     rows = [(name, *ranges[name]) for name in SEED_CHANNELS]
     return f"""seed(sensor_id, low, high) AS (VALUES {_values(rows)}),
 dense AS (
-  SELECT 'CAR-' || lpad(CAST(user_id % 5 + 1 AS VARCHAR), 2, '0') AS car_id, sensor_id,
+  SELECT format('CAR-{{:02d}}', user_id % 5 + 1) AS car_id, sensor_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 30) AS event_time,
          low + (high - low) * (0.5::DOUBLE + 0.45::DOUBLE * sin(event_id / 3000.0::DOUBLE + (user_id % 5 + 1))) AS value
   FROM events, seed)"""
@@ -186,6 +189,15 @@ def _closed(grace: str) -> str:
     return f"window_end <= (SELECT max(event_time) FROM laps) - INTERVAL '{grace}'"
 
 
+def _on_time(source: str) -> str:
+    """Readings whose window is still open by the stream time of the part before."""
+    return f"""turn AS (SELECT min(arrival) AS turn FROM replayed WHERE replayed),
+past AS (SELECT max(event_time) - INTERVAL '2 seconds' AS mark FROM replayed, turn WHERE arrival < turn),
+on_time AS (
+  SELECT s.* FROM {source} s, turn, past
+  WHERE arrival < turn OR time_bucket(INTERVAL '1 second', event_time) + INTERVAL '1 second' > mark)"""
+
+
 def _current(sensor: str, column: str = "average") -> str:
     return f"arg_max({column}, window_end) FILTER (WHERE sensor_id = '{sensor}')"
 
@@ -261,13 +273,14 @@ ORACLES: dict[str, str] = {
         round(low, 6) AS low, round(high, 6) AS high,
         round((average - low) / coalesce(nullif(high - low, 0), 1), 6) AS lane
       FROM minutes m JOIN spans s ON m.car_id = s.car_id AND m.sensor_id = s.sensor_id""",
-    "find_rollups_1m": f"""{EVENT_MINUTES} SELECT {ROLLUP} FROM minutes
+    "find_rollups_1m": f"""{EVENT_MINUTES} SELECT {ROLLUP}, false AS truncated FROM minutes
         WHERE car_id = 'CAR-01' AND sensor_id = 'click' AND bucket >= TIMESTAMP '2024-01-08 00:00:00'
-          AND bucket < TIMESTAMP '2024-01-12 00:00:00' ORDER BY bucket LIMIT 5000""",
-    "find_rollups_1h": f"""{EVENT_MINUTES}, {HOURS} SELECT {ROLLUP} FROM hours
+          AND bucket < TIMESTAMP '2024-01-12 00:00:00'""",
+    "find_rollups_1h": f"""{EVENT_MINUTES}, {HOURS} SELECT {ROLLUP}, count(*) OVER () > 100 AS truncated FROM hours
         WHERE car_id = 'CAR-03' AND sensor_id = 'view' AND bucket >= TIMESTAMP '2024-01-05 12:00:00'
           AND bucket < TIMESTAMP '2024-01-20 07:00:00' ORDER BY bucket LIMIT 100""",
-    "find_channels": f"""{EVENT_MINUTES} SELECT {ROLLUP} FROM (SELECT * FROM minutes
+    "find_channels": f"""{EVENT_MINUTES} SELECT {ROLLUP}, truncated FROM (
+        SELECT *, count(*) OVER (PARTITION BY car_id, sensor_id) > 50 AS truncated FROM minutes
         WHERE car_id = 'CAR-02' AND sensor_id IN ('click', 'view', 'purchase')
           AND bucket >= TIMESTAMP '2024-01-03 00:00:00' AND bucket < TIMESTAMP '2024-01-25 00:00:00'
         QUALIFY row_number() OVER (PARTITION BY car_id, sensor_id ORDER BY bucket) <= 50)""",
@@ -335,6 +348,10 @@ ORACLES: dict[str, str] = {
       SELECT car_id, sensor_id, readings,
         round(readings / CAST((SELECT sum(readings) FROM counts) AS DOUBLE), 6) AS share,
         round(readings / (SELECT avg(readings) FROM counts), 6) AS to_mean FROM counts""",
+    "partition_skew": """WITH counts AS (SELECT user_id % 12 AS "partition", count(*) AS readings FROM events GROUP BY 1)
+      SELECT "partition", readings,
+        round(readings / CAST((SELECT sum(readings) FROM counts) AS DOUBLE), 6) AS share,
+        round(readings / (SELECT avg(readings) FROM counts), 6) AS to_mean FROM counts""",
     "target_rate": f"""WITH {CHANNELS} SELECT CAST(floor(1.5 * (SELECT count(DISTINCT car_id) FROM laps)
         * sum(rate_hz) + 0.5) AS BIGINT) AS target_events_per_second
         FROM catalogue WHERE sensor_id IN (SELECT sensor_id FROM laps)""",
@@ -373,6 +390,29 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM replayed WHERE arrival >= start_at AND arrival < end_at)
           - (SELECT count(*) FROM firsts WHERE arrival >= start_at AND arrival < end_at) AS duplicates
       FROM edges""",
+    "ingest_summary": f"""WITH {REPLAYED}, {FIRST}, bounds AS (
+        SELECT min(arrival) AS low, max(arrival) - min(arrival) + 1 AS width FROM replayed),
+      parts(batch_id) AS (VALUES (0), (1), (2)),
+      edges AS (SELECT low + width * batch_id // 3 AS start_at, low + width * (batch_id + 1) // 3 AS end_at
+        FROM parts, bounds),
+      batches AS (SELECT (SELECT count(*) FROM replayed WHERE arrival >= start_at AND arrival < end_at) AS consumed
+        FROM edges),
+      totals AS (SELECT CAST(sum(consumed) AS BIGINT) AS consumed, max(consumed) AS largest_batch,
+          quantile_cont(consumed, 0.5) AS batch_p50, quantile_cont(consumed, 0.95) AS batch_p95 FROM batches)
+      SELECT consumed AS received, CAST(0 AS BIGINT) AS null_records, CAST(0 AS BIGINT) AS dead_letters, consumed,
+        (SELECT count(*) FROM firsts) AS written, consumed - (SELECT count(*) FROM firsts) AS duplicates,
+        largest_batch, CAST(batch_p50 AS DOUBLE) AS batch_p50, CAST(batch_p95 AS DOUBLE) AS batch_p95 FROM totals""",
+    "record_accounting": f"""WITH {READINGS}, goods AS (SELECT * FROM readings WHERE sequence_no % 8 NOT IN (1, 3, 5)),
+      totals AS (SELECT (SELECT count(*) FROM readings) AS received,
+        (SELECT count(*) FROM readings WHERE sequence_no % 8 = 3) AS null_records,
+        (SELECT count(*) FROM readings WHERE sequence_no % 8 IN (1, 5)) AS dead_letters,
+        (SELECT count(*) FROM goods) AS consumed,
+        (SELECT count(*) FROM (SELECT DISTINCT car_id, sensor_id, event_time FROM goods)) AS written)
+      SELECT *, consumed - written AS duplicates FROM totals""",
+    "stored_dead_letters": f"""WITH {READINGS} SELECT
+        CASE sequence_no % 8 WHEN 1 THEN 'truncated message' ELSE 'invalid time' END AS error,
+        count(*) AS records, CAST(sum(sequence_no) AS BIGINT) AS offsets
+      FROM readings WHERE sequence_no % 8 IN (1, 5) GROUP BY 1""",
     "unkeyed_append": f"""WITH {REPLAYED}, {KEYED} SELECT CAST(sum(copies) AS BIGINT) AS "rows",
         count(*) AS distinct_readings, CAST(sum(copies - 1) AS BIGINT) AS duplicates FROM copies""",
     "migrated_readings": f"WITH {REPLAYED}, {FIRST} SELECT {READING} FROM firsts",
@@ -384,6 +424,23 @@ ORACLES: dict[str, str] = {
       SELECT {ROLLUP} FROM hours, ends
         WHERE bucket >= now_at - INTERVAL '7 days'
           AND bucket < time_bucket(INTERVAL '1 hour', now_at - INTERVAL '1 hour')""",
+    "stepwise_rollup_1m": f"""WITH {SPREAD}, {MINUTES.format(source='spread')},
+      ends AS (SELECT max(event_time) AS now_at FROM spread)
+      SELECT {ROLLUP} FROM minutes, ends WHERE bucket < time_bucket(INTERVAL '1 minute', now_at - INTERVAL '1 minute')""",
+    "stepwise_rollup_1h": f"""WITH {SPREAD}, {MINUTES.format(source='spread')}, {HOURS},
+      ends AS (SELECT max(event_time) AS now_at FROM spread)
+      SELECT {ROLLUP} FROM hours, ends WHERE bucket < time_bucket(INTERVAL '1 hour', now_at - INTERVAL '1 hour')""",
+    "archived_twice": f"""WITH {READINGS}, ends AS (SELECT max(event_time) - INTERVAL '7 days' AS cut FROM readings),
+      both_batches AS (SELECT CAST(0 AS BIGINT) AS batch_id, car_id, event_time, sequence_no FROM readings
+        UNION ALL SELECT 1, 'CAR-77', event_time, sequence_no FROM readings WHERE sequence_no % 10 = 0
+          QUALIFY row_number() OVER (PARTITION BY sensor_id, event_time ORDER BY arrival) = 1)
+      SELECT batch_id, car_id, count(*) AS readings, CAST(sum(sequence_no) AS BIGINT) AS numbers
+      FROM both_batches, ends WHERE time_bucket(INTERVAL '1 day', event_time) + INTERVAL '1 day' <= cut GROUP BY 1, 2""",
+    "storage_report": f"""{EVENT_MINUTES}, {HOURS} SELECT 'raw' AS layout,
+        (SELECT count(*) FROM (SELECT DISTINCT car_id, sensor_id, event_time FROM readings)) AS "rows",
+        true AS has_files, true AS has_bytes
+      UNION ALL SELECT 'rollup_1m', (SELECT count(*) FROM minutes), true, true
+      UNION ALL SELECT 'rollup_1h', (SELECT count(*) FROM hours), true, true""",
     "backfilled_rollup_1h": f"{EVENT_MINUTES}, {HOURS} SELECT {ROLLUP} FROM hours",
     "compacted_readings": f"WITH {REPLAYED}, {FIRST} SELECT {READING}, arrival, 1 AS batches FROM firsts",
     "retained_readings": f"""WITH {READINGS}, ends AS (SELECT max(event_time) - INTERVAL '7 days' AS cut FROM readings)
@@ -398,12 +455,16 @@ ORACLES: dict[str, str] = {
     "stream_rollups_1s": f"WITH {LIVE} SELECT {LIVE_ROW} FROM lives WHERE window_length = 'PT1S' AND {_closed('10 seconds')}",
     "stream_rollups_1m": f"WITH {LIVE} SELECT {LIVE_ROW} FROM lives WHERE window_length = 'PT1M' AND {_closed('10 seconds')}",
     "stream_alerts": f"""WITH {LIVE}, closed AS (
-        SELECT * FROM lives WHERE window_length = 'PT1S' AND {_closed('10 seconds')}),
+        SELECT * FROM lives WHERE {_closed('10 seconds')}),
       {_rules(RULES)}, {ALERTS.format(rollups='closed')} SELECT {ALERT} FROM alerts""",
     "stream_session_stats": f"""WITH {LIVE} SELECT car_id, sensor_id, round(max(maximum), 6) AS peak,
         round(sum(average * "count") / sum("count"), 6) AS mean, CAST(sum("count") AS BIGINT) AS samples
         FROM lives WHERE window_length = 'PT1S' AND {_closed('10 seconds')} GROUP BY 1, 2""",
     "stream_ingest": f"WITH {CHANNELS} SELECT {READING} FROM laps",
-    "stream_dedup_rollups": f"""WITH {REPLAYED}, {FIRST}, seconds AS ({_window('firsts', 'PT1S')})
-      SELECT {LIVE_ROW} FROM seconds WHERE {_closed('30 seconds')}""",
+    "stream_late_rollups": f"""WITH {REPLAYED}, {_on_time('replayed')}, seconds AS ({_window('on_time', 'PT1S')})
+      SELECT {LIVE_ROW} FROM seconds WHERE {_closed('2 seconds')}""",
+    "stream_dedup_rollups": f"""WITH {REPLAYED}, {FIRST}, {_on_time('firsts')},
+      seconds AS ({_window('on_time', 'PT1S')}) SELECT {LIVE_ROW} FROM seconds WHERE {_closed('2 seconds')}""",
+    "stream_dropped": f"""WITH {REPLAYED}, {_on_time('replayed')}
+      SELECT (SELECT count(*) FROM replayed) - (SELECT count(*) FROM on_time) AS dropped""",
 }

@@ -17,9 +17,10 @@ from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
 from tachyline.streaming import live
 from tachyline.workload.stores import (
-    DROPOUT, RULES, LiveRun, dropout_plan, history, ingested, live_run, new_store, one_batch, published,
-    replayed,
+    DROPOUT, RULES, LiveRun, accounted, around_replay, dropout_plan, history, ingested, live_run, new_store,
+    one_batch, published, replayed, slices, spread_readings,
 )
+from tachyline.workload.stores import _once as built_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,7 +106,7 @@ def alerts_fired(spark, sf_dir):
 
 @query
 def recent_alerts(spark, sf_dir):
-    return rounded(alerts.recent_alerts(raised(spark, sf_dir)), "observed_maximum")
+    return rounded(alerts.recent_alerts(raised(spark, sf_dir), 200), "observed_maximum")
 
 
 @query
@@ -187,23 +188,23 @@ def lane_scale(spark, sf_dir):
 @query
 def find_rollups_1m(spark, sf_dir):
     start, end = ranges.default_range("2024-01-12 00:00:00", start="2024-01-08 00:00:00")
-    minutes = history(spark, sf_dir).rollups("ONE_MINUTE")
+    minutes = history(spark, sf_dir).rollups_between("ONE_MINUTE", start, end)
     return rounded(ranges.find_rollups(minutes, "CAR-01", "click", start, end), "average")
 
 
 @query
 def find_rollups_1h(spark, sf_dir):
-    hours = history(spark, sf_dir).rollups("ONE_HOUR")
-    found = ranges.find_rollups(hours, "CAR-03", "view", "2024-01-05 12:00:00", "2024-01-20 07:00:00", 100)
+    start, end = "2024-01-05 12:00:00", "2024-01-20 07:00:00"
+    hours = history(spark, sf_dir).rollups_between("ONE_HOUR", start, end)
+    found = ranges.find_rollups(hours, "CAR-03", "view", start, end, 100)
     return rounded(found, "average")
 
 
 @query
 def find_channels(spark, sf_dir):
-    minutes = history(spark, sf_dir).rollups()
-    found = ranges.find_channels(
-        minutes, "CAR-02", ["click", "view", "purchase"], "2024-01-03 00:00:00", "2024-01-25 00:00:00", 50
-    )
+    start, end = "2024-01-03 00:00:00", "2024-01-25 00:00:00"
+    minutes = history(spark, sf_dir).rollups_between("ONE_MINUTE", start, end)
+    found = ranges.find_channels(minutes, "CAR-02", ["click", "view", "purchase"], start, end, 50)
     return rounded(found, "average")
 
 
@@ -395,8 +396,9 @@ def skew_report(spark, sf_dir):
 
 @query
 def partition_skew(spark, sf_dir):
-    """How evenly the cars spread over the topic's partitions."""
-    keyed = event_readings(spark, sf_dir).withColumn("partition", topics.partition_of("car_id"))
+    """How evenly the readings spread over twelve partitions by user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    keyed = events.withColumn("partition", F.col("user_id") % 12)
     return rounded(audits.skew_report(keyed, ["partition"]), "share", "to_mean")
 
 
@@ -530,7 +532,25 @@ def ingest_metrics(spark, sf_dir):
 
 @query
 def ingest_summary(spark, sf_dir):
-    return audits.ingest_summary(ingested(spark, sf_dir).metrics())
+    """Counts and batch sizes; the wall-clock columns are left out."""
+    return audits.ingest_summary(ingested(spark, sf_dir).metrics()).select(
+        "received", "null_records", "dead_letters", "consumed", "written", "duplicates",
+        "largest_batch", "batch_p50", "batch_p95",
+    )
+
+
+@query
+def record_accounting(spark, sf_dir):
+    """What became of every record of a topic on which three in eight are broken."""
+    return audits.ingest_summary(accounted(spark, sf_dir).metrics()).select(
+        "received", "null_records", "dead_letters", "consumed", "written", "duplicates"
+    )
+
+
+@query
+def stored_dead_letters(spark, sf_dir):
+    rows = spark.read.parquet(accounted(spark, sf_dir).path("dead_letters"))
+    return rows.groupBy("error").agg(F.count(F.lit(1)).alias("records"), F.sum("offset").alias("offsets"))
 
 
 @query
@@ -552,11 +572,11 @@ def migrated_readings(spark, sf_dir):
 
 @query
 def refreshed_rollup_1m(spark, sf_dir):
-    """Two refreshes: the first sees one batch, the second only what changed since."""
+    """Two refreshes: the second finds by itself that its chunks have grown into range."""
     store = one_batch(channel_readings(spark, sf_dir), "refresh")
     lifecycle.refresh_rollup_1m(store, "2024-01-01 00:02:30")
     until = newest(store.read("raw"))
-    lifecycle.refresh_rollup_1m(store, until, since_batch=-1)
+    lifecycle.refresh_rollup_1m(store, until)
     return rounded(
         store.rollups().select(*ranges.ROLLUP_COLUMNS), "average", "minimum", "maximum"
     )
@@ -572,6 +592,34 @@ def refreshed_rollup_1h(spark, sf_dir):
     return rounded(store.rollups("ONE_HOUR").select(*ranges.ROLLUP_COLUMNS), "average")
 
 
+def _refreshed_in_steps(spark: SparkSession, sf_dir: str) -> Store:
+    """Three batches over several hours, both aggregates refreshed after each, never in full."""
+
+    def build() -> Store:
+        store = new_store(spark, "steps")
+        rows = spread_readings(spark, sf_dir)
+        for number, part in enumerate(slices(rows)):
+            ingest.ingest_batch(part, number, store)
+            now = newest(part)
+            lifecycle.refresh_rollup_1m(store, now)
+            lifecycle.refresh_rollup_1h(store, now)
+        return store
+
+    return built_once(spark, sf_dir, "steps", build)
+
+
+@query
+def stepwise_rollup_1m(spark, sf_dir):
+    store = _refreshed_in_steps(spark, sf_dir)
+    return rounded(store.rollups().select(*ranges.ROLLUP_COLUMNS), "average")
+
+
+@query
+def stepwise_rollup_1h(spark, sf_dir):
+    store = _refreshed_in_steps(spark, sf_dir)
+    return rounded(store.rollups("ONE_HOUR").select(*ranges.ROLLUP_COLUMNS), "average")
+
+
 @query
 def backfilled_rollup_1h(spark, sf_dir):
     return rounded(
@@ -609,30 +657,48 @@ def retained_readings(spark, sf_dir):
     )
 
 
+@query
+def archived_twice(spark, sf_dir):
+    """Late readings of a chunk archived before: known ones are refused, new ones archived beside."""
+    store = one_batch(event_readings(spark, sf_dir), "archived", chunk_hours=24)
+    until = newest(store.read("raw"))
+    lifecycle.archive_cold(store, until)
+    late = event_readings(spark, sf_dir).filter(F.col("sequence_no") % 5 == 0)
+    moved = late.filter(F.col("sequence_no") % 10 == 0).withColumn("car_id", F.lit("CAR-77"))
+    ingest.ingest_batch(late.unionByName(moved), 1, store)
+    lifecycle.archive_cold(store, until)
+    return store.read("archive").groupBy("batch_id", "car_id").agg(
+        F.count(F.lit(1)).alias("readings"), F.sum("sequence_no").alias("numbers")
+    )
+
+
 @query
 def storage_report(spark, sf_dir):
+    """Rows of each table; of files and bytes, which depend on the run, that there are any."""
     store = history(spark, sf_dir)
-    return lifecycle.storage_report(
+    report = lifecycle.storage_report(
         store, {name: store.path(name) for name in ("raw", "rollup_1m", "rollup_1h")}
     )
+    return report.select("layout", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
 # --- streams ------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = wire.json_to_rollups(live_run(spark, sf_dir).rollups(name).table(spark))
+def _published_by(run: LiveRun) -> DataFrame:
+    """The rollups of a run's one topic."""
+    rows = wire.json_to_rollups(run.rollups.table(run.spark))
     return rounded(zoneless(rows.drop("arrived_at")), "average", "minimum", "maximum")
 
 
 @query
 def stream_rollups_1s(spark, sf_dir):
-    return _streamed(spark, sf_dir, "PT1S")
+    return rollups.of_length(_published_by(live_run(spark, sf_dir)))
 
 
 @query
 def stream_rollups_1m(spark, sf_dir):
-    return _streamed(spark, sf_dir, "PT1M")
+    return rollups.of_length(_published_by(live_run(spark, sf_dir)), "1 minute")
 
 
 @query
@@ -653,19 +719,46 @@ def stream_ingest(spark, sf_dir):
     return _readings_of(zoneless(stored)).drop("arrival")
 
 
-@query
-def stream_dedup_rollups(spark, sf_dir):
-    """Replayed readings inside a wide grace, counted once."""
-    run = LiveRun(spark, "dedup")
-    seconds = run.rollups("PT1S")
-    run.feed(
-        replayed(spark, sf_dir).drop("replayed"),
-        [
+SHORT = "2 seconds"
+
+
+def _late_run(spark: SparkSession, sf_dir: str, distinct: bool) -> LiveRun:
+    """A dropout's replay against a grace too short for it, with or without ``start_distinct``."""
+
+    def build() -> LiveRun:
+        run = LiveRun(spark, "late")
+        once = topics.Topic(topics.EVENTS, root=f"{run.root}/distinct")
+        Files(spark).make(once.path)
+        steps = [
             lambda: live.start_rollups(
-                run.readings(), "1 second", "30 seconds", seconds, f"{run.root}/c1", dedup=True,
+                run.readings(once if distinct else None), "1 second", SHORT, run.rollups, f"{run.root}/c1",
                 availableNow=True,
             )
-        ],
-    )
-    rows = wire.json_to_rollups(seconds.table(spark))
-    return rounded(zoneless(rows.drop("arrived_at")), "average", "minimum", "maximum")
+        ]
+        if distinct:
+            steps.insert(
+                0, lambda: live.start_distinct(run.readings(), SHORT, once, f"{run.root}/c0", availableNow=True)
+            )
+        run.feed(around_replay(replayed(spark, sf_dir)), steps)
+        return run
+
+    return built_once(spark, sf_dir, f"late-{distinct}", build)
+
+
+@query
+def stream_late_rollups(spark, sf_dir):
+    """Readings that come after their window has closed are left out."""
+    return _published_by(_late_run(spark, sf_dir, False))
+
+
+@query
+def stream_dedup_rollups(spark, sf_dir):
+    """The same with every reading taken once: late ones are left out all the same."""
+    return _published_by(_late_run(spark, sf_dir, True))
+
+
+@query
+def stream_dropped(spark, sf_dir):
+    """How many readings the late rule of the rollup query has dropped."""
+    dropped = _late_run(spark, sf_dir, False).dropped[0]
+    return spark.range(1).select(F.lit(dropped).cast("bigint").alias("dropped"))

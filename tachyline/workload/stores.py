@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachyline.operators.faults import Dropout, apply_dropout, plan_dropout
-from tachyline.operators.rollups import rollup_lengths
+from tachyline.operators.rollups import of_length, rollup_lengths
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.files import Files, scratch_path
 from tachyline.plans.store import READING_COLUMNS, Store
@@ -52,6 +52,13 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_dropout(channel_readings(spark, sf_dir), dropout_plan(spark, sf_dir))
 
 
+def spread_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table's readings spread over some hours: one every few seconds, by event number."""
+    hours = F.expr("INTERVAL '0.007' SECOND") * (F.col("sequence_no") * 1000)
+    moment = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + hours
+    return event_readings(spark, sf_dir).withColumn("event_time", moment)
+
+
 def slices(events: DataFrame) -> list[DataFrame]:
     """The readings cut along arrival into parts; together they are all of them.
 
@@ -127,20 +134,31 @@ class LiveRun:
         self.alerts = topics.Topic(topics.ALERTS, root=self.root)
         Files(spark).make(self.alerts.path)
 
-    def rollups(self, name: str) -> topics.Topic:
-        topic = topics.Topic(topics.ROLLUPS, root=f"{self.root}/{name}")
-        Files(self.spark).make(topic.path)
-        return topic
+        self.rollups = topics.Topic(topics.ROLLUPS, root=self.root, writers=("PT1S", "PT1M"))
+        for path in self.rollups.paths:
+            Files(spark).make(path)
+        self.dropped: dict[int, int] = {}
 
-    def readings(self) -> DataFrame:
-        return wire.good_readings(topics.read_events(self.spark, self.events))
+    def readings(self, topic: topics.Topic | None = None) -> DataFrame:
+        return wire.good_readings(topics.read_events(self.spark, topic or self.events))
 
-    def feed(self, events: DataFrame, steps: list[Callable[[], object]]) -> None:
-        """Publish the readings slice by slice; after each, run every query to its end."""
-        for part in slices(events):
+    def feed(self, parts: list[DataFrame], steps: list[Callable[[], object]]) -> None:
+        """Publish the readings part by part; after each, run every query to its end."""
+        for part in parts:
             topics.write_events(part, self.events)
-            for step in steps:
-                step().awaitTermination()
+            for number, step in enumerate(steps):
+                query = step()
+                query.awaitTermination()
+                self.dropped[number] = self.dropped.get(number, 0) + live.dropped_rows(query)
+
+
+def around_replay(events: DataFrame) -> list[DataFrame]:
+    """The replayed readings in two parts: what arrives before the replay begins, and the rest."""
+    first = events.filter("replayed").agg(F.min("arrival")).first()[0]
+    rows = events.drop("replayed")
+    if first is None:
+        return [rows]
+    return [rows.filter(F.col("arrival") < first), rows.filter(F.col("arrival") >= first)]
 
 
 def live_run(spark: SparkSession, sf_dir: str) -> LiveRun:
@@ -148,24 +166,24 @@ def live_run(spark: SparkSession, sf_dir: str) -> LiveRun:
 
     def build() -> LiveRun:
         run = LiveRun(spark, "live")
-        seconds, minutes = run.rollups("PT1S"), run.rollups("PT1M")
         rules = alert_rules(spark, RULES)
         store = Store(spark, f"{run.root}/store").create()
         once = {"availableNow": True}
         run.feed(
-            channel_readings(spark, sf_dir),
+            slices(channel_readings(spark, sf_dir)),
             [
                 lambda: live.start_rollups(
-                    run.readings(), "1 second", "10 seconds", seconds, f"{run.root}/c1", **once
+                    run.readings(), "1 second", "10 seconds", run.rollups, f"{run.root}/c1", **once
                 ),
                 lambda: live.start_rollups(
-                    run.readings(), "1 minute", "10 seconds", minutes, f"{run.root}/c2", **once
+                    run.readings(), "1 minute", "10 seconds", run.rollups, f"{run.root}/c2", **once
                 ),
                 lambda: live.start_alerts(
-                    topics.read_rollups(spark, seconds), rules, run.alerts, f"{run.root}/c3", **once
+                    topics.read_rollups(spark, run.rollups), rules, run.alerts, f"{run.root}/c3", **once
                 ),
                 lambda: live.start_session_stats(
-                    topics.read_rollups(spark, seconds), f"{run.root}/session", f"{run.root}/c4", **once
+                    of_length(topics.read_rollups(spark, run.rollups)),
+                    f"{run.root}/session", f"{run.root}/c4", **once,
                 ),
                 lambda: stream_ingest.start_ingest(
                     topics.read_events(spark, run.events), store, f"{run.root}/c5", **once
@@ -175,3 +193,43 @@ def live_run(spark: SparkSession, sf_dir: str) -> LiveRun:
         return run
 
     return _once(spark, sf_dir, "live", build)
+
+
+def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as topic records that went wrong on the way, by event number.
+
+    Of each eight, one is cut short, one is null, one names a time no calendar has.
+    """
+    events = event_readings(spark, sf_dir)
+    kept = ("arrival", "event_time", "sequence_no")
+    kind = F.col("sequence_no") % 8
+    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    records = wire.encode(timed, keep=kept)
+    body = F.col("value")
+    # Field 3, the milliseconds, once more: the last one counts.
+    endless = F.concat(body, F.unhex(F.lit("18FFFFFFFFFFFFFFFF7F")))
+    broken = (
+        F.when(kind == 1, F.substring(body, 1, F.octet_length(body) - 1))
+        .when(kind == 3, F.lit(None).cast("binary"))
+        .when(kind == 5, endless)
+        .otherwise(body)
+    )
+    return records.select(
+        "key", broken.alias("value"), topics.partition_of().alias("partition"),
+        F.col("arrival").alias("offset"), F.col("event_time").alias("timestamp"),
+    )
+
+
+def accounted(spark: SparkSession, sf_dir: str) -> Store:
+    """A store fed by a stream of ``broken_records``."""
+
+    def build() -> Store:
+        run = LiveRun(spark, "broken")
+        store = Store(spark, f"{run.root}/store", chunk_hours=24).create()
+        run.events.append(broken_records(spark, sf_dir))
+        stream_ingest.start_ingest(
+            topics.read_events(spark, run.events), store, f"{run.root}/c1", availableNow=True
+        ).awaitTermination()
+        return store
+
+    return _once(spark, sf_dir, "broken", build)

@@ -59,7 +59,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
     chosen = sys.argv[2:] or list(entry.queries())
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session(f"local[{os.environ.get('CPUS', 8)}]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     database = connect(sf_dir)
     failures = 0

@@ -64,7 +64,7 @@ def history(spark, count):
 
 
 def test_history_is_newest_first_and_bounded(spark):
-    recent = alerts.recent_alerts(history(spark, 3), arrival="arrival").collect()
+    recent = alerts.recent_alerts(history(spark, 3), 200, arrival="arrival").collect()
     assert [row["arrival"] for row in recent] == [3, 2, 1]
     recent = alerts.recent_alerts(history(spark, 5), 3, arrival="arrival").collect()
     assert [row["arrival"] for row in recent] == [5, 4, 3]

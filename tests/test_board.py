@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from helpers import W, readings, speed, values
 from tachyline.operators import alerts, board, rollups
 from tachyline.schemas import alert_rules
@@ -54,6 +56,17 @@ def test_context_clamps_and_keeps_unknown_channels(spark):
     assert got == [("mystery", None, None), ("speed", 0.25, "km/h"), ("speed", 1.0, "km/h")]
 
 
+def test_an_empty_channel_range_has_no_fraction(spark):
+    rows = rollups.rollup(readings(spark, [("CAR-01", "speed", 0.1, 5)]), "1 second")
+    flat = sensor_catalogue(spark, 1).withColumn("maximum_value", F.col("minimum_value"))
+    assert values(board.channel_context(rows, flat), "sensor_id", "fraction") == [("speed", None)]
+
+
+def test_latest_reading_takes_one_second_rows_only(spark):
+    both = rollups.rollup_lengths(readings(spark, [speed(59.5, 1), speed(59.9, 3)]))
+    assert values(board.latest_reading(both), "count", "window_start") == [(2, W + dt.timedelta(seconds=59))]
+
+
 def test_lanes_scale_to_their_own_span(spark):
     rows = rollups.rollup(readings(spark, [speed(0, 10), speed(1, 20), speed(2, 15), ("CAR-01", "gear", 0, 4)]), "1 second")
     assert values(board.lane_scale(rows), "sensor_id", "window_start", "lane")[0][2] == 0.0

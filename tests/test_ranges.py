@@ -37,14 +37,26 @@ def test_default_range_is_the_last_hour():
     assert ranges.default_range("2026-08-23T14:00:00+02:00", start=W) == (W, W)
 
 
-def test_channels_are_limited_each_and_six_at_most(spark):
+def test_channels_are_cut_each_and_say_so(spark):
     events = readings(spark, [speed(60 * n, n) for n in range(4)] + [("CAR-01", "gear", 60 * n, n) for n in range(2)])
     found = ranges.find_channels(
         rollups.rollup_1m(events), "CAR-01", ["speed", "gear"], W, W + dt.timedelta(hours=1), 2
     )
-    assert values(found, "sensor_id", "average") == [("gear", 0.0), ("gear", 1.0), ("speed", 0.0), ("speed", 1.0)]
-    with pytest.raises(ValueError):
-        ranges.find_channels(found, "CAR-01", list("abcdefg"), W, W)
+    assert values(found, "sensor_id", "average", "truncated") == [
+        ("gear", 0.0, False), ("gear", 1.0, False), ("speed", 0.0, True), ("speed", 1.0, True)
+    ]
+    whole = ranges.find_channels(
+        rollups.rollup_1m(events), "CAR-01", ["speed", "gear", *"abcdef"], W, W + dt.timedelta(hours=1)
+    )
+    assert whole.count() == 6 and whole.filter("truncated").isEmpty()
+
+
+def test_a_range_is_whole_unless_asked_otherwise(spark):
+    rows = minutes(spark)
+    args = (rows, "CAR-01", "speed", W, W + dt.timedelta(hours=1))
+    assert [row["truncated"] for row in ranges.find_rollups(*args).collect()] == [False] * 5
+    assert [row["truncated"] for row in ranges.find_rollups(*args, 5).collect()] == [False] * 5
+    assert [row["truncated"] for row in ranges.find_rollups(*args, 4).collect()] == [True] * 4
 
 
 def test_channel_lists(spark):
@@ -55,6 +67,26 @@ def test_channel_lists(spark):
     assert values(ranges.sensors(minutes(spark)), "sensor_id") == ["speed"]
 
 
+def test_only_the_directories_of_a_range_are_read(spark, place):
+    from tachyline.plans.ingest import ingest_batch
+    from tachyline.plans.lifecycle import backfill
+    from tachyline.plans.store import Store
+
+    store = Store(spark, place).create()
+    hour = dt.timedelta(hours=1)
+    ingest_batch(readings(spark, [speed(3600 * n, n) for n in range(60)]), 0, store)
+    backfill(store)
+    for first, last in ((0, 3), (5, 40), (11, 13), (59, 90), (70, 80), (3, 3)):
+        start, end = W + first * hour, W + last * hour
+        found = store.rollups_between("ONE_MINUTE", start, end)
+        expected = values(ranges.in_range(store.rollups(), start, end), "bucket")
+        assert values(ranges.in_range(found, start, end), "bucket") == expected
+        chunks = {row[0] for row in found.select("bucket_date", "bucket_hour").distinct().collect()}
+        assert found.count() == len(expected), chunks
+        hours = store.rollups_between("ONE_HOUR", start, end)
+        assert values(ranges.in_range(hours, start, end), "bucket") == expected
+
+
 def test_the_range_reaches_the_reader(spark, place):
     from tachyline.plans.lifecycle import backfill
     from tachyline.plans.ingest import ingest_batch
@@ -65,7 +97,6 @@ def test_the_range_reaches_the_reader(spark, place):
     backfill(store)
     found = ranges.find_rollups(store.rollups(), "CAR-01", "speed", W, W + dt.timedelta(minutes=2))
     plan = formatted_plan(found)
-    assert "TakeOrderedAndProject" in plan
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(bucket" in plan and "EqualTo(car_id" in plan
     assert "bucket_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert [row["average"] for row in found.collect()] == [0.0, 1.0]
