@@ -286,12 +286,11 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY car_id, sensor_id ORDER BY bucket) <= 50)""",
     "cars": f"WITH {READINGS} SELECT DISTINCT car_id FROM readings ORDER BY 1",
     "sensors": f"WITH {READINGS} SELECT DISTINCT sensor_id FROM readings ORDER BY 1",
-    "channel_order": f"""WITH {_catalogue(60)}, seen AS (
-        SELECT DISTINCT c.sensor_id FROM events e JOIN catalogue c ON c.number = event_id % 40)
+    "channel_order": f"""WITH {_catalogue(60)}, {READINGS}, seen AS (SELECT DISTINCT sensor_id FROM readings)
       SELECT sensor_id FROM (SELECT sensor_id FROM seen UNION SELECT sensor_id FROM catalogue)
       ORDER BY starts_with(sensor_id, 'aux-channel-'), sensor_id""",
-    "search_channels": f"""WITH {CHANNELS} SELECT DISTINCT sensor_id FROM laps
-        WHERE contains(lower(sensor_id), 'front-left')""",
+    "search_channels": f"""WITH {READINGS} SELECT DISTINCT sensor_id FROM readings
+        WHERE contains(lower(sensor_id), 'ie')""",
     "integrity_check": f"""WITH {REPLAYED}, {KEYED} SELECT CAST(sum(copies) AS BIGINT) AS "rows",
         count(*) AS distinct_readings, CAST(sum(copies - 1) AS BIGINT) AS duplicates FROM copies""",
     "duplicated_readings": f"WITH {REPLAYED}, {KEYED} SELECT * FROM copies WHERE copies > 1",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachyline.functions.time import time_bucket
-from tachyline.operators import alerts, audits, board, dedupe, faults, ranges, rollups
+from tachyline.operators import alerts, audits, board, dedupe, ranges, rollups
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.blocked import by_position, by_time, position, running_sum
 from tachyline.plans.files import Files, scratch_path
@@ -16,6 +16,7 @@ from tachyline.schemas import SERIES, alert_rules
 from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
 from tachyline.streaming import live
+from tachyline.workload import faults
 from tachyline.workload.stores import (
     DROPOUT, RULES, LiveRun, accounted, around_replay, dropout_plan, history, ingested, live_run, new_store,
     one_batch, published, replayed, slices, spread_readings,
@@ -220,14 +221,14 @@ def sensors(spark, sf_dir):
 
 @query
 def channel_order(spark, sf_dir):
-    seen = channel_readings(spark, sf_dir).select("sensor_id")
+    seen = ranges.sensors(history(spark, sf_dir).rollups())
     padding = catalogue.sensor_catalogue(spark, 60).select("sensor_id")
     return ranges.channel_order(seen.unionByName(padding).distinct())
 
 
 @query
 def search_channels(spark, sf_dir):
-    return ranges.search_channels(ranges.sensors(channel_readings(spark, sf_dir)), " Front-LEFT ")
+    return ranges.search_channels(ranges.sensors(history(spark, sf_dir).rollups()), " IE ")
 
 
 # --- identity -------------------------------------------------------------------

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachyline.operators.faults import Dropout, apply_dropout, plan_dropout
 from tachyline.operators.rollups import of_length, rollup_lengths
 from tachyline.plans import ingest, lifecycle
 from tachyline.plans.files import Files, scratch_path
@@ -15,6 +14,7 @@ from tachyline.schemas import LIVE_ROLLUP, alert_rules
 from tachyline.sources import topics, wire
 from tachyline.sources.readings import channel_readings, event_readings
 from tachyline.streaming import ingest as stream_ingest, live
+from tachyline.workload.faults import Dropout, apply_dropout, plan_dropout
 
 SLICES = 3
 SLICE_ROWS = 1_000_000_000

@@ -5,9 +5,10 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
 from helpers import W, readings, speed, tick, values
-from tachyline.operators import audits, dedupe, faults
+from tachyline.operators import audits, dedupe
 from tachyline.plans import blocked
 from tachyline.sources import catalogue
+from tachyline.workload import faults
 
 
 def at(seconds):
