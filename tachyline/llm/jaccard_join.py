@@ -31,7 +31,7 @@ Other columns are ignored; an empty table gives no rows. Shingles are 64-bit has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -150,42 +150,73 @@ def frequent_shingles(counts: DataFrame, classes: int) -> tuple[np.ndarray, np.n
     return tokens[order], n[order]
 
 
-def prefix_postings(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+@dataclass(frozen=True)
+class Order:
+    """A common order of all shingles: others, common ones, frequent ones by count; ties by hash."""
+
+    frequent: np.ndarray
+    counts: np.ndarray
+    common: KeyFilter | None = None
+
+    def first(self, shingles: np.ndarray, length: int) -> np.ndarray:
+        """The first ``length`` of a set's ascending shingles."""
+        late = np.zeros(len(shingles), bool)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
+            late = self.frequent[at] == shingles
+        known = self.common.passing(shingles.view(np.int64)) & ~late if self.common else np.zeros(len(shingles), bool)
+        out = shingles[~late & ~known][:length]
+        if len(out) < length:
+            out = np.concatenate([out, shingles[known][: length - len(out)]])
+        if len(out) < length:
+            by_count = shingles[late][np.argsort(self.counts[at[late]], kind="stable")]
+            out = np.concatenate([out, by_count[: length - len(out)]])
+        return out
+
+
+def prefixes(texts: list[bytes | None], rule: Rule, order: Order, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, size, prefix) of each class not seen before."""
+    sets = list(shingle_sets(texts, rule.width))
+    for key, each in zip(fingerprints(sets).tolist(), sets):
+        if len(each) and key not in seen:
+            seen.add(key)
+            yield key, len(each), order.first(each, rule.prefix(len(each)))
+
+
+def common_shingles(docs: DataFrame, rule: Rule, order: Order) -> KeyFilter:
+    """Shingles with more than SHORT_LIST entries in an index by this order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = [prefix for _, _, prefix in prefixes(batch.column(0).to_pylist(), rule, order, seen)]
+            if found:
+                tokens, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "n"]
+                )
+
+    counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
+    lists = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > SHORT_LIST)
+    return KeyFilter(lists, "token")
+
+
+def prefix_postings(docs: DataFrame, rule: Rule, order: Order) -> DataFrame:
     """(token, place, key): size << 32 | position of each prefix shingle, once a class and task."""
-    tokens, counts = frequent
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0).to_pylist(), rule.width))
-            out, places, keys = [], [], []
-            for key, each in zip(fingerprints(sets).tolist(), sets):
-                n = len(each)
-                if not n or key in seen:
-                    continue
-                seen.add(key)
-                length = rule.prefix(n)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, each), len(tokens) - 1)
-                    often = tokens[at] == each
-                    rare = each[~often][:length]
-                    if len(rare) < length:
-                        more = each[often][np.argsort(counts[at[often]], kind="stable")]
-                        rare = np.concatenate([rare, more[: length - len(rare)]])
-                else:
-                    rare = each[:length]
-                out.append(rare)
-                places.append(np.arange(length) + (n << 32))
-                keys.append(np.full(length, key))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(out).view(np.int64)),
-                        pa.array(np.concatenate(places)),
-                        pa.array(np.concatenate(keys)),
-                    ],
-                    names=["token", "place", "key"],
-                )
+            found = list(prefixes(batch.column(0).to_pylist(), rule, order, seen))
+            if found:
+                lengths = [len(prefix) for _, _, prefix in found]
+                place = np.concatenate([np.arange(length) + (n << 32) for (_, n, _), length in zip(found, lengths)])
+                columns = [
+                    np.concatenate([prefix for _, _, prefix in found]).view(np.int64),
+                    place,
+                    np.repeat([key for key, _, _ in found], lengths),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "place", "key"])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(post, "token long, place long, key long")
 
@@ -385,8 +416,9 @@ def document_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     signed = stored(signatures(docs, rule), "signatures")
     members = signed.filter(F.col("token").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key")
     classes = members.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
-    frequent = frequent_shingles(signed.filter(F.col("token").isNotNull()), classes.count())
-    found = candidates(prefix_postings(docs, rule, frequent), rule)
+    order = Order(*frequent_shingles(signed.filter(F.col("token").isNotNull()), classes.count()))
+    order = replace(order, common=common_shingles(docs, rule, order))
+    found = candidates(prefix_postings(docs, rule, order), rule)
     clustered = clusters(stored(found, "candidates"), rule)
     sets = sets_of(docs, rule, KeyFilter(clustered, "key"))
     roots = components(links(clustered, sets, rule))
