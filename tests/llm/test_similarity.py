@@ -264,7 +264,7 @@ def test_fuzzy_lines_are_found(spark):
     bases = [random.choices(vocabulary, k=120) for _ in range(60)]
     rows = [(2 * i + k, " ".join(edited(base, k))) for i, base in enumerate(bases) for k in range(2)]
     got = line_dedup.deduplicated(documents(spark, rows)).collect()
-    assert sum(r.n_cut for r in got) >= 30
+    assert sum(r.n_cut for r in got) >= 24  # 3 of 64 bits: about half of the pairs
     assert all(r.doc_id % 2 for r in got if r.n_cut)
 
 
@@ -290,6 +290,10 @@ def test_documents_that_only_repeat_go(spark):
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_edit_distance(a, b):
     assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
+    longer = max(len(a), len(b), 1)
+    assert line_dedup.similar(np.array(a, np.uint64), np.array(b, np.uint64)) == (
+        5 * plain_distance(a, b) <= longer
+    )
 
 
 def test_a_bucket_of_many_near_lines_is_handed_on_as_a_star(spark):
