@@ -16,6 +16,7 @@ from tachyline.plans.files import scratch_path
 
 #: Rows that Python works on at once, below what an Arrow batch may hold.
 ROWS_AT_ONCE = 512
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,19 @@ class Store:
             return np.frombuffer(source.read_buffer(), dtype=dtype)
 
 
+def in_arrow(frame: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of ARROW_BYTES at most, from now on in this session.
+
+    A batch is held by the JVM and by Python at once, on its way in and on its way out; with
+    whole texts the default of 64 MB would be a large part of an executor's memory.
+    """
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(name, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return frame.mapInArrow(function, schema)
+
+
 def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], results: str, worker) -> DataFrame:
     """Python over Arrow batches: the kept columns as a struct ``row``, untouched, beside the results.
 
@@ -89,4 +103,4 @@ def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], results: str,
                 some = batch.slice(at, ROWS_AT_ONCE)
                 yield pa.RecordBatch.from_arrays([some.column(0), *work(*some.columns[1:])], names=names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.transform(in_arrow, run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import mapped, stored
+from tachyline.llm.common import in_arrow, mapped, stored
 
 WIDTH = 13
 WINDOWS_A_BLOCK = 50_000
@@ -71,7 +71,7 @@ def rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
                 [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"]
             )
 
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long")
+    counts = docs.select(F.col("text").cast("binary")).transform(in_arrow, count, "word binary, n long")
     return {bytes(r["word"]): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 

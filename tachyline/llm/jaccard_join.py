@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tachyline.llm.batches import whole_runs
-from tachyline.llm.common import mapped, stored
+from tachyline.llm.common import in_arrow, mapped, stored
 from tachyline.llm.components import Sets, components
 from tachyline.llm.hashing import SMALL, by_bytes, mixed, words_of
 from tachyline.llm.key_filter import KeyFilter
@@ -137,8 +137,8 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
         if block:
             yield repeated()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        sign, "token long, doc_id long, n long, key long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(
+        in_arrow, sign, "token long, doc_id long, n long, key long"
     )
 
 
@@ -196,7 +196,7 @@ def common_shingles(docs: DataFrame, rule: Rule, order: Order) -> KeyFilter:
                     [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "n"]
                 )
 
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
+    counts = docs.select(F.col("text").cast("binary")).transform(in_arrow, count, "token long, n long")
     lists = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > SHORT_LIST)
     return KeyFilter(lists, "token")
 
@@ -218,7 +218,7 @@ def prefix_postings(docs: DataFrame, rule: Rule, order: Order) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "place", "key"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(post, "token long, place long, key long")
+    return docs.select(F.col("text").cast("binary")).transform(in_arrow, post, "token long, place long, key long")
 
 
 def possible(rule: Rule, n, i, m, j):
@@ -294,7 +294,7 @@ def candidates(postings: DataFrame, rule: Rule) -> DataFrame:
     return (
         postings.repartition(count, "token")
         .sortWithinPartitions("token", "place", "key")
-        .mapInArrow(work, "a long, b long, n long, m long")
+        .transform(in_arrow, work, "a long, b long, n long, m long")
     )
 
 
@@ -339,7 +339,7 @@ def sets_of(docs: DataFrame, rule: Rule, wanted: KeyFilter) -> DataFrame:
                 ids, values = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["key", "shingles"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(pick, "key long, shingles binary")
+    return docs.select(F.col("text").cast("binary")).transform(in_arrow, pick, "key long, shingles binary")
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -407,7 +407,7 @@ def links(clustered: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         .select("label", "i", "j", "key", "shingles")
         .repartition(count, "label", "i", "j")
         .sortWithinPartitions("label", "i", "j", "key")
-        .mapInArrow(work, "a long, b long")
+        .transform(in_arrow, work, "a long, b long")
     )
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import mapped
+from tachyline.llm.common import in_arrow, mapped
 
 DEPTH = 4
 DOCS_A_LANGUAGE = 400
@@ -83,7 +83,7 @@ def train(labelled: DataFrame, depth: int = DEPTH, docs_a_language: int = DOCS_A
                     names=["lang", "gram", "n"],
                 )
 
-    counted = sample.select(F.col("text").cast("binary"), "lang").mapInArrow(count, "lang string, gram long, n long")
+    counted = sample.select(F.col("text").cast("binary"), "lang").transform(in_arrow, count, "lang string, gram long, n long")
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS)
     found = top.toPandas()
     number = {name: i for i, name in enumerate(languages)}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import stored
+from tachyline.llm.common import in_arrow, stored
 from tachyline.llm.encoding import shared_encoder
 
 CAPACITY = 1024
@@ -159,7 +159,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str | None, end_id: int
                 names = ("doc_id", "piece", "start", "length", "ids_crc32")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, cut, PIECE)
 
 
 def pack_documents(
@@ -202,4 +202,4 @@ def pack_documents(
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, f"{PIECE}, sequence_id long, offset long")
+    return ranked.transform(in_arrow, place, f"{PIECE}, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import mapped
+from tachyline.llm.common import in_arrow, mapped
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
@@ -112,7 +112,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ratio | None:
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs.reshape(-1)[at])], names=["cell", "n"])
 
-    rows = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = sample.transform(in_arrow, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     pairs = np.zeros(2 * _WIDTH * _WIDTH)
     for row in rows:
         pairs[row["cell"]] = row["n"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import Store, stored
+from tachyline.llm.common import Store, in_arrow, stored
 from tachyline.llm.encoding import shared_encoder
 from tachyline.plans.files import scratch_path
 
@@ -84,7 +84,7 @@ def write_token_files(
             }
         )
 
-    parts = stored(rows.mapInArrow(write, MANIFEST), "token-parts")
+    parts = stored(rows.transform(in_arrow, write, MANIFEST), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return parts.select(
         "*",
@@ -120,7 +120,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     )
 
     count = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(count, "part").mapInArrow(read, DOCUMENT)
+    return manifest.repartition(count, "part").transform(in_arrow, read, DOCUMENT)
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
