@@ -61,15 +61,9 @@ def encode_protobuf(events: DataFrame) -> DataFrame:
 
 def iso_instant(events: DataFrame, column: str = "event_time") -> Column:
     """ISO-8601 UTC text with 0, 3, 6 or 9 fraction digits, as few as needed."""
-    nanos = F.pmod(millis_of(column), F.lit(1000)) * 1_000_000 + nanos_of_milli(events)
-    digits = (
-        F.when(nanos == 0, F.lit(0))
-        .when(nanos % 1_000_000 == 0, F.lit(4))
-        .when(nanos % 1_000 == 0, F.lit(7))
-        .otherwise(F.lit(10))
-    )
-    fraction = F.substring(F.concat(F.lit("."), F.lpad(nanos.cast("string"), 9, "0")), F.lit(1), digits)
-    return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    millis = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    text = F.concat(millis, F.lpad(nanos_of_milli(events).cast("string"), 6, "0"))
+    return F.concat(F.regexp_replace(text, r"\.000000000$|(?:000){1,2}$", ""), F.lit("Z"))
 
 
 def encode_json(events: DataFrame) -> DataFrame:
