@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import clashing, documents, odd_texts
+from odd_documents import clashing, documents, odd_texts
 
 from tachyline.llm import decontamination, language_id, quality, secrets
 

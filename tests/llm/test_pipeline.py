@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pytest
-from helpers import documents, odd_texts
+from odd_documents import documents, odd_texts
 from test_documents import plain_contamination
 from test_similarity import plain_dedup, plain_groups
 from test_tokens import check_packing

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import clashing, documents, odd_texts
+from odd_documents import clashing, documents, odd_texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
