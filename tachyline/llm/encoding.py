@@ -4,7 +4,8 @@ A byte-level tokenizer of this family never joins two words across a single spac
 space goes with the word behind it. A text cut before its single spaces therefore encodes
 piece by piece to the same ids, and most pieces come again and again. A new piece is split by
 the family's published pattern, and the library's model turns each part into ids; pieces
-with characters beyond the Latin ones go through the library's own splitting. Pieces that touch
+with characters beyond the Latin ones go through the library's own splitting. Texts are also cut
+before line breaks, if none of them touches other white space. Pieces that touch
 other white space are not cut: a text that holds one is encoded whole.
 
 The strings of special tokens are ordinary text.
@@ -23,6 +24,7 @@ MOST_PIECES = 600_000
 
 #: The published splitting pattern of the tokenizer's family (a fixed value).
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+_NEAR_BREAK = re.compile(r"\s\n|\n\s").search
 _LATIN = re.compile(r"[\x21-\x7E\n¡-ɏ]*\Z").match
 
 
@@ -73,17 +75,21 @@ class Encoder:
         first, later = self.first, self.later.__getitem__
         out = []
         for text in texts:
-            row = text.split(" ")
+            marked = text if _NEAR_BREAK(text) else text.replace("\n", " \0\n")
+            row = marked.split(" ")
             try:
-                out.append(b"".join([first[row[0]], *map(later, row[1:]), self.end]))
+                ids = b"".join([first[row[0]], *map(later, row[1:])]) if "\0" not in text else self._whole(text)
             except TypeError:  # a piece that must not be cut off
-                out.append(self._whole(text) + self.end)
+                ids = self._whole(text)
+            out.append(ids + self.end)
         return out
 
     def _first(self, piece: str) -> bytes | None:
         return self._ids(piece) if not piece[-1:].isspace() else None
 
     def _later(self, piece: str) -> bytes | None:
+        if piece[:1] == "\0":  # cut before a line break
+            return self._ids(piece[1:]) if len(piece) == 2 or not piece[-1].isspace() else None
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         if piece.isascii() and piece.isalpha():
