@@ -35,7 +35,7 @@ def crc(ids):
 
 
 @settings(max_examples=600, deadline=None)
-@given(st.lists(st.text(alphabet="ab's,.9 \n\t é字　", max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet="ab's,.9 \n\t\0 é字　", max_size=30), max_size=4))
 def test_pieces_encode_as_whole_texts(texts):
     whole = Tokenizer.from_file(default_tokenizer()) if not hasattr(ids_of, "t") else ids_of.t
     whole.encode_special_tokens = True
