@@ -34,7 +34,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@settings(max_examples=600, deadline=None)
+@settings(max_examples=250, deadline=None)
 @given(st.lists(st.text(alphabet="ab's,.9 \n\t\0 é字　", max_size=30), max_size=4))
 def test_pieces_encode_as_whole_texts(texts):
     whole = Tokenizer.from_file(default_tokenizer()) if not hasattr(ids_of, "t") else ids_of.t
