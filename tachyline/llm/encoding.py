@@ -20,7 +20,7 @@ from array import array
 
 import regex
 
-MOST_PIECES = 600_000
+MOST_PIECES = 1_000_000
 
 #: The published splitting pattern of the tokenizer's family (a fixed value).
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -92,8 +92,10 @@ class Encoder:
             return self._ids(piece[1:]) if len(piece) == 2 or not piece[-1].isspace() else None
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece.isascii() and piece.isalpha():
-            return array("I", [token.id for token in self.tokenize("\u0120" + piece)]).tobytes()
+        if piece.isalpha() and _LATIN(piece):  # a run of letters is one part
+            return self._part(" " + piece)
+        if piece[-1] in ",." and piece[:-1].isalpha() and _LATIN(piece):
+            return self.later[piece[:-1]] + self.parts[piece[-1]]
         return self._ids(" " + piece)
 
     def _ids(self, text: str) -> bytes:
@@ -106,7 +108,10 @@ class Encoder:
         )
 
     def _part(self, part: str) -> bytes:
-        shown = part.encode().decode("latin-1").translate(_CHARACTERS)
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            shown = "\u0120" + part[1:]
+        else:
+            shown = part.encode().decode("latin-1").translate(_CHARACTERS)
         return array("I", [token.id for token in self.tokenize(shown)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
