@@ -219,6 +219,12 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def documents_in_a_language(docs: DataFrame) -> DataFrame:
-    """The documents for which a language is found, with their own columns."""
-    found = predict(docs, train(training_rows(docs)))
+    """The documents for which a language is found, with their own columns.
+
+    Where no document is labelled there is nothing to tell languages by: all with a letter stay.
+    """
+    model = train(training_rows(docs))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, model)
     return found.filter(F.col("lang_pred") != UNDETERMINED).select("row.*")

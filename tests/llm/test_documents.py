@@ -100,6 +100,8 @@ def test_odd_documents_have_a_language_or_none(spark):
     assert language_id.identified(documents(spark, [])).isEmpty()
     unlabelled = language_id.identified(documents(spark, [(1, "some text", None)])).collect()
     assert unlabelled[0].lang_pred == "und"
+    untold = documents(spark, [(1, "some text", None), (2, "12 !", None), (3, None, None)])
+    assert [r.doc_id for r in language_id.documents_in_a_language(untold).collect()] == [1]
     kept = language_id.documents_in_a_language(documents(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert Counter(r.text for r in kept.collect()) == Counter(
