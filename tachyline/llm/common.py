@@ -71,6 +71,22 @@ class Store:
             return np.frombuffer(source.read_buffer(), dtype=dtype)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, build):
+    """The one large thing that a Python worker keeps from task to task; another takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what an earlier operator's tasks have left in this Python worker."""
+    _HELD.clear()
+
+
 def in_arrow(frame: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with batches of ARROW_BYTES at most, from now on in this session.
 

@@ -20,7 +20,9 @@ from array import array
 
 import regex
 
-MOST_PIECES = 1_000_000
+from tachyline.llm.common import held
+
+MOST_PIECES = 500_000
 
 #: The published splitting pattern of the tokenizer's family (a fixed value).
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -118,15 +120,10 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def shared_encoder(path: str | None, end_id: int) -> Encoder:
     """One encoder a Python worker: tasks that follow each other know the same pieces."""
-    key = (path or default_tokenizer(), end_id)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    path = path or default_tokenizer()
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def default_tokenizer() -> str:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 SPACES = b"\t\n\x0b\x0c\r "
 _BASE, _RUN_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)

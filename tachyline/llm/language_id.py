@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tachyline.llm.common import in_arrow, mapped
+from tachyline.llm.common import held, in_arrow, mapped, release
 
 DEPTH = 4
 DOCS_A_LANGUAGE = 400
@@ -39,7 +39,7 @@ MOST_GRAMS = 400_000
 #: Contexts times languages: what a task's table of code lengths may hold.
 MOST_CELLS = 24_000
 UNIT = 1024
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 18
 UNDETERMINED = "und"
 
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -71,6 +71,7 @@ def train(labelled: DataFrame, depth: int = DEPTH, docs_a_language: int = DOCS_A
     sample = rows.filter(F.col("lang").isin(*languages) & (draw < rate[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(b"\n" * depth + text.translate(_SMALL), np.uint8).astype(np.int64)
@@ -167,16 +168,10 @@ class ContextTrees:
         return out
 
 
-_TREES: dict[int, ContextTrees] = {}
-
-
 def _trees(model: Model) -> ContextTrees:
     """One worked-out model a Python worker: tasks that follow each other share it."""
     mark = hash((model.languages, model.depth, model.grams.tobytes(), model.language.tobytes(), model.counts.tobytes()))
-    if mark not in _TREES:
-        _TREES.clear()
-        _TREES[mark] = ContextTrees(model)
-    return _TREES[mark]
+    return held(("trees", mark), lambda: ContextTrees(model))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
