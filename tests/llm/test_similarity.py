@@ -304,3 +304,43 @@ def test_a_bucket_of_many_near_lines_is_handed_on_as_a_star(spark):
     classes = lines.select("key", "simhash", "n_words").dropDuplicates(["key"])
     found = line_dedup.candidates(classes, line_dedup.BLOCKS, line_dedup.EQUAL)
     assert found.count() < 600 * 40
+
+
+@pytest.mark.parametrize("length", [5, 9, 10, 20, 27, 40, 100, 400])
+def test_lines_are_found_up_to_the_declared_similarity(spark, length):
+    """Edit similarity alone decides: all lines with a fifth of the words replaced, dropped or put in, none with more."""
+    random.seed(length)
+    vocabulary, edits, rows, linked = [f"v{i}" for i in range(400)], length // 5, [], set()
+    for i in range(30):
+        base = random.choices(vocabulary, k=length)
+        most = edits + i % 2
+        copy = list(base)
+        for k, at in enumerate(sorted(random.sample(range(length), most), reverse=True)):
+            copy[at : at + 1] = [] if i % 5 == 4 else [f"e{i}x{k}"]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        if len(copy) >= line_dedup.MIN_WORDS and 5 * plain_distance(base, copy) <= length:
+            linked.add(2 * i + 1)
+    got = line_dedup.deduplicated(documents(spark, rows)).collect()
+    assert len(linked) >= 12 and {r.doc_id for r in got if r.n_cut} == linked
+
+
+def test_edit_similarity_alone_decides_in_clusters(spark, monkeypatch):
+    """Chains of many lines and hot word pairs, against a comparison of all pairs."""
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", 3)
+    random.seed(77)
+    vocabulary = [f"v{i}" for i in range(12)]
+    bases = [random.choices(vocabulary, k=k) for k in (5, 6, 9, 10, 11, 15, 24)]
+    rows = [(i, " ".join(edited(random.choice(bases), random.randint(0, 4)))) for i in range(160)]
+    rows += [(200 + i, " ".join(random.choices("ab", k=random.randint(4, 12)))) for i in range(120)]
+    words = {i: tuple(plain_line_words(text)) for i, text in rows}
+    groups = Groups(words)
+    for i in words:
+        for j in range(i):
+            if j in words and min(len(words[i]), len(words[j])) >= line_dedup.MIN_WORDS:
+                if 5 * plain_distance(words[i], words[j]) <= max(len(words[i]), len(words[j])):
+                    groups.join(i, j)
+    least = {}
+    for i in words:
+        least.setdefault(groups.find(i), i)
+    got = line_dedup.deduplicated(documents(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.n_cut} == {i for i in words if least[groups.find(i)] != i}
