@@ -65,13 +65,36 @@ class Words:
     offsets: np.ndarray
 
 
-def words_of(texts: list[bytes], table: bytes) -> Words:
-    """Runs of bytes that ``table`` doesn't turn into spaces."""
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes, and bytes behind the last, of UTF-8 characters of scripts that put no spaces between words.
+
+    These are Thai, Lao, Myanmar, Khmer, U+3000 to U+9FFF (kana, Chinese), U+F900 to U+FAFF, the full and half
+    width forms and the planes of rarer Chinese characters; Korean puts spaces.
+    """
+    then = np.concatenate([data[1:], data[:1]])
+    three = (data >= 0xE3) & (data <= 0xE9)
+    three |= (data == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+    three |= (data == 0xE1) & (((then >= 0x80) & (then <= 0x82)) | (then == 0x9E) | (then == 0x9F))
+    three |= (data == 0xEF) & (((then >= 0xA4) & (then <= 0xAB)) | ((then >= 0xBC) & (then <= 0xBF)))
+    four = (data == 0xF0) & (then >= 0xA0) & (then <= 0xBF)
+    out = three | four
+    out[3:] |= three[:-3]
+    out[4:] |= four[:-4]
+    return out
+
+
+def words_of(texts: list[bytes], table: bytes, apart: bool = False) -> Words:
+    """Runs of bytes that ``table`` doesn't turn into spaces; ``apart``: ``unspaced`` characters one by one."""
     joined = b" " + b" ".join(texts) + b" "
     data = np.frombuffer(joined.translate(table), np.uint8)
     inside = data != 32
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = edges[0::2], edges[1::2]
+    if apart and data.max() >= 0xE0:
+        cuts = unspaced(data)
+        starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cuts[1:])) + 1
+        ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cuts[1:])) + 1
+    else:
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
     up, down = _POWERS.need(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])

@@ -344,3 +344,23 @@ def test_edit_similarity_alone_decides_in_clusters(spark, monkeypatch):
         least.setdefault(groups.find(i), i)
     got = line_dedup.deduplicated(documents(spark, rows)).collect()
     assert {r.doc_id for r in got if r.n_cut} == {i for i in words if least[groups.find(i)] != i}
+
+
+def test_scripts_without_spaces_and_short_lines_take_part(spark):
+    """Lines of Chinese, Japanese and Thai, whole and with some characters changed; exact repeats of short lines."""
+    lines = ["".join(chr(start + 7 * i % 80) for i in range(60)) for start in (0x4E00, 0x3041, 0x0E01, 0x20000)]
+    lines[0] = lines[0][:30] + "，" + lines[0][30:] + "。"
+    changed = [line[:9] + line[0] * 6 + line[15:] for line in lines]
+    other = ["".join(reversed(line)) for line in lines]
+    short = ["one two three", "單", "É a!"]
+    rows = [(1, "\n".join(lines + short)), (2, "\n".join(lines + ["One, two three.", "單", "É A"])),
+            (3, "\n".join(changed)), (4, "\n".join(other + ["one two four", "...", "..."]))]
+    got = {r.doc_id: (r.text, r.n_cut) for r in line_dedup.deduplicated(documents(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 7), 3: ("", 4), 4: (rows[3][1], 0)}
+
+
+def test_characters_of_scripts_without_spaces_are_words():
+    text = "ab漢字cd ไทย 𠀀𠀁 한국 l’été"
+    words = hashing.words_of([text.encode()], hashing.ALPHANUMERIC, apart=True)
+    plain = [hashing.words_of([w.encode()], hashing.ALPHANUMERIC).hashes[0] for w in "ab 漢 字 cd ไ ท ย 𠀀 𠀁 한국 l’été".split()]
+    assert words.hashes.tolist() == plain
