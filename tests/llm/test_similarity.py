@@ -364,3 +364,22 @@ def test_characters_of_scripts_without_spaces_are_words():
     words = hashing.words_of([text.encode()], hashing.ALPHANUMERIC, apart=True)
     plain = [hashing.words_of([w.encode()], hashing.ALPHANUMERIC).hashes[0] for w in "ab 漢 字 cd ไ ท ย 𠀀 𠀁 한국 l’été".split()]
     assert words.hashes.tolist() == plain
+
+
+def test_a_bucket_in_several_parts_is_compared_whole(spark, monkeypatch):
+    """Links between the parts of a bucket that is too long to be held at once."""
+    monkeypatch.setattr(line_dedup, "whole_runs", lambda b, k, most_held=20: whole_runs(b, k, most_held))
+    monkeypatch.setattr(line_dedup, "MOST_IN_TASK", 40)
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "16")
+    try:
+        rows = [(i, f"the same words stand here before a number and behind it {i}") for i in range(300)]
+        found = line_dedup.candidates(
+            line_dedup.postings(documents(spark, rows), np.zeros(line_dedup.COUNTERS, np.uint64))
+        )
+        assert found.groupBy("label").count().agg({"count": "max"}).first()[0] == 300
+        got = line_dedup.deduplicated(documents(spark, rows)).collect()
+    finally:
+        conf.set(name, before)
+    assert [r.doc_id for r in got if not r.n_cut] == [0]
