@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -79,3 +80,23 @@ def test_odd_documents_pass_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "stage")
     assert docs.isEmpty()
+
+
+def test_near_copies_are_those_of_five_words_and_eighty_percent(spark):
+    """Against a comparison of all pairs; some are near copies by this rule but not by op6's."""
+    random.seed(12)
+    rows, vocabulary = [], [f"v{i}" for i in range(3000)]
+    for i in range(40):
+        base = random.choices(vocabulary, k=400)
+        copy = [f"e{i}x{k}" if k % 40 == 5 and k < 40 * (5 + i % 7) else w for k, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:335] if i % 10 == 9 else copy))]
+
+    def similarity(a, b, width):
+        sets = [{tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for t in (a, b)]
+        return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+    pairs = list(zip(rows[::2], rows[1::2]))
+    gone = {b[0] for a, b in pairs if similarity(a[1], b[1], 5) >= 0.8}
+    assert any(similarity(a[1], b[1], 4) < 0.85 for a, b in pairs if b[0] in gone) and len(gone) < len(pairs)
+    kept = corpus_pipeline.join_near_copies(spark, documents(spark, rows), SF)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - gone
