@@ -5,8 +5,9 @@ maximal run of key characters that holds a digit and a letter, of MIN_RUN charac
 clear of the base spans, is scored under a first-order Markov model of random strings and one of
 ordinary identifiers. It is a secret if the ratio reaches MIN_BITS_A_CHARACTER per character.
 
-Both models are trained here, on labelled samples: runs inside base spans of about SAMPLE_DOCS
-documents drawn by hash are random strings, their other runs ordinary ones, but for those that are
+Both models are trained here, on two labelled samples drawn by hash: random strings are those inside base
+spans of about SAMPLE_DOCS of the documents that hold any, however rare these are, and ordinary ones the runs
+outside base spans of about SAMPLE_DOCS of all documents, but for those that are
 themselves to be judged, which teach neither model. Counts start
 from PRIOR for every pair of characters, so a model without samples is uniform; without any
 random samples the method adds nothing.
@@ -92,17 +93,29 @@ class Ratio:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ratio | None:
-    """Count pairs of characters in random and ordinary runs of a bounded sample of documents."""
-    total = docs.count()
+    """Count pairs of characters in random and ordinary runs of bounded samples of documents."""
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents, and those that hold random strings."""
+        total = some = 0
+        for batch in batches:
+            total += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                some += bool(text and secret_values(text, base_spans(text)))
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([some])], names=["total", "some"])
+
+    counted = docs.select("text").transform(in_arrow, holding, "total long, some long")
+    total, some = (n or 0 for n in counted.agg(F.sum("total"), F.sum("some")).first())
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
-    sample = docs.select("text").filter(F.col("text").isNotNull() & (draw * max(total, 1) < sample_docs))
+    ordinary, random = draw * max(total, 1) < sample_docs, draw * max(some, 1) < sample_docs
+    sample = docs.select("text", ordinary.alias("ordinary")).filter(F.col("text").isNotNull() & random)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((2, _WIDTH, _WIDTH), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, drawn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text)
-                for run in _SAMPLE_RUN.finditer(text):
+                for run in _SAMPLE_RUN.finditer(text) if drawn else ():
                     if outside(spans, *run.span()) and not is_candidate(run.group()):
                         path = codes(run.group())
                         np.add.at(pairs[1], ([0, *path[:-1]], path), 1)

@@ -320,3 +320,13 @@ def test_contract_columns_and_clean_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.digests(frame, none).filter("contaminated").isEmpty()
     assert decontamination.digests(documents(spark, []), benchmark).isEmpty()
+
+
+def test_secrets_rarer_than_the_sample_teach_the_random_model(spark):
+    random.seed(8)
+    key = lambda: "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789", k=40))
+    rows = [(i, f"ordinary words about number_{i} and some_identifier_name here") for i in range(3000)]
+    rows += [(4000 + i, f"token = {key()}") for i in range(12)]
+    ratio = secrets.train(documents(spark, rows), sample_docs=12)
+    assert ratio is not None
+    assert ratio.a_character(rows[-1][1][8:]) > 0.5 > 0 > ratio.a_character("some_identifier_name_number_12_here")
