@@ -122,6 +122,37 @@ def rollup_1m(events: DataFrame) -> DataFrame:
     )
 
 
+def minute_states(events: DataFrame) -> DataFrame:
+    """Partial states of the one-minute aggregate: what readings that come later can be added to."""
+    return (
+        events.withColumn("bucket", time_bucket("1 minute", "event_time"))
+        .groupBy(*SERIES, "bucket")
+        .agg(
+            F.count(F.lit(1)).alias("samples"),
+            F.sum("value").alias("total"),
+            F.min("value").alias("minimum"),
+            F.max("value").alias("maximum"),
+        )
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One partial state per series and bucket."""
+    return states.groupBy(*SERIES, "bucket").agg(
+        F.sum("samples").alias("samples"),
+        F.sum("total").alias("total"),
+        F.min("minimum").alias("minimum"),
+        F.max("maximum").alias("maximum"),
+    )
+
+
+def finished(states: DataFrame) -> DataFrame:
+    """The stored one-minute rows of merged states."""
+    return states.select(
+        *SERIES, "bucket", "samples", (F.col("total") / F.col("samples")).alias("average"), "minimum", "maximum"
+    )
+
+
 def rollup_1h(minutes: DataFrame) -> DataFrame:
     """Stored one-hour aggregate, built from one-minute rows, never from readings."""
     return (

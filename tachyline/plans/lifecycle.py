@@ -8,16 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
-from tachyline.operators.rollups import rollup_1h, rollup_1m
+from tachyline.operators.rollups import finished, merged_states, minute_states, rollup_1h, rollup_1m
 from tachyline.plans.files import Files, chunk_dir
 from tachyline.plans.sizing import broadcast_if_small
-from tachyline.plans.store import FILE_OPTIONS, Store, salt
+from tachyline.plans.store import FILE_OPTIONS, Coverage, Store, salt
 from tachyline.schemas import small_table
 
 HOUR = dt.timedelta(hours=1)
 REFRESH_SPAN = dt.timedelta(days=7)
 RETENTION = dt.timedelta(days=7)
 COMPACT_AFTER = dt.timedelta(hours=1)
+#: Parts of partial states per chunk that a refresh reads before it writes them as one.
+MOST_PARTS = 16
 
 
 def _bounded(rows: DataFrame, column: str, low: dt.datetime, high: dt.datetime) -> DataFrame:
@@ -65,37 +67,86 @@ def refresh_rollup_1m(
 ) -> list[dt.datetime]:
     """Bring the one-minute buckets in [now - 7 d, now - 1 min) up to date with the raw readings.
 
-    Beside the aggregate stands a mark per chunk: the newest batch it has seen and the time
-    up to which it was refreshed. A chunk is due if a newer batch has written to it, or if
-    its mark ends before the part of the chunk that is now in range; others aren't read.
-    ``since_batch`` takes the place of the marks' batches, ``full`` takes every chunk.
-    Only whole buckets are recomputed, and only in chunks that still have raw data, so
+    Beside the aggregate stand partial states (count, sum, least, greatest) and, per chunk, the set of
+    batches they hold. A refresh reads the batches that are not among them, in whatever order ids were
+    given, and adds their states; only a chunk whose known batches are gone (merged by another writer) is
+    read again as a whole. A chunk is due if it holds other batches than its states, if its states are newer
+    than its rows, or if its rows end before the part of the chunk that is now in range; others aren't read.
+    ``since_batch`` also takes chunks that hold a newer batch, ``full`` reads every chunk again.
+    Only whole buckets are published, and only of chunks that still have raw data, so
     aggregates outlive the readings they came from. Existing buckets of a boundary chunk that
     lie outside the range are carried over. Returns the chunks that were rewritten.
     """
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 minute"), floor_to(now - dt.timedelta(minutes=1), "1 minute")
     store.recover("rollup_1m")
-    marks, newest = store.marks("rollup_1m"), {}
+    marks, coverage = store.marks("rollup_1m"), store.coverage()
+    chunks, unread = [], {}
     for start in store.chunks("raw"):
         if start + store.chunk <= low or start >= high:
             continue
-        batch = _newest_batch(_batches(store, start))
-        seen, bound = marks.get(start, (-1, dt.datetime.min))
-        if full or batch > (seen if since_batch is None else since_batch) or bound < min(start + store.chunk, high):
-            newest[start] = batch
-    chunks = sorted(newest)
+        batches = frozenset(_batches(store, start))
+        held = coverage.get(start, Coverage())
+        revision, bound = marks.get(start, (-1, dt.datetime.min))
+        named = full or (since_batch is not None and _newest_batch(batches) > since_batch)
+        if not (named or batches != held.batches or held.revision != revision or bound < min(start + store.chunk, high)):
+            continue
+        chunks.append(start)
+        if full or not held.parts or not held.batches <= batches:
+            coverage[start] = held = Coverage(held.revision)
+        if batches != held.batches:
+            unread[start] = batches - held.batches
     if not chunks:
         return []
-    fresh = rollup_1m(_bounded(store.read_chunks("raw", chunks), "event_time", low, high))
+    if unread:
+        coverage |= _add_states(store, unread, coverage)
+        store.set_coverage({start: held for start, held in coverage.items() if start + store.chunk > low})
+    parts = {start: coverage[start].parts for start in chunks}
+    states = store.read_parts("rollup_1m_states", "part", parts)
+    fresh = _bounded(finished(merged_states(states)), "bucket", low, high)
     edges = [start for start in chunks if start < low or start + store.chunk > high]
     kept = _outside(store.read_chunks("rollup_1m", edges), "bucket", low, high).select(*fresh.columns)
     _write_minutes(store, fresh.unionByName(kept))
-    done = {start: (newest[start], min(start + store.chunk, high)) for start in chunks}
+    done = {start: (coverage[start].revision, min(start + store.chunk, high)) for start in chunks}
     _mark(store, "rollup_1m", marks | done, low)
+    _drop_other_parts(store, {start: coverage[start].parts for start in unread})
     return chunks
 
 
+def _add_states(
+    store: Store, unread: dict[dt.datetime, frozenset[int]], coverage: dict[dt.datetime, Coverage]
+) -> dict[dt.datetime, Coverage]:
+    """Write the states of unread batches as a part of a new number; many old parts become one with it.
+
+    A part counts once the coverage names it: what a crash leaves behind is never read.
+    """
+    part = uuid.uuid4().int >> 65
+    states = minute_states(store.read_parts("raw", "batch_id", unread))
+    joined = {start: coverage[start].parts for start in unread if len(coverage[start].parts) >= MOST_PARTS}
+    if joined:
+        old = store.read_parts("rollup_1m_states", "part", joined).select(*states.columns)
+        states = merged_states(states.unionByName(old))
+    rows = store.with_bucket_chunk(states).withColumn("part", F.lit(part))
+    store.write(rows, "rollup_1m_states", salt(4, "car_id", "sensor_id"))
+    return {
+        start: Coverage(
+            coverage[start].revision + 1,
+            coverage[start].batches | batches,
+            (part,) if start in joined else (*coverage[start].parts, part),
+        )
+        for start, batches in unread.items()
+    }
+
+
+def _drop_other_parts(store: Store, parts: dict[dt.datetime, tuple[int, ...]]) -> None:
+    files = Files(store.spark)
+    for start, kept in parts.items():
+        root = store.chunk_path("rollup_1m_states", start)
+        for name in files.children(root):
+            if name.startswith("part=") and int(name.split("=")[1]) not in kept:
+                files.delete(f"{root}/{name}")
+
+
 def _mark(
     store: Store, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]], low: dt.datetime
 ) -> None:
@@ -153,12 +204,18 @@ def refresh_rollup_1h(
 def backfill(store: Store) -> None:
     """Fill both aggregates from everything the raw table holds.
 
-    What comes later arrives in newer batches, so the chunks are marked as done to their ends.
+    What comes later arrives in other batches, so the chunks are marked as done to their ends. They have no
+    partial states yet: the first refresh that finds such a batch reads its chunk as a whole.
     """
-    marks = {start: (_newest_batch(_batches(store, start)), start + store.chunk) for start in store.chunks("raw")}
+    before, batches = store.coverage(), {start: frozenset(_batches(store, start)) for start in store.chunks("raw")}
+    coverage = {
+        start: Coverage(before.get(start, Coverage()).revision + 1, held) for start, held in batches.items()
+    }
+    marks = {start: (held.revision, start + store.chunk) for start, held in coverage.items()}
     _write_minutes(store, rollup_1m(store.read("raw")))
     hourly = rollup_1h(store.read("rollup_1m")).withColumn("bucket_date", F.to_date("bucket"))
     store.replace(hourly, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    store.set_coverage(before | coverage)
     for table in ("rollup_1m", "rollup_1h_source", "rollup_1h"):
         store.set_marks(table, marks)
 
@@ -169,7 +226,9 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     Rows are range-partitioned on the full sort key (chunk, car, sensor, newest first),
     so that a series with very many rows is cut by time rather than handed to one task,
     and the sorted files give tight row-group statistics. Each chunk is swapped in by
-    rename; a crash in between is repaired by the next run.
+    rename; a crash in between is repaired by the next run. The merged directory gets a name the
+    chunk has not had, so that a refresh can tell it from an older one; where all that was merged is in the
+    aggregates' states, they are told so and read nothing again.
     """
     files, raw = Files(store.spark), store.path("raw")
     # Outside the table, so that no reader ever lists half-finished work.
@@ -177,11 +236,12 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     for start in files.chunks(f"{parking}/old"):
         files.finish_swap(chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
     cut = instant(now) - after
-    merged = {}
+    merged, sources = {}, {}
     for start in store.chunks("raw"):
         batches = _batches(store, start) if start + store.chunk <= cut else []
         if any(batch >= 0 for batch in batches):
-            merged[start] = -(_newest_batch(batches) + 1)
+            merged[start] = min(-(_newest_batch(batches) + 1), min(batches) - 1)
+            sources[start] = frozenset(batches)
     if not merged:
         return []
     closed = list(merged)
@@ -209,6 +269,14 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
         files.rename(chunk_dir(staged, start), live)
         files.delete(old)
     files.delete(staged)
+    coverage = store.coverage()
+    renamed = {
+        start: Coverage(coverage[start].revision, frozenset([batch]), coverage[start].parts)
+        for start, batch in merged.items()
+        if start in coverage and coverage[start].batches == sources[start]
+    }
+    if renamed:
+        store.set_coverage(coverage | renamed)
     return closed
 
 

@@ -32,14 +32,44 @@ _PARTITIONS = {
     "archive": "event_date date, event_hour int, batch_id bigint",
     "rollup_1m": "bucket_date date, bucket_hour int",
     "rollup_1h": "bucket_date date",
+    "rollup_1m_states": "bucket_date date, bucket_hour int, part bigint",
 }
+_STATE = (
+    "car_id string, sensor_id string, bucket {ts}, samples bigint, total double, minimum double, maximum double"
+)
 _MARK = "chunk string, batch bigint, bound string"
+_COVERAGE = "chunk string, revision bigint, batches string, parts string"
 # Delta-packed integers and timestamps: sorted times and counters shrink to almost
 # nothing, and both Spark's vectorised reader and writer handle them.
 FILE_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
 READING_COLUMNS = ["car_id", "sensor_id", "event_time", "value", "sequence_no", "arrival"]
 
 
+@dataclass(frozen=True)
+class Coverage:
+    """What the partial states of a chunk stand for: which batches, in which parts; -1: never built."""
+
+    revision: int = -1
+    batches: frozenset[int] = frozenset()
+    parts: tuple[int, ...] = ()
+
+
+def _ranges(numbers: frozenset[int]) -> str:
+    """Ascending runs of numbers as first:last, comma-joined."""
+    runs: list[list[int]] = []
+    for number in sorted(numbers):
+        if runs and number == runs[-1][1] + 1:
+            runs[-1][1] = number
+        else:
+            runs.append([number, number])
+    return ",".join(f"{first}:{last}" for first, last in runs)
+
+
+def _numbers(text: str) -> frozenset[int]:
+    bounds = [run.split(":") for run in text.split(",") if run]
+    return frozenset(number for first, last in bounds for number in range(int(first), int(last) + 1))
+
+
 @dataclass(frozen=True)
 class Store:
     """Paths and schemas of one set of tables below ``root``.
@@ -77,7 +107,7 @@ class Store:
         return f"{self.root}/{table}"
 
     def schema(self, table: str) -> str:
-        row = _ROLLUP if table.startswith("rollup") else _READING
+        row = _STATE if table.endswith("_states") else _ROLLUP if table.startswith("rollup") else _READING
         return f"{row.format(ts='timestamp' if self.zoned else 'timestamp_ntz')}, {_PARTITIONS[table]}"
 
     def create(self) -> "Store":
@@ -115,6 +145,16 @@ class Store:
         reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
         return reader.parquet(*paths)
 
+    def read_parts(self, table: str, column: str, parts: dict[dt.datetime, Sequence[int]]) -> DataFrame:
+        """Only the named directories ``column=part`` of the given chunks."""
+        files = Files(self.spark)
+        paths = [f"{self.chunk_path(table, start)}/{column}={part}" for start, some in parts.items() for part in some]
+        paths = [path for path in paths if files.exists(path)]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema(table))
+        reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
+        return reader.parquet(*paths)
+
     def rollups_between(
         self, resolution: str, start: str | dt.datetime, end: str | dt.datetime
     ) -> DataFrame:
@@ -143,26 +183,49 @@ class Store:
             return self.spark.createDataFrame([], self.schema(table))
         return self.spark.read.schema(self.schema(table)).option("basePath", root).parquet(*paths)
 
-    def marks(self, table: str) -> dict[dt.datetime, tuple[int, dt.datetime]]:
-        """How far an aggregate has been refreshed: chunk -> (newest batch seen, upper bound)."""
-        files, root = Files(self.spark), f"{self.root}/refreshed/{table}"
+    def _noted(self, name: str, schema: str) -> list:
+        """Rows of the last complete version of a small note beside the tables."""
+        files, root = Files(self.spark), f"{self.root}/refreshed/{name}"
         for version in sorted(files.children(root), reverse=True):
             if files.exists(f"{root}/{version}/_SUCCESS"):
-                rows = self.spark.read.schema(_MARK).parquet(f"{root}/{version}").collect()
-                parse = dt.datetime.fromisoformat
-                return {parse(row["chunk"]): (row["batch"], parse(row["bound"])) for row in rows}
-        return {}
+                return self.spark.read.schema(schema).parquet(f"{root}/{version}").collect()
+        return []
 
-    def set_marks(self, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]]) -> None:
-        """Replace the marks. Versions: a crash leaves the last complete one in force."""
-        files, root = Files(self.spark), f"{self.root}/refreshed/{table}"
+    def _note(self, name: str, rows: list[tuple], schema: str) -> None:
+        """Replace a note. Versions: a crash leaves the last complete one in force."""
+        files, root = Files(self.spark), f"{self.root}/refreshed/{name}"
         old = sorted(files.children(root))
         number = int(old[-1].split("=")[1]) + 1 if old else 0
-        rows = [(start.isoformat(), batch, bound.isoformat()) for start, (batch, bound) in sorted(marks.items())]
-        small_table(self.spark, rows, _MARK).coalesce(1).write.parquet(f"{root}/version={number:012d}")
+        small_table(self.spark, rows, schema).coalesce(1).write.parquet(f"{root}/version={number:012d}")
         for version in old:
             files.delete(f"{root}/{version}")
 
+    def marks(self, table: str) -> dict[dt.datetime, tuple[int, dt.datetime]]:
+        """How far an aggregate has been refreshed: chunk -> (revision of its source, upper bound)."""
+        parse = dt.datetime.fromisoformat
+        rows = self._noted(table, _MARK)
+        return {parse(row["chunk"]): (row["batch"], parse(row["bound"])) for row in rows}
+
+    def set_marks(self, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]]) -> None:
+        rows = [(start.isoformat(), batch, bound.isoformat()) for start, (batch, bound) in sorted(marks.items())]
+        self._note(table, rows, _MARK)
+
+    def coverage(self) -> dict[dt.datetime, Coverage]:
+        """Which batches of each chunk the partial states of the one-minute aggregate hold."""
+        return {
+            dt.datetime.fromisoformat(row["chunk"]): Coverage(
+                row["revision"], _numbers(row["batches"]), tuple(int(part) for part in row["parts"].split(",") if part)
+            )
+            for row in self._noted("coverage", _COVERAGE)
+        }
+
+    def set_coverage(self, coverage: dict[dt.datetime, Coverage]) -> None:
+        rows = [
+            (start.isoformat(), held.revision, _ranges(held.batches), ",".join(map(str, held.parts)))
+            for start, held in sorted(coverage.items())
+        ]
+        self._note("coverage", rows, _COVERAGE)
+
     def replace(self, rows: DataFrame, table: str, spread: Column | None = None) -> None:
         """``write``, but staged and swapped in directory by directory.
 
@@ -214,7 +277,7 @@ class Store:
 
 
 def _chunk_names(table: str) -> tuple[str, str]:
-    return ("bucket_date", "bucket_hour") if table == "rollup_1m" else ("event_date", "event_hour")
+    return ("bucket_date", "bucket_hour") if table.startswith("rollup_1m") else ("event_date", "event_hour")
 
 
 def salt(width: int, *columns: str) -> Column:

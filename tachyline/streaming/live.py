@@ -11,6 +11,7 @@ exact per-record answer.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -108,19 +109,24 @@ def start_session_stats(rollups: DataFrame, path: str, checkpoint: str, **trigge
     """Keep running per-series statistics: one table of all series, however long the stream runs.
 
     Each batch writes the next version, the series that changed over the ones before, and
-    drops what the version before it was made from. A repeated batch makes the same version.
+    drops what the version before it was made from. A version's name says which query and which of its batches
+    made it: a repeated batch starts from the same version again, and a query whose checkpoint was
+    lost starts from nothing, as its state does.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        files, earlier = Files(spark), [n for n in _versions(spark, path) if n < batch_id]
+        files, versions, run = Files(spark), _versions(spark, path), _query_id(spark, checkpoint)
+        mine = [name for _, made_by, made_in, name in versions if made_by == run and made_in < batch_id]
         rows = batch
-        if earlier:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/version={earlier[-1]}")
+        if mine:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/{mine[-1]}")
             rows = batch.unionByName(before.join(batch.select(*SERIES), SERIES, "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        for number in earlier[:-1]:
-            files.delete(f"{path}/version={number}")
+        number = versions[-1][0] + 1 if versions else 0
+        rows.write.mode("overwrite").parquet(f"{path}/version={number:012d}_{run}_{batch_id}")
+        for *_, name in versions:
+            if name not in mine[-1:]:
+                files.delete(f"{path}/{name}")
 
     writer = (
         session_stats(rollups)
@@ -131,16 +137,25 @@ def start_session_stats(rollups: DataFrame, path: str, checkpoint: str, **trigge
     return _start(writer, rollups.sparkSession, True, **trigger)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the query when it made this checkpoint."""
+    text = "".join(row[0] for row in spark.read.text(f"{checkpoint}/metadata").collect())
+    return json.loads(text)["id"].replace("-", "")
+
+
 def current_session(spark: SparkSession, path: str) -> DataFrame:
     """The newest statistics of each series written by ``start_session_stats``."""
-    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1][-1]}")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, ascending."""
-    files = Files(spark)
-    found = [int(name.split("=")[1]) for name in files.children(path) if name.startswith("version=")]
-    return sorted(number for number in found if files.exists(f"{path}/version={number}/_SUCCESS"))
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, int, str]]:
+    """The complete versions, ascending: number, query, batch, name."""
+    files, found = Files(spark), []
+    for name in files.children(path):
+        if name.startswith("version=") and files.exists(f"{path}/{name}/_SUCCESS"):
+            number, run, batch = name.split("=")[1].split("_")
+            found.append((int(number), run, int(batch), name))
+    return sorted(found)
 
 
 def dropped_rows(query: StreamingQuery) -> int:

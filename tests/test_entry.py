@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -58,6 +63,27 @@ def test_the_driver_contract_survives_without_the_training_queries(monkeypatch):
         entry._optional("corpus_pipeline")
 
 
+def test_a_copy_without_the_training_folders_imports_and_runs(tmp_path):
+    """The files as they are, less the two folders, in a fresh process."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ignore = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache")
+    for pipeline in (True, False):
+        copy = tmp_path / f"copy-{pipeline}"
+        shutil.copytree(root, copy, ignore=ignore)
+        if not pipeline:
+            (copy / "corpus_pipeline.py").unlink()
+        code = (
+            "import __spark_entry__ as e\n"
+            "assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline'] and e.oracle_sql()\n"
+            "from tachyline.session import build_session\n"
+            "spark = build_session('local[2]', shuffle_partitions=2)\n"
+            "print('rows', e.entry(spark).count())\n"
+        )
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=240)
+        assert out.returncode == 0, out.stderr[-2000:]
+        assert "rows" in out.stdout
+
+
 def test_partition_skew_covers_all_readings(spark):
     rows = entry.queries()["partition_skew"](spark, SF_DIR).collect()
     assert sum(row["readings"] for row in rows) == 1000

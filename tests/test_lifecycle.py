@@ -82,6 +82,74 @@ def test_a_running_hour_stays_complete(spark, store):
     assert lifecycle.refresh_rollup_1m(store, W + 400 * MINUTE, full=True) == [W, W + 2 * HOUR]
 
 
+def test_a_batch_with_a_lower_id_is_not_lost(spark, store):
+    """Two checkpoints with ranges of their own, the older one resumed after the newer."""
+    now = W + 3 * HOUR
+    ingest.ingest_batch(readings(spark, [speed(1, 1)]), 10, store)
+    lifecycle.refresh_rollup_1m(store, now)
+    lifecycle.refresh_rollup_1h(store, now)
+    for n, batch in enumerate((5, 20, 7)):
+        ingest.ingest_batch(readings(spark, [speed(1200 + n, 50 + n)]), batch, store)
+        chunks = lifecycle.refresh_rollup_1m(store, now)
+        assert chunks == [W] and lifecycle.refresh_rollup_1h(store, now) == [W]
+        assert buckets(store)[1][1] == n + 1
+        assert buckets(store, "ONE_HOUR")[0][1] == n + 2
+    assert lifecycle.refresh_rollup_1m(store, now) == [] and lifecycle.refresh_rollup_1h(store, now) == []
+
+
+def test_a_compacted_chunk_takes_lower_ids_too(spark, store):
+    now = W + 3 * HOUR
+    ingest.ingest_batch(readings(spark, [speed(1, 1)]), 10, store)
+    lifecycle.refresh_rollup_1m(store, now)
+    assert lifecycle.compact(store, now) == [W] and lifecycle.refresh_rollup_1m(store, now) == []
+    ingest.ingest_batch(readings(spark, [speed(2, 3)]), 5, store)
+    # merged before the refresh has seen it: the merged directory has a name of its own
+    assert lifecycle.compact(store, now) == [W]
+    assert Files(spark).children(store.chunk_path("raw", W)) == ["batch_id=-12"]
+    assert lifecycle.refresh_rollup_1m(store, now) == [W]
+    assert buckets(store) == [(W, 2, 2.0)]
+    ingest.ingest_batch(readings(spark, [speed(3, 5)]), 6, store)
+    assert lifecycle.refresh_rollup_1m(store, now) == [W] and buckets(store) == [(W, 3, 3.0)]
+
+
+def test_a_refresh_reads_new_batches_only(spark, store, monkeypatch):
+    """What a batch brought is kept as partial states: its readings aren't opened again."""
+    monkeypatch.setattr(lifecycle, "MOST_PARTS", 3)
+    files = Files(spark)
+    for batch in range(8):
+        ingest.ingest_batch(readings(spark, [speed(60 * batch + n, 10 * batch + n) for n in range(3)]), batch, store)
+        lifecycle.refresh_rollup_1m(store, W + 30 * MINUTE)
+        folder = f"{store.chunk_path('raw', W)}/batch_id={batch}"
+        for name in files.children(folder):
+            files.delete(f"{folder}/{name}")
+        assert len(store.coverage()[W].parts) <= 3
+        assert len(files.children(store.chunk_path("rollup_1m_states", W))) <= 3
+    assert buckets(store) == [(W + n * MINUTE, 3, 10.0 * n + 1) for n in range(8)]
+
+
+def test_states_that_were_not_published_are_due(spark, store, monkeypatch):
+    """A crash between the states and the rows, and one between writing states and naming them."""
+    ingest.ingest_batch(readings(spark, [speed(1, 1)]), 0, store)
+    lifecycle.refresh_rollup_1m(store, W + HOUR)
+    ingest.ingest_batch(readings(spark, [speed(2, 3)]), 1, store)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    for place in ("_write_minutes", "_mark"):
+        with monkeypatch.context() as patched:
+            patched.setattr(lifecycle, place, crash)
+            with pytest.raises(OSError):
+                lifecycle.refresh_rollup_1m(store, W + HOUR)
+    with monkeypatch.context() as patched:
+        patched.setattr(Store, "set_coverage", crash)
+        ingest.ingest_batch(readings(spark, [speed(3, 5)]), 2, store)
+        with pytest.raises(OSError):
+            lifecycle.refresh_rollup_1m(store, W + HOUR)
+    assert lifecycle.refresh_rollup_1m(store, W + HOUR) == [W]
+    assert buckets(store) == [(W, 3, 3.0)] and lifecycle.refresh_rollup_1m(store, W + HOUR) == []
+
+
 @pytest.mark.parametrize("staged_in", [False, True])
 def test_a_crash_during_a_refresh_is_repaired(spark, store, staged_in):
     ingest.ingest_batch(readings(spark, [speed(1, 1)]), 0, store)

@@ -210,3 +210,25 @@ def test_progress_helpers(spark, place):
     feed.send([speed(0.1, 1)])
     query = feed.roll()
     assert live.source_lag(query) == 0
+
+
+def test_statistics_follow_a_lost_checkpoint(spark, place):
+    """A new checkpoint replays everything: its batches count from 0 again, and nothing stays as it was."""
+    feed = Feed(spark, place)
+    path = f"{place}/session"
+
+    def stats(checkpoint):
+        live.start_session_stats(topics.read_rollups(spark, feed.rollups), path, checkpoint, **ONCE).awaitTermination()
+        return values(live.current_session(spark, path), "peak", "samples")
+
+    for n in range(3):
+        feed.send([speed(20 * n, n + 1), tick(20 * n + 15)], together=True)
+        feed.roll()
+        assert [row for row in stats(f"{place}/s1") if row[1] == n + 1 and row[0] == n + 1]
+    feed.send([speed(60, 50), tick(75)], together=True)
+    feed.roll()
+    assert (50.0, 4) in stats(f"{place}/s2")
+    feed.send([speed(80, 7), tick(95)], together=True)
+    feed.roll()
+    assert (50.0, 5) in stats(f"{place}/s2")
+    assert len(Files(spark).children(path)) <= 2
