@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tachyline.functions.scaling import fraction_of_range, half_up, lane_position
 from tachyline.functions.time import at, interval
-from tachyline.operators.alerts import active_breach
+from tachyline.operators.alerts import ALERT_COLUMNS, active_breach
 from tachyline.operators.rollups import of_length
 from tachyline.plans.sizing import broadcast_if_small
 from tachyline.schemas import SERIES
@@ -50,49 +50,73 @@ def _fresh(frame: DataFrame, column: str, now: str | dt.datetime, limit: str) ->
     return F.coalesce(F.col(column) + interval(limit) >= at(frame, column, now), F.lit(False))
 
 
-def live_board(
-    rollups: DataFrame, alerts: DataFrame, now: str | dt.datetime, arrival: str = "window_end"
-) -> DataFrame:
-    """One row per car: instruments, session facts, signal state and held breach.
+#: Instruments of the board that show a channel's current average, and those that show its peak.
+CURRENT = {
+    "speed": "speed", "engine_rpm": "engine-rpm", "gear": "gear", "throttle": "throttle-position", "brake": "brake-pressure"
+}
+PEAKS = {"top_speed": "speed", "brake_fl_peak": "brake-temperature-front-left"}
 
-    A single aggregation over the one-second rollups; each instrument is a
-    conditional aggregate, so no pivot pass and no per-sensor join is needed.
-    """
-    seconds = of_length(rollups)
 
-    def current(sensor: str) -> Column:
+def board_states(rollups: DataFrame, arrival: str = "window_end") -> DataFrame:
+    """One row of partial states per car, from one-second rollups.
+
+    A single aggregation; each instrument is a conditional aggregate, so no pivot pass and no
+    per-sensor join is needed. ``merged_board`` adds such rows up.
+    """
+    seconds, is_speed = of_length(rollups), F.col("sensor_id") == SIGNAL_SENSOR
+    states = []
+    for name, sensor in CURRENT.items():
         mine = F.col("sensor_id") == sensor
-        return F.max_by(F.when(mine, F.col("average")), F.when(mine, F.col(arrival)))
+        states += [
+            F.max_by(F.when(mine, F.col("average")), F.when(mine, F.col(arrival))).alias(name),
+            F.max(F.when(mine, F.col(arrival))).alias(f"{name}_at"),
+        ]
+    for name, sensor in PEAKS.items():
+        states.append(F.max(F.when(F.col("sensor_id") == sensor, F.col("maximum"))).alias(name))
+    return seconds.groupBy("car_id").agg(
+        *states,
+        F.sum(F.when(is_speed, F.col("average") * F.col("count"))).alias("speed_total"),
+        F.sum(F.when(is_speed, F.col("count"))).alias("speed_count"),
+    )
 
-    def peak(sensor: str) -> Column:
-        return F.max(F.when(F.col("sensor_id") == sensor, F.col("maximum")))
 
-    is_speed = F.col("sensor_id") == SIGNAL_SENSOR
-    cards = seconds.groupBy("car_id").agg(
-        F.max(F.when(is_speed, F.col(arrival))).alias("last_seen"),
-        current("speed").alias("speed"),
-        current("engine-rpm").alias("engine_rpm"),
-        half_up(current("gear")).alias("gear"),
-        current("throttle-position").alias("throttle"),
-        current("brake-pressure").alias("brake"),
-        (
-            F.sum(F.when(is_speed, F.col("average") * F.col("count")))
-            / F.sum(F.when(is_speed, F.col("count")))
-        ).alias("average_speed"),
-        peak("speed").alias("top_speed"),
-        peak("brake-temperature-front-left").alias("brake_fl_peak"),
-    )
+def merged_board(states: DataFrame) -> DataFrame:
+    """One row per car from several."""
+    merged = []
+    for name in CURRENT:
+        merged += [F.max_by(name, f"{name}_at").alias(name), F.max(f"{name}_at").alias(f"{name}_at")]
+    merged += [F.max(name).alias(name) for name in PEAKS]
+    merged += [F.sum(name).alias(name) for name in ("speed_total", "speed_count")]
+    return states.groupBy("car_id").agg(*merged)
+
+
+def last_alert(alerts: DataFrame, arrival: str = "window_end") -> DataFrame:
+    """Each car's last alert; of such rows again the last."""
+    row = F.struct(*[name for name in dict.fromkeys([arrival, "window_start", "sensor_id", "threshold", *ALERT_COLUMNS]) if name != "car_id"])
+    return alerts.groupBy("car_id").agg(F.max(row).alias("_last")).select("car_id", "_last.*")
+
+
+def finished_board(states: DataFrame, alerts: DataFrame, now: str | dt.datetime, arrival: str = "window_end") -> DataFrame:
+    """The board at ``now`` from partial states and alerts."""
     breaches = active_breach(alerts, now, arrival=arrival).select(
         "car_id",
         F.col("sensor_id").alias("breach_sensor"),
         F.col("observed_maximum").alias("breach_observed"),
         F.col("threshold").alias("breach_threshold"),
     )
-    return (
-        cards.withColumn("has_signal", _fresh(cards, "last_seen", now, "6 seconds"))
-        .drop("last_seen")
-        .join(breaches, "car_id", "left")
+    cards = states.select(
+        "car_id", "speed", "engine_rpm", half_up(F.col("gear")).alias("gear"), "throttle", "brake",
+        (F.col("speed_total") / F.col("speed_count")).alias("average_speed"), *PEAKS,
+        _fresh(states, "speed_at", now, "6 seconds").alias("has_signal"),
     )
+    return cards.join(breaches, "car_id", "left")
+
+
+def live_board(
+    rollups: DataFrame, alerts: DataFrame, now: str | dt.datetime, arrival: str = "window_end"
+) -> DataFrame:
+    """One row per car: instruments, session facts, signal state and held breach."""
+    return finished_board(board_states(rollups, arrival), alerts, now, arrival)
 
 
 def other_cars(rollups: DataFrame, garage: Sequence[str], arrival: str = "window_end") -> DataFrame:

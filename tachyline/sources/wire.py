@@ -218,10 +218,11 @@ def wire_size_audit(events: DataFrame) -> DataFrame:
     )
 
 
-def rollups_to_json(rollups: DataFrame) -> DataFrame:
-    """Live rollups as topic rows, keyed by series."""
+def rollups_to_json(rollups: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Live rollups as topic rows, keyed by series. ``keep`` names columns that go along."""
     return _to_topic(
         rollups,
+        keep,
         {
             "carId": "car_id", "sensorId": "sensor_id", "windowLength": "window_length",
             "windowStart": "window_start", "windowEnd": "window_end", "count": "count",
@@ -230,10 +231,11 @@ def rollups_to_json(rollups: DataFrame) -> DataFrame:
     )
 
 
-def alerts_to_json(alerts: DataFrame) -> DataFrame:
-    """Alerts as topic rows, keyed by series."""
+def alerts_to_json(alerts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts as topic rows, keyed by series. ``keep`` names columns that go along."""
     return _to_topic(
         alerts,
+        keep,
         {
             "carId": "car_id", "sensorId": "sensor_id", "windowStart": "window_start",
             "windowEnd": "window_end", "observedMaximum": "observed_maximum", "threshold": "threshold",
@@ -241,12 +243,13 @@ def alerts_to_json(alerts: DataFrame) -> DataFrame:
     )
 
 
-def _to_topic(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+def _to_topic(rows: DataFrame, keep: tuple[str, ...], names: dict[str, str]) -> DataFrame:
     utc = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
     record = F.struct(*[F.col(column).alias(name) for name, column in names.items()])
     return rows.select(
         F.concat_ws("|", "car_id", "sensor_id").alias("key"),
         F.to_json(record, utc).cast("binary").alias("value"),
+        *keep,
     )
 
 

@@ -11,7 +11,6 @@ exact per-record answer.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -22,7 +21,6 @@ from tachyline.functions.time import iso_duration
 from tachyline.operators.alerts import alerts_for
 from tachyline.operators.board import session_stats
 from tachyline.operators.rollups import rollup
-from tachyline.plans.files import Files
 from tachyline.schemas import KEY, SERIES
 from tachyline.sources.topics import Topic, event_records
 from tachyline.sources.wire import alerts_to_json, rollups_to_json
@@ -52,6 +50,11 @@ def _start(writer: DataStreamWriter, spark: SparkSession, single: bool, **trigge
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def run_single(writer: DataStreamWriter, spark: SparkSession, **trigger) -> StreamingQuery:
+    """Start a query that holds one stateful operator, or none."""
+    return _start(writer, spark, True, **trigger)
+
+
 def _require_stateless(readings: DataFrame) -> None:
     plan = readings._jdf.queryExecution().analyzed().toString()
     found = [node.strip() for node in STATEFUL_NODES if node in plan]
@@ -106,56 +109,20 @@ def start_alerts(
 
 
 def start_session_stats(rollups: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep running per-series statistics: one table of all series, however long the stream runs.
+    """Keep running per-series statistics: one table of all series, however long the stream runs."""
+    from tachyline.streaming.views import View
 
-    Each batch writes the next version, the series that changed over the ones before, and
-    drops what the version before it was made from. A version's name says which query and which of its batches
-    made it: a repeated batch starts from the same version again, and a query whose checkpoint was
-    lost starts from nothing, as its state does.
-    """
+    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        return batch if before is None else batch.unionByName(before.join(batch.select(*SERIES), SERIES, "left_anti"))
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        files, versions, run = Files(spark), _versions(spark, path), _query_id(spark, checkpoint)
-        mine = [name for _, made_by, made_in, name in versions if made_by == run and made_in < batch_id]
-        rows = batch
-        if mine:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/{mine[-1]}")
-            rows = batch.unionByName(before.join(batch.select(*SERIES), SERIES, "left_anti"))
-        number = versions[-1][0] + 1 if versions else 0
-        rows.write.mode("overwrite").parquet(f"{path}/version={number:012d}_{run}_{batch_id}")
-        for *_, name in versions:
-            if name not in mine[-1:]:
-                files.delete(f"{path}/{name}")
-
-    writer = (
-        session_stats(rollups)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(save)
-    )
-    return _start(writer, rollups.sparkSession, True, **trigger)
-
-
-def _query_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id Spark gave the query when it made this checkpoint."""
-    text = "".join(row[0] for row in spark.read.text(f"{checkpoint}/metadata").collect())
-    return json.loads(text)["id"].replace("-", "")
+    return View(path, checkpoint).start(session_stats(rollups), merge, "update", **trigger)
 
 
 def current_session(spark: SparkSession, path: str) -> DataFrame:
     """The newest statistics of each series written by ``start_session_stats``."""
-    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1][-1]}")
-
+    from tachyline.streaming.views import current
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, int, str]]:
-    """The complete versions, ascending: number, query, batch, name."""
-    files, found = Files(spark), []
-    for name in files.children(path):
-        if name.startswith("version=") and files.exists(f"{path}/{name}/_SUCCESS"):
-            number, run, batch = name.split("=")[1].split("_")
-            found.append((int(number), run, int(batch), name))
-    return sorted(found)
+    return current(spark, path)
 
 
 def dropped_rows(query: StreamingQuery) -> int:

@@ -209,6 +209,62 @@ def _peak(sensor: str) -> str:
 ANOMALY = """CASE WHEN l.car_id = '{car}' AND l.sensor_id = '{sensor}'
        THEN c.maximum_value + 0.25::DOUBLE * (c.maximum_value - c.minimum_value) ELSE l.value END"""
 
+
+def _board(raised: str) -> str:
+    return f"""WITH {raised}, {BREACHES},
+      now_at AS (SELECT max(window_end) AS now_at FROM lives WHERE window_length = 'PT1S'),
+      cards AS (SELECT car_id, max(window_end) FILTER (WHERE sensor_id = 'speed') AS last_seen,
+          {_current('speed')} AS speed, {_current('engine-rpm')} AS engine_rpm,
+          CAST(floor({_current('gear')} + 0.5) AS BIGINT) AS gear,
+          {_current('throttle-position')} AS throttle, {_current('brake-pressure')} AS brake,
+          sum(average * "count") FILTER (WHERE sensor_id = 'speed')
+            / sum("count") FILTER (WHERE sensor_id = 'speed') AS average_speed,
+          {_peak('speed')} AS top_speed, {_peak('brake-temperature-front-left')} AS brake_fl_peak
+        FROM lives WHERE window_length = 'PT1S' GROUP BY 1),
+      held_breaches AS (SELECT b.* FROM breaches b, now_at WHERE "at" + INTERVAL '30 seconds' >= now_at)
+      SELECT c.car_id, round(speed, 6) AS speed, round(engine_rpm, 6) AS engine_rpm, gear,
+        round(throttle, 6) AS throttle, round(brake, 6) AS brake, round(average_speed, 6) AS average_speed,
+        round(top_speed, 6) AS top_speed, round(brake_fl_peak, 6) AS brake_fl_peak,
+        coalesce(last_seen + INTERVAL '6 seconds' >= now_at, false) AS has_signal, b.sensor_id AS breach_sensor,
+        round(b.observed_maximum, 6) AS breach_observed, b.threshold AS breach_threshold
+      FROM cards c CROSS JOIN now_at LEFT JOIN held_breaches b ON b.car_id = c.car_id"""
+
+
+def _by_arrival(n: int) -> str:
+    """The alerts that came last, each car's some seconds after its windows."""
+    return f"""WITH {RAISED}, arrived AS (
+        SELECT *, window_end + to_seconds(7 * CAST(car_id[5:6] AS INTEGER)) AS arrived_at FROM alerts)
+      SELECT {ALERT}, arrived_at FROM (SELECT * FROM arrived
+        ORDER BY arrived_at DESC, car_id, sensor_id, window_start, threshold LIMIT {n})"""
+
+
+def _third(rows: str, column: str, part: int) -> str:
+    """The end of a part of ``rows`` when its time is cut into three."""
+    return f"""(SELECT make_timestamp(epoch_us(min({column})) + (epoch_us(max({column})) - epoch_us(min({column}))) * {part} // 3)
+      FROM {rows})"""
+
+
+def _raised_until(part: int) -> str:
+    every = LIVE.replace("lives AS (", "every_live AS (")
+    return f"""{every}, lives AS (SELECT * FROM every_live WHERE window_end <= {_third("every_live", "window_end", part)}),
+      {_rules(RULES)}, {ALERTS.format(rollups="lives")}"""
+
+
+def _changes(events: str, hold: int, payload: str, every: bool) -> str:
+    """On and off of what an event holds for some seconds; the last off needs stream time to pass it."""
+    turns = "true" if every else f"before IS NULL OR before + INTERVAL '{hold} seconds' < \"at\""
+    none = ", ".join(f"NULL AS {name}" for name in payload.split(", ") if name)
+    comma = ", " if payload else ""
+    return f"""steps AS (
+        SELECT *, lag("at") OVER w AS before, lead("at") OVER w AS after FROM {events} WINDOW w AS (PARTITION BY car_id ORDER BY "at")),
+      ends AS (SELECT max("at") - INTERVAL '10 seconds' AS watermark FROM {events}),
+      changes AS (
+        SELECT car_id, "at", true AS active{comma}{payload} FROM steps
+        WHERE {turns}
+        UNION ALL SELECT car_id, "at" + INTERVAL '{hold} seconds', false{comma}{none} FROM steps, ends
+        WHERE coalesce(after, watermark) > "at" + INTERVAL '{hold} seconds')"""
+
+
 ORACLES: dict[str, str] = {
     "rollup_1m": f"{EVENT_MINUTES} SELECT {ROLLUP} FROM minutes",
     "rollup_1h": f"{EVENT_MINUTES}, {HOURS} SELECT {ROLLUP} FROM hours",
@@ -242,23 +298,7 @@ ORACLES: dict[str, str] = {
         SELECT car_id, max(window_end) FILTER (WHERE sensor_id = 'speed') AS last_seen FROM seconds GROUP BY 1)
       SELECT car_id, last_seen, coalesce(last_seen + INTERVAL '6 seconds'
         >= (SELECT max(window_end) FROM seconds), false) AS has_signal FROM seen""",
-    "live_board": f"""WITH {RAISED}, {BREACHES},
-      now_at AS (SELECT max(window_end) AS now_at FROM lives WHERE window_length = 'PT1S'),
-      cards AS (SELECT car_id, max(window_end) FILTER (WHERE sensor_id = 'speed') AS last_seen,
-          {_current('speed')} AS speed, {_current('engine-rpm')} AS engine_rpm,
-          CAST(floor({_current('gear')} + 0.5) AS BIGINT) AS gear,
-          {_current('throttle-position')} AS throttle, {_current('brake-pressure')} AS brake,
-          sum(average * "count") FILTER (WHERE sensor_id = 'speed')
-            / sum("count") FILTER (WHERE sensor_id = 'speed') AS average_speed,
-          {_peak('speed')} AS top_speed, {_peak('brake-temperature-front-left')} AS brake_fl_peak
-        FROM lives WHERE window_length = 'PT1S' GROUP BY 1),
-      held_breaches AS (SELECT b.* FROM breaches b, now_at WHERE "at" + INTERVAL '30 seconds' >= now_at)
-      SELECT c.car_id, round(speed, 6) AS speed, round(engine_rpm, 6) AS engine_rpm, gear,
-        round(throttle, 6) AS throttle, round(brake, 6) AS brake, round(average_speed, 6) AS average_speed,
-        round(top_speed, 6) AS top_speed, round(brake_fl_peak, 6) AS brake_fl_peak,
-        coalesce(last_seen + INTERVAL '6 seconds' >= now_at, false) AS has_signal, b.sensor_id AS breach_sensor,
-        round(b.observed_maximum, 6) AS breach_observed, b.threshold AS breach_threshold
-      FROM cards c CROSS JOIN now_at LEFT JOIN held_breaches b ON b.car_id = c.car_id""",
+    "live_board": _board(RAISED),
     "other_cars": f"""WITH {SECONDS} SELECT car_id, round({_current('speed')}, 6) AS speed FROM seconds
         WHERE car_id NOT IN ('CAR-01', 'CAR-02') GROUP BY 1""",
     "channel_context": f"""{LAP_MINUTES} SELECT m.car_id, m.sensor_id, bucket, samples,
@@ -466,4 +506,35 @@ ORACLES: dict[str, str] = {
       seconds AS ({_window('on_time', 'PT1S')}) SELECT {LIVE_ROW} FROM seconds WHERE {_closed('2 seconds')}""",
     "stream_dropped": f"""WITH {REPLAYED}, {_on_time('replayed')}
       SELECT (SELECT count(*) FROM replayed) - (SELECT count(*) FROM on_time) AS dropped""",
+    "unordered_rollup_1m": f"""WITH {SPREAD}, {MINUTES.format(source='spread')},
+      ends AS (SELECT max(event_time) AS now_at FROM spread)
+      SELECT {ROLLUP} FROM minutes, ends WHERE bucket < time_bucket(INTERVAL '1 minute', now_at - INTERVAL '1 minute')""",
+    "unordered_rollup_1h": f"""WITH {SPREAD}, {MINUTES.format(source='spread')}, {HOURS},
+      ends AS (SELECT max(event_time) AS now_at FROM spread)
+      SELECT {ROLLUP} FROM hours, ends WHERE bucket < time_bucket(INTERVAL '1 hour', now_at - INTERVAL '1 hour')""",
+    "exact_stream_rollups": f"""WITH {REPLAYED}, {LATE}, stream_ends AS (
+        SELECT car_id, max(stream_time) AS now_at FROM audited GROUP BY 1),
+      on_time AS (SELECT r.* FROM replayed r JOIN audited a USING (car_id, sensor_id, event_time, arrival) WHERE NOT a.late),
+      seconds AS ({_window('on_time', 'PT1S')})
+      SELECT {LIVE_ROW} FROM seconds JOIN stream_ends USING (car_id) WHERE window_end <= now_at - INTERVAL '2 seconds'""",
+    "exact_stream_late": f"""WITH {REPLAYED}, {LATE} SELECT car_id AS stream_partition, count(*) AS readings,
+        count(*) FILTER (WHERE late) AS late_readings, max(lateness_us) / 1e6 AS worst_lateness_s,
+        max(stream_time) AS stream_time FROM audited GROUP BY 1""",
+    "stream_signal_changes": f"""WITH {SECONDS}, seen AS (
+        SELECT DISTINCT car_id, window_end AS "at" FROM seconds WHERE sensor_id = 'speed'), {_changes("seen", 6, "", False)}
+      SELECT car_id, "at", active AS has_signal FROM changes""",
+    "stream_breach_changes": f"""WITH {RAISED}, seen AS (
+        SELECT car_id, window_end AS "at", sensor_id, observed_maximum, threshold FROM alerts
+        QUALIFY row_number() OVER (
+          PARTITION BY car_id, window_end ORDER BY window_start DESC, sensor_id DESC, threshold DESC) = 1),
+      {_changes("seen", 30, "sensor_id, observed_maximum, threshold", True)}
+      SELECT car_id, "at", active, sensor_id, round(observed_maximum, 6) AS observed_maximum, threshold FROM changes""",
+    "recent_alerts_by_arrival": _by_arrival(200),
+    "breach_list_by_arrival": _by_arrival(100),
+    "stream_board": " UNION ALL ".join(
+        f"SELECT {part} AS slice, * FROM ({_board(_raised_until(part))})" for part in (1, 2, 3)
+    ),
+    "session_after_lost_checkpoint": f"""WITH {SECONDS} SELECT car_id, sensor_id, round(max(maximum), 6) AS peak,
+        round(sum(average * "count") / sum("count"), 6) AS mean, CAST(sum("count") AS BIGINT) AS samples
+        FROM seconds GROUP BY 1, 2""",
 }

@@ -15,11 +15,11 @@ from tachyline.plans.store import READING_COLUMNS, Store
 from tachyline.schemas import SERIES, alert_rules
 from tachyline.sources import catalogue, topics, wire
 from tachyline.sources.readings import channel_readings, dense_values, event_readings, event_ticks
-from tachyline.streaming import live
+from tachyline.streaming import live, stateful, views
 from tachyline.workload import faults
 from tachyline.workload.stores import (
-    DROPOUT, RULES, LiveRun, accounted, around_replay, dropout_plan, history, ingested, live_run, new_store,
-    one_batch, published, replayed, slices, spread_readings,
+    DROPOUT, RULES, LiveRun, accounted, around_replay, as_records, dropout_plan, history, ingested, late_arrivals,
+    live_run, new_store, one_batch, published, replayed, slices, spread_readings, thirds,
 )
 from tachyline.workload.stores import _once as built_once
 
@@ -621,6 +621,37 @@ def stepwise_rollup_1h(spark, sf_dir):
     return rounded(store.rollups("ONE_HOUR").select(*ranges.ROLLUP_COLUMNS), "average")
 
 
+def _refreshed_out_of_order(spark: SparkSession, sf_dir: str) -> Store:
+    """The same batches under ids that go down, as resumed older checkpoints give them; merged once in between."""
+
+    def build() -> Store:
+        store = new_store(spark, "unordered")
+        rows = spread_readings(spark, sf_dir)
+        until = newest(rows)
+        parts = [rows.filter(F.col("sequence_no") % 4 == n) for n in range(4)]
+        for number, part in enumerate(parts):
+            ingest.ingest_batch(part, 10 - number, store)
+            if number == 2:
+                lifecycle.compact(store, until)
+            chunks = lifecycle.refresh_rollup_1m(store, until, since_batch=10 if number else None)
+            lifecycle.refresh_rollup_1h(store, until, chunks)
+        return store
+
+    return built_once(spark, sf_dir, "unordered", build)
+
+
+@query
+def unordered_rollup_1m(spark, sf_dir):
+    store = _refreshed_out_of_order(spark, sf_dir)
+    return rounded(store.rollups().select(*ranges.ROLLUP_COLUMNS), "average")
+
+
+@query
+def unordered_rollup_1h(spark, sf_dir):
+    store = _refreshed_out_of_order(spark, sf_dir)
+    return rounded(store.rollups("ONE_HOUR").select(*ranges.ROLLUP_COLUMNS), "average")
+
+
 @query
 def backfilled_rollup_1h(spark, sf_dir):
     return rounded(
@@ -763,3 +794,155 @@ def stream_dropped(spark, sf_dir):
     """How many readings the late rule of the rollup query has dropped."""
     dropped = _late_run(spark, sf_dir, False).dropped[0]
     return spark.range(1).select(F.lit(dropped).cast("bigint").alias("dropped"))
+
+
+# --- streams with state of their own ------------------------------------------------
+
+
+def _exact_run(spark: SparkSession, sf_dir: str) -> str:
+    """A dropout's replay under the exact late rule, in micro-batches that hold early and late readings alike."""
+
+    def build() -> str:
+        run = LiveRun(spark, "exact")
+        run.feed(
+            slices(replayed(spark, sf_dir).drop("replayed")),
+            [
+                lambda: stateful.start_exact_rollups(
+                    run.readings(), "1 second", SHORT, f"{run.root}/log", f"{run.root}/c1", "car_id", availableNow=True
+                )
+            ],
+        )
+        return f"{run.root}/log"
+
+    return built_once(spark, sf_dir, "exact", build)
+
+
+@query
+def exact_stream_rollups(spark, sf_dir):
+    """Final rollups of the readings that ``late_audit`` finds on time."""
+    rows = stateful.exact_rollups(spark, _exact_run(spark, sf_dir))
+    return rounded(zoneless(rows), "average", "minimum", "maximum")
+
+
+@query
+def exact_stream_late(spark, sf_dir):
+    """Late readings as the stream's own state has counted them."""
+    return zoneless(stateful.late_reports(spark, _exact_run(spark, sf_dir)))
+
+
+def _view_run(spark: SparkSession, sf_dir: str) -> LiveRun:
+    """Rollups and alerts that come in three parts; changes, history and board follow each."""
+
+    def build() -> LiveRun:
+        run = LiveRun(spark, "views")
+        run.rollups = topics.Topic(topics.ROLLUPS, root=run.root)
+        rows = published(spark, sf_dir).withColumn("arrived_at", F.col("window_end"))
+        found = late_arrivals(alerts.alerts_for(rows, alert_rules(spark, RULES)))
+        once, run.boards = {"availableNow": True}, []
+        seen = alerts.alerts_for(rows, alert_rules(spark, RULES), ("arrived_at",))
+        ordered = topics.Topic(topics.ALERTS, root=f"{run.root}/ordered")
+        for part, raised_part, late_part in zip(
+            thirds(rows, "window_end"), _same_thirds(rows, seen), thirds(found, "arrived_at")
+        ):
+            run.rollups.append(as_records(part, wire.rollups_to_json))
+            ordered.append(as_records(raised_part, wire.alerts_to_json))
+            run.alerts.append(as_records(late_part, wire.alerts_to_json))
+            # Each of these is one pass over what is new; none reads the topic again.
+            for query_ in (
+                stateful.start_changes(
+                    stateful.signal_changes(of_seconds(topics.read_rollups(spark, run.rollups)), "speed", PATIENCE),
+                    f"{run.root}/signal", f"{run.root}/c1", **once,
+                ),
+                stateful.start_changes(
+                    stateful.breach_changes(topics.read_alerts(spark, ordered), PATIENCE),
+                    f"{run.root}/breach", f"{run.root}/c2", **once,
+                ),
+                views.start_alert_history(
+                    topics.read_alerts(spark, run.alerts), 200, f"{run.root}/history", f"{run.root}/c3", **once
+                ),
+                views.start_live_board(
+                    topics.read_rollups(spark, run.rollups), f"{run.root}/board", f"{run.root}/c4", **once
+                ),
+                views.start_breaches(topics.read_alerts(spark, ordered), f"{run.root}/breaches", f"{run.root}/c5", **once),
+            ):
+                query_.awaitTermination()
+            now = newest(of_seconds(part), "window_end")
+            run.boards.append(
+                views.current_board(spark, f"{run.root}/board", f"{run.root}/breaches", now).collect()
+            )
+        return run
+
+    return built_once(spark, sf_dir, "views", build)
+
+
+PATIENCE = "10 seconds"
+of_seconds = rollups.of_length
+
+
+def _same_thirds(rows: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """Alerts cut where the rollups are."""
+    ends = [newest(part, "window_end") for part in thirds(rows, "window_end")]
+    cuts = [None, *ends[:-1], None]
+    parts = []
+    for after, until in zip(cuts, cuts[1:]):
+        part = found if after is None else found.filter(F.col("window_end") > F.lit(after))
+        parts.append(part if until is None else part.filter(F.col("window_end") <= F.lit(until)))
+    return parts
+
+
+@query
+def stream_signal_changes(spark, sf_dir):
+    """When each car's signal came and was lost, from timers."""
+    return zoneless(spark.read.parquet(f"{_view_run(spark, sf_dir).root}/signal"))
+
+
+@query
+def stream_breach_changes(spark, sf_dir):
+    """When each car's active breach became another one or was over, from timers."""
+    return rounded(zoneless(spark.read.parquet(f"{_view_run(spark, sf_dir).root}/breach")), "observed_maximum")
+
+
+@query
+def recent_alerts_by_arrival(spark, sf_dir):
+    """The newest alerts in the order they came in, which isn't that of their windows."""
+    rows = views.current(spark, f"{_view_run(spark, sf_dir).root}/history")
+    return rounded(zoneless(alerts.recent_alerts(rows, 200, "arrived_at")), "observed_maximum")
+
+
+@query
+def breach_list_by_arrival(spark, sf_dir):
+    rows = views.current(spark, f"{_view_run(spark, sf_dir).root}/history")
+    return rounded(zoneless(alerts.recent_alerts(rows, 100, "arrived_at")), "observed_maximum")
+
+
+@query
+def stream_board(spark, sf_dir):
+    """The live board after each of three parts of the stream, from views that saw each rollup once."""
+    boards = _view_run(spark, sf_dir).boards
+    names = live_board(spark, sf_dir).schema
+    rows = [(slice_, *row) for slice_, board_ in enumerate(boards, 1) for row in board_]
+    schema = "slice int, " + ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in names)
+    order = ["slice", *names.names]
+    columns = ["slice", *(boards[0][0].__fields__ if boards[0] else names.names)]
+    frame = spark.createDataFrame([tuple(row[columns.index(name)] for name in order) for row in rows], schema)
+    return rounded(
+        frame, "speed", "engine_rpm", "throttle", "brake", "average_speed", "top_speed", "brake_fl_peak", "breach_observed"
+    )
+
+
+@query
+def session_after_lost_checkpoint(spark, sf_dir):
+    """Statistics whose query lost its checkpoint between two parts and read everything again."""
+
+    def build() -> str:
+        run = LiveRun(spark, "lost")
+        run.rollups = topics.Topic(topics.ROLLUPS, root=run.root)
+        for number, part in enumerate(thirds(second_rows(spark, sf_dir).withColumn("arrived_at", F.col("window_end")), "window_end")):
+            run.rollups.append(as_records(part, wire.rollups_to_json))
+            live.start_session_stats(
+                topics.read_rollups(spark, run.rollups), f"{run.root}/session", f"{run.root}/c{number > 1}", availableNow=True
+            ).awaitTermination()
+        return f"{run.root}/session"
+
+    stats = live.current_session(spark, built_once(spark, sf_dir, "lost", build))
+    return rounded(stats, "peak", "mean")

@@ -195,6 +195,28 @@ def live_run(spark: SparkSession, sf_dir: str) -> LiveRun:
     return _once(spark, sf_dir, "live", build)
 
 
+def thirds(rows: DataFrame, column: str) -> list[DataFrame]:
+    """The rows cut into three parts of equal length in time; what is not above an edge comes before it."""
+    low, high = rows.agg(F.min(F.unix_micros(F.col(column).cast("timestamp"))), F.max(F.unix_micros(F.col(column).cast("timestamp")))).first()
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    edges = [low - 1, *(low + (high - low) * part // SLICES for part in range(1, SLICES + 1))]
+    return [rows.filter((at > after) & (at <= until)) for after, until in zip(edges, edges[1:])]
+
+
+def as_records(rows: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rollups or alerts as records of a directory topic; ``arrived_at`` is when they were appended."""
+    names = [field.name for field in rows.schema if field.dataType.typeName() == "timestamp_ntz"]
+    zoned = rows.withColumns({name: F.col(name).cast("timestamp") for name in names})
+    records = encode(zoned.withColumnRenamed("arrived_at", "timestamp"), keep=("timestamp",))
+    return records.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(None).cast("bigint"))
+
+
+def late_arrivals(alerts: DataFrame) -> DataFrame:
+    """Alerts with the time they arrived: each car's come some seconds after the window, by its number."""
+    behind = F.expr("INTERVAL '7' SECOND") * F.substring("car_id", 5, 2).cast("int")
+    return alerts.withColumn("arrived_at", F.col("window_end") + behind)
+
+
 def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as topic records that went wrong on the way, by event number.
 
