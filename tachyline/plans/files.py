@@ -62,6 +62,25 @@ class Files:
         if not fs.rename(old, new):
             raise OSError(f"could not rename {source} to {target}")
 
+    def read_text(self, path: str) -> str | None:
+        """A small text file read by the driver, without a job; None if there is none."""
+        fs, target = self._open(path)
+        if not fs.exists(target):
+            return None
+        stream = fs.open(target)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        fs, target = self._open(path)
+        stream = fs.create(target, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def leaves(self, path: str, depth: int) -> list[str]:
         """Partition directories ``depth`` levels down, relative to ``path``."""
         found = [""]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, micros
 from tachyline.operators.dedupe import dedupe_existing, first_arrival, integrity_check, reject_stored
+from tachyline.plans.lifecycle import merge_open
 from tachyline.plans.store import READING_COLUMNS, Store, salt
 from tachyline.schemas import INGEST_METRIC, KEY, small_table
 
@@ -89,6 +90,8 @@ def ingest_batch(
             )
             for row in rows
         }
+        for start in touched:
+            merge_open(store, start, batch_id)
         first = first_arrival(events.select(*READING_COLUMNS))
         fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, touched, batch_id)))
         store.write(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
 from tachyline.operators.rollups import finished, merged_states, minute_states, rollup_1h, rollup_1m
+from tachyline.plans import manifest
 from tachyline.plans.files import Files, chunk_dir
 from tachyline.plans.sizing import broadcast_if_small
 from tachyline.plans.store import FILE_OPTIONS, Coverage, Store, salt
@@ -20,6 +22,9 @@ RETENTION = dt.timedelta(days=7)
 COMPACT_AFTER = dt.timedelta(hours=1)
 #: Parts of partial states per chunk that a refresh reads before it writes them as one.
 MOST_PARTS = 16
+#: Directories of single batches, and of merged ones, that an open chunk may hold before they are merged.
+MOST_BATCHES = 32
+MOST_MERGED = 8
 
 
 def _bounded(rows: DataFrame, column: str, low: dt.datetime, high: dt.datetime) -> DataFrame:
@@ -263,6 +268,7 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
         .partitionBy("event_date", "event_hour", "batch_id")
         .parquet(staged)
     )
+    manifest.write(store, staged)
     for start in closed:
         live, old = chunk_dir(raw, start), chunk_dir(f"{parking}/old", start)
         files.rename(live, old)
@@ -280,6 +286,69 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     return closed
 
 
+def merge_open(store: Store, start: dt.datetime, in_flight: int) -> list[int]:
+    """Merge the small directories of a chunk that is still written to, so that a batch never lists many.
+
+    Two levels: more than ``MOST_BATCHES`` directories of single batches become one, and more than ``MOST_MERGED``
+    of those become one again, so a row is rewritten a few times however many batches an hour has. Batches
+    from ``in_flight`` on stay: they may come again and replace their own output. What the aggregates' states hold
+    is merged apart from what they don't, so a refresh still reads new rows only. Returns what was merged.
+    """
+    finish_merges(store)
+    batches = _batches(store, start)
+    for level, most in (([b for b in batches if 0 <= b < in_flight], MOST_BATCHES), ([b for b in batches if b < 0], MOST_MERGED)):
+        if len(level) > most:
+            held = store.coverage().get(start, Coverage()).batches
+            sources = max([b for b in level if b in held], [b for b in level if b not in held], key=len)
+            if len(sources) > 1:
+                _merge(store, start, sources, min(-(_newest_batch(sources) + 1), min(batches) - 1, -1))
+                return sources
+    return []
+
+
+def _intent(start: dt.datetime, sources: list[int], target: int, staged: str) -> str:
+    return json.dumps({"chunk": start.isoformat(), "sources": sorted(sources), "target": target, "staged": staged})
+
+
+def _merge(store: Store, start: dt.datetime, sources: list[int], target: int) -> None:
+    files, name = Files(store.spark), uuid.uuid4().hex[:12]
+    staged = f"{store.root}/merges/staged-{name}"
+    (
+        store.read_parts("raw", "batch_id", {start: sources})
+        .drop("event_date", "event_hour", "batch_id")
+        .hint("rebalance", "car_id", "sensor_id")
+        .sortWithinPartitions("car_id", "sensor_id", "event_time")
+        .write.options(**FILE_OPTIONS)
+        .parquet(staged)
+    )
+    files.write_text(f"{store.root}/merges/intent-{name}", _intent(start, sources, target, staged))
+    files.rename(staged, f"{store.chunk_path('raw', start)}/batch_id={target}")
+    finish_merges(store)
+
+
+def finish_merges(store: Store) -> None:
+    """Take merged sources away, or give up a merge that a crash stopped before it stood in the table."""
+    files, root = Files(store.spark), f"{store.root}/merges"
+    for name in files.children(root):
+        if not name.startswith("intent-"):
+            continue
+        intent = json.loads(files.read_text(f"{root}/{name}"))
+        start, sources = dt.datetime.fromisoformat(intent["chunk"]), frozenset(intent["sources"])
+        folder = store.chunk_path("raw", start)
+        if files.exists(f"{folder}/batch_id={intent['target']}"):
+            coverage = store.coverage()
+            held = coverage.get(start, Coverage())
+            if sources <= held.batches:
+                batches = held.batches - sources | {intent["target"]}
+                store.set_coverage(coverage | {start: Coverage(held.revision, batches, held.parts)})
+            for source in sources:
+                files.delete(f"{folder}/batch_id={source}")
+        files.delete(intent["staged"])
+        files.delete(f"{root}/{name}")
+    for name in files.children(root):
+        files.delete(f"{root}/{name}")
+
+
 def _expired(store: Store, now: str | dt.datetime, keep: dt.timedelta) -> list[dt.datetime]:
     cut = instant(now) - keep
     return [start for start in store.chunks("raw") if start + store.chunk <= cut]

@@ -506,6 +506,8 @@ ORACLES: dict[str, str] = {
       seconds AS ({_window('on_time', 'PT1S')}) SELECT {LIVE_ROW} FROM seconds WHERE {_closed('2 seconds')}""",
     "stream_dropped": f"""WITH {REPLAYED}, {_on_time('replayed')}
       SELECT (SELECT count(*) FROM replayed) - (SELECT count(*) FROM on_time) AS dropped""",
+    "series_slice": f"""{EVENT_MINUTES}, kept AS (SELECT * FROM minutes WHERE car_id = 'CAR-01' AND sensor_id = 'click'
+        AND bucket >= TIMESTAMP '2024-01-08 06:30:00' AND bucket < TIMESTAMP '2024-01-12 00:00:00') SELECT {ROLLUP} FROM kept""",
     "unordered_rollup_1m": f"""WITH {SPREAD}, {MINUTES.format(source='spread')},
       ends AS (SELECT max(event_time) AS now_at FROM spread)
       SELECT {ROLLUP} FROM minutes, ends WHERE bucket < time_bucket(INTERVAL '1 minute', now_at - INTERVAL '1 minute')""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachyline.functions.time import time_bucket
 from tachyline.operators import alerts, audits, board, dedupe, ranges, rollups
-from tachyline.plans import ingest, lifecycle
+from tachyline.plans import ingest, lifecycle, manifest
 from tachyline.plans.blocked import by_position, by_time, position, running_sum
 from tachyline.plans.files import Files, scratch_path
 from tachyline.plans.store import READING_COLUMNS, Store
@@ -201,6 +201,20 @@ def find_rollups_1h(spark, sf_dir):
     return rounded(found, "average")
 
 
+@query
+def series_slice(spark, sf_dir):
+    """Minutes of one series in a range of the compacted table, from the files its manifest names."""
+    compacted = built_once(spark, sf_dir, "sliced", lambda: _compacted(spark, sf_dir))
+    rows = manifest.read_series(compacted, "CAR-01", "click", "2024-01-08 06:30:00", "2024-01-12 00:00:00")
+    return rounded(rollups.rollup_1m(rows), "average")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> Store:
+    store = one_batch(event_readings(spark, sf_dir), "sliced", chunk_hours=24)
+    lifecycle.compact(store, "9999-01-01 00:00:00")
+    return store
+
+
 @query
 def find_channels(spark, sf_dir):
     start, end = "2024-01-03 00:00:00", "2024-01-25 00:00:00"

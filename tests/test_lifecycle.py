@@ -4,7 +4,8 @@ import pytest
 
 from helpers import W, readings, speed, values
 from tachyline.operators import dedupe
-from tachyline.plans import ingest, lifecycle
+from tachyline.operators.rollups import rollup_1m
+from tachyline.plans import ingest, lifecycle, manifest
 from tachyline.plans.files import Files
 from tachyline.plans.store import Store
 
@@ -294,3 +295,76 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
         scratch_path(Session(), "x")
     Session.sparkContext.master = "local[2]"
     assert "tachyline" in scratch_path(Session(), "x")
+
+
+def test_a_slice_opens_only_the_files_that_can_hold_it(spark, store, monkeypatch):
+    """Series and times outside a file's bounds leave it alone; batches after the merge are read as well."""
+    rows = [(f"CAR-{car:02d}", "speed", n, car * 100 + n) for car in range(1, 9) for n in range(0, 3600, 60)]
+    ingest.ingest_batch(readings(spark, rows), 0, store)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lifecycle.compact(store, W + 5 * HOUR)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.read("raw").count() == len(rows)
+    every = {name for name in Files(spark).children(store.chunk_path("raw", W) + "/batch_id=-1") if name.endswith(".parquet")}
+    assert len(every) > 2
+    start, end = W + 10 * MINUTE, W + 20 * MINUTE
+    paths, size, known = manifest.files_of(store, "CAR-03", "speed", start, end)
+    assert 1 <= len(paths) < len(every) and size > 0 and known
+    expected = [(start + n * MINUTE, 300.0 + 600 + 60 * n) for n in range(10)]
+    found = manifest.read_series(store, "CAR-03", "speed", start, end)
+    assert values(found, "event_time", "value") == expected
+    plan = rollup_1m(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert manifest.read_series(store, "CAR-77", "speed", start, end).isEmpty()
+    assert manifest.files_of(store, "CAR-77", "speed", start, end)[0] == []
+    ingest.ingest_batch(readings(spark, [("CAR-03", "speed", 605, 5), ("CAR-03", "speed", 4000, 6)]), 1, store)
+    late = manifest.read_series(store, "CAR-03", "speed", start, end)
+    assert values(late, "event_time", "value") == sorted(expected + [(W + dt.timedelta(seconds=605), 5.0)])
+    assert manifest.read_series(store, "CAR-03", "speed", W + HOUR, W + 2 * HOUR).count() == 1
+    assert manifest.read_series(store, "CAR-03", "speed", end, start).isEmpty()
+
+
+def test_an_open_hour_keeps_few_directories(spark, store, monkeypatch):
+    """Batch after batch into one hour: directories and files stay bounded, rows and aggregates whole."""
+    monkeypatch.setattr(lifecycle, "MOST_BATCHES", 4)
+    monkeypatch.setattr(lifecycle, "MOST_MERGED", 2)
+    files, folders, rows = Files(spark), [], 0
+    for batch in range(16):
+        # one known reading and one new one each time
+        ingest.ingest_batch(readings(spark, [speed(0, 0), speed(batch + 1, batch)]), batch, store, writers_per_chunk=1)
+        rows += 2 if batch == 0 else 1
+        folders.append(len(files.children(store.chunk_path("raw", W))))
+        if batch in (5, 9):
+            lifecycle.refresh_rollup_1m(store, W + HOUR)
+            assert buckets(store)[0][1] == rows
+    assert max(folders) <= 4 + 2 + 2 and store.read("raw").count() == rows
+    assert dedupe.integrity_check(store.read("raw")).first()["duplicates"] == 0
+    # the retry of the newest batch replaces its own output, merged or not around it
+    assert ingest.ingest_batch(readings(spark, [speed(0, 0), speed(16, 15)]), 15, store) == (2, 1)
+    assert store.read("raw").count() == rows
+    monkeypatch.setattr(lifecycle, "MOST_PARTS", 1)
+    read = []
+    monkeypatch.setattr(Store, "read_parts", lambda self, table, column, parts, real=Store.read_parts: (
+        read.append((table, parts)), real(self, table, column, parts))[1])
+    assert lifecycle.refresh_rollup_1m(store, W + HOUR) == [W] and buckets(store)[0][1] == rows
+    # what the refresh had seen before was merged apart from what it hadn't: only that is read
+    (unread,) = [parts[W] for table, parts in read if table == "raw"]
+    assert 0 < len(unread) < len(lifecycle._batches(store, W))
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_a_crash_during_a_merge_is_repaired(spark, store, swapped):
+    for batch in range(3):
+        ingest.ingest_batch(readings(spark, [speed(batch, batch)]), batch, store)
+    files, folder = Files(spark), store.chunk_path("raw", W)
+    merged = f"{store.root}/merges/staged-x"
+    store.read_parts("raw", "batch_id", {W: [0, 1]}).drop("batch_id", "event_date", "event_hour").write.parquet(merged)
+    files.write_text(f"{store.root}/merges/intent-x", lifecycle._intent(W, [0, 1], -5, merged))
+    if swapped:
+        files.rename(merged, f"{folder}/batch_id=-5")
+    lifecycle.finish_merges(store)
+    assert values(store.read("raw"), "value") == [0.0, 1.0, 2.0]
+    assert files.children(folder) == (["batch_id=-5", "batch_id=2"] if swapped else ["batch_id=0", "batch_id=1", "batch_id=2"])
+    assert files.children(f"{store.root}/merges") == []
