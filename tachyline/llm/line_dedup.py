@@ -3,24 +3,25 @@
 A line is normalised to its words: runs of letters and digits in small letters (ASCII capitals), which
 leaves out punctuation and spacing; in scripts without spaces each character is a word. Lines of MIN_WORDS
 words or more, that is with any, take part. Lines with the same words are one class. A pair of classes links if its word
-sequences have an edit similarity, 1 - distance / longer length, of SIMILARITY or more.
+sequences have an edit similarity, 1 - distance / longer length, of SIMILARITY or more and they are candidates.
 
-All such pairs are found. An edit breaks two pairs of neighbouring words at most, so linked lines have a
-known number of word pairs in common; in a common order of all word pairs, rare ones first, they then
-share one of each line's first few (prefixes), on which they are joined, or MORE + 1 of a prefix that is
-longer by MORE, which long lines have. Any order gives the same links; this one, from how often words are in
-a sample, keeps lists short. A 64-bit similarity hash, in which each word flips a bit, rules pairs of
-short lines out: d edits change at most 2 d bits.
+Candidates come from SimHashes of LANES * 64 bits: each bit is the majority of that bit over the hashes of a line's
+words, the second of equal words being another one. The bits are cut into BLOCKS blocks of 16. Two lines meet if a block is the same, the pigeonhole of SimHash
+(lines that differ in fewer bits than there are blocks always share one), if their lengths allow SIMILARITY, and
+if CHECKED of their bits differ in MOST_BITS places at most. So identical words always link, and
+of linked lines the share that meets falls with their similarity: REACH is where it is RECALL or more from
+eleven words on, and 0.88 at ten (tests measure it against all pairs). Below, pairs that meet link all the same, down to SIMILARITY.
 
 Linked classes form groups, and of all lines of a group the first stays: the one with the smallest
 (doc_id, line number), documents without an id last. The lines of copies go like any others.
-The other lines are cut out of their documents with their line breaks.
+The other lines are cut out of their documents with their line breaks. That holds for short lines too:
+a one-word line stays once in the whole table, unless ``min_words`` asks for more.
 
 Null texts stay null; texts without taking lines stay as they are. Rows with the same doc_id and
 text are one document: what is cut from one is cut from all. Rows that share a doc_id but
 not the text come in the order of a hash of the text. Other columns are ignored. An empty table
-gives no rows. Members of a long bucket of the join are never listed in pairs: they are tied to one
-another by stars, and compared in clusters, where lines that have joined a group are skipped.
+gives no rows. Lines that meet in a bucket form clusters of chains, one row a line, which are then compared
+by edit distance, where lines that have joined a group are skipped. A word is known by 32 bits of its hash there.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tachyline.llm.batches import whole_runs
-from tachyline.llm.common import in_arrow, mapped, release, stored
+from tachyline.llm.common import in_arrow, release, stored
 from tachyline.llm.components import Sets, components
 from tachyline.llm.hashing import ALPHANUMERIC, Words, by_bytes, mixed, run_hashes, words_of
 from tachyline.llm.key_filter import KeyFilter
@@ -42,18 +44,20 @@ from tachyline.llm.key_filter import KeyFilter
 #: Lines of one to three words have only exact repeats: an edit is too much for SIMILARITY.
 MIN_WORDS = 1
 SIMILARITY = 0.8
-#: Similarity hashes may differ in BLOCKS - EQUAL bits whatever the lengths: in all.
-BLOCKS, EQUAL = 64, 0
-#: Buckets of so many lines are listed in pairs.
-SHORT_LIST = 16
-#: Lines of LONG words or more have MORE word pairs in their prefixes; the hash of those of WIDE or more says little.
-LONG, MORE, WIDE = 40, 3, 80
+REACH, RECALL = 0.9, 0.9
+#: Bits of a SimHash: words of 64, in blocks of 16; the last CHECKED bits go along with each block.
+LANES = 5
+BLOCKS = 4 * LANES
+CHECKED, MOST_BITS = 128, 30
+#: Longer lines count as so long where lengths are compared.
+LONGEST = (1 << 20) - 1
+#: Buckets in which a line meets more others than this are searched line by line.
+WIDE = 1024
 MOST_IN_TASK = 4096
-#: Documents from which the order of word pairs is taken, and counters of words.
-SAMPLE_DOCS = 4000
-COUNTERS = 1 << 16
+#: A class with one of so many lines or more is not dealt by its key.
+HOT_SHARE = 10_000
 
-_LEFT, _RIGHT, _AGAIN = np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_RIGHT, _AGAIN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def allowed(n):
@@ -61,21 +65,6 @@ def allowed(n):
     return np.floor(n - SIMILARITY * n + 1e-9).astype(np.int64)
 
 
-def kept(n):
-    """Word pairs that are common to linked lines at least, whose longer one has n words."""
-    return n - 1 - 2 * allowed(n)
-
-
-def prefix(n):
-    """Word pairs in the prefix of a line of n words; ``kept`` falls from n to n + 1 at most, then no more."""
-    return n - np.minimum(kept(n), kept(n + 1)) + np.where(n >= LONG, MORE, 0)
-
-
-def shared(n, m):
-    """Word pairs that linked lines of n and m words have in common in their prefixes, at least."""
-    return kept(np.maximum(n, m)) - np.maximum(n - 1 - prefix(n), m - 1 - prefix(m))
-
-
 def line_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of several texts, and of each line: its text, number, first word and end."""
     words = words_of(texts, ALPHANUMERIC, apart=True)
@@ -90,202 +79,211 @@ def line_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.nd
 
 
 def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Similarity hash of each run of words: every word flips one of 64 bits."""
-    flips = np.zeros(len(hashes) + 1, np.uint64)
-    np.bitwise_xor.accumulate(np.uint64(1) << (hashes & np.uint64(63)), out=flips[1:])
-    return flips[last] ^ flips[first]
+    """LANES words of 64 bits per run of words: bits that are set in more than half of its words.
+
+    Counters are kept as bit planes, all bits of all lines at once; lines come longest first, so that those
+    with a next word are always the front part.
+    """
+    length = last - first
+    # The second of equal words in a line is another feature: an edit changes one of them.
+    line = np.repeat(np.arange(len(first)), length)
+    at = np.arange(len(line)) + np.repeat(first - (np.cumsum(length) - length), length)
+    own = hashes[at] + line.astype(np.uint64) * _RIGHT
+    by_word = np.argsort(own)
+    new = np.ones(len(own), bool)
+    new[1:] = own[by_word[1:]] != own[by_word[:-1]]
+    rank = np.empty(len(own), np.uint64)
+    rank[by_word] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+    hashes, first = hashes[at] + rank * _AGAIN, np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    start, left = first[order], length[order]
+    seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
+    planes: list[np.ndarray] = []
+    live = len(left)
+    for place in range(int(left[0]) if live else 0):
+        live = int(np.searchsorted(-left, -place, "left"))
+        carry = mixed(hashes[start[:live] + place][:, None] ^ seeds)
+        for plane in planes:
+            plane[:live], carry = plane[:live] ^ carry, plane[:live] & carry
+            if not carry.any():
+                break
+        else:
+            planes.append(np.zeros((len(left), LANES), np.uint64))
+            planes[-1][:live] = carry
+    more, equal = np.zeros((len(left), LANES), np.uint64), np.full((len(left), LANES), ~np.uint64(0))
+    for number in reversed(range(len(planes))):
+        half = np.where((left >> (number + 1)) & 1, ~np.uint64(0), np.uint64(0))[:, None]
+        more |= equal & planes[number] & ~half
+        equal &= ~(planes[number] ^ half)
+    out = np.empty_like(more)
+    out[order] = more
+    return out
 
 
 def text_key(text):
     return F.xxhash64(text, F.lit("text"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, key, n_words, simhash) of each line that takes part."""
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, line, key) of each line that takes part; ``n``, ``words`` and ``simhash`` once a class and task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        seen: set[int] = set()
         for batch in batches:
             texts = [text or b"" for text in batch.column(2).to_pylist()]
             for low, high in by_bytes(texts):
                 words, text, number, first, last = line_words(texts[low:high])
-                taking = last - first >= MIN_WORDS
+                taking = last - first >= min_words
                 text, number, first, last = text[taking], number[taking], first[taking], last[taking]
-                at = pa.array(text + low)
+                keys = run_hashes(words.hashes, first, last).view(np.int64)
+                fresh = np.zeros(len(keys), bool)
+                fresh[np.unique(keys, return_index=True)[1]] = True
+                fresh[fresh] = [key not in seen for key in keys[fresh].tolist()]
+                seen.update(keys[fresh].tolist())
+                # the hashes of the new lines' words, end to end
+                n = np.where(fresh, last - first, 0)
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                narrow = pa.py_buffer((words.hashes[at] >> np.uint64(32)).astype("<u4").tobytes())
+                ends = np.concatenate([[0], np.cumsum(n)]) * 4
+                valid = pa.array(fresh).buffers()[1]
+                spans = pa.Array.from_buffers(pa.binary(), len(keys), [valid, pa.py_buffer(ends.astype("<i4").tobytes()), narrow])
+                bits = np.zeros((len(keys), LANES), np.uint64)
+                bits[fresh] = simhashes(words.hashes, first[fresh], last[fresh])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).reshape(-1)), LANES).cast(pa.list_(pa.int64()))
+                place = pa.array(text + low)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(at),
-                        batch.column(1).take(at),
-                        pa.array(number.astype(np.int64)),
-                        pa.array(run_hashes(words.hashes, first, last).view(np.int64)),
-                        pa.array((last - first).astype(np.int64)),
-                        pa.array(simhashes(words.hashes, first, last).view(np.int64)),
+                        batch.column(0).take(place), batch.column(1).take(place), pa.array(number.astype(np.int64)),
+                        pa.array(keys), pa.array(np.where(fresh, last - first, 0)), spans,
+                        pa.array([None] * len(keys), lists.type) if not fresh.any() else pa.compute.if_else(pa.array(fresh), lists, pa.scalar(None, lists.type)),
                     ],
-                    names=["doc_id", "text_key", "line", "key", "n_words", "simhash"],
+                    names=["doc_id", "text_key", "line", "key", "n", "words", "simhash"],
                 )
 
+    schema = "doc_id long, text_key long, line long, key long, n long, words binary, simhash array<long>"
     return docs.select(
         F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")
-    ).transform(
-        in_arrow, work, "doc_id long, text_key long, line long, key long, n_words long, simhash long"
-    )
-
+    ).transform(in_arrow, work, schema)
 
-def rarity(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """How frequent words are in a sample, by the lower bits of their hashes; it only sets an order."""
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
-    sample = docs.select("text").filter(F.col("text").isNotNull() & (draw * max(docs.count(), 1) < sample_docs))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for low, high in by_bytes(texts):
-                hashes = line_words(texts[low:high])[0].hashes
-                total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
-
-    rows = sample.select(F.col("text").cast("binary")).transform(in_arrow, count, "counter long, n long")
-    out = np.zeros(COUNTERS)
-    for row in rows.groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        out[row["counter"]] = row["n"]
-    return np.minimum(8 * np.log2(1 + out), 255).astype(np.uint64)
-
-
-def postings(docs: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(bucket, place, simhash, key): words << 32 | position of each prefix word pair, once a class and task."""
-
-    def pairs(hashes: np.ndarray, first: np.ndarray, last: np.ndarray):
-        """Line, position and token of the prefixes' word pairs; the second of equal pairs is another one."""
-        n = last - first
-        line = np.repeat(np.arange(len(n)), n - 1)
-        starts = np.cumsum(n - 1) - (n - 1)
-        at = np.arange(len(line)) - starts[line] + first[line]
-        token = mixed(hashes[at] * _LEFT + hashes[at + 1] * _RIGHT)
-        often = frequency[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
-        value = (often[at] + often[at + 1]) << np.uint64(48) | token >> np.uint64(16)
-        order = np.lexsort((value, line))
-        value, token = value[order], token[order]
-        place = np.arange(len(line)) - starts[line]
-        new = np.ones(len(line), bool)
-        new[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
-        again = np.arange(len(line)) - np.maximum.accumulate(np.where(new, np.arange(len(line)), 0))
-        some = place < prefix(n)[line]
-        return line[some], place[some], mixed(token[some] + again[some].astype(np.uint64) * _AGAIN)
+def postings(classes: DataFrame) -> DataFrame:
+    """(place, key, first, second): block number, its 16 bits and the length in one number, for each block."""
+    lines = classes.filter((F.col("n") + 1) * (1 - SIMILARITY) + 1e-9 >= 1)  # shorter ones have no partner
+    length = F.least(F.col("n"), F.lit(LONGEST))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            texts = [text or b"" for text in batch.column(0).to_pylist()]
-            for low, high in by_bytes(texts):
-                words, _, _, first, last = line_words(texts[low:high])
-                taking = (last - first >= MIN_WORDS) & (allowed(last - first + 1) > 0)
-                first, last = first[taking], last[taking]
-                keys = run_hashes(words.hashes, first, last).view(np.int64)
-                once = np.unique(keys, return_index=True)[1]
-                fresh = np.array([i for i, key in zip(once.tolist(), keys[once].tolist()) if key not in seen], np.int64)
-                if not len(fresh):
-                    continue
-                first, last, keys = first[fresh], last[fresh], keys[fresh]
-                seen.update(keys.tolist())
-                line, place, token = pairs(words.hashes, first, last)
-                simhash = np.where(last - first < WIDE, simhashes(words.hashes, first, last), 0).view(np.int64)
-                columns = [(token >> np.uint64(24)).view(np.int64), ((last - first)[line] << 32) + place, simhash[line], keys[line]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=["bucket", "place", "simhash", "key"]
-                )
+    def block(number: int):
+        bits = F.shiftrightunsigned(F.col("simhash")[number // 4], 16 * (number % 4)).bitwiseAND(F.lit(0xFFFF))
+        return F.shiftleft(bits + (number << 16), 20) + length
 
-    return docs.select(F.col("text").cast("binary")).transform(
-        in_arrow, work, "bucket long, place long, simhash long, key long"
+    return lines.select(
+        F.explode(F.array(*[block(number) for number in range(BLOCKS)])).alias("place"),
+        "key", F.col("simhash")[LANES - 2].alias("first"), F.col("simhash")[LANES - 1].alias("second"),
     )
 
 
-def candidates(rows: DataFrame, blocks: int = BLOCKS, equal: int = EQUAL) -> DataFrame:
-    """(label, key): lines that a chain of possible links in one bucket ties to the label.
+def candidates(rows: DataFrame) -> DataFrame:
+    """(label, key): lines that a chain of meetings in one bucket ties to the label.
 
-    A bucket that comes in several parts is handed on whole, under one label. Rows that have no
-    bucket and place but ``n_words`` are in one bucket.
+    A bucket that comes in several parts is handed on whole, under one label.
     """
-    if "bucket" not in rows.columns:
-        place = F.col("n_words") * F.lit(1 << 32)
-        rows = rows.select(F.lit(0).cast("long").alias("bucket"), place.alias("place"), "simhash", "key")
-
-    def near(n, at, simhash, m, other, others) -> np.ndarray:
-        longer = np.maximum(n, m)
-        possible = np.minimum(at, other) + np.minimum(n - at, m - other) - 1 >= kept(longer)
-        apart = np.bitwise_count(simhash ^ others)
-        bits = np.minimum(2 * allowed(longer), blocks - equal)
-        return possible & ((apart <= bits) | (longer >= WIDE)) & (np.abs(n - m) <= allowed(longer))
-
-    def tied(n, at, simhash) -> np.ndarray:
-        """First member of each one's chain; members stand in the order of their lengths."""
-        roots, left, shortest = np.arange(len(n)), np.arange(len(n)), n - allowed(n)
+
+    def near(x, others, first, second) -> np.ndarray:
+        apart = np.bitwise_count(first[others] ^ first[x]) + np.bitwise_count(second[others] ^ second[x])
+        return apart <= MOST_BITS
+
+    def roots_of(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+        """The smallest index each is tied to by the pairs (a, b)."""
+        roots = np.arange(count)
+        while len(a):
+            least = np.minimum(roots[a], roots[b])
+            np.minimum.at(roots, roots[a], least)
+            np.minimum.at(roots, roots[b], least)
+            roots = roots[roots]
+            open_ = roots[a] != roots[b]
+            a, b = a[open_], b[open_]
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+        return roots
+
+    def tied(low: int, high: int, last: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ties of one bucket in which lines meet many others: what is tied needn't be met again."""
+        out, left, backward = [], np.arange(low, high), np.searchsorted(last[low:high], np.arange(low, high), "right") + low
         while len(left):
-            first, left = left[0], left[1:]
-            front, lengths, reach = [first], n[left], shortest[left]
+            start, left = left[0], left[1:]
+            front = [int(start)]
             while front and len(left):
                 x = front.pop()
-                low, high = np.searchsorted(lengths, shortest[x]), np.searchsorted(reach, n[x], "right")
-                some = left[low:high]
-                found = near(n[x], at[x], simhash[x], n[some], at[some], simhash[some])
-                if found.any():
-                    roots[some[found]] = first
+                begin, end = np.searchsorted(left, (backward[x - low], last[x]))
+                some = left[begin:end]
+                found = np.flatnonzero(near(x, some, first, second))
+                if len(found):
+                    out.append((np.full(len(found), start), some[found]))
                     front += some[found].tolist()
-                    left = np.delete(left, low + np.flatnonzero(found))
-                    lengths, reach = n[left], shortest[left]
-        return roots
+                    left = np.delete(left, begin + found)
+        return out
+
+    def meetings(bucket, n, first, second) -> tuple[np.ndarray, np.ndarray]:
+        count = len(bucket)
+        at = (bucket - bucket[0]) * (2 * LONGEST) + n
+        last = np.searchsorted(at, (bucket - bucket[0]) * (2 * LONGEST) + np.minimum((n / SIMILARITY + 1e-9).astype(np.int64), 2 * LONGEST - 1), "right")
+        window = last - np.arange(count) - 1
+        pairs = []
+        ends = np.concatenate([np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [count]])
+        starts = np.concatenate([[0], ends[:-1]])
+        for low, high in zip(starts.tolist(), ends.tolist()) if window.max(initial=0) > WIDE else ():
+            if window[low:high].max() > WIDE:
+                pairs += tied(low, high, last, first, second)
+                window[low:high] = 0
+        rows = np.flatnonzero(window > 0)
+        step = 1
+        while len(rows):
+            hit = rows[near(rows, rows + step, first, second)]
+            if len(hit):
+                pairs.append((hit, hit + step))
+            step += 1
+            rows = rows[window[rows] >= step]
+        none = np.empty(0, np.int64)
+        return tuple(np.concatenate([none, *each]) for each in (zip(*pairs) if pairs else ((), ())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = None
         for part, continued, goes_on in whole_runs(batches, 1):
-            bucket, place, simhash, key = (part.column(c).combine_chunks().to_numpy() for c in range(4))
+            bucket, n, key, first, second = (part.column(c).combine_chunks().to_numpy() for c in range(5))
             new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])])
-            bucket, place, simhash, key = bucket[new], place[new], simhash[new].view(np.uint64), key[new]
-            n, at = place >> 32, place & 0xFFFFFFFF
-            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            lengths = np.diff(np.concatenate([starts, [len(bucket)]]))
-            labels, members, needs = [], [], []
-            for run in sorted(({0} if continued else set()) | ({len(starts) - 1} if goes_on else set())):
-                own = key[starts[run] : starts[run] + lengths[run]]
-                label = label if continued and run == 0 else own.min()
-                labels.append(np.full(len(own), label))
-                members.append(own)
-                needs.append(np.zeros(len(own), np.int64))
-                lengths[run] = 0
-            for length in range(2, SHORT_LIST + 1):
-                here = starts[lengths == length]
-                for x in range(length):
-                    for y in range(x + 1, length):
-                        a, b = here + x, here + y
-                        ok = near(n[a], at[a], simhash[a], n[b], at[b], simhash[b])
-                        a, b = a[ok], b[ok]
-                        labels.append(np.minimum(key[a], key[b]))
-                        members.append(np.maximum(key[a], key[b]))
-                        needs.append(shared(n[a], n[b]))
-            long = lengths > SHORT_LIST
-            for start, length in zip(starts[long].tolist(), lengths[long].tolist()):
-                own = slice(start, start + length)
-                roots = tied(n[own], at[own], simhash[own])
-                some = np.flatnonzero(np.bincount(roots, minlength=length)[roots] > 1)
-                if len(some):
-                    least = np.full(length, np.iinfo(np.int64).max)
-                    np.minimum.at(least, roots, key[own])
-                    labels.append(least[roots[some]])
-                    members.append(key[own][some])
-                    needs.append(np.zeros(len(some), np.int64))
-            columns = [np.concatenate([np.empty(0, np.int64), *each]) for each in (labels, members, needs)]
+            bucket, n, key = bucket[new], n[new], key[new]
+            first, second = first[new].view(np.uint64), second[new].view(np.uint64)
+            labels, members = [], []
+            parted = np.zeros(len(bucket), bool)
+            for partial, run in ((continued, bucket[0]), (goes_on, bucket[-1])):
+                own = (bucket == run) & ~parted
+                if partial and own.any():
+                    parted |= own
+                    label = label if continued and run == bucket[0] else key[own].min()
+                    labels.append(np.full(int(own.sum()), label))
+                    members.append(key[own])
+            whole = np.flatnonzero(~parted)
+            if len(whole):
+                a, b = meetings(bucket[whole], n[whole], first[whole], second[whole])
+                roots = roots_of(a, b, len(whole))
+                some = np.flatnonzero(np.bincount(roots, minlength=len(whole))[roots] > 1)
+                least = np.full(len(whole), np.iinfo(np.int64).max)
+                np.minimum.at(least, roots, key[whole])
+                labels.append(least[roots[some]])
+                members.append(key[whole][some])
+            columns = [np.concatenate([np.empty(0, np.int64), *each]) for each in (labels, members)]
             if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "key"])
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (
-        rows.repartition(count, "bucket").sortWithinPartitions("bucket", "place", "key")
-        .transform(in_arrow, work, "a long, b long, need long")
+    bucket = F.shiftright("place", 20)
+    return (
+        rows.repartition(count, bucket)
+        .sortWithinPartitions("place", "key")
+        .select(bucket.alias("bucket"), F.col("place").bitwiseAND(F.lit(LONGEST)).alias("n"), "key", "first", "second")
+        .transform(in_arrow, work, "label long, key long")
+        .distinct()
     )
-    found = found.groupBy("a", "b", "need").count().filter(F.col("count") >= F.col("need"))
-    both = F.when(F.col("need") > 0, F.array("a", "b")).otherwise(F.array("b"))
-    return found.select(F.col("a").alias("label"), F.explode(both).alias("key")).distinct()
 
 
 def blocked(clusters: DataFrame) -> DataFrame:
@@ -299,31 +297,6 @@ def blocked(clusters: DataFrame) -> DataFrame:
     return rows.select("label", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "key")
 
 
-def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
-    """(key, words): the words' hashes of wanted classes, once a task."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            texts = [text or b"" for text in batch.column(0).to_pylist()]
-            rows = []
-            for low, high in by_bytes(texts):
-                words, _, _, first, last = line_words(texts[low:high])
-                taking = last - first >= MIN_WORDS
-                first, last = first[taking], last[taking]
-                keys = run_hashes(words.hashes, first, last).view(np.int64)
-                for at in np.flatnonzero(wanted.passing(keys)).tolist():
-                    key = int(keys[at])
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append((key, words.hashes[first[at] : last[at]].tobytes()))
-            if rows:
-                keys, values = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["key", "words"])
-
-    return docs.select(F.col("text").cast("binary")).transform(in_arrow, work, "key long, words binary")
-
-
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by bit vectors over the first one."""
     first = 0
@@ -363,7 +336,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Similarity hashes of 256 bits."""
+    """256 bits in which every word flips one: d edits change 2 d bits at most, so no link is lost by them."""
     lane = (hashes >> np.uint64(6)) & np.uint64(3)
     out = np.empty((len(first), 4), np.uint64)
     for number in range(4):
@@ -395,7 +368,7 @@ def links(clustered: DataFrame, words: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             starts = [*np.flatnonzero(new).tolist(), len(key)]
             out: list[tuple[int, int]] = []
-            lines = [np.frombuffer(line, np.uint64) for line in rows.column(4).to_pylist()]
+            lines = [np.frombuffer(line, "<u4").astype(np.uint64) for line in rows.column(4).to_pylist()]
             n = np.array([len(line) for line in lines])
             sketch = sketches(np.concatenate(lines), np.cumsum(n) - n, np.cumsum(n))
             for a, b in zip(starts, starts[1:]):
@@ -415,42 +388,44 @@ def links(clustered: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, lines): the lines of each document that aren't the first of their group."""
-    lines = stored(occurrences(docs).select("doc_id", "text_key", "line", "key"), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
-    found = candidates(postings(docs, rarity(docs)))
-    clustered = stored(blocked(stored(found, "line-candidates")), "line-clusters")
-    words = wanted_lines(docs, KeyFilter(clustered, "key"))
+    lines = stored(occurrences(docs, min_words), "lines")
+    classes = lines.filter(F.col("words").isNotNull())
+    clustered = stored(blocked(stored(candidates(postings(classes)), "line-candidates")), "line-clusters")
+    words = classes.select("key", "words").join(clustered.select("key").distinct(), "key", "left_semi")
     roots = stored(components(links(clustered, words)), "line-roots")
-    rooted = lines.join(roots, lines["key"] == roots["node"], "left").select(
-        place.alias("place"), F.coalesce("root", "key").alias("root")
-    )
-    firsts = rooted.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    cut = rooted.join(firsts, "root").filter(F.col("place") != F.col("first"))
-    return cut.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(
+    # Firsts and counts per class before anything is joined: a common line is one row from here on.
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
+    firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    rooted = firsts.join(roots, firsts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
+    groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("all")).filter(F.col("all") > 1)
+    cut = stored(rooted.select("root", "key", "n").join(groups, "root").select("key", "n", "first"), "line-firsts")
+    total = lines.count()
+    hot = F.col("n") * HOT_SHARE >= total  # HOT_SHARE classes at most
+    every = lines.select("key", place.alias("place"))
+    common = every.join(F.broadcast(cut.filter(hot).drop("n")), "key", "left")
+    others = common.filter(F.col("first").isNull()).drop("first").join(cut.filter(~hot).drop("n"), "key")
+    found = common.filter(F.col("first").isNotNull()).unionByName(others).filter(F.col("place") != F.col("first"))
+    return found.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(
         F.collect_set("place.line").alias("lines")
     )
 
 
-def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The kept columns of each document as ``row``, the new text, lines before and lines cut."""
     keep = keep or docs.columns
-    cut = stored(repeats(docs), "cut-lines")
+    cut = stored(repeats(docs, min_words), "cut-lines")
     touched = KeyFilter(cut, "text_key")
-    kept = docs.select(*keep).schema
-
-    def worker():
-        def work(keys):
-            filled = keys.fill_null(0).to_numpy(zero_copy_only=False)
-            return [pa.array(touched.passing(filled))]
 
-        return work
+    @F.arrow_udf("boolean")
+    def maybe(keys: pa.Array) -> pa.Array:  # sees the keys alone; texts stay where they are
+        return pa.array(touched.passing(keys.fill_null(0).to_numpy(zero_copy_only=False)))
 
     id_and_key = [F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key")]
     apart = [] if "text" in keep else ["text"]
     named = docs.select(F.struct(*keep).alias("row"), *id_and_key, *apart)
-    marked = mapped(named, named.columns, [F.col("_key")], "maybe boolean", worker).select("row.*", "maybe")
+    marked = named.withColumn("maybe", maybe("_key"))
     text = F.col("text" if apart else "row.text")
     lines = F.split(text, "\n", -1)
     n_lines = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")).alias("n_lines")
@@ -466,9 +441,9 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     return whole.unionByName(changed)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per document: what is left of its text, its lines, and how many were cut."""
-    return without_repeats(docs, keep=["doc_id"]).select("row.doc_id", "text", "n_lines", "n_cut")
+    return without_repeats(docs, ["doc_id"], min_words).select("row.doc_id", "text", "n_lines", "n_cut")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
