@@ -9,8 +9,9 @@ Candidates come from SimHashes of LANES * 64 bits: each bit is the majority of t
 words, the second of equal words being another one. The bits are cut into BLOCKS blocks of 16. Two lines meet if a block is the same, the pigeonhole of SimHash
 (lines that differ in fewer bits than there are blocks always share one), if their lengths allow SIMILARITY, and
 if CHECKED of their bits differ in MOST_BITS places at most. So identical words always link, and
-of linked lines the share that meets falls with their similarity: REACH is where it is RECALL or more from
-eleven words on, and 0.88 at ten (tests measure it against all pairs). Below, pairs that meet link all the same, down to SIMILARITY.
+of linked lines the share that meets falls with their similarity: REACH is where it is RECALL or more whatever the
+length (tests measure it against all pairs). Below, pairs that meet link all the same, down to SIMILARITY; at 0.9
+three in four do. A word-level similarity of 0.8 in whole is out of reach for SimHash blocks.
 
 Linked classes form groups, and of all lines of a group the first stays: the one with the smallest
 (doc_id, line number), documents without an id last. The lines of copies go like any others.
@@ -21,7 +22,7 @@ Null texts stay null; texts without taking lines stay as they are. Rows with the
 text are one document: what is cut from one is cut from all. Rows that share a doc_id but
 not the text come in the order of a hash of the text. Other columns are ignored. An empty table
 gives no rows. Lines that meet in a bucket form clusters of chains, one row a line, which are then compared
-by edit distance, where lines that have joined a group are skipped. A word is known by 32 bits of its hash there.
+by edit distance, where lines that have joined a group are skipped.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +45,9 @@ from tachyline.llm.key_filter import KeyFilter
 #: Lines of one to three words have only exact repeats: an edit is too much for SIMILARITY.
 MIN_WORDS = 1
 SIMILARITY = 0.8
-REACH, RECALL = 0.9, 0.9
+REACH, RECALL = 0.95, 0.9
 #: Bits of a SimHash: words of 64, in blocks of 16; the last CHECKED bits go along with each block.
-LANES = 5
+LANES = 3
 BLOCKS = 4 * LANES
 CHECKED, MOST_BITS = 128, 30
 #: Longer lines count as so long where lengths are compared.
@@ -79,11 +80,7 @@ def line_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.nd
 
 
 def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """LANES words of 64 bits per run of words: bits that are set in more than half of its words.
-
-    Counters are kept as bit planes, all bits of all lines at once; lines come longest first, so that those
-    with a next word are always the front part.
-    """
+    """LANES words of 64 bits per run of words, of which none is empty: bits set in more than half of its words."""
     length = last - first
     # The second of equal words in a line is another feature: an edit changes one of them.
     line = np.repeat(np.arange(len(first)), length)
@@ -94,30 +91,19 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     new[1:] = own[by_word[1:]] != own[by_word[:-1]]
     rank = np.empty(len(own), np.uint64)
     rank[by_word] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-    hashes, first = hashes[at] + rank * _AGAIN, np.cumsum(length) - length
-    order = np.argsort(-length, kind="stable")
-    start, left = first[order], length[order]
-    seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
-    planes: list[np.ndarray] = []
-    live = len(left)
-    for place in range(int(left[0]) if live else 0):
-        live = int(np.searchsorted(-left, -place, "left"))
-        carry = mixed(hashes[start[:live] + place][:, None] ^ seeds)
-        for plane in planes:
-            plane[:live], carry = plane[:live] ^ carry, plane[:live] & carry
-            if not carry.any():
-                break
-        else:
-            planes.append(np.zeros((len(left), LANES), np.uint64))
-            planes[-1][:live] = carry
-    more, equal = np.zeros((len(left), LANES), np.uint64), np.full((len(left), LANES), ~np.uint64(0))
-    for number in reversed(range(len(planes))):
-        half = np.where((left >> (number + 1)) & 1, ~np.uint64(0), np.uint64(0))[:, None]
-        more |= equal & planes[number] & ~half
-        equal &= ~(planes[number] ^ half)
-    out = np.empty_like(more)
-    out[order] = more
-    return out
+    features = mixed((hashes[at] + rank * _AGAIN)[:, None] ^ mixed(np.arange(1, LANES + 1, dtype=np.uint64)))
+    # Counts of set bits in bytes, over stretches of 255 words at most, then over the line's stretches.
+    starts = np.cumsum(length) - length
+    pieces = -(-length // 255)
+    of = np.repeat(np.arange(len(first)), pieces)
+    begin = starts[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    if not len(first):
+        return np.empty((0, LANES), np.uint64)
+    bits = np.unpackbits(features.view(np.uint8).reshape(len(features), -1), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, begin, axis=0, dtype=np.uint8).astype(np.int32)
+    if len(of) > len(first):
+        counts = np.add.reduceat(counts, np.cumsum(pieces) - pieces, axis=0)
+    return np.packbits(2 * counts > length[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 def text_key(text):
@@ -125,7 +111,7 @@ def text_key(text):
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, line, key) of each line that takes part; ``n``, ``words`` and ``simhash`` once a class and task."""
+    """(doc_id, text_key, line, key) of each line that takes part; ``n`` and ``simhash`` once a class and task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -141,13 +127,6 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 fresh[np.unique(keys, return_index=True)[1]] = True
                 fresh[fresh] = [key not in seen for key in keys[fresh].tolist()]
                 seen.update(keys[fresh].tolist())
-                # the hashes of the new lines' words, end to end
-                n = np.where(fresh, last - first, 0)
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                narrow = pa.py_buffer((words.hashes[at] >> np.uint64(32)).astype("<u4").tobytes())
-                ends = np.concatenate([[0], np.cumsum(n)]) * 4
-                valid = pa.array(fresh).buffers()[1]
-                spans = pa.Array.from_buffers(pa.binary(), len(keys), [valid, pa.py_buffer(ends.astype("<i4").tobytes()), narrow])
                 bits = np.zeros((len(keys), LANES), np.uint64)
                 bits[fresh] = simhashes(words.hashes, first[fresh], last[fresh])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).reshape(-1)), LANES).cast(pa.list_(pa.int64()))
@@ -155,13 +134,13 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(place), batch.column(1).take(place), pa.array(number.astype(np.int64)),
-                        pa.array(keys), pa.array(np.where(fresh, last - first, 0)), spans,
-                        pa.array([None] * len(keys), lists.type) if not fresh.any() else pa.compute.if_else(pa.array(fresh), lists, pa.scalar(None, lists.type)),
+                        pa.array(keys), pa.array(last - first, mask=~fresh),
+                        pc.if_else(pa.array(fresh), lists, pa.scalar(None, lists.type)),
                     ],
-                    names=["doc_id", "text_key", "line", "key", "n", "words", "simhash"],
+                    names=["doc_id", "text_key", "line", "key", "n", "simhash"],
                 )
 
-    schema = "doc_id long, text_key long, line long, key long, n long, words binary, simhash array<long>"
+    schema = "doc_id long, text_key long, line long, key long, n long, simhash array<long>"
     return docs.select(
         F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")
     ).transform(in_arrow, work, schema)
@@ -297,6 +276,31 @@ def blocked(clusters: DataFrame) -> DataFrame:
     return rows.select("label", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "key")
 
 
+def wanted_lines(docs: DataFrame, wanted: KeyFilter, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, words): the words' hashes of wanted classes, once a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = [text or b"" for text in batch.column(0).to_pylist()]
+            rows = []
+            for low, high in by_bytes(texts):
+                words, _, _, first, last = line_words(texts[low:high])
+                taking = last - first >= min_words
+                first, last = first[taking], last[taking]
+                keys = run_hashes(words.hashes, first, last).view(np.int64)
+                for at in np.flatnonzero(wanted.passing(keys)).tolist():
+                    key = int(keys[at])
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append((key, words.hashes[first[at] : last[at]].tobytes()))
+            if rows:
+                keys, values = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["key", "words"])
+
+    return docs.select(F.col("text").cast("binary")).transform(in_arrow, work, "key long, words binary")
+
+
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by bit vectors over the first one."""
     first = 0
@@ -368,7 +372,7 @@ def links(clustered: DataFrame, words: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             starts = [*np.flatnonzero(new).tolist(), len(key)]
             out: list[tuple[int, int]] = []
-            lines = [np.frombuffer(line, "<u4").astype(np.uint64) for line in rows.column(4).to_pylist()]
+            lines = [np.frombuffer(line, np.uint64) for line in rows.column(4).to_pylist()]
             n = np.array([len(line) for line in lines])
             sketch = sketches(np.concatenate(lines), np.cumsum(n) - n, np.cumsum(n))
             for a, b in zip(starts, starts[1:]):
@@ -391,9 +395,9 @@ def links(clustered: DataFrame, words: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, lines): the lines of each document that aren't the first of their group."""
     lines = stored(occurrences(docs, min_words), "lines")
-    classes = lines.filter(F.col("words").isNotNull())
-    clustered = stored(blocked(stored(candidates(postings(classes)), "line-candidates")), "line-clusters")
-    words = classes.select("key", "words").join(clustered.select("key").distinct(), "key", "left_semi")
+    found = candidates(postings(lines.filter(F.col("n").isNotNull())))
+    clustered = stored(blocked(stored(found, "line-candidates")), "line-clusters")
+    words = wanted_lines(docs, KeyFilter(clustered, "key"), min_words)
     roots = stored(components(links(clustered, words)), "line-roots")
     # Firsts and counts per class before anything is joined: a common line is one row from here on.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")

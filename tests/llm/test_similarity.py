@@ -344,16 +344,16 @@ def test_many_near_lines_are_handed_on_a_row_each(spark):
     random.seed(3)
     base = random.choices([f"v{i}" for i in range(500)], k=200)
     rows = [(i, " ".join(edited(base, 1))) for i in range(600)]
-    classes = line_dedup.occurrences(documents(spark, rows)).filter("words IS NOT NULL")
+    classes = line_dedup.occurrences(documents(spark, rows)).filter("n IS NOT NULL")
     found = line_dedup.candidates(line_dedup.postings(classes))
     assert found.count() < 600 * line_dedup.BLOCKS
     got = line_dedup.deduplicated(documents(spark, rows)).collect()
     assert [r.doc_id for r in got if not r.n_cut] == [0]
 
 
-@pytest.mark.parametrize("length", [10, 11, 20, 27, 40, 60, 100, 400])
+@pytest.mark.parametrize("length", [20, 27, 40, 60, 100, 400])
 def test_recall_at_the_declared_reach(spark, length):
-    """Lines of the documents' own words with a tenth of them replaced, dropped or put in; none with too many linked."""
+    """Lines of the documents' own words with a twentieth of them replaced, dropped or put in; none with too many linked."""
     random.seed(length)
     table = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
     stock = [w for r in table for w in plain_line_words((r.text or "").replace("\n", " "))]
@@ -374,7 +374,7 @@ def test_recall_at_the_declared_reach(spark, length):
     got = {r.doc_id for r in line_dedup.deduplicated(documents(spark, rows)).collect() if r.n_cut}
     recall = len(got & linked) / len(linked)
     print(f"{length} words: {recall:.3f} of {len(linked)} found at {line_dedup.REACH}")
-    assert len(linked) >= 100 and recall >= (line_dedup.RECALL if length > 10 else 0.85) and not got & beyond
+    assert len(linked) >= 100 and recall >= line_dedup.RECALL and not got & beyond
 
 
 def test_wide_buckets_and_windows_give_the_same(spark, monkeypatch):
@@ -423,7 +423,7 @@ def test_a_bucket_in_several_parts_is_compared_whole(spark, monkeypatch):
     conf.set(name, "16")
     try:
         rows = [(i, f"the same words stand here again and again before a number and behind it {i}") for i in range(300)]
-        classes = line_dedup.occurrences(documents(spark, rows)).filter("words IS NOT NULL")
+        classes = line_dedup.occurrences(documents(spark, rows)).filter("n IS NOT NULL")
         found = line_dedup.candidates(line_dedup.postings(classes))
         assert found.groupBy("label").count().agg({"count": "max"}).first()[0] >= 200
         got = line_dedup.deduplicated(documents(spark, rows)).collect()
