@@ -104,6 +104,14 @@ def words_of(texts: list[bytes], table: bytes, apart: bool = False) -> Words:
     return Words(hashes, starts, np.frombuffer(joined, np.uint8), np.searchsorted(starts, offsets), offsets)
 
 
+def run_of_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
+    up, down = _POWERS.need(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of each run ``hashes[first:last]``, in order; of an empty run, a fixed value."""
     up, down = _RUN_POWERS.need(len(hashes) + 1)

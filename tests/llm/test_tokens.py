@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from odd_documents import clashing, documents, odd_texts
 from hypothesis import given, settings
@@ -21,9 +23,7 @@ from tachyline.plans.files import scratch_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(default_tokenizer())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def ids_of(tokenizer, text):
@@ -38,7 +38,6 @@ def crc(ids):
 @given(st.lists(st.text(alphabet="ab's,.9 \n\t\0 é字　", max_size=30), max_size=4))
 def test_pieces_encode_as_whole_texts(texts):
     whole = Tokenizer.from_file(default_tokenizer()) if not hasattr(ids_of, "t") else ids_of.t
-    whole.encode_special_tokens = True
     ids_of.t = whole
     encoder = Encoder(default_tokenizer(), 2, most_pieces=8)
     for _ in range(2):
@@ -46,6 +45,34 @@ def test_pieces_encode_as_whole_texts(texts):
         assert got == [ids_of(whole, text) for text in texts]
 
 
+def test_an_added_token_is_what_the_library_says(tokenizer):
+    """By the plain call: the string of a special token is that token."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a <|endoftext| > b", "x<|endoftext|>y\nz", "plain"]
+    got = [np.frombuffer(each, "<u4").tolist() for each in Encoder(default_tokenizer(), 2).encode(texts)]
+    assert got == [ids_of(tokenizer, text) for text in texts] and got[0] == [64, 220, 50256, 275, 2]
+
+
+def test_a_tokenizer_with_other_settings_takes_texts_whole(tmp_path, tokenizer):
+    settings_ = json.loads(tokenizer.to_str())
+    settings_["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings_))
+    texts = ["two words here", " leading", "line\nbreak", ""]
+    got = [np.frombuffer(each, "<u4").tolist() for each in Encoder(str(path), 2).encode(texts)]
+    other = Tokenizer.from_file(str(path))
+    assert got == [ids_of(other, text) for text in texts] and got[0] != ids_of(tokenizer, texts[0])
+
+
+@pytest.mark.parametrize("most", [4, 300, 1_000_000])
+def test_documents_encode_as_whole_texts(tokenizer, most):
+    """All documents of a table, with a memory for pieces that starts afresh again and again, and one that doesn't."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    texts += [t or "" for _, t in odd_texts()] + [" ", "\n", "a\n", "\na", "a\n\nb c", "a  b", "tab\tx y", "x y\u3000z w", "é\n字 a"]
+    encoder = Encoder(default_tokenizer(), 2, most_pieces=most)
+    got = [np.frombuffer(each, "<u4").tolist() for each in encoder.encode(texts)]
+    assert got == [ids_of(tokenizer, text) for text in texts]
+
+
 def test_token_files_round_trip(spark, tokenizer):
     rows = odd_texts()
     folder = scratch_path(spark, "files")
