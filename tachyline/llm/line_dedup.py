@@ -45,6 +45,8 @@ from tachyline.llm.key_filter import KeyFilter
 #: Lines of one to three words have only exact repeats: an edit is too much for SIMILARITY.
 MIN_WORDS = 1
 SIMILARITY = 0.8
+#: The shortest line that may be linked to one a word longer.
+MIN_FUZZY = 4
 REACH, RECALL = 0.95, 0.9
 #: Bits of a SimHash: words of 64, in blocks of 16; the last CHECKED bits go along with each block.
 LANES = 3
@@ -91,7 +93,9 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     new[1:] = own[by_word[1:]] != own[by_word[:-1]]
     rank = np.empty(len(own), np.uint64)
     rank[by_word] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-    features = mixed((hashes[at] + rank * _AGAIN)[:, None] ^ mixed(np.arange(1, LANES + 1, dtype=np.uint64)))
+    seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
+    features = (hashes[at] + rank * _AGAIN)[:, None] * seeds
+    features ^= features >> np.uint64(32)
     # Counts of set bits in bytes, over stretches of 255 words at most, then over the line's stretches.
     starts = np.cumsum(length) - length
     pieces = -(-length // 255)
@@ -128,7 +132,8 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 fresh[fresh] = [key not in seen for key in keys[fresh].tolist()]
                 seen.update(keys[fresh].tolist())
                 bits = np.zeros((len(keys), LANES), np.uint64)
-                bits[fresh] = simhashes(words.hashes, first[fresh], last[fresh])
+                hashed = fresh & (last - first >= MIN_FUZZY)
+                bits[hashed] = simhashes(words.hashes, first[hashed], last[hashed])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).reshape(-1)), LANES).cast(pa.list_(pa.int64()))
                 place = pa.array(text + low)
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +153,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def postings(classes: DataFrame) -> DataFrame:
     """(place, key, first, second): block number, its 16 bits and the length in one number, for each block."""
-    lines = classes.filter((F.col("n") + 1) * (1 - SIMILARITY) + 1e-9 >= 1)  # shorter ones have no partner
+    lines = classes.filter(F.col("n") >= MIN_FUZZY)
     length = F.least(F.col("n"), F.lit(LONGEST))
 
     def block(number: int):
@@ -432,7 +437,8 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None, min_words: i
     marked = named.withColumn("maybe", maybe("_key"))
     text = F.col("text" if apart else "row.text")
     lines = F.split(text, "\n", -1)
-    n_lines = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")).alias("n_lines")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce((breaks + 1).cast("long"), F.lit(0).cast("long")).alias("n_lines")
     whole = marked.filter(~F.col("maybe")).select("row", text.alias("text"), n_lines, F.lit(0).cast("long").alias("n_cut"))
     joined = marked.filter("maybe").join(cut, (F.col("_key") == cut["text_key"]) & F.col("_id").eqNullSafe(cut["doc_id"]), "left")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("lines", i.cast("long"))), "\n")

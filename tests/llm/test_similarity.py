@@ -208,7 +208,8 @@ def plain_simhash(words):
         hashes.append((int(h) + seen[w] * int(line_dedup._AGAIN)) % 2**64)
         seen[w] += 1
     for seed in hashing.mixed(np.arange(1, line_dedup.LANES + 1, dtype=np.uint64)):
-        own = [int(h) for h in hashing.mixed(np.array(hashes, np.uint64) ^ seed)]
+        own = [h * (int(seed) | 1) % 2**64 for h in hashes]
+        own = [h ^ h >> 32 for h in own]
         out.append(sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in own) > len(own)))
     return tuple(out)
 
