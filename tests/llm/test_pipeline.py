@@ -7,7 +7,8 @@ import re
 from collections import Counter
 
 import pytest
-from odd_documents import documents, odd_texts
+from odd_documents import clashing, documents, odd_texts
+from pyspark.sql import functions as F
 from test_documents import plain_contamination
 from test_similarity import plain_dedup, plain_groups
 from test_tokens import check_packing
@@ -47,7 +48,7 @@ def test_repeated_lines_go(stages):
 def test_one_of_each_group_stays(stages):
     _, before, after, columns = stages[2]
     assert columns == COLUMNS
-    groups = plain_groups([(r.doc_id, r.text) for r in before])
+    groups = plain_groups([(r.doc_id, r.text) for r in before], width=5, percent=80)
     kept = {doc_id for doc_id, n, component in groups if not n or doc_id == component}
     assert Counter(after) == Counter(r for r in before if r.doc_id in kept)
 
@@ -82,6 +83,19 @@ def test_odd_documents_pass_the_stages(spark):
     assert docs.isEmpty()
 
 
+def test_columns_with_clashing_names_pass_the_stages(spark):
+    """Names that stages use inside, as columns of the documents: kept as they are by all but the last."""
+    docs = clashing(documents(spark, odd_texts()))
+    for name in ("root", "first", "key", "n", "line", "lines", "place", "maybe", "row", "label", "simhash", "in0", "text_key", "first_", "all"):
+        docs = docs.withColumn(name, F.lit("y"))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), "stage")
+        assert docs.columns == names
+    assert {tuple(r) for r in docs.select("root", "line", "size").distinct().collect()} == {("y", "y", "x")}
+    assert not corpus_pipeline.STAGES[-1][1](spark, docs, SF).isEmpty()
+
+
 def test_near_copies_are_those_of_five_words_and_eighty_percent(spark):
     """Against a comparison of all pairs; some are near copies by this rule but not by op6's."""
     random.seed(12)

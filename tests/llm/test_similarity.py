@@ -30,21 +30,21 @@ class Groups:
         self.above[self.find(a)] = self.find(b)
 
 
-def plain_shingles(text):
+def plain_shingles(text, width=4):
     small = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall("[^\x20\x09-\x0D]+", small)
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 4]) for i in range(max(len(words) - 3, 1)))
+    return frozenset(tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, 1)))
 
 
-def plain_groups(rows):
-    sets = [plain_shingles(text) for _, text in rows]
+def plain_groups(rows, width=4, percent=85):
+    sets = [plain_shingles(text, width) for _, text in rows]
     groups = Groups(range(len(rows)))
     for i, a in enumerate(sets):
         for j in range(i):
             common = len(a & sets[j])
-            if a and 100 * common >= 85 * (len(a) + len(sets[j]) - common):
+            if a and 100 * common >= percent * (len(a) + len(sets[j]) - common):
                 groups.join(i, j)
     ids = defaultdict(list)
     for i, (doc_id, _) in enumerate(rows):
