@@ -93,21 +93,44 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     new[1:] = own[by_word[1:]] != own[by_word[:-1]]
     rank = np.empty(len(own), np.uint64)
     rank[by_word] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-    seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
-    features = (hashes[at] + rank * _AGAIN)[:, None] * seeds
-    features ^= features >> np.uint64(32)
-    # Counts of set bits in bytes, over stretches of 255 words at most, then over the line's stretches.
-    starts = np.cumsum(length) - length
-    pieces = -(-length // 255)
-    of = np.repeat(np.arange(len(first)), pieces)
-    begin = starts[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     if not len(first):
         return np.empty((0, LANES), np.uint64)
-    bits = np.unpackbits(features.view(np.uint8).reshape(len(features), -1), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, begin, axis=0, dtype=np.uint8).astype(np.int32)
-    if len(of) > len(first):
-        counts = np.add.reduceat(counts, np.cumsum(pieces) - pieces, axis=0)
-    return np.packbits(2 * counts > length[:, None], axis=1, bitorder="little").view(np.uint64)
+    seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
+    # A line's words fill up with empty ones to a multiple of 8, so that three levels of the tree need no indices.
+    left = (length + 7) // 8
+    starts = 8 * (np.cumsum(left) - left)
+    filled = np.zeros(8 * int(left.sum()), np.uint64)
+    filled[np.arange(len(line)) + np.repeat(starts - (np.cumsum(length) - length), length)] = hashes[at] + rank * _AGAIN
+    features = filled * seeds[:, None]
+    features ^= features >> np.uint64(32)
+    planes = [features]
+    for _ in range(3):
+        planes = added([plane[:, 0::2] for plane in planes], [plane[:, 1::2] for plane in planes])
+    while left.max() > 1:
+        some = (left + 1) // 2
+        begin = np.repeat(np.cumsum(left) - left, some) + 2 * (np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some))
+        paired = (begin + 1 < np.repeat(np.cumsum(left), some)).astype(np.uint64)
+        second = np.minimum(begin + 1, planes[0].shape[1] - 1)
+        planes = added([plane.take(begin, 1) for plane in planes], [plane.take(second, 1) * paired for plane in planes])
+        left = some
+    # Counts above half of the length, compared from the highest plane down.
+    half, above = (length // 2).astype(np.uint64), np.zeros((LANES, len(first)), np.uint64)
+    equal = ~above
+    for number in range(len(planes) - 1, -1, -1):
+        bit = np.uint64(0) - ((half >> np.uint64(number)) & np.uint64(1))
+        above |= equal & planes[number] & ~bit
+        equal &= ~(planes[number] ^ bit)
+    return np.ascontiguousarray(above.T)
+
+
+def added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of 64 numbers at once: the arrays of a list hold bit 0, 1, ... of each."""
+    out, carry = [a[0] ^ b[0]], a[0] & b[0]
+    for x, y in zip(a[1:], b[1:]):
+        either = x ^ y
+        out.append(either ^ carry)
+        carry = (x & y) | (either & carry)
+    return [*out, carry]
 
 
 def text_key(text):
