@@ -21,12 +21,12 @@ first in alphabetical order wins. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ BYTES_AT_ONCE = 1 << 18
 UNDETERMINED = "und"
 
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)

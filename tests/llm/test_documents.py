@@ -100,6 +100,9 @@ def test_odd_documents_have_a_language_or_none(spark):
     assert language_id.identified(documents(spark, [])).isEmpty()
     unlabelled = language_id.identified(documents(spark, [(1, "some text", None)])).collect()
     assert unlabelled[0].lang_pred == "und"
+    numbers = documents(spark, [(5, "a text", "en"), (6, "\u00bd \u00b2", "en"), (7, "\u2167", None), (8, "\u0e01", None)])
+    named = {r.doc_id: r.lang_pred for r in language_id.identified(numbers).collect()}
+    assert named == {5: "en", 6: "und", 7: "und", 8: "en"}, "number signs are no letters"
     untold = documents(spark, [(1, "some text", None), (2, "12 !", None), (3, None, None)])
     assert [r.doc_id for r in language_id.documents_in_a_language(untold).collect()] == [1]
     kept = language_id.documents_in_a_language(documents(spark, rows))
