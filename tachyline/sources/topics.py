@@ -6,12 +6,14 @@ downstream is the same for either.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tachyline.plans.files import Files
 from tachyline.schemas import RAW_RECORD
 from tachyline.sources import wire
 
@@ -46,19 +48,22 @@ class Topic:
         return [f"{self.path}/writer={writer}" for writer in self.writers] or [self.path]
 
     def stream(
-        self, spark: SparkSession, starting: str = "earliest", per_trigger: int | None = None
+        self, spark: SparkSession, starting: str = "earliest", per_trigger: int | None = None, group: str | None = None
     ) -> DataFrame:
         """Subscribe. ``starting`` counts only before the first checkpoint.
 
-        ``per_trigger`` caps a micro-batch: in records on Kafka, in files here.
+        ``per_trigger`` caps a micro-batch: in records on Kafka, in files here. A directory topic is read
+        from ``latest`` by a ``group``: where its partitions ended when the group first subscribed is
+        kept beside the topic, so that a stopped reader misses nothing.
         """
         if self.servers is None:
-            if starting != "earliest":
-                raise ValueError("a directory topic can only be read from its start")
+            if starting not in ("earliest", "latest") or (starting == "latest" and not group):
+                raise ValueError("a directory topic is read from earliest, or from latest by a group")
             reader = spark.readStream.schema(RAW_RECORD)
             if per_trigger is not None:
                 reader = reader.option("maxFilesPerTrigger", per_trigger)
-            return reduce(DataFrame.unionByName, [reader.parquet(path) for path in self.paths])
+            records = reduce(DataFrame.unionByName, [reader.parquet(path) for path in self.paths])
+            return records.filter(_after(self.start_of(spark, group))) if starting == "latest" else records
         reader = (
             spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
@@ -71,6 +76,26 @@ class Topic:
             F.col("key").cast("string"), "value", "partition", "offset", "timestamp"
         )
 
+    def ends(self, spark: SparkSession) -> dict[int, int]:
+        """The last offset of each partition of a directory topic that has records."""
+        ends = self.table(spark).groupBy("partition").agg(
+            F.max("offset").alias("last"), F.bool_or(F.col("offset").isNull()).alias("unnumbered")
+        ).collect()
+        if any(row["partition"] is None or row["unnumbered"] for row in ends):
+            raise ValueError(f"{self.name} holds records without partition or offset: it has no latest place")
+        return {row["partition"]: row["last"] for row in ends}
+
+    def start_of(self, spark: SparkSession, group: str) -> dict[int, int]:
+        """Where the partitions ended when the group first subscribed."""
+        files, path = Files(spark), f"{self.root}/_groups/{self.name}/{group}.json"
+        kept = files.read_text(path)
+        if kept is None:
+            # Renamed into place: a crash leaves no half of it.
+            kept = json.dumps({str(partition): last for partition, last in self.ends(spark).items()})
+            files.write_text(f"{path}.new", kept)
+            files.rename(f"{path}.new", path)
+        return {int(partition): last for partition, last in json.loads(kept).items()}
+
     def table(self, spark: SparkSession) -> DataFrame:
         """Everything the topic holds now, as a batch frame."""
         if self.servers is None:
@@ -115,6 +140,12 @@ class Topic:
         )
 
 
+def _after(ends: dict[int, int]):
+    """Records behind these places; partitions that had none are read whole, and so are records without a place."""
+    passed = [(F.col("partition") == partition) & (F.col("offset") <= last) for partition, last in sorted(ends.items())]
+    return ~F.coalesce(reduce(lambda a, b: a | b, passed, F.lit(False)), F.lit(False))
+
+
 def partition_of(key: str = "key", partitions: int = PARTITIONS[EVENTS]):
     """The partition of a keyed record: one key, one partition, so order per car."""
     return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
@@ -148,10 +179,10 @@ def event_records(readings: DataFrame, wire_format: str = "protobuf") -> DataFra
 
 def read_events(
     spark: SparkSession, topic: Topic, wire_format: str = "protobuf",
-    starting: str = "earliest", per_trigger: int | None = None,
+    starting: str = "earliest", per_trigger: int | None = None, group: str | None = None,
 ) -> DataFrame:
     """The event topic as a decoded stream, bad records marked by ``error``."""
-    return wire.decode(topic.stream(spark, starting, per_trigger), wire_format)
+    return wire.decode(topic.stream(spark, starting, per_trigger, group), wire_format)
 
 
 def read_rollups(spark: SparkSession, topic: Topic, starting: str | None = None) -> DataFrame:

@@ -539,4 +539,16 @@ ORACLES: dict[str, str] = {
     "session_after_lost_checkpoint": f"""WITH {SECONDS} SELECT car_id, sensor_id, round(max(maximum), 6) AS peak,
         round(sum(average * "count") / sum("count"), 6) AS mean, CAST(sum("count") AS BIGINT) AS samples
         FROM seconds GROUP BY 1, 2""",
+    "stream_from_latest": f"""WITH {CHANNELS} SELECT {READING} FROM laps
+        WHERE arrival > (SELECT max(event_id) // 3 FROM events)""",
+    "not_found_rule": f"""{EVENT_MINUTES}, asked AS (
+        SELECT * FROM (VALUES ('click'), ('view'), ('no-such-sensor')) AS t(sensor_id))
+      SELECT a.sensor_id, count(m.bucket) AS "rows", count(m.bucket) > 0 AS found FROM asked a
+      LEFT JOIN minutes m ON m.sensor_id = a.sensor_id AND m.car_id = 'CAR-01'
+        AND m.bucket >= TIMESTAMP '2024-01-08 00:00:00' AND m.bucket < TIMESTAMP '2024-01-12 00:00:00' GROUP BY 1""",
+    "created_empty": f"""{EVENT_MINUTES}, {HOURS}, stored AS (
+        SELECT 'raw' AS name, (SELECT count(*) FROM (SELECT DISTINCT car_id, sensor_id, event_time FROM readings)) AS "rows"
+        UNION ALL SELECT 'rollup_1m', (SELECT count(*) FROM minutes)
+        UNION ALL SELECT 'rollup_1h', (SELECT count(*) FROM hours))
+      SELECT name, 'again' AS state, "rows" FROM stored UNION ALL SELECT name, 'new', 0 FROM stored""",
 }

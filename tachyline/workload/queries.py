@@ -960,3 +960,54 @@ def session_after_lost_checkpoint(spark, sf_dir):
 
     stats = live.current_session(spark, built_once(spark, sf_dir, "lost", build))
     return rounded(stats, "peak", "mean")
+
+
+@query
+def stream_from_latest(spark, sf_dir):
+    """What a reader gets that subscribed after the first third of the topic, and was stopped between the others."""
+
+    def build() -> str:
+        run = LiveRun(spark, "latest")
+        events = channel_readings(spark, sf_dir)
+        third = (newest(events, "arrival") or 0) // 3
+        turn = F.when(F.col("arrival") <= third, 0).when(F.col("arrival") <= 2 * third, 1).otherwise(2)
+        for part in range(3):
+            topics.write_events(events.filter(turn == part), run.events)
+            decoded = topics.read_events(spark, run.events, starting="latest", group="reader")
+            reader = wire.good_readings(decoded).writeStream.option("checkpointLocation", f"{run.root}/checkpoint")
+            reader.format("parquet").option("path", f"{run.root}/read").trigger(availableNow=True).start().awaitTermination()
+        return f"{run.root}/read"
+
+    got = spark.read.parquet(built_once(spark, sf_dir, "latest", build))
+    return rounded(zoneless(got.select("car_id", "sensor_id", "event_time", "value", "sequence_no")), "value")
+
+
+@query
+def not_found_rule(spark, sf_dir):
+    """Series asked for by name: those with minutes in the range, and those that are refused as not found."""
+    minutes = history(spark, sf_dir).read("rollup_1m")
+    answers = []
+    for sensor_id in ("click", "view", "no-such-sensor"):
+        start, end = "2024-01-08 00:00:00", "2024-01-12 00:00:00"
+        try:
+            found = ranges.find_rollups(minutes, "CAR-01", sensor_id, start, end, on_empty="raise")
+        except ranges.NothingFound:
+            found = minutes.limit(0)
+        answers.append(found.agg(F.lit(sensor_id).alias("sensor_id"), F.count(F.lit(1)).alias("rows")))
+    every = answers[0].unionByName(answers[1]).unionByName(answers[2])
+    return every.withColumn("found", F.col("rows") > 0)
+
+
+@query
+def created_empty(spark, sf_dir):
+    """Rows of each table as created, and after a second creation over a filled store."""
+    fresh, filled = new_store(spark, "fresh"), history(spark, sf_dir).create()
+    counts = [
+        store.read(name).agg(F.lit(name).alias("name"), F.lit(when).alias("state"), F.count(F.lit(1)).alias("rows"))
+        for store, when in ((fresh, "new"), (filled, "again"))
+        for name in ("raw", "rollup_1m", "rollup_1h")
+    ]
+    every = counts[0]
+    for count in counts[1:]:
+        every = every.unionByName(count)
+    return every

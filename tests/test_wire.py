@@ -219,6 +219,36 @@ def test_topics_need_one_place(spark, place):
         topics.Topic("t", root="a", servers="b")
     with pytest.raises(ValueError):
         topics.Topic("t", root=place).stream(spark, "latest")
+    with pytest.raises(ValueError):
+        topics.Topic("t", root=place).stream(spark, "middle", group="g")
+
+
+def test_a_group_starts_at_the_latest_record_once(spark, place):
+    """Its start is kept: a reader that comes back gets what was published meanwhile."""
+    topic = topics.Topic("late", root=place)
+    events = readings(spark, [speed(n, n) for n in range(30)])
+
+    def read(group):
+        stream = topics.read_events(spark, topic, starting="latest", group=group).writeStream.format("parquet")
+        stream = stream.option("path", f"{place}/{group}").option("checkpointLocation", f"{place}/c-{group}")
+        stream.trigger(availableNow=True).start().awaitTermination()
+        return sorted(row["value"] for row in spark.read.schema("value double").parquet(f"{place}/{group}").collect())
+
+    topics.write_events(events.filter("arrival < 10"), topic)
+    assert read("first") == []
+    topics.write_events(events.filter("arrival >= 10 and arrival < 20"), topic)
+    assert read("second") == []
+    topics.write_events(events.filter("arrival >= 20"), topic)
+    assert read("first") == [float(n) for n in range(10, 30)]
+    assert read("second") == [float(n) for n in range(20, 30)]
+    assert topic.start_of(spark, "first") != topic.start_of(spark, "second")
+
+
+def test_records_without_offsets_have_no_latest_place(spark, place):
+    topic = topics.Topic("bare", root=place)
+    topic.append(spark.createDataFrame([("k", b"v")], "key string, value binary"))
+    with pytest.raises(ValueError):
+        topic.stream(spark, "latest", group="g")
 
 
 def test_rollup_json_round_trip(spark):
