@@ -442,3 +442,29 @@ def test_a_common_line_is_not_dealt_by_its_key(spark, monkeypatch):
         assert got[0] == 0 and all(got[i] >= 2 for i in range(1, 60))
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(documents(spark, rows), min_words=2).collect()}
     assert all(text.split("\n")[0] == "OK" for i, text in got.items() if i)
+
+
+def test_simhash_bits_are_majorities():
+    """Each bit against a plain count over the words, for runs of any length, repeats included."""
+    random = np.random.default_rng(7)
+    lengths = [1, 2, 3, 7, 8, 9, 16, 17, 255, 256, 257, 1000, 5000]
+    runs = [random.integers(0, 1 << 63, n, np.uint64) for n in lengths]
+    runs += [np.repeat(run[:1], 5) for run in runs[:2]] + [np.tile(runs[3], 40)]
+    last = np.cumsum([len(run) for run in runs])
+    first = last - [len(run) for run in runs]
+    got = line_dedup.simhashes(np.concatenate(runs), first, last)
+    seeds = line_dedup.mixed(np.arange(1, line_dedup.LANES + 1, dtype=np.uint64)) | np.uint64(1)
+    mask = (1 << 64) - 1
+    for run, bits in zip(runs, got):
+        met: dict[int, int] = {}
+        counts = [[0] * 64 for _ in seeds]
+        for word in run.tolist():
+            rank = met.get(word, 0)
+            met[word] = rank + 1
+            for lane, seed in enumerate(seeds.tolist()):
+                value = (word + rank * int(line_dedup._AGAIN)) * seed & mask
+                value ^= value >> 32
+                counts[lane] = [count + (value >> bit & 1) for bit, count in enumerate(counts[lane])]
+        plain = [sum((2 * count > len(run)) << bit for bit, count in enumerate(lane)) for lane in counts]
+        assert bits.tolist() == plain
+    assert line_dedup.simhashes(runs[0], first[:0], last[:0]).shape == (0, line_dedup.LANES)
