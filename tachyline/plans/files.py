@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/tachyline/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Directories that are renamed or deleted at once.
+AT_ONCE = 16
+
+
+def side_by_side(work: Callable[[object], object], items: Iterable) -> list:
+    """``work`` of each item, several at once: directory operations wait for the file system. Raises what one raised."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(work, items))
+
+
 class Files:
     """Directory operations on whatever file system a path names."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, micros
 from tachyline.operators.dedupe import dedupe_existing, first_arrival, integrity_check, reject_stored
-from tachyline.plans.lifecycle import merge_open
+from tachyline.plans.lifecycle import crowded, finish_merges, merge_open
 from tachyline.plans.store import READING_COLUMNS, Store, salt
 from tachyline.schemas import INGEST_METRIC, KEY, small_table
 
@@ -90,7 +90,8 @@ def ingest_batch(
             )
             for row in rows
         }
-        for start in touched:
+        finish_merges(store)
+        for start in crowded(store, touched, batch_id):
             merge_open(store, start, batch_id)
         first = first_arrival(events.select(*READING_COLUMNS))
         fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, touched, batch_id)))
@@ -98,6 +99,8 @@ def ingest_batch(
             fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
             "raw",
             salt(writers_per_chunk, *KEY),
+            directories=len(touched),
+            n_rows=consumed,
         )
         # Counted from what was committed: task retries cannot inflate it.
         written = store.read_chunks("raw", list(touched)).filter(F.col("batch_id") == batch_id).count()

@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
 from tachyline.operators.rollups import finished, merged_states, minute_states, rollup_1h, rollup_1m
 from tachyline.plans import manifest
-from tachyline.plans.files import Files, chunk_dir
+from tachyline.plans.files import Files, chunk_dir, side_by_side
 from tachyline.plans.sizing import broadcast_if_small
-from tachyline.plans.store import FILE_OPTIONS, Coverage, Store, salt
+from tachyline.plans.store import FILE_OPTIONS, MOST_REBALANCED, Coverage, Store, salt, tasks_for
 from tachyline.schemas import small_table
 
 HOUR = dt.timedelta(hours=1)
@@ -111,7 +112,7 @@ def refresh_rollup_1m(
     fresh = _bounded(finished(merged_states(states)), "bucket", low, high)
     edges = [start for start in chunks if start < low or start + store.chunk > high]
     kept = _outside(store.read_chunks("rollup_1m", edges), "bucket", low, high).select(*fresh.columns)
-    _write_minutes(store, fresh.unionByName(kept))
+    _write_minutes(store, fresh.unionByName(kept), len(chunks))
     done = {start: (coverage[start].revision, min(start + store.chunk, high)) for start in chunks}
     _mark(store, "rollup_1m", marks | done, low)
     _drop_other_parts(store, {start: coverage[start].parts for start in unread})
@@ -132,7 +133,7 @@ def _add_states(
         old = store.read_parts("rollup_1m_states", "part", joined).select(*states.columns)
         states = merged_states(states.unionByName(old))
     rows = store.with_bucket_chunk(states).withColumn("part", F.lit(part))
-    store.write(rows, "rollup_1m_states", salt(4, "car_id", "sensor_id"))
+    store.write(rows, "rollup_1m_states", salt(4, "car_id", "sensor_id"), directories=len(unread))
     return {
         start: Coverage(
             coverage[start].revision + 1,
@@ -145,12 +146,15 @@ def _add_states(
 
 def _drop_other_parts(store: Store, parts: dict[dt.datetime, tuple[int, ...]]) -> None:
     files = Files(store.spark)
-    for start, kept in parts.items():
-        root = store.chunk_path("rollup_1m_states", start)
+
+    def drop(chunk: tuple[dt.datetime, tuple[int, ...]]) -> None:
+        root = store.chunk_path("rollup_1m_states", chunk[0])
         for name in files.children(root):
-            if name.startswith("part=") and int(name.split("=")[1]) not in kept:
+            if name.startswith("part=") and int(name.split("=")[1]) not in chunk[1]:
                 files.delete(f"{root}/{name}")
 
+    side_by_side(drop, parts.items())
+
 
 def _mark(
     store: Store, table: str, marks: dict[dt.datetime, tuple[int, dt.datetime]], low: dt.datetime
@@ -159,8 +163,8 @@ def _mark(
     store.set_marks(table, {start: mark for start, mark in marks.items() if start + store.chunk > low})
 
 
-def _write_minutes(store: Store, minutes: DataFrame) -> None:
-    store.replace(store.with_bucket_chunk(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"))
+def _write_minutes(store: Store, minutes: DataFrame, chunks: int) -> None:
+    store.replace(store.with_bucket_chunk(minutes), "rollup_1m", salt(4, "car_id", "sensor_id"), chunks)
 
 
 def refresh_rollup_1h(
@@ -198,7 +202,7 @@ def refresh_rollup_1h(
     )
     kept = existing.filter(~recomputed).select(*fresh.columns)
     rows = fresh.unionByName(kept).withColumn("bucket_date", F.to_date("bucket"))
-    store.replace(rows, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    store.replace(rows, "rollup_1h", salt(4, "car_id", "sensor_id"), len(dates))
     sources = {start: minutes[start] for start in chosen if start in minutes}
     _mark(store, "rollup_1h_source", progress | sources, low)
     done = {start: (minutes.get(start, (-1, low))[0], min(start + store.chunk, high)) for start in chosen}
@@ -217,9 +221,10 @@ def backfill(store: Store) -> None:
         start: Coverage(before.get(start, Coverage()).revision + 1, held) for start, held in batches.items()
     }
     marks = {start: (held.revision, start + store.chunk) for start, held in coverage.items()}
-    _write_minutes(store, rollup_1m(store.read("raw")))
+    _write_minutes(store, rollup_1m(store.read("raw")), len(batches))
     hourly = rollup_1h(store.read("rollup_1m")).withColumn("bucket_date", F.to_date("bucket"))
-    store.replace(hourly, "rollup_1h", salt(4, "car_id", "sensor_id"))
+    dates = len({start.date() for start in batches})
+    store.replace(hourly, "rollup_1h", salt(4, "car_id", "sensor_id"), dates)
     store.set_coverage(before | coverage)
     for table in ("rollup_1m", "rollup_1h_source", "rollup_1h"):
         store.set_marks(table, marks)
@@ -258,22 +263,28 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     )
     staged = f"{parking}/staged-{uuid.uuid4().hex[:12]}"
     order = ["event_date", "event_hour", "car_id", "sensor_id", F.desc("event_time")]
+    # Left to itself, adaptive execution goes by bytes: one task would write the files of very many small chunks.
+    partitions = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [max(tasks_for(len(closed)), partitions), *order] if len(closed) > MOST_REBALANCED else order
     (
         store.read_chunks("raw", closed)
         .drop("batch_id")
         .join(broadcast_if_small(names), ["event_date", "event_hour"])
-        .repartitionByRange(*order)
+        .repartitionByRange(*dealt)
         .sortWithinPartitions(*order)
         .write.options(**FILE_OPTIONS)
         .partitionBy("event_date", "event_hour", "batch_id")
         .parquet(staged)
     )
     manifest.write(store, staged)
-    for start in closed:
+
+    def swap(start: dt.datetime) -> None:
         live, old = chunk_dir(raw, start), chunk_dir(f"{parking}/old", start)
         files.rename(live, old)
         files.rename(chunk_dir(staged, start), live)
         files.delete(old)
+
+    side_by_side(swap, closed)
     files.delete(staged)
     coverage = store.coverage()
     renamed = {
@@ -286,6 +297,18 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     return closed
 
 
+def crowded(store: Store, chunks: Iterable[dt.datetime], in_flight: int) -> list[dt.datetime]:
+    """Chunks among ``chunks`` with enough directories for ``merge_open`` to merge some."""
+
+    def full(start: dt.datetime) -> bool:
+        batches = _batches(store, start)
+        single = sum(0 <= batch < in_flight for batch in batches)
+        return single > MOST_BATCHES or sum(batch < 0 for batch in batches) > MOST_MERGED
+
+    chunks = list(chunks)
+    return [start for start, held in zip(chunks, side_by_side(full, chunks)) if held]
+
+
 def merge_open(store: Store, start: dt.datetime, in_flight: int) -> list[int]:
     """Merge the small directories of a chunk that is still written to, so that a batch never lists many.
 
@@ -377,7 +400,7 @@ def archive_cold(
     if not cold:
         return []
     source = store.read_chunks("raw", cold)
-    store.write(source, "archive", salt(8, "car_id", "sensor_id", "event_time"))
+    store.write(source, "archive", salt(8, "car_id", "sensor_id", "event_time"), directories=len(cold))
     by_chunk = ["event_date", "event_hour", "batch_id"]
     copied = store.read_chunks("archive", cold).groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("copied"))
     counts = source.groupBy(*by_chunk).agg(F.count(F.lit(1)).alias("held"))

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, instant, micros
-from tachyline.plans.files import Files
+from tachyline.plans.files import Files, side_by_side
 from tachyline.plans.store import Store
 
 NAME = "_manifest.json"
@@ -40,8 +40,7 @@ def write(store: Store, folder: str) -> None:
         parent, name = row["path"].rsplit("/", 1)
         entry = {"file": name, "bytes": row["bytes"], "low": list(row["low"]), "high": list(row["high"]), "since": row["since"], "until": row["until"]}
         lines.setdefault(parent, []).append(json.dumps(entry))
-    for parent, entries in lines.items():
-        files.write_text(f"{parent}/{NAME}", "\n".join(sorted(entries)))
+    side_by_side(lambda item: files.write_text(f"{item[0]}/{NAME}", "\n".join(sorted(item[1]))), lines.items())
 
 
 def files_of(store: Store, car_id: str, sensor_id: str, start: dt.datetime, end: dt.datetime) -> tuple[list[str], int, bool]:

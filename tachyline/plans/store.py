@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tachyline.functions.time import instant
-from tachyline.plans.files import Files, chunk_dir
+from tachyline.plans.files import Files, chunk_dir, side_by_side
 from tachyline.schemas import INGEST_METRIC, SERIES, small_table
 
 RESOLUTIONS = {"ONE_MINUTE": "rollup_1m", "ONE_HOUR": "rollup_1h"}
@@ -42,6 +42,10 @@ _COVERAGE = "chunk string, revision bigint, batches string, parts string"
 # Delta-packed integers and timestamps: sorted times and counters shrink to almost
 # nothing, and both Spark's vectorised reader and writer handle them.
 FILE_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
+#: A write to more directories than this is cut along them; a task then writes about ``DIRECTORIES_A_TASK`` files.
+MOST_REBALANCED = 32
+DIRECTORIES_A_TASK = 8
+ROWS_A_TASK = 1_000_000
 READING_COLUMNS = ["car_id", "sensor_id", "event_time", "value", "sequence_no", "arrival"]
 
 
@@ -137,9 +141,15 @@ class Store:
 
     def read_chunks(self, table: str, chunks: Sequence[dt.datetime]) -> DataFrame:
         """Only the given chunks, without listing the rest of the table."""
-        files = Files(self.spark)
-        paths = [self.chunk_path(table, start) for start in chunks]
-        paths = [path for path in paths if files.exists(path)]
+        files, (date, hour) = Files(self.spark), _chunk_names(table)
+        wanted: dict[str, set[str]] = {}
+        for start in chunks:
+            wanted.setdefault(f"{self.path(table)}/{date}={start:%Y-%m-%d}", set()).add(f"{hour}={start.hour}")
+        paths = []
+        for day, names in wanted.items():
+            held = {name for name in files.children(day) if name.startswith(f"{hour}=")}
+            # A date that is wanted as a whole is one path, not one for each of its chunks.
+            paths += [day] if held and held <= names else [f"{day}/{name}" for name in sorted(held & names)]
         if not paths:
             return self.spark.createDataFrame([], self.schema(table))
         reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
@@ -226,7 +236,7 @@ class Store:
         ]
         self._note("coverage", rows, _COVERAGE)
 
-    def replace(self, rows: DataFrame, table: str, spread: Column | None = None) -> None:
+    def replace(self, rows: DataFrame, table: str, spread: Column | None = None, directories: int = 0) -> None:
         """``write``, but staged and swapped in directory by directory.
 
         A dynamic overwrite deletes before it renames. Here the old directory is parked until
@@ -235,13 +245,16 @@ class Store:
         """
         files, depth = Files(self.spark), len(_PARTITIONS[table].split(","))
         staged = f"{self.root}/swap/staged/{uuid.uuid4().hex[:12]}"
-        self.write(rows, table, spread, staged)
-        for leaf in files.leaves(staged, depth):
+        self.write(rows, table, spread, staged, directories)
+
+        def swap(leaf: str) -> None:
             live, old = f"{self.path(table)}/{leaf}", f"{self.root}/swap/{table}/{leaf}"
             if files.exists(live):
                 files.rename(live, old)
             files.rename(f"{staged}/{leaf}", live)
             files.delete(old)
+
+        side_by_side(swap, files.leaves(staged, depth))
         files.delete(staged)
 
     def recover(self, table: str) -> None:
@@ -250,12 +263,17 @@ class Store:
         for leaf in files.leaves(parked, len(_PARTITIONS[table].split(","))):
             files.finish_swap(f"{self.path(table)}/{leaf}", f"{parked}/{leaf}")
 
-    def write(self, rows: DataFrame, table: str, spread: Column | None = None, path: str | None = None) -> None:
+    def write(
+        self, rows: DataFrame, table: str, spread: Column | None = None, path: str | None = None,
+        directories: int = 0, n_rows: int = 0,
+    ) -> None:
         """Replace the partitions that ``rows`` holds; all others stay.
 
         ``spread`` splits each partition over that many values, so that a hot chunk
         is not written by one task. With adaptive execution the rebalance hint
-        also splits oversized and joins undersized output.
+        also splits oversized and joins undersized output. It goes by bytes: rows for many ``directories``
+        (about how many, if known) would all be written by one task, file after file, or
+        each directory by all tasks. Those are cut along the directories instead, into ``tasks_for`` ranges.
         """
         partitions = [part.strip().split(" ")[0] for part in _PARTITIONS[table].split(",")]
         by = list(partitions)
@@ -264,9 +282,11 @@ class Store:
         # Sorted files give selective row-group statistics, and the writer needs the
         # leading partition columns in order anyway.
         time = "bucket" if table.startswith("rollup") else "event_time"
+        dealt = rows.hint("rebalance", *by)
+        if directories > MOST_REBALANCED:
+            dealt = rows.repartitionByRange(tasks_for(directories, n_rows), *by)
         (
-            rows.hint("rebalance", *by)
-            .drop("_salt")
+            dealt.drop("_salt")
             .sortWithinPartitions(*partitions, *SERIES, time)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -276,6 +296,11 @@ class Store:
         )
 
 
+def tasks_for(directories: int, n_rows: int = 0) -> int:
+    """Tasks that write rows cut along their directories; a directory of many rows is cut in turn."""
+    return max(-(-directories // DIRECTORIES_A_TASK), -(-n_rows // ROWS_A_TASK))
+
+
 def _chunk_names(table: str) -> tuple[str, str]:
     return ("bucket_date", "bucket_hour") if table.startswith("rollup_1m") else ("event_date", "event_hour")
 
