@@ -181,6 +181,14 @@ def test_quality_equals_a_plain_computation(spark):
         assert row.kept == (not failed and not odd_chars and not odd_words)
 
 
+def test_long_words_and_all_languages_have_their_references(spark):
+    """The most common word may be long; of seventy languages each has a reference."""
+    rows = [(n, "extraordinarily " * 30 + "an other " * 15, f"l{n:02d}") for n in range(70)]
+    found = {r.ref: r for r in quality.references(quality.measured(documents(spark, rows), ["doc_id"])).collect()}
+    assert len(found) == 71
+    assert all(list(r.common) == ["extraordinarily", "an", "other"] and r.ref_words[0] == 0.5 for r in found.values())
+
+
 def test_quality_of_an_empty_table_and_its_plan(spark):
     assert quality.verdicts(documents(spark, [])).isEmpty()
     docs = documents(spark, [(1, "a b c", "en")])
