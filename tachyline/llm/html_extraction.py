@@ -3,7 +3,8 @@
 A page is a sequence of tokens, each with its role: the path of open containers (class and id
 included) and what stands there, a tag or a whole run of text. The occurrence vector of a role
 is how often it occurs on each page of the host. It isn't collected: its number of pages and two sums of
-count times a hash of the page stand for it, which add up in any order. Roles of a host with equal
+count times a hash of the page stand for it, which add up in any order. A role is known by a 64-bit hash there;
+every task hands on all it has seen. Roles of a host with equal
 vectors form an equivalence class. A class is valid if it covers SUPPORT of the host's pages and
 has a container in it; classes nest by their containers' paths, and the nested valid classes are the
 host's template. Its containers delimit the slots. The main slot is the article (``article``,
@@ -21,6 +22,7 @@ empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import re
 import zlib
@@ -39,6 +41,7 @@ LEAST_PAGES = 8
 PAGES_A_SALT = 1000
 #: Roles that a task adds up before it hands them on.
 MOST_ROLES = 100_000
+ROLES_AT_ONCE = 10_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -151,14 +154,19 @@ def roles(html: str) -> tuple[dict[str, int], dict[str, int]]:
     return counts, chars
 
 
+def role_hash(role: str) -> int:
+    return int.from_bytes(hashlib.blake2b(role.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#:@]*)", 1), F.lit("")))
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """(host, role, container, pages, low, high, chars): each task's share of the vectors.
+    """(host, role_hash, role, container, pages, low, high, chars): each task's share of the vectors.
 
-    Of a window of one host's pages, a task hands on the roles that are on half of them or more.
+    Of a window of one host's pages, a task names the roles that are on half of them or more; of the others it
+    hands on the numbers alone. A role on SUPPORT of all pages is on as many of some window's, and so is named there.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +174,18 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
         seen: dict[str, int] = defaultdict(int)
         size = 0
 
-        def handed_on() -> pa.RecordBatch:
+        def handed_on() -> Iterator[pa.RecordBatch]:
             rows = [
-                (host, role, *values)
+                (host, role_hash(role), role if 2 * values[1] >= seen[host] else None, *values)
                 for host, found in held.items()
                 for role, values in found.items()
-                if 2 * values[1] >= seen[host]
             ]
-            rows += [(host, "", True, count, 0, 0, 0) for host, count in seen.items()]
-            kinds = (pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4)
-            names = ("host", "role", "container", "pages", "low", "high", "chars")
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            rows += [(host, role_hash(""), "", True, count, 0, 0, 0) for host, count in seen.items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4)
+            names = ("host", "role_hash", "role", "container", "pages", "low", "high", "chars")
+            for at in range(0, len(rows), ROLES_AT_ONCE):
+                some = zip(*rows[at : at + ROLES_AT_ONCE])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(some, kinds)], names=names)
 
         for batch in batches:
             for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -195,25 +204,28 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
                     values[3] += count * (page >> 32 & 0x7FFFFFFF)
                     values[4] += chars.get(role, 0)
                 if size > MOST_ROLES:
-                    yield handed_on()
+                    yield from handed_on()
                     held, size = {}, 0
                     seen.clear()
         if seen:
-            yield handed_on()
+            yield from handed_on()
 
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
     return keyed.transform(
-        in_arrow, work, "host string, role string, container boolean, pages long, low long, high long, chars long"
+        in_arrow, work,
+        "host string, role_hash long, role string, container boolean, pages long, low long, high long, chars long",
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, n_pages, main, own_text): the main slot's path and the template's text runs."""
     sums = [F.sum(name).alias(name) for name in ("pages", "low", "high", "chars")]
-    vectors = occurrence_vectors(pages).groupBy("host", "role", "container").agg(*sums)
-    vectors = stored(vectors, "occurrence-vectors")
-    hosts = vectors.filter(F.col("role") == "").select("host", F.col("pages").alias("n_pages"))
-    covered = vectors.filter(F.col("role") != "").join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    parts = stored(occurrence_vectors(pages), "occurrence-vectors")
+    hosts = parts.filter(F.col("role") == "").groupBy("host").agg(F.sum("pages").alias("n_pages"))
+    vectors = parts.filter(F.coalesce(F.col("role") != "", F.lit(True))).groupBy("host", "role_hash", "container").agg(*sums)
+    covered = stored(vectors.join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("n_pages")), "covered")
+    names = parts.filter(F.col("role") != "").select("host", "role_hash", "role").distinct()
+    covered = covered.join(names, ["host", "role_hash"])
     role = F.struct("role", "container", "chars")
     classes = covered.groupBy("host", "n_pages", "pages", "low", "high").agg(
         F.collect_list(role).alias("roles"), F.max("container").alias("valid")

@@ -110,3 +110,18 @@ def test_registered_pages_keep_their_articles(spark):
             block = extraction.clean(part.split("</p>")[0].replace("<br>", " "))
             assert block in got[row.page_id].split("\n\n") or not block
         assert "track(" not in got[row.page_id] and "<" not in got[row.page_id][:1]
+
+
+def test_a_role_rare_among_one_tasks_pages_is_counted_whole(spark):
+    """On 15 of 15 pages of one task and on 1 of 4 of another: 16 of 19 make it the template's."""
+    random.seed(5)
+
+    def row(i, noted):
+        words = " ".join(f"w{random.randrange(300)}" for _ in range(60))
+        note = '<div id="extra"><p>Note of the house</p></div>' if noted else ""
+        return (i, "http://tasks.example/x", page(f'<div id="content"><p>{words}</p>{note}</div>')), words
+
+    first, second = [row(i, True) for i in range(15)], [row(15 + i, i == 0) for i in range(4)]
+    frames = [spark.createDataFrame([r for r, _ in part], PAGES).coalesce(1) for part in (first, second)]
+    got = extraction.main_text(frames[0].union(frames[1])).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: words for r, words in first + second}
