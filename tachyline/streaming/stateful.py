@@ -35,22 +35,46 @@ _LOG = (
     "average double, minimum double, maximum double, "
     "stream_partition string, readings bigint, late_readings bigint, worst_lateness_us bigint, stream_time bigint"
 )
-_WINDOW = [*SERIES, "start"]
-
-
-def _combined(parts: pd.DataFrame) -> pd.DataFrame:
-    """One row per series and window; a NaN makes sum and maximum NaN, as it orders above all numbers."""
-    groups = parts.groupby(_WINDOW, sort=False)
-    number = groups.ngroup().to_numpy()
-    out = parts.loc[~parts.duplicated(_WINDOW), _WINDOW].reset_index(drop=True)
-    count, total = np.zeros(len(out), np.int64), np.zeros(len(out))
-    low, high = np.full(len(out), np.nan), np.full(len(out), -np.inf)
-    np.add.at(count, number, parts["count"].to_numpy())
-    np.add.at(total, number, parts["total"].to_numpy())
+_STATE = [*SERIES, "start", "count", "total", "minimum", "maximum"]
+#: Closed windows that leave Python at once.
+WINDOWS_AT_ONCE = 20_000
+
+
+class _Series:
+    """Numbers for the series of a source partition: a reading then costs a few fixed-width numbers, not its strings."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+
+    def of(self, rows: pd.DataFrame) -> np.ndarray:
+        local = rows.groupby(SERIES, sort=False, dropna=False).ngroup().to_numpy()
+        firsts = rows.loc[~rows.duplicated(SERIES), SERIES].itertuples(index=False, name=None)
+        numbers = [self.numbers.setdefault(pair, len(self.numbers)) for pair in firsts]
+        return np.array(numbers, np.int32)[local]
+
+    def names(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        columns = zip(*self.numbers) if self.numbers else ([],) * len(SERIES)
+        return {name: np.array(column, object)[numbers] for name, column in zip(SERIES, columns)}
+
+    def ranks(self) -> np.ndarray:
+        order = sorted(self.numbers, key=lambda pair: [(name is not None, name or "") for name in pair])
+        ranks = np.empty(len(order), np.int64)
+        ranks[[self.numbers[pair] for pair in order]] = np.arange(len(order))
+        return ranks
+
+
+def _combined(parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One entry per series and window; a NaN makes sum and maximum NaN, as it orders above all numbers."""
+    order = np.lexsort((parts["series"], parts["start"]))  # stable: sums add up in the order of the topic
+    series, start = parts["series"][order], parts["start"][order]
+    first = np.ones(len(order), bool)
+    first[1:] = (series[1:] != series[:-1]) | (start[1:] != start[:-1])
+    at = np.flatnonzero(first)
+    out = {"series": series[at], "start": start[at]}
     with np.errstate(invalid="ignore"):
-        np.fmin.at(low, number, parts["minimum"].to_numpy())
-        np.maximum.at(high, number, parts["maximum"].to_numpy())
-    return out.assign(count=count, total=total, minimum=low, maximum=high)
+        for name, add in (("count", np.add), ("total", np.add), ("minimum", np.fmin), ("maximum", np.maximum)):
+            out[name] = add.reduceat(parts[name][order], at) if len(at) else parts[name]
+    return out
 
 
 class ExactWindows(StatefulProcessor):
@@ -63,41 +87,58 @@ class ExactWindows(StatefulProcessor):
         self.state = handle.getValueState("open", "stream_time bigint, windows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        names, columns = _Series(), {"arrival": [], "time": [], "value": [], "series": []}
+        for some in rows:
+            for column in ("arrival", "time", "value"):
+                columns[column].append(some[column].to_numpy())
+            columns["series"].append(names.of(some))
+        order = np.argsort(np.concatenate(columns.pop("arrival")), kind="stable")
+        times, values, series = (np.concatenate(columns.pop(column))[order] for column in ("time", "value", "series"))
+        del order
         stream_time, open_ = None, None
         if self.state.exists():
             stream_time, windows = self.state.get()
             open_ = pa.ipc.open_stream(windows).read_pandas()
-        times = data["time"].to_numpy()
         seen = np.maximum.accumulate(times if stream_time is None else np.maximum(times, stream_time))
         start = times - times % self.window
         late = start + self.window <= seen - self.grace
-        fresh = data.loc[~late, SERIES].assign(
-            start=start[~late], count=1, total=data["value"].to_numpy()[~late],
-            minimum=data["value"].to_numpy()[~late], maximum=data["value"].to_numpy()[~late],
-        )
-        parts = _combined(fresh if open_ is None else pd.concat([open_, fresh]))
-        closed = parts["start"] + self.window + self.grace <= seen[-1]
-        left = pa.Table.from_pandas(parts[~closed], preserve_index=False)
+        n_times, n_late, worst, now = len(times), int(late.sum()), int((seen - times).max()), int(seen[-1])
+        del times, seen
+        start, values, series = start[~late], values[~late].astype(np.float64), series[~late]
+        del late
+        parts = {
+            "series": series, "start": start, "count": np.ones(len(start), np.int64),
+            "total": values, "minimum": values, "maximum": values,
+        }
+        if open_ is not None and len(open_):
+            held = {name: open_[name].to_numpy() for name in _STATE[len(SERIES) :]} | {"series": names.of(open_)}
+            parts = {name: np.concatenate([held[name], parts[name]]) for name in parts}
+        parts = _combined(parts)
+        closed = parts["start"] + self.window + self.grace <= now
+        left = {name: column[~closed] for name, column in parts.items()}
+        left = pa.Table.from_pandas(pd.DataFrame(names.names(left.pop("series")) | left)[_STATE], preserve_index=False)
         buffer = pa.BufferOutputStream()
         with pa.ipc.new_stream(buffer, left.schema) as writer:
             writer.write_table(left)
-        self.state.update((int(seen[-1]), buffer.getvalue().to_pybytes()))
-        done = parts[closed].sort_values(["start", *SERIES])
-        yield pd.DataFrame(
-            {
-                "kind": "rollup", "car_id": done["car_id"], "sensor_id": done["sensor_id"],
-                "window_start": done["start"], "window_end": done["start"] + self.window, "count": done["count"],
-                "average": done["total"] / done["count"], "minimum": done["minimum"], "maximum": done["maximum"],
-                "stream_partition": key[0], "readings": 0, "late_readings": 0, "worst_lateness_us": 0, "stream_time": 0,
-            }
-        )
+        self.state.update((now, buffer.getvalue().to_pybytes()))
+        done = {name: column[closed] for name, column in parts.items()}
+        del parts
+        order = np.lexsort((names.ranks()[done["series"]], done["start"]))
+        for at in range(0, len(order), WINDOWS_AT_ONCE):
+            some = {name: column[order[at : at + WINDOWS_AT_ONCE]] for name, column in done.items()}
+            yield pd.DataFrame(
+                {
+                    "kind": "rollup", **names.names(some["series"]),
+                    "window_start": some["start"], "window_end": some["start"] + self.window, "count": some["count"],
+                    "average": some["total"] / some["count"], "minimum": some["minimum"], "maximum": some["maximum"],
+                    "stream_partition": key[0], "readings": 0, "late_readings": 0, "worst_lateness_us": 0, "stream_time": 0,
+                }
+            )
         yield pd.DataFrame(
             {
                 "kind": ["late"], "car_id": [None], "sensor_id": [None], "window_start": [0], "window_end": [0],
                 "count": [0], "average": [0.0], "minimum": [0.0], "maximum": [0.0], "stream_partition": [key[0]],
-                "readings": [len(times)], "late_readings": [int(late.sum())],
-                "worst_lateness_us": [int((seen - times).max())], "stream_time": [int(seen[-1])],
+                "readings": [n_times], "late_readings": [n_late], "worst_lateness_us": [worst], "stream_time": [now],
             }
         )
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,38 @@ def test_open_windows_and_counts_survive_a_restart(spark, place):
     assert feed.published() == [(2, 150.0, 100.0, 200.0)]
 
 
+class Kept:
+    """The state of one key, without Spark."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_closed_windows_leave_python_in_pieces(monkeypatch):
+    """However many windows a micro-batch closes, a piece of them stands in Python as strings at a time."""
+    monkeypatch.setattr(stateful, "WINDOWS_AT_ONCE", 100)
+    windows = stateful.ExactWindows(1_000_000, 2_000_000)
+    windows.state, found = Kept(), []
+    for part in range(2):
+        numbers = range(part * 600, part * 600 + 600)
+        rows = [(f"S{n % 3}", n * 500_000, float(n), n) for n in numbers]
+        frames = [pd.DataFrame(rows[at : at + 250], columns=["sensor_id", "time", "value", "arrival"]).assign(car_id="C") for at in (250, 0, 500)]
+        pieces = [piece for piece in windows.handleInputRows(("C",), iter(frames), None) if piece["kind"].iloc[0] == "rollup"]
+        assert len(pieces) > 1 and max(map(len, pieces)) <= 100
+        found += [row for piece in pieces for row in zip(piece["sensor_id"], piece["window_start"], piece["count"], piece["average"])]
+    wanted = [(f"S{n % 3}", n // 2 * 1_000_000, 1, float(n)) for n in range(1200)]
+    assert sorted(found) == sorted(row for row in wanted if row[1] + 3_000_000 <= 1199 * 500_000)
+
+
 def raised(spark, rows):
     """Alerts of (car, second, threshold); a window of one second each."""
     data = [(car, "speed", W + SECOND * (at - 1), W + SECOND * at, 400.0, float(limit), W + SECOND * came) for car, at, limit, came in rows]
