@@ -40,6 +40,8 @@ MOST_GRAMS = 400_000
 MOST_CELLS = 24_000
 UNIT = 1024
 BYTES_AT_ONCE = 1 << 18
+#: Contexts whose code lengths are worked out at once.
+NODES_AT_ONCE = 512
 UNDETERMINED = "und"
 
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -131,17 +133,22 @@ class ContextTrees:
                 self.child[parent[low:high], key[low:high] >> 8 * (k - 1)] = np.arange(low, high)
         chance = np.empty((nodes, 256, width))
         for k in range(depth + 1):
-            level = slice(starts[k], starts[k + 1])
-            seen, above = counts[level], chance[parent[level]] if k else np.full((1, 256, width), 1 / 256)
-            n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            rest = np.where(seen > 0, 0, above)
-            left = rest.sum(1, keepdims=True)
-            escape = np.where(left > 0, q, 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                chance[level] = np.where(
-                    n == 0, above, np.where(seen > 0, seen / (n + escape), escape / (n + escape) * rest / left)
-                )
-        self.code = np.round(-np.log2(chance) * UNIT).astype(np.int32).reshape(nodes * 256, width)
+            for low in range(starts[k], starts[k + 1], NODES_AT_ONCE):
+                level = slice(low, min(low + NODES_AT_ONCE, starts[k + 1]))
+                seen, above = counts[level], chance[parent[level]] if k else np.full((1, 256, width), 1 / 256)
+                n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+                rest = np.where(seen > 0, 0, above)
+                left = rest.sum(1, keepdims=True)
+                escape = np.where(left > 0, q, 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    chance[level] = np.where(
+                        n == 0, above, np.where(seen > 0, seen / (n + escape), escape / (n + escape) * rest / left)
+                    )
+        del counts
+        np.log2(chance, out=chance)
+        chance *= -UNIT
+        np.round(chance, out=chance)
+        self.code = chance.astype(np.int32).reshape(nodes * 256, width)
         self.child = self.child.reshape(-1)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
