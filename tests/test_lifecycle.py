@@ -368,3 +368,15 @@ def test_a_crash_during_a_merge_is_repaired(spark, store, swapped):
     assert values(store.read("raw"), "value") == [0.0, 1.0, 2.0]
     assert files.children(folder) == (["batch_id=-5", "batch_id=2"] if swapped else ["batch_id=0", "batch_id=1", "batch_id=2"])
     assert files.children(f"{store.root}/merges") == []
+
+
+def test_rows_of_many_chunks_are_written_by_several_tasks(spark, place):
+    """One file per small chunk, not all of them by one task; whole dates and single chunks read the same rows."""
+    store = Store(spark, place).create()
+    assert ingest.ingest_batch(readings(spark, [("CAR-01", "speed", 3600 * n, n) for n in range(80)]), 0, store) == (80, 80)
+    names = [name.rsplit("/", 1)[1] for name in store.read("raw").inputFiles()]
+    assert len(names) == 80 and len({name.split("-")[1] for name in names}) > 1
+    chunks = store.chunks()
+    for some in (chunks, chunks[:30], chunks[5:6], chunks[::2]):
+        found = store.read_chunks("raw", some).select("event_time").collect()
+        assert sorted(row[0].replace(minute=0, second=0) for row in found) == sorted(some)
