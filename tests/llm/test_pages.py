@@ -113,7 +113,7 @@ def test_registered_pages_keep_their_articles(spark):
 
 
 def test_a_role_rare_among_one_tasks_pages_is_counted_whole(spark):
-    """On 15 of 15 pages of one task and on 1 of 4 of another: 16 of 19 make it the template's."""
+    """On all 15 pages of three tasks and on 2 of 5 of another: 17 of 20 make it the template's."""
     random.seed(5)
 
     def row(i, noted):
@@ -121,7 +121,7 @@ def test_a_role_rare_among_one_tasks_pages_is_counted_whole(spark):
         note = '<div id="extra"><p>Note of the house</p></div>' if noted else ""
         return (i, "http://tasks.example/x", page(f'<div id="content"><p>{words}</p>{note}</div>')), words
 
-    first, second = [row(i, True) for i in range(15)], [row(15 + i, i == 0) for i in range(4)]
-    frames = [spark.createDataFrame([r for r, _ in part], PAGES).coalesce(1) for part in (first, second)]
-    got = extraction.main_text(frames[0].union(frames[1])).collect()
-    assert {r.page_id: r.text for r in got} == {r[0]: words for r, words in first + second}
+    rows = [row(i, i < 17) for i in range(20)]
+    pages = spark.createDataFrame(spark.sparkContext.parallelize([r for r, _ in rows], 4), PAGES)
+    got = extraction.main_text(pages).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: words for r, words in rows}
