@@ -151,12 +151,22 @@ def partition_of(key: str = "key", partitions: int = PARTITIONS[EVENTS]):
     return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
 
 
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows cut along ranges of ``by`` over as many tasks as they can keep busy.
+
+    A table of few files or row groups is read by as few tasks, and those would encode the rows, write as
+    few files to a directory topic, and so leave each of its readers as few tasks in turn.
+    """
+    return rows.repartitionByRange(by)
+
+
 def write_events(events: DataFrame, topic: Topic, wire_format: str = "protobuf") -> None:
     """Publish readings keyed by car.
 
     On Kafka the broker assigns partition and offset. A directory topic records the
     partition, and the reading's arrival number as its offset.
     """
+    events = dealt(events, "arrival")
     if topic.servers is not None:
         topic.append(wire.encode(events, wire_format))
         return

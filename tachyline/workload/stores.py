@@ -206,7 +206,7 @@ def thirds(rows: DataFrame, column: str) -> list[DataFrame]:
 def as_records(rows: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rollups or alerts as records of a directory topic; ``arrived_at`` is when they were appended."""
     names = [field.name for field in rows.schema if field.dataType.typeName() == "timestamp_ntz"]
-    zoned = rows.withColumns({name: F.col(name).cast("timestamp") for name in names})
+    zoned = topics.dealt(rows, "window_start").withColumns({name: F.col(name).cast("timestamp") for name in names})
     records = encode(zoned.withColumnRenamed("arrived_at", "timestamp"), keep=("timestamp",))
     return records.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(None).cast("bigint"))
 

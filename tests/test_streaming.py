@@ -2,12 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import W, readings, speed, tick, values
-from tachyline.operators import dedupe
+from tachyline.operators import dedupe, rollups
 from tachyline.plans.files import Files
 from tachyline.plans.store import Store
 from tachyline.schemas import alert_rules
 from tachyline.sources import topics, wire
 from tachyline.streaming import ingest, live
+from tachyline.workload.stores import as_records
 
 ONCE = {"availableNow": True}
 
@@ -232,3 +233,23 @@ def test_statistics_follow_a_lost_checkpoint(spark, place):
     feed.roll()
     assert (50.0, 5) in stats(f"{place}/s2")
     assert len(Files(spark).children(path)) <= 2
+
+
+def test_records_of_few_tasks_are_dealt_over_more(spark, place):
+    """Readings and rollups that one task reads: several write the topic, so several can read it; none is lost."""
+    rows = spark.range(0, 150_000, 1, 1).select(
+        F.lit("CAR-01").alias("car_id"), F.concat(F.lit("sensor-"), F.col("id") % 40).alias("sensor_id"),
+        F.timestamp_millis(F.col("id") * 30).alias("event_time"), F.rand(3).alias("value"),
+        F.col("id").alias("sequence_no"), F.col("id").alias("arrival"),
+    )
+    events = topics.Topic(topics.EVENTS, root=place)
+    topics.write_events(rows, events)
+    got = events.table(spark)
+    assert got.select(F.input_file_name()).distinct().count() > 1
+    decoded = wire.good_readings(wire.decode(got)).select("sequence_no", "event_time", "value")
+    assert decoded.exceptAll(rows.select("sequence_no", "event_time", "value")).count() == 0 and got.count() == 150_000
+    seconds = rollups.rollup(rows, "1 second").coalesce(1)
+    found = topics.Topic(topics.ROLLUPS, root=place)
+    found.append(as_records(seconds.withColumn("arrived_at", F.col("window_end")), wire.rollups_to_json))
+    assert found.table(spark).select(F.input_file_name()).distinct().count() > 1
+    assert wire.json_to_rollups(found.table(spark)).count() == seconds.count()
