@@ -189,6 +189,19 @@ def test_long_words_and_all_languages_have_their_references(spark):
     assert all(list(r.common) == ["extraordinarily", "an", "other"] and r.ref_words[0] == 0.5 for r in found.values())
 
 
+def test_no_words_are_kept_once_the_common_ones_are_known(spark):
+    """Counts of common words beside the words themselves; a language without a reference takes that of all."""
+    rows = [(1, "one two two " * 20, "a"), (2, "three one " * 30, "b"), (3, "one two three", "c"), (4, None, None)]
+    docs = documents(spark, rows)
+    whole = quality.measured(docs, ["doc_id"])
+    common = quality.common_words(whole)
+    small = quality.measured(docs, ["doc_id"], common)
+    assert set(whole.columns) - set(small.columns) == {"words"} and set(small.columns) - set(whole.columns) == {"held"}
+    got = {r.row.doc_id: r.held for r in small.collect()}
+    assert got == {1: [40, 20, 0], 2: [30, 30, 0], 3: [1, 1, 1, 0], 4: [0, 0, 0, 0]}
+    assert {r.row.doc_id: r.classes for r in small.collect()} == {r.row.doc_id: r.classes for r in whole.collect()}
+
+
 def test_quality_of_an_empty_table_and_its_plan(spark):
     assert quality.verdicts(documents(spark, [])).isEmpty()
     docs = documents(spark, [(1, "a b c", "en")])
