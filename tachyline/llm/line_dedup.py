@@ -175,17 +175,19 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(place, key, first, second): block number, its 16 bits and the length in one number, for each block."""
-    lines = classes.filter(F.col("n") >= MIN_FUZZY)
+    """(place, key, first, second): block number, its 16 bits and the length in one number, for each block of a class."""
+    # Fixed-width values alone: one row a class, which several tasks may have seen, by hashing.
+    lanes = [F.first(F.col("simhash")[lane]).alias(f"lane{lane}") for lane in range(LANES)]
+    lines = classes.filter(F.col("n") >= MIN_FUZZY).groupBy("key").agg(F.first("n").alias("n"), *lanes)
     length = F.least(F.col("n"), F.lit(LONGEST))
 
     def block(number: int):
-        bits = F.shiftrightunsigned(F.col("simhash")[number // 4], 16 * (number % 4)).bitwiseAND(F.lit(0xFFFF))
+        bits = F.shiftrightunsigned(f"lane{number // 4}", 16 * (number % 4)).bitwiseAND(F.lit(0xFFFF))
         return F.shiftleft(bits + (number << 16), 20) + length
 
     return lines.select(
         F.explode(F.array(*[block(number) for number in range(BLOCKS)])).alias("place"),
-        "key", F.col("simhash")[LANES - 2].alias("first"), F.col("simhash")[LANES - 1].alias("second"),
+        "key", F.col(f"lane{LANES - 2}").alias("first"), F.col(f"lane{LANES - 1}").alias("second"),
     )
 
 
@@ -257,9 +259,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         label = None
         for part, continued, goes_on in whole_runs(batches, 1):
             bucket, n, key, first, second = (part.column(c).combine_chunks().to_numpy() for c in range(5))
-            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])])
-            bucket, n, key = bucket[new], n[new], key[new]
-            first, second = first[new].view(np.uint64), second[new].view(np.uint64)
+            first, second = first.view(np.uint64), second.view(np.uint64)
             labels, members = [], []
             parted = np.zeros(len(bucket), bool)
             for partial, run in ((continued, bucket[0]), (goes_on, bucket[-1])):
@@ -286,7 +286,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     bucket = F.shiftright("place", 20)
     return (
         rows.repartition(count, bucket)
-        .sortWithinPartitions("place", "key")
+        .sortWithinPartitions("place")  # by one number: a radix sort
         .select(bucket.alias("bucket"), F.col("place").bitwiseAND(F.lit(LONGEST)).alias("n"), "key", "first", "second")
         .transform(in_arrow, work, "label long, key long")
         .distinct()

@@ -378,6 +378,13 @@ def test_recall_at_the_declared_reach(spark, length):
     assert len(linked) >= 100 and recall >= line_dedup.RECALL and not got & beyond
 
 
+def test_a_class_has_one_row_a_block_however_many_tasks_have_seen_it(spark):
+    classes = line_dedup.occurrences(documents(spark, [(i, "one two three four five") for i in range(8)]).repartition(4))
+    classes = classes.filter("n IS NOT NULL").unionByName(classes.filter("n IS NOT NULL"))
+    assert classes.count() > 1
+    assert line_dedup.postings(classes).count() == line_dedup.BLOCKS
+
+
 def test_wide_buckets_and_windows_give_the_same(spark, monkeypatch):
     """Buckets searched line by line, against the comparison of all pairs that meet."""
     monkeypatch.setattr(line_dedup, "WIDE", 2)
