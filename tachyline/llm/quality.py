@@ -33,6 +33,8 @@ WORD_NOISE = 1.3
 COMMON_WORDS = 24
 #: Bytes of a common word: no word is too long to be one.
 LONGEST_COMMON = 2**31 - 1
+#: Code points of a common word by which words are looked for first.
+START = 16
 ALL = "*"
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,6 +45,8 @@ MOSTLY = r"[a-z\x20\x09-\x0D]+"
 CLASSES = (
     r"[A-Z]+", r"[0-9]+", r"[.,;:!?'\"()-]+", r"[#$%&*+/<=>@\[\\\]^_`{|}~]+", r"[^\x00-\x7F]+",
 )
+#: What is left of a text without MOSTLY, then without each class in turn; the symbols are the fourth.
+LEFT = tuple(f"left{i}" for i in range(len(CLASSES) + 1))
 
 
 def let(value: Column, then) -> Column:
@@ -50,8 +54,8 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _removed(pattern: str, column: str = "rest") -> Column:
-    return (F.length(column) - F.length(F.regexp_replace(column, pattern, ""))).cast("long")
+def _shorter(before: str, after: str | Column) -> Column:
+    return (F.length(before) - F.length(after)).cast("long")
 
 
 def words_of_text() -> Column:
@@ -91,7 +95,9 @@ def measured(docs: DataFrame, keep: list[str], common: DataFrame | None = None)
         F.struct(*keep).alias("row"), F.col("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     if common is not None:
-        rows = own_or_all(rows, common.select("ref", F.col("top.word").alias("common")), ["common"])
+        starts = F.array_join(F.transform("top.word", lambda w: F.left(w, F.lit(START))), " ")
+        found = common.select("ref", F.col("top.word").alias("common"), starts.alias("starts"))
+        rows = own_or_all(rows, found, ["common", "starts"])
     kept = "words" if common is None else "held"
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -104,13 +110,15 @@ def measured(docs: DataFrame, keep: list[str], common: DataFrame | None = None)
         )
 
     rows = rows.withColumn("counts", let(words_of_text(), of_words))
-    # Every class is counted in what is left without the two that make up most of a text.
-    rows = rows.withColumn("rest", F.regexp_replace("text", MOSTLY, ""))
+    # Every class is counted in what is left without the two that make up most of a text, and without those before it.
+    rows = rows.withColumn(LEFT[0], F.regexp_replace("text", MOSTLY, ""))
+    for before, after, pattern in zip(LEFT, LEFT[1:], CLASSES):
+        rows = rows.withColumn(after, F.regexp_replace(before, pattern, ""))
     return rows.select(
         "row", "lang",
         F.col("counts.n").alias("n_words"),
         F.col("counts.chars").alias("word_chars"),
-        _removed(r"[#*$%&|<>]+").alias("n_symbols"),
+        _shorter(LEFT[3], F.regexp_replace(LEFT[3], r"[#*$%&|<>]+", "")).alias("n_symbols"),
         let(lines, lambda held: F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
         F.col("counts.repeated").alias("n_repeat_words"),
         F.col("counts")[kept].alias(kept),
@@ -121,11 +129,15 @@ def measured(docs: DataFrame, keep: list[str], common: DataFrame | None = None)
 def held_words(words: Column) -> Column:
     """How many of the document's words are each of the common ones, and how many others there are."""
 
-    def counted(hits: Column) -> Column:
-        each = F.transform("common", lambda w: F.size(hits) - F.size(F.array_remove(hits, w)))
-        return F.concat(each, F.array(F.size(words) - F.size(hits)))
+    def counted(some: Column) -> Column:
+        return F.transform("common", lambda w: F.size(some) - F.size(F.array_remove(some, w)))
 
-    return let(F.filter(words, lambda w: F.array_contains("common", w)), counted).cast("array<long>")
+    def with_others(each: Column) -> Column:
+        return F.concat(each, F.array(F.size(words) - F.aggregate(each, F.lit(0), lambda a, c: a + c)))
+
+    # One search in a short text leaves out most words that are none of the common ones; the counts are of whole words.
+    some = F.filter(words, lambda w: F.contains(F.col("starts"), F.left(w, F.lit(START))))
+    return let(let(some, counted), with_others).cast("array<long>")
 
 
 def _repeated_words(words: Column) -> Column:
@@ -157,8 +169,8 @@ def base_failed() -> Column:
 
 
 def class_counts(word_chars: Column) -> list[Column]:
-    """Code points of ``text`` that are white space, in each class, and all others; ``rest`` is what MOSTLY leaves of it."""
-    named = [F.length("text").cast("long") - word_chars, *map(_removed, CLASSES)]
+    """Code points of ``text`` that are white space, in each class, and all others."""
+    named = [F.length("text").cast("long") - word_chars, *map(_shorter, LEFT, LEFT[1:])]
     return [*named, F.length("text").cast("long") - sum(named[1:], named[0])]
 
 

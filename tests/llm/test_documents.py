@@ -202,6 +202,29 @@ def test_no_words_are_kept_once_the_common_ones_are_known(spark):
     assert {r.row.doc_id: r.classes for r in small.collect()} == {r.row.doc_id: r.classes for r in whole.collect()}
 
 
+def test_words_that_begin_like_common_ones_are_others(spark):
+    """Words are looked for by their first characters before they are compared as a whole."""
+    long = "x" * quality.START
+    rows = [(1, f"{long}a and {long}b " * 20 + f"an {long} {long}ab A And é", "a"), (2, f"{long}c {long}a", "b")]
+    docs = documents(spark, rows)
+    common = spark.createDataFrame(
+        [("a", [(1, f"{long}a", 9), (2, "and", 9)]), (quality.ALL, [(1, f"{long}a", 9)])],
+        "ref string, top array<struct<rank int, word string, count long>>",
+    )
+    got = {r.row.doc_id: r.held for r in quality.measured(docs, ["doc_id"], common).collect()}
+    assert got == {1: [20, 20, 26], 2: [1, 1]}
+    plan = quality.measured(docs, ["doc_id"], common)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
+
+
+def test_each_class_is_searched_in_what_the_others_have_left(spark):
+    text = "Ab1 2c, D! #$* <é>\u4e00 \x01_z\t9"
+    row = quality.measured(documents(spark, [(1, text, "a")]), ["doc_id"])
+    assert row.first().classes == plain_histograms(text)[0] and row.first().n_symbols == plain_counts(text)[2]
+    plan = row._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"regexp_replace(left{i}#") >= 1 for i in range(len(quality.CLASSES)))
+
+
 def test_quality_of_an_empty_table_and_its_plan(spark):
     assert quality.verdicts(documents(spark, [])).isEmpty()
     docs = documents(spark, [(1, "a b c", "en")])
