@@ -11,7 +11,7 @@ words, the second of equal words being another one. The bits are cut into BLOCKS
 if CHECKED of their bits differ in MOST_BITS places at most. So identical words always link, and
 of linked lines the share that meets falls with their similarity: REACH is where it is RECALL or more whatever the
 length (tests measure it against all pairs). Below, pairs that meet link all the same, down to SIMILARITY; at 0.9
-three in four do. A word-level similarity of 0.8 in whole is out of reach for SimHash blocks.
+about nine in ten do. A word-level similarity of 0.8 in whole is out of reach for SimHash blocks.
 
 Linked classes form groups, and of all lines of a group the first stays: the one with the smallest
 (doc_id, line number), documents without an id last. The lines of copies go like any others.
@@ -49,7 +49,7 @@ SIMILARITY = 0.8
 MIN_FUZZY = 4
 REACH, RECALL = 0.95, 0.9
 #: Bits of a SimHash: words of 64, in blocks of 16; the last CHECKED bits go along with each block.
-LANES = 3
+LANES = 6
 BLOCKS = 4 * LANES
 CHECKED, MOST_BITS = 128, 30
 #: Longer lines count as so long where lengths are compared.

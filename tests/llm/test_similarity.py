@@ -475,3 +475,13 @@ def test_simhash_bits_are_majorities():
         plain = [sum((2 * count > len(run)) << bit for bit, count in enumerate(lane)) for lane in counts]
         assert bits.tolist() == plain
     assert line_dedup.simhashes(runs[0], first[:0], last[:0]).shape == (0, line_dedup.LANES)
+
+
+def test_most_lines_with_a_tenth_of_their_words_replaced_share_a_block():
+    random.seed(90)
+    lines = [[f"a{random.randrange(10**9)}" for _ in range(60)] for _ in range(400)]
+    copies = [[f"b{i}" if i % 10 == k % 10 else word for i, word in enumerate(line)] for k, line in enumerate(lines)]
+    words, _, _, first, last = line_dedup.line_words(["\n".join(map(" ".join, lines + copies)).encode()])
+    blocks = line_dedup.simhashes(words.hashes, first, last).view(np.uint16)
+    assert blocks.shape[1] == line_dedup.BLOCKS
+    assert (blocks[:400] == blocks[400:]).any(1).mean() > 0.85
