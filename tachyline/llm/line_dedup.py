@@ -22,7 +22,8 @@ Null texts stay null; texts without taking lines stay as they are. Rows with the
 text are one document: what is cut from one is cut from all. Rows that share a doc_id but
 not the text come in the order of a hash of the text. Other columns are ignored. An empty table
 gives no rows. Lines that meet in a bucket form clusters of chains, one row a line, which are then compared
-by edit distance, where lines that have joined a group are skipped.
+by edit distance, where lines that have joined a group are skipped. A line goes to its BLOCKS buckets without its
+key, many lines in a row: the CHECKED bits are all that is known of it there, and by them its key is found again.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ CHECKED, MOST_BITS = 128, 30
 LONGEST = (1 << 20) - 1
 #: Buckets in which a line meets more others than this are searched line by line.
 WIDE = 1024
+#: Classes whose postings are packed at once, and those of one block that go to a range of buckets.
+PACKED, IN_RANGE = 1 << 18, 1 << 16
 MOST_IN_TASK = 4096
 #: A class with one of so many lines or more is not dealt by its key.
 HOT_SHARE = 10_000
@@ -175,28 +178,73 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(place, key, first, second): block number, its 16 bits and the length in one number, for each block of a class."""
-    # Fixed-width values alone: one row a class, which several tasks may have seen, by hashing.
-    lanes = [F.first(F.col("simhash")[lane]).alias(f"lane{lane}") for lane in range(LANES)]
-    lines = classes.filter(F.col("n") >= MIN_FUZZY).groupBy("key").agg(F.first("n").alias("n"), *lanes)
-    length = F.least(F.col("n"), F.lit(LONGEST))
+    """(range, bits, low, high, first, second): postings of many classes in one row, for each block and range of buckets.
 
-    def block(number: int):
-        bits = F.shiftrightunsigned(f"lane{number // 4}", 16 * (number % 4)).bitwiseAND(F.lit(0xFFFF))
-        return F.shiftleft(bits + (number << 16), 20) + length
+    A range is the number of its first bucket: the block and the first of its bits. ``bits``, the length's ``low`` 8
+    bits and its ``high`` ones and the two words that are CHECKED hold a number a class, packed, by bucket and length.
+    """
 
-    return lines.select(
-        F.explode(F.array(*[block(number) for number in range(BLOCKS)])).alias("place"),
-        "key", F.col(f"lane{LANES - 2}").alias("first"), F.col(f"lane{LANES - 1}").alias("second"),
-    )
+    def packed(n: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for number in range(BLOCKS):
+            bits = (lanes[:, number // 4] >> np.uint64(16 * (number % 4))).astype(np.uint16)
+            order = np.argsort((bits.astype(np.uint64) << np.uint64(20)) + n)
+            bits, length = bits[order], n[order]
+            ranges = bits & np.uint16(0x10000 - wide)
+            starts = np.concatenate([[0], np.flatnonzero(ranges[1:] != ranges[:-1]) + 1])
+            ends = np.append(starts, len(bits)).astype(np.int32)
+            columns = [bits, length.astype(np.uint8), (length >> np.uint64(8)).astype(np.uint16), *lanes[order, -2:].T]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((number << 16) + ranges[starts].astype(np.int32))]
+                + [
+                    pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * c.itemsize), pa.py_buffer(c.tobytes())])
+                    for c in columns
+                ],
+                names=["range", "bits", "low", "high", "first", "second"],
+            )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(np.stack([column.to_numpy() for column in batch.columns], 1).view(np.uint64))
+            rows += batch.num_rows
+            if rows >= PACKED:
+                some, held, rows = np.concatenate(held), [], 0
+                yield from packed(some[:, 0], some[:, 1:])
+        if rows:
+            some = np.concatenate(held)
+            yield from packed(some[:, 0], some[:, 1:])
+
+    fuzzy = classes.filter(F.col("n") >= MIN_FUZZY)
+    # Buckets of a range: a power of two, so that a block's classes are cut into ranges of IN_RANGE or fewer.
+    wide = 1 << max(0, 16 - (fuzzy.count() // IN_RANGE).bit_length())
+    # Fixed-width values alone: one row a class, which several tasks may have seen, by hashing.
+    lanes = [F.first(F.col("simhash")[lane]).alias(f"lane{lane}") for lane in range(LANES)]
+    lines = fuzzy.groupBy("key").agg(F.first("n").alias("n"), *lanes).drop("key")
+    lines = lines.withColumn("n", F.least(F.col("n"), F.lit(LONGEST)))
+    schema = "range int, bits binary, low binary, high binary, first binary, second binary"
+    return lines.transform(in_arrow, work, schema)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(label, key): lines that a chain of meetings in one bucket ties to the label.
+    """(label, first, second): CHECKED bits of lines that a chain of meetings in one bucket ties together.
 
-    A bucket that comes in several parts is handed on whole, under one label.
+    The label is a hash of all that are tied, so that what several blocks tie is one.
+    The buckets of a range that comes in several parts are handed on whole, each under its number.
     """
 
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(range, place, first, second) of each posting; the place is its bucket and length in one number."""
+        for batch in batches:
+            counts = pc.binary_length(batch.column("low")).to_numpy()
+            bits, low, high, first, second = (
+                np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+                for name, kind in (("bits", "u2"), ("low", "u1"), ("high", "u2"), ("first", "i8"), ("second", "i8"))
+            )
+            ranges = np.repeat(batch.column("range").to_numpy(), counts).astype(np.int64)
+            place = ((ranges >> 16 << 16) + bits << 20) + (high.astype(np.int64) << 8) + low
+            columns = [pa.array(column) for column in (ranges, place, first, second)]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "place", "first", "second"])
+
     def near(x, others, first, second) -> np.ndarray:
         apart = np.bitwise_count(first[others] ^ first[x]) + np.bitwise_count(second[others] ^ second[x])
         return apart <= MOST_BITS
@@ -247,7 +295,11 @@ def candidates(rows: DataFrame) -> DataFrame:
         rows = np.flatnonzero(window > 0)
         step = 1
         while len(rows):
-            hit = rows[near(rows, rows + step, first, second)]
+            if 4 * len(rows) > count:  # most lines: without gathering them
+                close = near(slice(step, None), slice(None, -step), first, second)
+                hit = np.flatnonzero(close & (window[:-step] >= step))
+            else:
+                hit = rows[near(rows, rows + step, first, second)]
             if len(hit):
                 pairs.append((hit, hit + step))
             step += 1
@@ -256,48 +308,52 @@ def candidates(rows: DataFrame) -> DataFrame:
         return tuple(np.concatenate([none, *each]) for each in (zip(*pairs) if pairs else ((), ())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = None
-        for part, continued, goes_on in whole_runs(batches, 1):
-            bucket, n, key, first, second = (part.column(c).combine_chunks().to_numpy() for c in range(5))
-            first, second = first.view(np.uint64), second.view(np.uint64)
-            labels, members = [], []
-            parted = np.zeros(len(bucket), bool)
-            for partial, run in ((continued, bucket[0]), (goes_on, bucket[-1])):
-                own = (bucket == run) & ~parted
-                if partial and own.any():
-                    parted |= own
-                    label = label if continued and run == bucket[0] else key[own].min()
-                    labels.append(np.full(int(own.sum()), label))
-                    members.append(key[own])
+        release()
+        for part, continued, goes_on in whole_runs(opened(batches), 1):
+            ranges, place, first, second = (part.column(c).combine_chunks().to_numpy() for c in range(4))
+            parted = np.zeros(len(ranges), bool)
+            for partial, run in ((continued, ranges[0]), (goes_on, ranges[-1])):
+                if partial:
+                    parted |= ranges == run
+            found = [(place[parted] >> 20, first[parted], second[parted])]
             whole = np.flatnonzero(~parted)
+            whole = whole[np.argsort(place[whole])]
             if len(whole):
-                a, b = meetings(bucket[whole], n[whole], first[whole], second[whole])
+                place, first, second = place[whole], first[whole], second[whole]
+                a, b = meetings(place >> 20, place & LONGEST, first.view(np.uint64), second.view(np.uint64))
                 roots = roots_of(a, b, len(whole))
                 some = np.flatnonzero(np.bincount(roots, minlength=len(whole))[roots] > 1)
-                least = np.full(len(whole), np.iinfo(np.int64).max)
-                np.minimum.at(least, roots, key[whole])
-                labels.append(least[roots[some]])
-                members.append(key[whole][some])
-            columns = [np.concatenate([np.empty(0, np.int64), *each]) for each in (labels, members)]
+                label = np.zeros(len(whole), np.uint64)
+                np.add.at(label, roots[some], mixed(mixed(first[some].view(np.uint64)) ^ second[some].view(np.uint64)))
+                found.append((label[roots[some]].view(np.int64), first[some], second[some]))
+            columns = [np.concatenate(each) for each in zip(*found)]
             if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "first", "second"])
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.shiftright("place", 20)
     return (
-        rows.repartition(count, bucket)
-        .sortWithinPartitions("place")  # by one number: a radix sort
-        .select(bucket.alias("bucket"), F.col("place").bitwiseAND(F.lit(LONGEST)).alias("n"), "key", "first", "second")
-        .transform(in_arrow, work, "label long, key long")
+        rows.repartition(count, "range")
+        .sortWithinPartitions("range")
+        .transform(in_arrow, work, "label long, first long, second long")
         .distinct()
     )
 
 
-def blocked(clusters: DataFrame) -> DataFrame:
+def clusters(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(label, key): the classes of the CHECKED bits that are tied, under the smallest key of them."""
+    fuzzy = classes.filter(F.col("n") >= MIN_FUZZY).select("key", *[
+        F.col("simhash")[LANES - 2 + lane].alias(name) for lane, name in enumerate(("first", "second"))
+    ])
+    tied = stored(fuzzy.join(found, ["first", "second"]).select("label", "key"), "line-meetings")
+    least = tied.groupBy("label").agg(F.min("key").alias("least"))
+    return tied.join(least, "label").select(F.col("least").alias("label"), "key").distinct()
+
+
+def blocked(tied: DataFrame) -> DataFrame:
     """(label, i, j, key): clusters of more than MOST_IN_TASK classes are compared block by block."""
-    large = clusters.groupBy("label").count().filter(F.col("count") > MOST_IN_TASK)
+    large = tied.groupBy("label").count().filter(F.col("count") > MOST_IN_TASK)
     large = large.select("label", F.ceil(2 * F.col("count") / MOST_IN_TASK).cast("int").alias("_blocks"))
-    rows = clusters.join(large, "label", "left")
+    rows = tied.join(large, "label", "left")
     own = F.coalesce(F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"), F.lit(0))
     others = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
     rows = rows.withColumn("_own", own).withColumn("_other", F.explode(others))
@@ -423,7 +479,8 @@ def links(clustered: DataFrame, words: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, lines): the lines of each document that aren't the first of their group."""
     lines = stored(occurrences(docs, min_words), "lines")
-    found = candidates(postings(lines.filter(F.col("n").isNotNull())))
+    classes = lines.filter(F.col("n").isNotNull())
+    found = clusters(candidates(postings(classes)), classes)
     clustered = stored(blocked(stored(found, "line-candidates")), "line-clusters")
     words = wanted_lines(docs, KeyFilter(clustered, "key"), min_words)
     roots = stored(components(links(clustered, words)), "line-roots")

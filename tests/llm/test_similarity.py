@@ -477,6 +477,44 @@ def test_simhash_bits_are_majorities():
     assert line_dedup.simhashes(runs[0], first[:0], last[:0]).shape == (0, line_dedup.LANES)
 
 
+def test_postings_are_packed_and_tie_the_lines_that_meet(spark, monkeypatch):
+    """21 bytes a posting, many in a row; chains of all pairs of a bucket, counted plainly, also in ranges of few buckets."""
+    random.seed(33)
+    bases = [random.choices([f"v{i}" for i in range(300)], k=random.randint(4, 40)) for _ in range(300)]
+    lines = [" ".join(edited(base, k)) for base in bases for k in range(4)]
+    lines += [" ".join(random.sample(line.split(), len(line.split()))) for line in lines[:40]]  # the same bits
+    classes = line_dedup.occurrences(documents(spark, list(enumerate(lines)))).filter("n >= 4").dropDuplicates(["key"])
+    classes = line_dedup.stored(classes, "classes")
+    rows = [(r.key, r.n, [lane % (1 << 64) for lane in r.simhash]) for r in classes.collect()]
+    buckets: dict = {}
+    for at, (_, _, lanes) in enumerate(rows):
+        for number in range(line_dedup.BLOCKS):
+            buckets.setdefault((number, lanes[number // 4] >> 16 * (number % 4) & 0xFFFF), []).append(at)
+    chains = set()
+    for own in buckets.values():
+        above = {at: at for at in own}
+        for x in own:
+            for y in own:
+                bits = sum((rows[x][2][lane] ^ rows[y][2][lane]).bit_count() for lane in (-2, -1))
+                shorter, longer = sorted((rows[x][1], rows[y][1]))
+                if bits <= line_dedup.MOST_BITS and 5 * shorter >= 4 * longer and above[x] != above[y]:
+                    old, now = above[x], above[y]
+                    above = {at: now if root == old else root for at, root in above.items()}
+        chain: dict = {}
+        for at, root in above.items():
+            chain.setdefault(root, set()).add(rows[at][0])
+        chains |= {frozenset(keys) for keys in chain.values() if len(keys) > 1}
+    expected = {(min(keys), key) for keys in chains for key in keys}
+    for most in (line_dedup.IN_RANGE, 10):
+        monkeypatch.setattr(line_dedup, "IN_RANGE", most)
+        packed = line_dedup.stored(line_dedup.postings(classes), "postings")
+        sizes = [sum(len(r[name]) for name in ("bits", "low", "high", "first", "second")) for r in packed.collect()]
+        assert sum(sizes) == 21 * len(rows) * line_dedup.BLOCKS
+        assert len(sizes) < len(rows) * (1 if most > 10 else line_dedup.BLOCKS)
+        got = line_dedup.clusters(line_dedup.candidates(packed), classes).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
 def test_most_lines_with_a_tenth_of_their_words_replaced_share_a_block():
     random.seed(90)
     lines = [[f"a{random.randrange(10**9)}" for _ in range(60)] for _ in range(400)]
