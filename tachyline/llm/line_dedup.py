@@ -99,16 +99,20 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     if not len(first):
         return np.empty((0, LANES), np.uint64)
     seeds = mixed(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
-    # A line's words fill up with empty ones to a multiple of 8, so that three levels of the tree need no indices.
-    left = (length + 7) // 8
-    starts = 8 * (np.cumsum(left) - left)
-    filled = np.zeros(8 * int(left.sum()), np.uint64)
-    filled[np.arange(len(line)) + np.repeat(starts - (np.cumsum(length) - length), length)] = hashes[at] + rank * _AGAIN
-    features = filled * seeds[:, None]
-    features ^= features >> np.uint64(32)
-    planes = [features]
-    for _ in range(3):
-        planes = added([plane[:, 0::2] for plane in planes], [plane[:, 1::2] for plane in planes])
+    # A line's words fill up with empty ones to a multiple of 16, so that four levels of the tree need no indices.
+    left = (length + 15) // 16
+    places = np.arange(len(line)) + np.repeat(16 * (np.cumsum(left) - left) - (np.cumsum(length) - length), length)
+    filled = np.zeros((16, int(left.sum())), np.uint64)
+    filled[places & 15, places >> 4] = hashes[at] + rank * _AGAIN
+    counted = []
+    for seed in seeds:  # lane by lane, which stays in the processor's cache
+        features = filled * seed
+        features ^= features >> np.uint64(32)
+        sums = [features]
+        for rows in (8, 4, 2, 1):
+            sums = added([plane[:rows] for plane in sums], [plane[rows:] for plane in sums])
+        counted.append(sums)
+    planes = [np.concatenate(plane) for plane in zip(*counted)]
     while left.max() > 1:
         some = (left + 1) // 2
         begin = np.repeat(np.cumsum(left) - left, some) + 2 * (np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some))
@@ -141,7 +145,7 @@ def text_key(text):
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, line, key) of each line that takes part; ``n`` and ``simhash`` once a class and task."""
+    """(doc_id, text_key, line, key) of each line that takes part; ``n`` and the SimHash's lanes once a class and task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -160,18 +164,18 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 bits = np.zeros((len(keys), LANES), np.uint64)
                 hashed = fresh & (last - first >= MIN_FUZZY)
                 bits[hashed] = simhashes(words.hashes, first[hashed], last[hashed])
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).reshape(-1)), LANES).cast(pa.list_(pa.int64()))
                 place = pa.array(text + low)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(place), batch.column(1).take(place), pa.array(number.astype(np.int64)),
                         pa.array(keys), pa.array(last - first, mask=~fresh),
-                        pc.if_else(pa.array(fresh), lists, pa.scalar(None, lists.type)),
+                        *[pa.array(lane, mask=~fresh) for lane in bits.view(np.int64).T],
                     ],
-                    names=["doc_id", "text_key", "line", "key", "n", "simhash"],
+                    names=["doc_id", "text_key", "line", "key", "n", *lanes],
                 )
 
-    schema = "doc_id long, text_key long, line long, key long, n long, simhash array<long>"
+    lanes = [f"lane{lane}" for lane in range(LANES)]
+    schema = "doc_id long, text_key long, line long, key long, n long, " + ", ".join(f"{lane} long" for lane in lanes)
     return docs.select(
         F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")
     ).transform(in_arrow, work, schema)
@@ -218,7 +222,7 @@ def postings(classes: DataFrame) -> DataFrame:
     # Buckets of a range: a power of two, so that a block's classes are cut into ranges of IN_RANGE or fewer.
     wide = 1 << max(0, 16 - (fuzzy.count() // IN_RANGE).bit_length())
     # Fixed-width values alone: one row a class, which several tasks may have seen, by hashing.
-    lanes = [F.first(F.col("simhash")[lane]).alias(f"lane{lane}") for lane in range(LANES)]
+    lanes = [F.first(f"lane{lane}").alias(f"lane{lane}") for lane in range(LANES)]
     lines = fuzzy.groupBy("key").agg(F.first("n").alias("n"), *lanes).drop("key")
     lines = lines.withColumn("n", F.least(F.col("n"), F.lit(LONGEST)))
     schema = "range int, bits binary, low binary, high binary, first binary, second binary"
@@ -341,9 +345,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def clusters(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(label, key): the classes of the CHECKED bits that are tied, under the smallest key of them."""
-    fuzzy = classes.filter(F.col("n") >= MIN_FUZZY).select("key", *[
-        F.col("simhash")[LANES - 2 + lane].alias(name) for lane, name in enumerate(("first", "second"))
-    ])
+    checked = [F.col(f"lane{LANES - 2}").alias("first"), F.col(f"lane{LANES - 1}").alias("second")]
+    fuzzy = classes.filter(F.col("n") >= MIN_FUZZY).select("key", *checked)
     tied = stored(fuzzy.join(found, ["first", "second"]).select("label", "key"), "line-meetings")
     least = tied.groupBy("label").agg(F.min("key").alias("least"))
     return tied.join(least, "label").select(F.col("least").alias("label"), "key").distinct()
@@ -413,14 +416,26 @@ def edit_distance(a: list, b: list) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the edit similarity is reached; word by word differences bound the distance from above."""
-    longer = max(len(a), len(b))
+    """Whether the edit similarity is reached; word by word differences from both ends bound the distance from above."""
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
     allowed = int(longer - SIMILARITY * longer + 1e-9)
-    if abs(len(a) - len(b)) > allowed:
+    if longer - shorter > allowed:
         return False
-    if len(a) == len(b) and int((a != b).sum()) <= allowed:
+    left, right = np.zeros(shorter + 1, np.int64), np.zeros(shorter + 1, np.int64)
+    np.cumsum(a[:shorter] != b[:shorter], out=left[1:])
+    if longer - shorter + left[-1] <= allowed:
         return True
-    return edit_distance(a.tolist(), b.tolist()) <= allowed
+    np.cumsum(a[len(a) - shorter :][::-1] != b[len(b) - shorter :][::-1], out=right[1:])
+    # Up to a word from the left, the others from the right.
+    if longer - shorter + (left + right[::-1]).min() <= allowed:
+        return True
+    first, last = np.searchsorted(left, 0, "right") - 1, np.searchsorted(right, 0, "right") - 1
+    last = min(last, shorter - first)
+    a, b = a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist()
+    # Each word that the other line lacks takes an edit.
+    if max(len(set(a).difference(b)), len(set(b).difference(a))) > allowed:
+        return False
+    return edit_distance(a, b) <= allowed
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -485,7 +485,7 @@ def test_postings_are_packed_and_tie_the_lines_that_meet(spark, monkeypatch):
     lines += [" ".join(random.sample(line.split(), len(line.split()))) for line in lines[:40]]  # the same bits
     classes = line_dedup.occurrences(documents(spark, list(enumerate(lines)))).filter("n >= 4").dropDuplicates(["key"])
     classes = line_dedup.stored(classes, "classes")
-    rows = [(r.key, r.n, [lane % (1 << 64) for lane in r.simhash]) for r in classes.collect()]
+    rows = [(r.key, r.n, [r[f"lane{lane}"] % (1 << 64) for lane in range(line_dedup.LANES)]) for r in classes.collect()]
     buckets: dict = {}
     for at, (_, _, lanes) in enumerate(rows):
         for number in range(line_dedup.BLOCKS):
