@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -43,6 +44,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self._jvm = spark._jvm
+        self._new_array = spark.sparkContext._gateway.new_array
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _open(self, path: str):
@@ -67,6 +69,10 @@ class Files:
         fs, target = self._open(path)
         fs.delete(target, True)
 
+    def delete_empty(self, path: str) -> None:
+        if self.exists(path) and not self.children(path):
+            self.delete(path)
+
     def rename(self, source: str, target: str) -> None:
         fs, old = self._open(source)
         _, new = self._open(target)
@@ -93,6 +99,18 @@ class Files:
         finally:
             stream.close()
 
+    def below(self, path: str, *levels: str) -> list[str]:
+        """Partition directories below ``path`` by one pattern a level, relative to it: a few calls, however many there are."""
+        fs, target = self._open(re.sub(r"([][\\*?{}^])", r"\\\1", path))
+        found = fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(target, "/".join(levels)))
+        if not found:
+            return []
+        paths, objects = self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found), self._new_array(self._jvm.java.lang.Object, len(found))
+        self._jvm.java.lang.System.arraycopy(paths, 0, objects, 0, len(found))
+        text = self._jvm.java.util.Arrays.toString(objects)
+        name = r"\w+=[^/,\]]+"
+        return sorted(re.findall("/".join([name] * len(levels)) + r"(?=, |\]$)", text))
+
     def leaves(self, path: str, depth: int) -> list[str]:
         """Partition directories ``depth`` levels down, relative to ``path``."""
         found = [""]
@@ -114,16 +132,25 @@ class Files:
                 self.rename(parked, live)
 
     def chunks(self, table: str, date: str = "event_date", hour: str = "event_hour") -> list[dt.datetime]:
-        """Start of each time chunk for which a table has a directory."""
-        found = []
-        for day in self.children(table):
-            if not day.startswith(date + "="):
-                continue
-            for part in self.children(f"{table}/{day}"):
-                if part.startswith(hour + "="):
-                    start = dt.datetime.fromisoformat(day.split("=", 1)[1])
-                    found.append(start + dt.timedelta(hours=int(part.split("=", 1)[1])))
-        return sorted(found)
+        """Start of each time chunk for which a table has a directory, its own or a shared one."""
+        held = (name.split("/") for name in self.below(table, f"{date}=*", f"{hour}=*"))
+        return sorted({start for day, code in held for start in chunks_of(day_of(day), int(code.split("=")[1]))})
+
+
+def day_of(name: str) -> dt.datetime:
+    return dt.datetime.fromisoformat(name.split("=", 1)[1])
+
+
+def hours_code(hours: Iterable[int]) -> int:
+    """The hour of a directory name: of one chunk, or a negative number whose bits are the hours of several."""
+    hours = set(hours)
+    return min(hours) if len(hours) == 1 else -sum(1 << hour for hour in hours)
+
+
+def chunks_of(day: dt.datetime, code: int) -> list[dt.datetime]:
+    """Starts of the chunks that a directory of this day and hours' code holds."""
+    hours = [code] if code >= 0 else [hour for hour in range(24) if -code >> hour & 1]
+    return [day + dt.timedelta(hours=hour) for hour in hours]
 
 
 def chunk_dir(

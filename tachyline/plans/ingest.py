@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tachyline.functions.time import at, micros
 from tachyline.operators.dedupe import dedupe_existing, first_arrival, integrity_check, reject_stored
-from tachyline.plans.lifecycle import crowded, finish_merges, merge_open
-from tachyline.plans.store import READING_COLUMNS, Store, salt
+from tachyline.plans.lifecycle import crowded, finish_compaction, finish_merges, merge_open
+from tachyline.plans.store import READING_COLUMNS, Store, salt, shared_codes
 from tachyline.schemas import INGEST_METRIC, KEY, small_table
 
 WRITERS_PER_CHUNK = 8
@@ -90,16 +90,27 @@ def ingest_batch(
             )
             for row in rows
         }
+        finish_compaction(store)
         finish_merges(store)
         for start in crowded(store, touched, batch_id):
             merge_open(store, start, batch_id)
         first = first_arrival(events.select(*READING_COLUMNS))
         fresh = store.with_event_chunk(reject_stored(first, _stored_keys(store, touched, batch_id)))
+        codes = shared_codes(store, touched, consumed)
+        if codes:
+            names = small_table(store.spark, sorted(codes.items()), "event_date date, code int")
+            fresh = fresh.join(F.broadcast(names), "event_date", "left")
+            fresh = fresh.withColumn("event_hour", F.coalesce("code", "event_hour")).drop("code")
+        # What an earlier attempt left under other names is not overwritten.
+        own = [held for held in store.directories("raw", touched) if held.batch == batch_id]
+        other = [held for held in own if held.code != codes.get(held.day.date(), held.code if not held.shared else None)]
+        if other:
+            store.drop_chunks("raw", {start for held in other for start in held.chunks if start in touched}, batch_id)
         store.write(
             fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
             "raw",
             salt(writers_per_chunk, *KEY),
-            directories=len(touched),
+            directories=len(codes) + sum(start.date() not in codes for start in touched),
             n_rows=consumed,
         )
         # Counted from what was committed: task retries cannot inflate it.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from tachyline.functions.time import at, ceil_to, floor_to, instant, time_bucket
 from tachyline.operators.rollups import finished, merged_states, minute_states, rollup_1h, rollup_1m
 from tachyline.plans import manifest
-from tachyline.plans.files import Files, chunk_dir, side_by_side
+from tachyline.plans.files import Files, chunk_dir, hours_code, side_by_side
 from tachyline.plans.sizing import broadcast_if_small
 from tachyline.plans.store import FILE_OPTIONS, MOST_REBALANCED, Coverage, Store, salt, tasks_for
 from tachyline.schemas import small_table
@@ -38,8 +38,7 @@ def _outside(rows: DataFrame, column: str, low: dt.datetime, high: dt.datetime)
 
 def _batches(store: Store, start: dt.datetime) -> list[int]:
     """Ids of the batch directories of a chunk."""
-    names = Files(store.spark).children(store.chunk_path("raw", start))
-    return [int(name.split("=")[1]) for name in names if name.startswith("batch_id=")]
+    return [held.batch for held in store.directories("raw", [start])]
 
 
 def _newest_batch(batches: list[int]) -> int:
@@ -54,8 +53,7 @@ def _newest_batch(batches: list[int]) -> int:
 def newest_stored_batch(store: Store) -> int:
     """The newest batch id any stored reading or metrics row carries; -1 when none does."""
     recorded = [int(name.split("=")[1]) for name in Files(store.spark).children(store.path("metrics")) if "=" in name]
-    stored = [_newest_batch(_batches(store, start)) for start in store.chunks("raw")]
-    return max([*recorded, *stored], default=-1)
+    return max([*recorded, _newest_batch([held.batch for held in store.directories("raw")])])
 
 
 def dirty_chunks(store: Store, since_batch: int) -> list[dt.datetime]:
@@ -63,9 +61,7 @@ def dirty_chunks(store: Store, since_batch: int) -> list[dt.datetime]:
 
     Directory names alone: this is the invalidation log of the aggregates.
     """
-    return [
-        start for start in store.chunks("raw") if _newest_batch(_batches(store, start)) > since_batch
-    ]
+    return [start for start, batches in store.batches("raw").items() if _newest_batch(batches) > since_batch]
 
 
 def refresh_rollup_1m(
@@ -86,12 +82,13 @@ def refresh_rollup_1m(
     now = instant(now)
     low, high = ceil_to(now - REFRESH_SPAN, "1 minute"), floor_to(now - dt.timedelta(minutes=1), "1 minute")
     store.recover("rollup_1m")
+    store.recover_shared("raw")
     marks, coverage = store.marks("rollup_1m"), store.coverage()
     chunks, unread = [], {}
-    for start in store.chunks("raw"):
-        if start + store.chunk <= low or start >= high:
-            continue
-        batches = frozenset(_batches(store, start))
+    within = [start for start in store.chunks("raw") if start + store.chunk > low and start < high]
+    stored = store.batches("raw", within)
+    for start in within:
+        batches = frozenset(stored.get(start, ()))
         held = coverage.get(start, Coverage())
         revision, bound = marks.get(start, (-1, dt.datetime.min))
         named = full or (since_batch is not None and _newest_batch(batches) > since_batch)
@@ -216,7 +213,9 @@ def backfill(store: Store) -> None:
     What comes later arrives in other batches, so the chunks are marked as done to their ends. They have no
     partial states yet: the first refresh that finds such a batch reads its chunk as a whole.
     """
-    before, batches = store.coverage(), {start: frozenset(_batches(store, start)) for start in store.chunks("raw")}
+    store.recover_shared("raw")
+    before, stored = store.coverage(), store.batches("raw")
+    batches = {start: frozenset(stored.get(start, ())) for start in store.chunks("raw")}
     coverage = {
         start: Coverage(before.get(start, Coverage()).revision + 1, held) for start, held in batches.items()
     }
@@ -240,36 +239,51 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     chunk has not had, so that a refresh can tell it from an older one; where all that was merged is in the
     aggregates' states, they are told so and read nothing again.
     """
-    files, raw = Files(store.spark), store.path("raw")
-    # Outside the table, so that no reader ever lists half-finished work.
-    parking = f"{store.root}/compaction"
-    for start in files.chunks(f"{parking}/old"):
-        files.finish_swap(chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
+    finish_compaction(store)
+    files, raw, parking = Files(store.spark), store.path("raw"), _parking(store)
     cut = instant(now) - after
-    merged, sources = {}, {}
-    for start in store.chunks("raw"):
-        batches = _batches(store, start) if start + store.chunk <= cut else []
-        if any(batch >= 0 for batch in batches):
-            merged[start] = min(-(_newest_batch(batches) + 1), min(batches) - 1)
-            sources[start] = frozenset(batches)
+    shared = [held for held in store.directories("raw") if held.shared]
+    batches = store.batches("raw")
+    closed = {start for start in batches if start + store.chunk <= cut}
+    due = {start for start in closed if any(batch >= 0 for batch in batches[start])}
+    # Chunks that share directories are merged with all of their date, whose rows are few. An open date's are split.
+    sharing = [held for held in shared if not due.isdisjoint(held.chunks)]
+    days = {held.day.date() for held in sharing}
+    open_days = {start.date() for start in batches.keys() - closed if start.date() in days}
+    if open_days:
+        store.split("raw", [held for held in sharing if held.day.date() in open_days])
+        return compact(store, now, after)
+    merged, sources, together = {}, {}, {}
+    for start in sorted(due | {start for start in closed if start.date() in days}):
+        merged[start] = min(-(_newest_batch(batches[start]) + 1), min(batches[start]) - 1)
+        sources[start] = frozenset(batches[start])
+        if start.date() in days:
+            together.setdefault((start.date(), merged[start]), []).append(start.hour)
     if not merged:
         return []
     closed = list(merged)
+    codes = {key: hours_code(hours) for key, hours in together.items()}
     # One row per chunk being merged, made from directory names.
     names = small_table(
         store.spark,
-        [(start.date(), start.hour, batch) for start, batch in merged.items()],
-        "event_date date, event_hour int, batch_id bigint",
+        [
+            (start.date(), start.hour, batch, codes.get((start.date(), batch), start.hour))
+            for start, batch in merged.items()
+        ],
+        "event_date date, event_hour int, batch_id bigint, code int",
     )
     staged = f"{parking}/staged-{uuid.uuid4().hex[:12]}"
-    order = ["event_date", "event_hour", "car_id", "sensor_id", F.desc("event_time")]
+    order = ["event_date", "event_hour", "batch_id", "car_id", "sensor_id", F.desc("event_time")]
     # Left to itself, adaptive execution goes by bytes: one task would write the files of very many small chunks.
     partitions = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = [max(tasks_for(len(closed)), partitions), *order] if len(closed) > MOST_REBALANCED else order
+    directories = len(codes) + sum(start.date() not in days for start in closed)
+    dealt = [max(tasks_for(directories), partitions), *order] if directories > MOST_REBALANCED else order
     (
         store.read_chunks("raw", closed)
         .drop("batch_id")
         .join(broadcast_if_small(names), ["event_date", "event_hour"])
+        .withColumn("event_hour", F.col("code"))
+        .drop("code")
         .repartitionByRange(*dealt)
         .sortWithinPartitions(*order)
         .write.options(**FILE_OPTIONS)
@@ -278,13 +292,14 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     )
     manifest.write(store, staged)
 
-    def swap(start: dt.datetime) -> None:
-        live, old = chunk_dir(raw, start), chunk_dir(f"{parking}/old", start)
-        files.rename(live, old)
-        files.rename(chunk_dir(staged, start), live)
-        files.delete(old)
+    def swap(name: str) -> None:
+        parked = f"{parking}/{'old' if '/' in name else 'days'}/{name}"
+        files.rename(f"{raw}/{name}", parked)
+        files.rename(f"{staged}/{name}", f"{raw}/{name}")
+        files.delete(parked)
 
-    side_by_side(swap, closed)
+    alone = [chunk_dir("", start)[1:] for start in closed if start.date() not in days]
+    side_by_side(swap, [*alone, *(f"event_date={day:%Y-%m-%d}" for day in sorted(days))])
     files.delete(staged)
     coverage = store.coverage()
     renamed = {
@@ -297,16 +312,29 @@ def compact(store: Store, now: str | dt.datetime, after: dt.timedelta = COMPACT_
     return closed
 
 
+def _parking(store: Store) -> str:
+    """Outside the table, so that no reader ever lists half-finished work."""
+    return f"{store.root}/compaction"
+
+
+def finish_compaction(store: Store) -> None:
+    """Finish or undo what a crash cut short: swaps of chunks and of dates, splits of shared directories."""
+    files, raw, parking = Files(store.spark), store.path("raw"), _parking(store)
+    for start in files.chunks(f"{parking}/old"):
+        files.finish_swap(chunk_dir(raw, start), chunk_dir(f"{parking}/old", start))
+    for day in files.below(f"{parking}/days", "event_date=*"):
+        files.finish_swap(f"{raw}/{day}", f"{parking}/days/{day}")
+    store.recover_shared("raw")
+
+
 def crowded(store: Store, chunks: Iterable[dt.datetime], in_flight: int) -> list[dt.datetime]:
     """Chunks among ``chunks`` with enough directories for ``merge_open`` to merge some."""
 
-    def full(start: dt.datetime) -> bool:
-        batches = _batches(store, start)
+    def full(batches: list[int]) -> bool:
         single = sum(0 <= batch < in_flight for batch in batches)
         return single > MOST_BATCHES or sum(batch < 0 for batch in batches) > MOST_MERGED
 
-    chunks = list(chunks)
-    return [start for start, held in zip(chunks, side_by_side(full, chunks)) if held]
+    return [start for start, batches in store.batches("raw", chunks).items() if full(batches)]
 
 
 def merge_open(store: Store, start: dt.datetime, in_flight: int) -> list[int]:
@@ -318,12 +346,15 @@ def merge_open(store: Store, start: dt.datetime, in_flight: int) -> list[int]:
     is merged apart from what they don't, so a refresh still reads new rows only. Returns what was merged.
     """
     finish_merges(store)
+    store.recover_shared("raw")
     batches = _batches(store, start)
     for level, most in (([b for b in batches if 0 <= b < in_flight], MOST_BATCHES), ([b for b in batches if b < 0], MOST_MERGED)):
         if len(level) > most:
             held = store.coverage().get(start, Coverage()).batches
             sources = max([b for b in level if b in held], [b for b in level if b not in held], key=len)
             if len(sources) > 1:
+                shared = [other for other in store.directories("raw", [start]) if other.shared]
+                store.split("raw", [other for other in shared if other.batch in sources])
                 _merge(store, start, sources, min(-(_newest_batch(sources) + 1), min(batches) - 1, -1))
                 return sources
     return []
@@ -381,10 +412,9 @@ def apply_retention(
     store: Store, now: str | dt.datetime, keep: dt.timedelta = RETENTION
 ) -> list[dt.datetime]:
     """Drop raw chunks that ended ``keep`` ago, by directory. Aggregates stay."""
+    finish_compaction(store)
     dropped = _expired(store, now, keep)
-    files = Files(store.spark)
-    for start in dropped:
-        files.delete(store.chunk_path("raw", start))
+    store.drop_chunks("raw", dropped)
     return dropped
 
 
@@ -396,6 +426,7 @@ def archive_cold(
     Chunk and batch are compared: late readings of a chunk archived before come in a batch of
     their own, beside what the archive has already.
     """
+    finish_compaction(store)
     cold = _expired(store, now, keep)
     if not cold:
         return []

@@ -49,22 +49,21 @@ def files_of(store: Store, car_id: str, sensor_id: str, start: dt.datetime, end:
     since, until = ((moment - EPOCH) // dt.timedelta(microseconds=1) for moment in (start, end))
     series = [car_id, sensor_id]
     step = store.chunk
-    chunk = EPOCH + (start - EPOCH) // step * step
+    chunks, chunk = [], EPOCH + (start - EPOCH) // step * step
     while chunk < end:
-        root = store.chunk_path("raw", chunk)
-        for name in files.children(root):
-            if not name.startswith("batch_id="):
-                continue
-            text = files.read_text(f"{root}/{name}/{NAME}") if int(name.split("=")[1]) < 0 else None
-            if text is None:
-                paths.append(f"{root}/{name}")
-                known = False
-                continue
-            for entry in map(json.loads, text.splitlines()):
-                if entry["low"] <= series <= entry["high"] and entry["since"] < until and entry["until"] >= since:
-                    paths.append(f"{root}/{name}/{entry['file']}")
-                    size += entry["bytes"]
+        chunks.append(chunk)
         chunk += step
+    for held in store.directories("raw", chunks):
+        folder = f"{store.path('raw')}/{held.name}"
+        text = files.read_text(f"{folder}/{NAME}") if held.batch < 0 else None
+        if text is None:
+            paths.append(folder)
+            known = False
+            continue
+        for entry in map(json.loads, text.splitlines()):
+            if entry["low"] <= series <= entry["high"] and entry["since"] < until and entry["until"] >= since:
+                paths.append(f"{folder}/{entry['file']}")
+                size += entry["bytes"]
     return paths, size, known
 
 
@@ -77,7 +76,7 @@ def read_series(store: Store, car_id: str, sensor_id: str, start: str | dt.datet
     paths, size, known = files_of(store, car_id, sensor_id, since, until) if since < until else ([], 0, True)
     if not paths:
         return store.spark.createDataFrame([], store.schema("raw"))
-    rows = store.spark.read.schema(store.schema("raw")).option("basePath", store.path("raw")).parquet(*paths)
+    rows = store.read_paths("raw", paths)
     rows = rows.filter(
         (F.col("car_id") == car_id) & (F.col("sensor_id") == sensor_id)
         & (F.col("event_time") >= at(rows, "event_time", since)) & (F.col("event_time") < at(rows, "event_time", until))

@@ -6,19 +6,26 @@ chunk is one hour unless the store says otherwise: a sparse table wants longer o
 Finer directories would give small files at no gain, since compacted rows are sorted
 inside a chunk and row-group statistics narrow a scan further. There is one writer per
 table.
+
+A batch of few readings in very many chunks would be files of a few rows. Its chunks of one date share a batch
+directory instead, whose ``event_hour`` is a negative number: bit h says that it may hold readings of the chunk
+that begins at hour h. Names alone still tell which batches a chunk has, a batch's chunk is in one directory
+only, and rows are read with the hour of their own chunk. Where a part of such chunks is to be merged or dropped,
+``split`` gives each of them its own directory first.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tachyline.functions.time import instant
-from tachyline.plans.files import Files, chunk_dir, side_by_side
+from tachyline.plans.files import Files, chunk_dir, chunks_of, day_of, hours_code, side_by_side
+from tachyline.plans.sizing import broadcast_if_small
 from tachyline.schemas import INGEST_METRIC, SERIES, small_table
 
 RESOLUTIONS = {"ONE_MINUTE": "rollup_1m", "ONE_HOUR": "rollup_1h"}
@@ -46,6 +53,11 @@ FILE_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
 MOST_REBALANCED = 32
 DIRECTORIES_A_TASK = 8
 ROWS_A_TASK = 1_000_000
+#: A batch in more chunks than this, with fewer rows than ``SPARSE_ROWS`` a chunk, shares directories within a date.
+MOST_CHUNK_DIRECTORIES = 128
+SPARSE_ROWS = 10_000
+#: Beyond this many dates one listing of the table is cheaper than one for each date.
+MOST_LISTED = 64
 READING_COLUMNS = ["car_id", "sensor_id", "event_time", "value", "sequence_no", "arrival"]
 
 
@@ -58,6 +70,51 @@ class Coverage:
     parts: tuple[int, ...] = ()
 
 
+@dataclass(frozen=True)
+class Directory:
+    """A batch directory of the raw table or the archive; ``code`` is its hour, or the hours that share it."""
+
+    day: dt.datetime
+    code: int
+    batch: int
+
+    @property
+    def chunks(self) -> list[dt.datetime]:
+        return chunks_of(self.day, self.code)
+
+    @property
+    def shared(self) -> bool:
+        return self.code < 0
+
+    @property
+    def name(self) -> str:
+        return f"{hour_dir(self.day, self.code)}/batch_id={self.batch}"
+
+    @staticmethod
+    def named(name: str) -> "Directory":
+        day, code, batch = name.split("/")
+        return Directory(day_of(day), int(code.split("=")[1]), int(batch.split("=")[1]))
+
+
+def hour_dir(day: dt.datetime, code: int) -> str:
+    return f"event_date={day:%Y-%m-%d}/event_hour={code}"
+
+
+def shared_codes(store: "Store", touched: Iterable[dt.datetime], n_rows: int) -> dict[dt.date, int]:
+    """Codes of the dates whose chunks share a directory in a batch of ``n_rows`` in the ``touched`` chunks; mostly none.
+
+    The newest date's chunks don't share: more of their readings are yet to come.
+    """
+    hours: dict[dt.date, list[int]] = {}
+    for start in touched:
+        hours.setdefault(start.date(), []).append(start.hour)
+    chunks = sum(map(len, hours.values()))
+    if chunks <= MOST_CHUNK_DIRECTORIES or n_rows >= SPARSE_ROWS * chunks:
+        return {}
+    newest = max(hours)
+    return {day: hours_code(some) for day, some in hours.items() if day != newest and len(some) > 1}
+
+
 def _ranges(numbers: frozenset[int]) -> str:
     """Ascending runs of numbers as first:last, comma-joined."""
     runs: list[list[int]] = []
@@ -123,7 +180,18 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """The whole table; an empty one has its schema."""
-        return self.spark.read.schema(self.schema(table)).parquet(self.path(table))
+        return self.read_paths(table, [self.path(table)])
+
+    def read_paths(self, table: str, paths: Sequence[str]) -> DataFrame:
+        """Directories or files of the table; rows of a shared directory have the hour of their own chunk."""
+        if not paths:
+            return self.spark.createDataFrame([], self.schema(table))
+        reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
+        rows = reader.parquet(*paths)
+        if "event_hour" not in rows.columns:
+            return rows
+        hour = F.col("event_hour")
+        return rows.withColumn("event_hour", F.when(hour < 0, self._chunk_hour("event_time")).otherwise(hour))
 
     def rollups(self, resolution: str = "ONE_MINUTE") -> DataFrame:
         """The aggregate that answers queries of this resolution."""
@@ -139,31 +207,82 @@ class Store:
     def chunk_path(self, table: str, start: dt.datetime) -> str:
         return chunk_dir(self.path(table), start, *_chunk_names(table))
 
+    def directories(self, table: str, chunks: Iterable[dt.datetime] | None = None) -> list[Directory]:
+        """Batch directories of the raw table or the archive; only those that hold some of ``chunks``, if given."""
+        files, root, below = Files(self.spark), self.path(table), ("event_hour=*", "batch_id=*")
+        wanted = None if chunks is None else set(chunks)
+        days = None if wanted is None else sorted({f"event_date={start:%Y-%m-%d}" for start in wanted})
+        if days is None or len(days) > MOST_LISTED:
+            names = files.below(root, "event_date=*", *below)
+        else:
+            names = [f"{day}/{name}" for day in days for name in files.below(f"{root}/{day}", *below)]
+        found = [Directory.named(name) for name in names]
+        return [held for held in found if wanted is None or not wanted.isdisjoint(held.chunks)]
+
+    def batches(self, table: str, chunks: Iterable[dt.datetime] | None = None) -> dict[dt.datetime, list[int]]:
+        """Ids of the batches of each chunk, by directory names; a chunk without any is left out."""
+        wanted = None if chunks is None else set(chunks)
+        found: dict[dt.datetime, list[int]] = {}
+        for held in self.directories(table, wanted):
+            for start in held.chunks:
+                if wanted is None or start in wanted:
+                    found.setdefault(start, []).append(held.batch)
+        return dict(sorted(found.items()))
+
+    def _hour_directories(self, table: str, chunks: set[dt.datetime]) -> dict[str, set[dt.datetime]]:
+        """Directories of the dates of ``chunks``, and the chunks each holds."""
+        files, (date, hour), root = Files(self.spark), _chunk_names(table), self.path(table)
+        days = {f"{date}={start:%Y-%m-%d}" for start in chunks}
+        if len(days) > MOST_LISTED:
+            names = [name for name in files.below(root, f"{date}=*", f"{hour}=*") if name.split("/")[0] in days]
+        else:
+            names = [f"{day}/{name}" for day in sorted(days) for name in files.below(f"{root}/{day}", f"{hour}=*")]
+        split = {name: name.split("/") for name in names}
+        return {name: set(chunks_of(day_of(day), int(code.split("=")[1]))) for name, (day, code) in split.items()}
+
     def read_chunks(self, table: str, chunks: Sequence[dt.datetime]) -> DataFrame:
         """Only the given chunks, without listing the rest of the table."""
-        files, (date, hour) = Files(self.spark), _chunk_names(table)
-        wanted: dict[str, set[str]] = {}
-        for start in chunks:
-            wanted.setdefault(f"{self.path(table)}/{date}={start:%Y-%m-%d}", set()).add(f"{hour}={start.hour}")
-        paths = []
-        for day, names in wanted.items():
-            held = {name for name in files.children(day) if name.startswith(f"{hour}=")}
+        (date, hour), root, wanted = _chunk_names(table), self.path(table), set(chunks)
+        held: dict[str, dict[str, set[dt.datetime]]] = {}
+        for name, starts in self._hour_directories(table, wanted).items():
+            held.setdefault(name.split("/")[0], {})[name] = starts
+        paths, partly = [], []
+        for day, some in held.items():
             # A date that is wanted as a whole is one path, not one for each of its chunks.
-            paths += [day] if held and held <= names else [f"{day}/{name}" for name in sorted(held & names)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema(table))
-        reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
-        return reader.parquet(*paths)
+            if all(starts <= wanted for starts in some.values()):
+                paths.append(f"{root}/{day}")
+                continue
+            paths += [f"{root}/{name}" for name, starts in some.items() if starts <= wanted]
+            partly += [name for name, starts in some.items() if not starts <= wanted and not starts.isdisjoint(wanted)]
+        rows = self.read_paths(table, paths)
+        if not partly:
+            return rows
+        starts = set().union(*(held[name.split("/")[0]][name] for name in partly)) & wanted
+        keys = [(start.date(), start.hour) for start in sorted(starts)]
+        return self._with_part(rows, table, [f"{root}/{name}" for name in partly], keys, f"{date} date, {hour} int")
+
+    def _with_part(self, rows: DataFrame, table: str, paths: list[str], keys: list[tuple], ddl: str) -> DataFrame:
+        """``rows`` and, of the shared directories at ``paths``, the rows with one of the keys."""
+        names = [field.strip().split(" ")[0] for field in ddl.split(",")]
+        part = self.read_paths(table, paths).join(broadcast_if_small(small_table(self.spark, keys, ddl)), names, "left_semi")
+        return rows.unionByName(part.select(*rows.columns))
 
     def read_parts(self, table: str, column: str, parts: dict[dt.datetime, Sequence[int]]) -> DataFrame:
         """Only the named directories ``column=part`` of the given chunks."""
-        files = Files(self.spark)
-        paths = [f"{self.chunk_path(table, start)}/{column}={part}" for start, some in parts.items() for part in some]
-        paths = [path for path in paths if files.exists(path)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema(table))
-        reader = self.spark.read.schema(self.schema(table)).option("basePath", self.path(table))
-        return reader.parquet(*paths)
+        if column != "batch_id":
+            files = Files(self.spark)
+            paths = [f"{self.chunk_path(table, start)}/{column}={part}" for start, some in parts.items() for part in some]
+            return self.read_paths(table, [path for path in paths if files.exists(path)])
+        paths, partly, keys = [], [], []
+        for held in self.directories(table, parts):
+            wanted = [start for start in held.chunks if held.batch in parts.get(start, ())]
+            if len(wanted) == len(held.chunks):
+                paths.append(f"{self.path(table)}/{held.name}")
+            elif wanted:
+                partly.append(f"{self.path(table)}/{held.name}")
+                keys += [(start.date(), start.hour, held.batch) for start in wanted]
+        rows = self.read_paths(table, paths)
+        return self._with_part(rows, table, partly, keys, "event_date date, event_hour int, batch_id bigint") if partly else rows
 
     def rollups_between(
         self, resolution: str, start: str | dt.datetime, end: str | dt.datetime
@@ -263,6 +382,58 @@ class Store:
         for leaf in files.leaves(parked, len(_PARTITIONS[table].split(","))):
             files.finish_swap(f"{self.path(table)}/{leaf}", f"{parked}/{leaf}")
 
+    def split(self, table: str, shared: Sequence[Directory]) -> None:
+        """Give each chunk of the shared directories its own.
+
+        A shared directory is parked while its chunks' own are put in place. Until it is taken off in one
+        rename, ``recover_shared`` undoes what a crash cut short: no other directory holds these rows.
+        """
+        if not shared:
+            return
+        files, live = Files(self.spark), self.path(table)
+        staged = f"{self.root}/swap/staged/{uuid.uuid4().hex[:12]}"
+        rows = self.read_paths(table, [f"{live}/{held.name}" for held in shared])
+        self.write(rows, table, path=staged, directories=sum(len(held.chunks) for held in shared))
+
+        def swap(held: Directory) -> None:
+            parked = f"{self.root}/swap/shared/{table}/{held.name}"
+            files.rename(f"{live}/{held.name}", parked)
+            for start in held.chunks:
+                own = Directory(held.day, start.hour, held.batch).name
+                if files.exists(f"{staged}/{own}"):
+                    files.rename(f"{staged}/{own}", f"{live}/{own}")
+            files.rename(parked, f"{self.root}/swap/done/{uuid.uuid4().hex[:12]}")
+
+        side_by_side(swap, shared)
+        for name in {hour_dir(held.day, held.code) for held in shared}:
+            files.delete_empty(f"{live}/{name}")
+        files.delete(staged)
+        files.delete(f"{self.root}/swap/done")
+
+    def recover_shared(self, table: str) -> None:
+        """Undo a ``split`` that a crash cut short."""
+        files, parked, live = Files(self.spark), f"{self.root}/swap/shared/{table}", self.path(table)
+        for name in files.below(parked, "event_date=*", "event_hour=*", "batch_id=*"):
+            held = Directory.named(name)
+            for start in held.chunks:
+                own = Directory(held.day, start.hour, held.batch).name
+                files.delete(f"{live}/{own}")
+                files.delete_empty(f"{live}/{own.rsplit('/', 1)[0]}")
+            files.rename(f"{parked}/{name}", f"{live}/{name}")
+
+    def drop_chunks(self, table: str, chunks: Iterable[dt.datetime], batch: int | None = None) -> None:
+        """Drop the chunks, or what one batch has in them, by directory; shared ones that hold others are split first."""
+        files, root, wanted = Files(self.spark), self.path(table), set(chunks)
+        partly = [held for held in self.directories(table, wanted) if held.shared and not wanted.issuperset(held.chunks)]
+        self.split(table, [held for held in partly if batch in (None, held.batch)])
+        if batch is None:
+            names = [name for name, starts in self._hour_directories(table, wanted).items() if starts <= wanted]
+        else:
+            names = [held.name for held in self.directories(table, wanted) if held.batch == batch]
+        side_by_side(lambda name: files.delete(f"{root}/{name}"), names)
+        for above in {name.rsplit("/", 1)[0] for name in names if batch is not None}:
+            files.delete_empty(f"{root}/{above}")
+
     def write(
         self, rows: DataFrame, table: str, spread: Column | None = None, path: str | None = None,
         directories: int = 0, n_rows: int = 0,

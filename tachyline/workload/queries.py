@@ -683,8 +683,7 @@ def compacted_readings(spark, sf_dir):
 
 
 def _batch_dirs(store) -> int:
-    files = Files(store.spark)
-    return max(len(files.children(store.chunk_path("raw", start))) for start in store.chunks())
+    return max(map(len, store.batches("raw").values()))
 
 
 @query
