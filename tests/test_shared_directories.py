@@ -10,6 +10,7 @@ from tachyline.plans import ingest, lifecycle, manifest
 from tachyline.plans import store as stores
 from tachyline.plans.files import Files, chunks_of, hours_code
 from tachyline.plans.store import Store
+from tachyline.workload import queries
 
 HOUR = dt.timedelta(hours=1)
 CHUNKS = 150
@@ -172,3 +173,28 @@ def test_chunks_without_a_reading_are_not_made_up(spark, store):
     ingest.ingest_batch(readings(spark, [("CAR-01", "speed", 3600 * n, n) for n in some]), 0, store)
     assert any(found.shared for found in store.directories("raw"))
     assert store.chunks() == [W + n * HOUR for n in some] and hours_agree(store)
+
+
+def test_the_unordered_refresh_writes_few_directories(spark, place):
+    """Four readings in each of 160 hours, one for each of the query's batches; rows against a plain fold.
+
+    A refresh takes the last seven days.
+    """
+    ids = [514 * n + k for n in (*range(140), *range(400, 420)) for k in range(4)]
+    rows = [(n, dt.datetime(2024, 1, 1), n % 3, "click", float(n % 50), None) for n in ids]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{place}/events.parquet")
+    found = queries.unordered_rollup_1m(spark, place)
+    start, expected = dt.datetime(2024, 1, 1), {}
+    end = (start + dt.timedelta(seconds=7 * max(ids), minutes=-1)).replace(second=0)
+    for n in ids:
+        bucket = (start + dt.timedelta(seconds=7 * n)).replace(second=0)
+        if end - lifecycle.REFRESH_SPAN < bucket < end:
+            expected.setdefault((f"CAR-{n % 3 + 1:02d}", bucket), []).append(float(n % 50))
+    got = {(row["car_id"], row["bucket"]): (row["samples"], row["average"], row["minimum"], row["maximum"]) for row in found.collect()}
+    assert got == {
+        key: (len(some), pytest.approx(sum(some) / len(some), abs=1e-6), min(some), max(some)) for key, some in expected.items()
+    }
+    # Three batches were merged, the fourth came after: by the date, but for the newest.
+    raw = queries._refreshed_out_of_order(spark, place).directories("raw")
+    assert len(raw) < 160 // 2
